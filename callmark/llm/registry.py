@@ -1,6 +1,11 @@
 """The corpus operators' queries, and their DuckDB SQL where SQL can express them."""
 
-from callmark.llm import bpe, merkle, secrets
+from callmark.llm import bpe, merkle, quality, secrets
 
-QUERIES = {"op1_secret_scan": secrets.op1_secret_scan, "op3_merkle": merkle.op3_merkle, "op8_byte_bpe": bpe.op8_byte_bpe}
+QUERIES = {
+    "op1_secret_scan": secrets.op1_secret_scan,
+    "op3_merkle": merkle.op3_merkle,
+    "op5_quality": quality.op5_quality,
+    "op8_byte_bpe": bpe.op8_byte_bpe,
+}
 ORACLES: dict[str, str] = {}
