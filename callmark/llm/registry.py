@@ -1,11 +1,13 @@
 """The corpus operators' queries, and their DuckDB SQL where SQL can express them."""
 
-from callmark.llm import bpe, merkle, quality, secrets
+from callmark.llm import bpe, merkle, mixing, quality, secrets, sharding
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op3_merkle": merkle.op3_merkle,
+    "op4_external_shuffle": sharding.op4_external_shuffle,
     "op5_quality": quality.op5_quality,
+    "op6_mix": mixing.op6_mix,
     "op8_byte_bpe": bpe.op8_byte_bpe,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_mix": mixing.ORACLE}
