@@ -1,6 +1,6 @@
 """The corpus operators' queries, and their DuckDB SQL where SQL can express them."""
 
-from callmark.llm import bpe, merkle, mixing, quality, secrets, sharding
+from callmark.llm import bpe, merkle, mixing, neardup, quality, secrets, sharding
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_external_shuffle": sharding.op4_external_shuffle,
     "op5_quality": quality.op5_quality,
     "op6_mix": mixing.op6_mix,
+    "op7_hyperminhash": neardup.op7_hyperminhash,
     "op8_byte_bpe": bpe.op8_byte_bpe,
 }
 ORACLES: dict[str, str] = {"op6_mix": mixing.ORACLE}
