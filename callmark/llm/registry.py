@@ -1,6 +1,6 @@
 """The corpus operators' queries, and their DuckDB SQL where SQL can express them."""
 
-from callmark.llm import bpe, merkle, mixing, neardup, quality, secrets, sharding
+from callmark.llm import bpe, licenses, merkle, mixing, neardup, quality, secrets, sharding, warc
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -10,5 +10,7 @@ QUERIES = {
     "op6_mix": mixing.op6_mix,
     "op7_hyperminhash": neardup.op7_hyperminhash,
     "op8_byte_bpe": bpe.op8_byte_bpe,
+    "op9_license_join": licenses.op9_license_join,
+    "op10_warc": warc.op10_warc,
 }
-ORACLES: dict[str, str] = {"op6_mix": mixing.ORACLE}
+ORACLES = {"op6_mix": mixing.ORACLE, "op9_license_join": licenses.oracle(), "op10_warc": warc.ORACLE}
