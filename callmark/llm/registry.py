@@ -1,9 +1,10 @@
 """The corpus operators' queries, and their DuckDB SQL where SQL can express them."""
 
-from callmark.llm import bpe, licenses, merkle, mixing, neardup, quality, secrets, sharding, warc
+from callmark.llm import bpe, licenses, merkle, mixing, neardup, quality, secrets, sharding, topk, warc
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
+    "op2_ball_tree": topk.op2_ball_tree,
     "op3_merkle": merkle.op3_merkle,
     "op4_external_shuffle": sharding.op4_external_shuffle,
     "op5_quality": quality.op5_quality,
@@ -13,4 +14,4 @@ QUERIES = {
     "op9_license_join": licenses.op9_license_join,
     "op10_warc": warc.op10_warc,
 }
-ORACLES = {"op6_mix": mixing.ORACLE, "op9_license_join": licenses.oracle(), "op10_warc": warc.ORACLE}
+ORACLES = {"op2_ball_tree": topk.ORACLE, "op6_mix": mixing.ORACLE, "op9_license_join": licenses.oracle(), "op10_warc": warc.ORACLE}
