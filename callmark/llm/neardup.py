@@ -21,7 +21,6 @@ are ignored by ``components`` and kept by ``deduplicate``.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +33,6 @@ from callmark.llm.common import materialise, slices, table, whole
 
 REGISTERS, MANTISSA = 192, 10
 MISS = 1e-6
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: Members and bytes of sets that a task holds of one side of a block pair.
 BLOCK_ROWS, BLOCK_BYTES = 2_048, 16 << 20
 #: Members of a star that one task compares with the star's centre.
@@ -55,21 +52,22 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 _DONORS = (_mix(np.arange(REGISTERS * 64, dtype=np.uint64) + _U(7)) % _U(REGISTERS)).astype(np.int64).reshape(REGISTERS, 64)
-_WORDS: dict[str, int] = {}
+_WORDS: dict[bytes, int] = {}
 
 
 def shingles(text: str, width: int) -> np.ndarray:
     """Sorted different hashes of the text's word shingles; fewer words than width are one shingle."""
-    words = WORD.findall(text.translate(LOWER))
+    words = text.encode().lower().split()  # of bytes: lowers A-Z alone, splits at \x20 and \x09-\x0D alone
     if not words:
         return np.empty(0, np.uint64)
     if len(_WORDS) > WORDS_KEPT:
         _WORDS.clear()
-    for w in {*words} - _WORDS.keys():
-        _WORDS[w] = xxhash.xxh64_intdigest(w)
+    for w in set(words):
+        if w not in _WORDS:
+            _WORDS[w] = xxhash.xxh64_intdigest(w)
     own = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
     if len(own) < width:
-        return np.array([xxhash.xxh64_intdigest("\n".join(words), seed=len(words))], np.uint64)
+        return np.array([xxhash.xxh64_intdigest(b"\n".join(words), seed=len(words))], np.uint64)
     n = len(own) - width + 1
     total = np.zeros(n, np.uint64)
     for k in range(width):
