@@ -38,7 +38,7 @@ BLOCK_ROWS, BLOCK_BYTES = 2_048, 16 << 20
 #: Members of a star that one task compares with the star's centre.
 STAR_ROWS = 2_000
 #: Candidates' ids are broadcast up to so many, 8 bytes each; beyond that they are joined by a shuffle.
-BROADCAST_IDS = 4_000_000
+BROADCAST_IDS = 2_000_000
 WORDS_KEPT = 500_000
 
 _U = np.uint64
@@ -287,19 +287,25 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _rows_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One row of docs for each node; the nodes are broadcast only if they are few."""
-    few = nodes.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    nodes = nodes.withColumnRenamed("node", "doc_id")
-    return docs.join(F.broadcast(nodes) if few else nodes, "doc_id", "left_semi")
+    """One row of docs for each node."""
+    return docs.join(_if_few(nodes.withColumnRenamed("node", "doc_id")), "doc_id", "left_semi")
+
+
+def _if_few(ids: DataFrame) -> DataFrame:
+    """For broadcast, if a count shows that the ids are few."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """docs without the rows of other documents than a component's first, and each kept document once."""
-    found = components(docs, id_col, text_col, width, percent)
+    found = materialise(components(docs, id_col, text_col, width, percent))
+    named = F.col(id_col).cast("long") == F.col("__id")
     gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    left = docs.join(gone, F.col(id_col).cast("long") == F.col("__id"), "left_anti")
-    repeated = found.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__id")).count().filter("count > 1").select("__id")
-    return left.join(repeated, F.col(id_col).cast("long") == F.col("__id"), "left_anti").unionByName(left.join(repeated, F.col(id_col).cast("long") == F.col("__id"), "left_semi").dropDuplicates([id_col]))
+    left = docs.join(_if_few(gone), named, "left_anti")
+    repeated = materialise(found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).count().filter("count > 1").select("__id"))
+    if repeated.isEmpty():
+        return left
+    return left.join(repeated, named, "left_anti").unionByName(left.join(repeated, named, "left_semi").dropDuplicates([id_col]))
 
 
 def op7_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

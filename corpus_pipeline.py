@@ -1,8 +1,70 @@
-"""The corpus pipeline."""
+"""From raw documents to token ids: quality, near duplicates, secrets, mixture, encoding.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
+one's docs. All but the last return the columns of documents. Stages keep rows with null columns unless their decision is
+about that column: a null or empty text scores 0 and goes in the first stage; a null source is a source of its own.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from callmark.llm import bpe, mixing, neardup, quality, secrets
+from callmark.llm.common import materialise, table
+from callmark.session import ship
+
+LEAST_QUALITY = 0.3
+SHINGLE_WORDS, LIKENESS_PERCENT = 5, 80
+MOST_OWNERS_OF_A_SECRET = 2
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores under LEAST_QUALITY go; it is fitted here on a bounded sample of labelled rows."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.keep(docs, model, LEAST_QUALITY)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document of smallest id stays."""
+    ship(spark)
+    return neardup.deduplicate(docs, width=SHINGLE_WORDS, percent=LIKENESS_PERCENT)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Live-looking secrets, held by few owners, are masked; examples that were copied around stay as they are."""
+    ship(spark)
+    masked = secrets.redact(docs, min_owners=MOST_OWNERS_OF_A_SECRET + 1)
+    return masked.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars")))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each source's documents as often as its target asks, in training order; a repeated document is a repeated row."""
+    ship(spark)
+    return mixing.training_order(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids (binary) of every row; the ids decode to the bytes of the text."""
+    ship(spark)
+    vocabulary = bpe.load_ranks(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return bpe.encode(docs, vocabulary, public_tokenizers.PATTERN).select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("quality classifier", quality_filter),
+    ("MinHash near-dedup", near_dedup),
+    ("secret scans", secret_scan),
+    ("mixing sources to target weights", source_mix),
+    ("byte-level BPE encoding", encode),
+]
+#: Neither a learned classifier nor BPE is a query in SQL; tests/llm compares the stages with brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError("no stage yet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
