@@ -1,4 +1,33 @@
 """Name -> query, and name -> the same in DuckDB's SQL."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+
+from callmark.session import ship
+from callmark.sources.domain import PRELUDE, Domain
+
+QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, prelude: bool = True) -> Callable:
+    """Registers f(domain) under its name; sql may use the tables of PRELUDE."""
+
+    def register(f: Callable[[Domain], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Domain(ship(spark), sf_dir))
+        if sql:
+            ORACLES[f.__name__] = f"WITH {PRELUDE}{',' if sql.lstrip().startswith('+') else ''} {sql.replace('+', '', 1) if sql.lstrip().startswith('+') else sql}" if prelude else sql
+        return f
+
+    return register
+
+
+def load() -> None:
+    """Imports the modules that register queries."""
+    from callmark.plans import audits, incremental, leaderboards, listings, opinions, search, texts  # noqa: F401
+
+
+load()
