@@ -1 +1,127 @@
-"""."""
+"""Merges, queues, resume and catalogs over the provided tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from callmark.operators import incremental as op
+from callmark.plans.registry import query
+from callmark.sources.domain import Domain
+
+
+def halves(d: Domain) -> tuple[DataFrame, DataFrame]:
+    """What was there (orders not divisible by 3) and what comes (even ones, some of them changed or without a value)."""
+    o = d.table("orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"), F.col("o_orderdate").alias("seen_at"))
+    new = o.filter("id % 2 = 0").select("id", F.when(F.col("id") % 4 == 0, F.lit("X")).alias("status"), (F.col("price") + 1).alias("price"), (F.col("seen_at") + F.expr("INTERVAL 1 DAY")).alias("seen_at"))
+    return o.filter("id % 3 <> 0"), new
+
+
+_OLD = "old AS (SELECT o_orderkey AS id, o_orderstatus AS status, o_totalprice AS price, o_orderdate AS seen_at FROM orders WHERE o_orderkey % 3 <> 0), new AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN 'X' END AS status, o_totalprice + 1 AS price, o_orderdate + INTERVAL 1 DAY AS seen_at FROM orders WHERE o_orderkey % 2 = 0)"
+
+
+@query(f"WITH {_OLD} SELECT * FROM new UNION ALL SELECT * FROM old WHERE id NOT IN (SELECT id FROM new)", prelude=False)
+def merge_latest(d: Domain) -> DataFrame:
+    return op.upsert(*halves(d), ["id"], "seen_at")
+
+
+@query(f"WITH {_OLD} SELECT coalesce(new.id, old.id) AS id, coalesce(new.status, old.status) AS status, coalesce(old.price, new.price) AS price, coalesce(new.seen_at, old.seen_at) AS seen_at, old.id IS NULL AS inserted FROM old FULL JOIN new ON old.id = new.id", prelude=False)
+def merge_filling(d: Domain) -> DataFrame:
+    """The price stands for a column that a merge must never touch."""
+    return op.upsert_filling(*halves(d), ["id"], untouched=["price"])
+
+
+@query(f"WITH {_OLD} SELECT * FROM old UNION ALL SELECT * FROM new WHERE id NOT IN (SELECT id FROM old)", prelude=False)
+def merge_absent(d: Domain) -> DataFrame:
+    return op.insert_absent(*halves(d), ["id"])
+
+
+@query(f"WITH {_OLD}, o AS (SELECT id, status, seen_at FROM old), n AS (SELECT id, status, seen_at FROM new WHERE status = 'X') SELECT * FROM o WHERE seen_at NOT IN (SELECT seen_at FROM n) UNION ALL SELECT * FROM n", prelude=False)
+def replace_runs(d: Domain) -> DataFrame:
+    old, new = (x.select("id", "status", "seen_at") for x in halves(d))
+    return op.replace_run(old, new.filter("status = 'X'"), "seen_at")
+
+
+_PAGES = "pages_ AS (SELECT user_id AS run_id, event_id % 23 AS page_num, max(ts) AS ts FROM events WHERE event_id % 7 <> 3 GROUP BY ALL)"
+
+
+def crawl_pages(d: Domain) -> DataFrame:
+    return d.table("events").filter("event_id % 7 <> 3").groupBy(F.col("user_id").alias("run_id"), (F.col("event_id") % 23).alias("page_num")).agg(F.max("ts").alias("ts"))
+
+
+@query(f"WITH {_PAGES}, n AS (SELECT run_id, page_num, row_number() OVER (PARTITION BY run_id ORDER BY page_num) AS rn FROM pages_ WHERE page_num > 0) SELECT run_id, count(*) AS n_pages FROM n WHERE page_num = rn GROUP BY run_id", prelude=False)
+def resume_prefix(d: Domain) -> DataFrame:
+    """From which page a crawl can go on: the pages it has from 1 without a gap."""
+    return op.longest_prefix(crawl_pages(d).filter("page_num > 0"))
+
+
+@query(f"WITH {_PAGES} SELECT page_num, arg_max(run_id, (ts, run_id)) AS run_id, max(ts) AS ts FROM pages_ GROUP BY page_num", prelude=False)
+def newest_pages(d: Domain) -> DataFrame:
+    """Of each page the copy of the newest run."""
+    return crawl_pages(d).groupBy("page_num").agg(F.max_by("run_id", F.struct("ts", "run_id")).alias("run_id"), F.max("ts").alias("ts"))
+
+
+@query(f"WITH {_PAGES} SELECT run_id, sha256(string_agg(page_num::VARCHAR, chr(10) ORDER BY page_num)) AS fingerprint FROM pages_ GROUP BY run_id", prelude=False)
+def page_fingerprints(d: Domain) -> DataFrame:
+    from callmark.functions.text import fingerprint
+
+    ids = F.transform(F.array_sort(F.collect_list("page_num")), lambda x: x.cast("string"))
+    return crawl_pages(d).groupBy("run_id").agg(fingerprint(ids).alias("fingerprint"))
+
+
+@query("""WITH c AS (SELECT page_id AS id, 'a' AS source, page_id % 3 = 0 AS downloaded FROM pages UNION ALL SELECT doc_id, 'b', doc_id % 4 = 0 FROM documents UNION ALL SELECT doc_id, 'a', doc_id % 5 = 0 FROM labels)
+SELECT source, count(*) AS total, count(*) FILTER (WHERE downloaded) AS downloaded, count(*) FILTER (WHERE NOT downloaded) AS pending FROM c GROUP BY source""", prelude=False)
+def pending_counts(d: Domain) -> DataFrame:
+    """Three catalogs summed by source; a source may be in several."""
+    part = lambda t, c, s, n: d.table(t).groupBy(F.lit(s).alias("source")).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col(c) % n == 0).alias("downloaded"))
+    both = part("pages", "page_id", "a", 3).unionByName(part("documents", "doc_id", "b", 4)).unionByName(part("labels", "doc_id", "a", 5))
+    return both.groupBy("source").agg(F.sum("total").alias("total"), F.sum("downloaded").alias("downloaded"), F.sum(F.col("total") - F.col("downloaded")).alias("pending"))
+
+
+@query("SELECT event_type, sum((props->>'k')::BIGINT) AS total FROM events WHERE (props->>'k') IS NOT NULL GROUP BY event_type HAVING sum((props->>'k')::BIGINT) <> 0", prelude=False)
+def known_totals(d: Domain) -> DataFrame:
+    """Totals told in JSON; those that are 0 are left out."""
+    k = F.get_json_object("props", "$.k").try_cast("long")
+    return d.table("events").filter(F.get_json_object("props", "$.k").isNotNull()).groupBy("event_type").agg(F.sum(k).alias("total")).filter("total <> 0")
+
+
+@query("""SELECT p.page_id, url, coalesce(lang, 'n/a') AS lang FROM pages p LEFT JOIN documents d ON p.page_id = d.doc_id WHERE p.page_id % 3 <> 0 ORDER BY p.page_id LIMIT 1000""", prelude=False)
+def pending_queue(d: Domain) -> DataFrame:
+    """What is not downloaded, oldest first, missing fields filled from the row beside it."""
+    docs = d.table("documents").select(F.col("doc_id").alias("page_id"), "lang")
+    return d.table("pages").filter("page_id % 3 <> 0").select("page_id", "url").join(docs, "page_id", "left").select("page_id", "url", F.coalesce("lang", F.lit("n/a")).alias("lang")).orderBy("page_id").limit(1_000)
+
+
+@query("SELECT coalesce(CASE WHEN doc_id % 7 <> 0 THEN 2020 + doc_id % 5 END, 0) AS year, count(*) AS total, count(*) FILTER (WHERE doc_id % 4 = 0) AS downloaded FROM documents GROUP BY ALL", prelude=False)
+def catalog_years(d: Domain) -> DataFrame:
+    year = F.when(F.col("doc_id") % 7 != 0, 2020 + F.col("doc_id") % 5)
+    return d.table("documents").groupBy(F.coalesce(year, F.lit(0)).alias("year")).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("doc_id") % 4 == 0).alias("downloaded"))
+
+
+@query("""WITH u AS (SELECT user_id, event_type, '["' || string_agg(event_id::VARCHAR, '","' ORDER BY event_id) || '"]' AS ids FROM events WHERE event_id < 5000 GROUP BY ALL),
+x AS (SELECT user_id, event_type, unnest(string_split(replace(replace(replace(ids, '["', ''), '"]', ''), '","', ','), ',')) AS id, unnest(range(0, len(string_split(ids, ',')))) AS ord FROM u)
+SELECT x.user_id, x.event_type, ord, id::BIGINT AS event_id, value FROM x JOIN events ON event_id = id::BIGINT""", prelude=False)
+def catalog_pages(d: Domain) -> DataFrame:
+    """Ids in a JSON array, in their order, joined with what they name."""
+    e = d.table("events")
+    ids = F.to_json(F.transform(F.array_sort(F.collect_list("event_id")), lambda x: x.cast("string")))
+    stored = e.filter("event_id < 5000").groupBy("user_id", "event_type").agg(ids.alias("ids"))
+    each = stored.select("user_id", "event_type", F.posexplode(F.from_json("ids", "array<string>")).alias("ord", "id"))
+    return each.select("user_id", "event_type", F.col("ord").cast("long").alias("ord"), F.col("id").cast("long").alias("event_id")).join(e.select("event_id", "value"), "event_id")
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' AND o_orderdate < TIMESTAMP '1998-01-01' THEN 'O' ELSE o_orderstatus END AS status, coalesce(CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate END, (SELECT min(l_shipdate) FROM lineitem WHERE l_orderkey = o_orderkey)) AS dated FROM orders", prelude=False)
+def state_repair(d: Domain) -> DataFrame:
+    """Stuck states are reset, missing dates filled from what is known of the item otherwise."""
+    first = d.table("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_shipdate").alias("first"))
+    stuck = (F.col("o_orderstatus") == "P") & (F.col("o_orderdate") < "1998-01-01")
+    return d.table("orders").join(first, "o_orderkey", "left").select(
+        F.col("o_orderkey").alias("id"), F.when(stuck, "O").otherwise(F.col("o_orderstatus")).alias("status"), F.coalesce(F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderdate")), "first").alias("dated"))
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'purchase' THEN 0 WHEN 'click' THEN 1 ELSE 2 END, ts DESC, event_id) AS rn FROM events) SELECT user_id, event_id, event_type FROM r WHERE rn = 1""", prelude=False)
+def best_copy(d: Domain) -> DataFrame:
+    """Of each key the best row: by preference, then the newest, then the smallest id."""
+    place = F.when(F.col("event_type") == "purchase", 0).when(F.col("event_type") == "click", 1).otherwise(2)
+    w = Window.partitionBy("user_id").orderBy(place, F.desc("ts"), "event_id")
+    return d.table("events").withColumn("rn", F.row_number().over(w)).filter("rn = 1").select("user_id", "event_id", "event_type")

@@ -138,7 +138,7 @@ def transcription_candidates(d: Domain) -> DataFrame:
 @query(f"""+ need AS (SELECT ticker, min(made_at)::DATE - 7 AS first FROM call WHERE ticker <> '' GROUP BY ticker),
 state AS (SELECT ticker, max(day) AS last_day, CASE WHEN ascii(right(ticker, 1)) % 3 = 0 THEN 'error' ELSE 'ok' END AS status FROM price WHERE ticker <> 'Brand#9' GROUP BY ticker),
 job AS (SELECT need.ticker, CASE WHEN last_day IS NULL THEN first ELSE least(first, last_day - 4) END AS start FROM need LEFT JOIN state USING (ticker)
-    WHERE NOT coalesce((status = 'ok' AND last_day >= DATE '{NOW[:10]}' + 400 - 1) OR status = 'error', false)),
+    WHERE NOT coalesce((status = 'ok' AND last_day >= DATE '{NOW[:10]}' + 490 - 1) OR status = 'error', false)),
 placed AS (SELECT *, floor((row_number() OVER (ORDER BY start, ticker) - 1) / 4)::BIGINT AS batch FROM job)
 SELECT ticker, start, batch, min(start) OVER (PARTITION BY batch) AS batch_start FROM placed""")
 def sync_plan(d: Domain) -> DataFrame:
@@ -148,4 +148,4 @@ def sync_plan(d: Domain) -> DataFrame:
     last = F.ascii(F.right("ticker", F.lit(1))) % 3
     state = d.price.filter("ticker <> 'Brand#9'").groupBy("ticker").agg(F.max("day").alias("last_day")).withColumn("status", F.when(last == 0, "error").otherwise("ok"))
     need = d.call.filter("ticker <> ''").groupBy("ticker").agg(F.date_sub(F.to_date(F.min("made_at")), 7).alias("first"))
-    return sync_jobs(need, state.withColumn("last_synced_at", F.lit(NOW).cast("timestamp_ntz")), NOW, fresh_day=F.date_add(F.lit(NOW[:10]).cast("date"), 399), size=4)
+    return sync_jobs(need, state.withColumn("last_synced_at", F.lit(NOW).cast("timestamp_ntz")), NOW, fresh_day=F.date_add(F.lit(NOW[:10]).cast("date"), 489), size=4)

@@ -1 +1,52 @@
-"""."""
+"""Search over documents, links between mean-pooled vectors."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from callmark.operators import search as op
+from callmark.plans.registry import query
+from callmark.sources.domain import Domain
+
+_SUM = "coalesce(list_sum(list_transform(range(1, {n} + 1), lambda k: 1.0::DOUBLE / (k * k))), 0.0::DOUBLE) / 1.6449340668482264::DOUBLE"
+_TOKENS = """docs AS (SELECT doc_id, source, lang, regexp_extract_all(lower(string_split(coalesce(text, ''), chr(10))[1]), '[\\p{L}\\p{N}_]+') AS t, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+') AS b FROM documents)"""
+
+
+def _score(*words: str) -> str:
+    n = lambda f, w: f"len(list_filter({f}, lambda x: x = '{w}'))"
+    parts = [f"1.0 * {_SUM.format(n=n('t', w))} + 0.4 * {_SUM.format(n=n('b', w))}" for w in words]
+    return f"({' + '.join(parts)}) / {len(words)}"
+
+
+@query(f"""WITH {_TOKENS} SELECT doc_id, source, round({_score('the', 'and')}, 6) AS rank, array_to_string(b[greatest(1, least(list_position(b, 'the'), list_position(b, 'and')) - 3) : greatest(1, least(list_position(b, 'the'), list_position(b, 'and')) - 3) + 11], ' ') AS snippet
+FROM docs WHERE list_contains(b, 'the') AND list_contains(b, 'and') AND source IN ('src1', 'src2', 'src3')""", prelude=False)
+def search(d: Domain) -> DataFrame:
+    """Documents with all words of a query, ranked; the title is the first line."""
+    docs = d.table("documents").filter(F.col("source").isin("src1", "src2", "src3"))
+    own = docs.select("doc_id", "source", op.tokens(F.split("text", "\n")[0]).alias("t"), op.tokens(F.col("text")).alias("b"))
+    hit, score = op.rank("The and", F.col("t"), F.col("b"))
+    return own.filter(hit).select("doc_id", "source", F.round(score, 6).alias("rank"), op.snippet(F.col("b"), ["the", "and"]).alias("snippet")).orderBy(F.desc("rank"), F.desc("doc_id"))
+
+
+@query("SELECT doc_id, source, 0.0::DOUBLE AS rank FROM documents WHERE lang = 'en' ORDER BY doc_id DESC LIMIT 200", prelude=False)
+def browse(d: Domain) -> DataFrame:
+    """A blank query lists everything, newest first."""
+    hit, score = op.rank("  ", F.array(), F.array())
+    return d.table("documents").filter(hit & (F.col("lang") == "en")).select("doc_id", "source", score.alias("rank")).orderBy(F.desc("doc_id")).limit(200)
+
+
+_POOLED = """pooled AS (SELECT item, list(x ORDER BY i) AS v FROM (SELECT vec_id % 100 AS item, i, avg(embedding[i]::DOUBLE) AS x FROM embeddings, range(1, 65) r(i) GROUP BY ALL) GROUP BY item)"""
+
+
+@query(f"WITH {_POOLED} SELECT item, list_transform(v, lambda x: round(x, 6)) AS vector FROM pooled", prelude=False)
+def mean_pooled(d: Domain) -> DataFrame:
+    pooled = op.mean_pool(d.table("embeddings").withColumn("item", F.col("vec_id") % 100), "item", "embedding")
+    return pooled.select("item", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
+
+
+@query(f"""WITH {_POOLED}, s AS (SELECT a.item AS a, b.item AS b, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM pooled a, pooled b WHERE a.item <> b.item)
+SELECT a, b, similarity FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS rn FROM s) WHERE rn <= 10""", prelude=False)
+def links(d: Domain) -> DataFrame:
+    """Each item's ten nearest by cosine of mean-pooled vectors."""
+    return op.cosine_links(op.mean_pool(d.table("embeddings").withColumn("item", F.col("vec_id") % 100), "item", "embedding"))

@@ -42,13 +42,13 @@ class Domain:
 
     @cached_property
     def call(self) -> DataFrame:
-        """call_id (a string of the four key columns), item_id, provider, model, ticker, speaker, made_at, direction, action, timeframe."""
+        """call_id (a string of the key columns), item_id, provider, model, ticker, speaker, made_at, direction, action, timeframe."""
         part = self.table("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("ticker"), F.col("p_name").alias("asset_name"), F.col("p_type").alias("kind"))
         line = F.col("l_linenumber")
         timeframe = F.element_at(F.create_map(*(x for k, v in TIMEFRAMES.items() for x in (F.lit(k), F.lit(v)))), line)
         q = F.col("l_quantity").cast("int") % 3
         return self.table("lineitem").join(part, "l_partkey").select(
-            F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("call_id"), F.col("l_orderkey").alias("item_id"), F.col("l_linestatus").alias("provider"), F.col("l_returnflag").alias("model"),
+            F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int")).alias("call_id"), F.col("l_orderkey").alias("item_id"), F.col("l_linestatus").alias("provider"), F.col("l_returnflag").alias("model"),
             "ticker", "asset_name", "kind", F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("speaker"), F.col("l_shipdate").alias("made_at"),
             F.when(q == 0, "up").when(q == 1, "down").otherwise("flat").alias("direction"), F.when(line == 7, "buy").when(line == 6, "watch").alias("action"), timeframe.alias("timeframe"))
 
@@ -76,7 +76,7 @@ channel AS (SELECT c_custkey AS channel_id, n_regionkey AS source_id, c_name AS
 item AS (SELECT o_orderkey AS item_id, CASE WHEN o_orderkey % 10 <> 0 THEN o_custkey END AS channel_id, source_id, o_orderdate AS published_at,
     CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'P' THEN 'error' ELSE 'pending' END AS status, o_orderpriority AS priority, o_totalprice AS length
     FROM orders JOIN channel ON o_custkey = channel.channel_id),
-call AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS call_id, l_orderkey AS item_id, l_linestatus AS provider, l_returnflag AS model,
+call AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || l_quantity::INT AS call_id, l_orderkey AS item_id, l_linestatus AS provider, l_returnflag AS model,
     p_brand AS ticker, p_name AS asset_name, p_type AS kind, 'S' || l_suppkey AS speaker, l_shipdate AS made_at,
     CASE l_quantity::INT % 3 WHEN 0 THEN 'up' WHEN 1 THEN 'down' ELSE 'flat' END AS direction, CASE l_linenumber WHEN 7 THEN 'buy' WHEN 6 THEN 'watch' END AS action,
     CASE l_linenumber {' '.join(f"WHEN {k} THEN '{v}'" for k, v in TIMEFRAMES.items())} END AS timeframe,
