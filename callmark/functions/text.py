@@ -164,10 +164,14 @@ def pack(text: str, most: int) -> list[str]:
     return out + ([held] if held else [])
 
 
-@F.pandas_udf("array<string>")
-def chunks(texts: pd.Series, most: pd.Series) -> pd.Series:
-    """Greedy packing depends on all before it, so it is a vectorised function; rows stay where they are."""
-    return pd.Series([pack(t or "", int(m)) for t, m in zip(texts, most, strict=True)], dtype=object)
+def chunks(text: Column, most: int = CHUNK_CHARS) -> Column:
+    """Array of chunks. Greedy packing depends on all before it, so this is a vectorised function; rows stay where they are."""
+
+    @F.pandas_udf("array<string>")
+    def packed(texts: pd.Series) -> pd.Series:
+        return pd.Series([pack(t or "", most) for t in texts], dtype=object)
+
+    return packed(text)
 
 
 def embedded_object(text: str | None, marker: str) -> str | None:
@@ -188,16 +192,21 @@ def embedded_object(text: str | None, marker: str) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
-def json_after(texts: pd.Series, marker: pd.Series) -> pd.Series:
-    return pd.Series([embedded_object(t, m) for t, m in zip(texts, marker, strict=True)], dtype=object)
+def json_after(text: Column, marker: str) -> Column:
+    """The first balanced object after the marker; null without one."""
+
+    @F.pandas_udf("string")
+    def found(texts: pd.Series) -> pd.Series:
+        return pd.Series([embedded_object(t, marker) for t in texts], dtype=object)
+
+    return found(text)
 
 
 def loose_json(raw: Column) -> Column:
     """A JSON object in fences, else the first balanced one; null if there is none that parses."""
     bare = F.trim(F.regexp_replace(F.trim(raw), r"(?s)^```(?:json)?\s*|\s*```$", ""))
     pick = lambda x: F.when(F.try_parse_json(x).isNotNull() & x.startswith("{"), x)
-    return F.coalesce(pick(bare), pick(json_after(raw, F.lit(""))))
+    return F.coalesce(pick(bare), pick(json_after(raw, "")))
 
 
 def cue_blocks(vtt: Column) -> Column:

@@ -1 +1,81 @@
-"""."""
+"""Audits, set operations and duplicates over the provided tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from callmark.plans.registry import query
+from callmark.sources import markdown as md
+from callmark.sources.domain import Domain
+
+
+@query("""WITH a AS (SELECT doc_id AS id, source, n_chars FROM documents WHERE doc_id % 7 <> 0), b AS (SELECT doc_id AS id, source, CASE WHEN doc_id % 11 = 0 THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents WHERE doc_id % 5 <> 0)
+SELECT coalesce(a.source, b.source) AS source, count(*) FILTER (WHERE b.id IS NULL) AS missing, count(*) FILTER (WHERE a.id IS NULL) AS orphans, count(*) FILTER (WHERE a.n_chars <> b.n_chars) AS mismatches, count(*) FILTER (WHERE a.n_chars = b.n_chars) AS fine FROM a FULL JOIN b ON a.id = b.id GROUP BY ALL""", prelude=False)
+def consistency(d: Domain) -> DataFrame:
+    """What the table has against what the disk has, by source, in one full outer join."""
+    docs = d.table("documents")
+    a = docs.filter("doc_id % 7 <> 0").select("doc_id", F.col("source").alias("s1"), F.col("n_chars").alias("n1"))
+    b = docs.filter("doc_id % 5 <> 0").select("doc_id", F.col("source").alias("s2"), F.when(F.col("doc_id") % 11 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars")).alias("n2"))
+    return a.join(b, "doc_id", "full").groupBy(F.coalesce("s1", "s2").alias("source")).agg(
+        F.count_if(F.col("s2").isNull()).alias("missing"), F.count_if(F.col("s1").isNull()).alias("orphans"), F.count_if(F.col("n1") != F.col("n2")).alias("mismatches"), F.count_if(F.col("n1") == F.col("n2")).alias("fine"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in ("region", "orders", "lineitem", "events", "documents", "pages")), prelude=False)
+def row_counts(d: Domain) -> DataFrame:
+    from functools import reduce
+
+    counts = [d.table(t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("name"), "n") for t in ("region", "orders", "lineitem", "events", "documents", "pages")]
+    return reduce(DataFrame.unionByName, counts)
+
+
+@query("SELECT source, count(*) AS n, count(*) FILTER (WHERE contains(text, 'the ')) AS with_mark, round(100.0 * count(*) FILTER (WHERE NOT contains(text, 'the ')) / count(*), 6) AS missing_pct FROM documents GROUP BY source", prelude=False)
+def transcript_coverage(d: Domain) -> DataFrame:
+    has = F.col("text").contains("the ")
+    return d.table("documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(has).alias("with_mark"), F.round(100.0 * F.count_if(~has) / F.count(F.lit(1)), 6).alias("missing_pct"))
+
+
+@query("SELECT doc_id AS id FROM documents WHERE doc_id % 2 = 0 UNION SELECT page_id FROM pages EXCEPT SELECT doc_id FROM labels WHERE toxic = 1", prelude=False)
+def set_algebra(d: Domain) -> DataFrame:
+    """Distinct union, less what is gone."""
+    both = d.table("documents").filter("doc_id % 2 = 0").select(F.col("doc_id").alias("id")).union(d.table("pages").select("page_id")).distinct()
+    return both.join(d.table("labels").filter("toxic = 1").select(F.col("doc_id").alias("id")), "id", "left_anti")
+
+
+@query("SELECT doc_id AS path, sha256(text) AS digest FROM documents WHERE doc_id % 3 = 0 AND (doc_id % 2 = 1 OR doc_id % 4 = 0)", prelude=False)
+def changed_pages(d: Domain) -> DataFrame:
+    """Pages that are to be written, for the manifest has none of that content."""
+    docs = d.table("documents").select(F.col("doc_id").alias("path"), "text")
+    new = docs.filter("path % 3 = 0")
+    old = docs.filter("path % 2 = 0").withColumn("text", F.when(F.col("path") % 4 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return md.changed(new, old)[0].select("path", F.sha2("text", 256).alias("digest"))
+
+
+@query("SELECT path FROM (SELECT doc_id AS path FROM documents WHERE doc_id % 2 = 0 EXCEPT SELECT doc_id FROM documents WHERE doc_id % 3 = 0)", prelude=False)
+def stale_pages(d: Domain) -> DataFrame:
+    docs = d.table("documents").select(F.col("doc_id").alias("path"), "text")
+    return md.changed(docs.filter("path % 3 = 0"), docs.filter("path % 2 = 0"))[1]
+
+
+_WORDS = "w AS (SELECT {id} AS id, list_distinct(list_filter(regexp_extract_all(lower(string_split(text, chr(10))[1]), '[a-z]+'), lambda x: length(x) >= 4)) AS t FROM {table})"
+
+
+@query("WITH " + _WORDS.format(id="item_id", table="benchmark").replace("w AS", "a AS") + ", " + _WORDS.format(id="doc_id", table="documents").replace("w AS", "b AS") + """,
+x AS (SELECT id AS item_id, unnest(t) AS token FROM a), y AS (SELECT id AS doc_id, unnest(t) AS token FROM b) SELECT item_id, doc_id, count(*) AS shared FROM x JOIN y USING (token) GROUP BY ALL HAVING count(*) >= 3""", prelude=False)
+def fuzzy_matches(d: Domain) -> DataFrame:
+    """Titles that share at least three words of four letters or more: joined on words, so only such pairs are formed."""
+    own = lambda t, c: d.table(t).select(c, F.explode(F.array_distinct(F.filter(F.regexp_extract_all(F.lower(F.split("text", "\n")[0]), F.lit("[a-z]+"), F.lit(0)), lambda x: F.char_length(x) >= 4))).alias("token"))
+    return own("benchmark", "item_id").join(own("documents", "doc_id"), "token").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("shared")).filter("shared >= 3")
+
+
+@query("SELECT event_type, CASE WHEN value > 50 THEN 'high' ELSE 'low' END AS facet, count(*) AS n FROM events WHERE user_id IN (1, 2, 3, 5, 8) GROUP BY ALL", prelude=False)
+def facets(d: Domain) -> DataFrame:
+    return d.table("events").filter(F.col("user_id").isin(1, 2, 3, 5, 8)).groupBy("event_type", F.when(F.col("value") > 50, "high").otherwise("low").alias("facet")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT user_id, time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '2024-01-01') AS week, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL", prelude=False)
+def weekly_windows(d: Domain) -> DataFrame:
+    """Tumbling weeks from a Monday on; callmark.streaming runs the same over a stream."""
+    from callmark.streaming.weekly import weekly
+
+    return weekly(d.table("events")).select("user_id", "week", "n", F.round("total", 4).alias("total"))

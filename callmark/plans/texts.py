@@ -1 +1,136 @@
-"""."""
+"""Text, page, date, JSON and document functions over the provided tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from callmark.functions import text as tx
+from callmark.plans.registry import query
+from callmark.sources import markdown as md
+from callmark.sources.domain import Domain
+
+_TEXT = "regexp_replace(regexp_replace(regexp_replace(html, '(<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->)', ' ', 'gis'), '<[^>]*>', ' ', 'gs'), '\\s+', ' ', 'g')"
+
+
+@query(f"WITH t AS (SELECT page_id, trim({_TEXT}) AS t FROM pages) SELECT page_id, t AS text, CASE WHEN t = '' THEN 0 ELSE len(string_split(t, ' ')) END AS n_words FROM t", prelude=False)
+def page_text(d: Domain) -> DataFrame:
+    rows = d.table("pages").select("page_id", tx.html_text(F.col("html")).alias("text"))
+    return rows.withColumn("n_words", tx.word_count(F.col("text")).cast("long"))
+
+
+@query("SELECT page_id, i - 1 AS place, h[i] AS href FROM (SELECT page_id, h, unnest(range(1, len(h) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '<a\\b[^>]*href=\"([^\"]*)\"', 1) AS h FROM pages))", prelude=False)
+def page_links(d: Domain) -> DataFrame:
+    found = F.regexp_extract_all("html", F.lit(r'<a\b[^>]*href="([^"]*)"'), F.lit(1))
+    return d.table("pages").select("page_id", F.posexplode(found).alias("place", "href")).withColumn("place", F.col("place").cast("long"))
+
+
+@query("SELECT page_id, coalesce(regexp_extract(url, 'page=(\\d+)', 1), '') AS page_no, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '^https?://[^/]+/([^/?#]*)', 1) AS first_part, regexp_matches(url, '(?i)^https?://') AND NOT regexp_matches(url, '^https?://(localhost|127|10\\.)') AS safe FROM pages", prelude=False)
+def page_urls(d: Domain) -> DataFrame:
+    url = F.col("url")
+    return d.table("pages").select("page_id", F.regexp_extract(url, r"page=(\d+)", 1).alias("page_no"), F.try_parse_url(url, F.lit("HOST")).alias("host"), F.regexp_extract(url, r"^https?://[^/]+/([^/?#]*)", 1).alias("first_part"), tx.safe_url(url).alias("safe"))
+
+
+@query()
+def page_markdown(d: Domain) -> DataFrame:
+    """Rows only: the chain of replacements has no counterpart in SQL's regular expressions."""
+    return d.table("pages").select("page_id", tx.html_markdown(F.col("html")).alias("markdown"))
+
+
+_SLUG = "regexp_replace(lower(trim(regexp_replace(title, '[^\\p{L}\\p{N}_\\s-]', '', 'g'))), '[\\s_-]+', '-', 'g')"
+
+
+@query(f"""WITH t AS (SELECT doc_id, string_split(text, chr(10))[1] AS title FROM documents) SELECT doc_id, coalesce(nullif(regexp_replace(left({_SLUG}, 80), '^-+|-+$', '', 'g'), ''), 'x') AS slug,
+CASE WHEN length(title) > 60 THEN rtrim(left(title, 59)) || '…' ELSE title END AS short, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS collapsed, replace(title, '|', '\\|') AS escaped FROM t""", prelude=False)
+def title_forms(d: Domain) -> DataFrame:
+    t = d.table("documents").select("doc_id", F.split("text", "\n")[0].alias("title"))
+    title = F.col("title")
+    return t.select("doc_id", tx.slug(title).alias("slug"), tx.shorten(title, 60).alias("short"), tx.collapse(title).alias("collapsed"), tx.md_escape(title).alias("escaped"))
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 4 THEN NULL ELSE strftime(o_orderdate + INTERVAL 20 YEAR, '%Y%m%d') END AS dated, CASE WHEN o_orderkey % 5 = 0 THEN (o_orderdate + INTERVAL 20 YEAR)::DATE END AS stem,
+last_day(make_date(2020 + o_orderkey::INT % 5, (o_orderkey::INT % 4 + 1) * 3, 1)) AS quarter_end FROM orders""", prelude=False)
+def title_dates(d: Domain) -> DataFrame:
+    """Dates found again in titles, file names and quarter slugs that were made from dates."""
+    k, on = F.col("o_orderkey"), F.col("o_orderdate") + F.expr("INTERVAL 20 YEARS")
+    show = lambda form: F.date_format(on, form)
+    title = F.when(k % 5 == 0, F.concat(F.lit("Notes "), show("yyyy-MM-dd"))).when(k % 5 == 1, F.concat(show("dMMMyyyy"), F.lit(" outlook"))).when(k % 5 == 2, F.concat(F.lit("The week of "), show("MMMM d, yyyy"))).when(k % 5 == 3, F.concat(show("d"), F.lit("th "), show("MMM yyyy"))).otherwise(F.lit("No date 1987"))
+    path = F.when(k % 5 == 0, F.concat(F.lit("/blog/2020/"), show("yyyy-MM-dd"), F.lit("-name.md"))).otherwise(F.lit("/blog/undated-name.md"))
+    quarter = F.concat((2020 + k % 5).cast("string"), F.lit("-q"), (k % 4 + 1).cast("string"))
+    return d.table("orders").select(k.alias("id"), tx.title_date(title, F.lit("2030-01-01").cast("date")).alias("dated"), tx.stem_date(path).alias("stem"), tx.quarter_end(quarter).alias("quarter_end"))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'error' THEN 'blocked' WHEN 'view' THEN 'gone' END AS class, (props->>'k')::INT AS k, (props->>'k') IS NOT NULL AS has_k, event_type || ':' || (props->>'k') AS tagged FROM events", prelude=False)
+def event_json(d: Domain) -> DataFrame:
+    """JSON paths with casts, presence, right-wins merging, and classes of error texts."""
+    blob = F.when(F.col("event_type") == "error", "HTTP Error 429: Too Many Requests; video unavailable").when(F.col("event_type") == "view", "ERROR: Private video").otherwise("fine")
+    fields = F.from_json("props", "map<string,string>")
+    merged = F.map_from_entries(F.map_entries(F.map_zip_with(fields, F.create_map(F.lit("type"), F.col("event_type")), lambda k, a, b: F.coalesce(b, a))))
+    k = F.get_json_object("props", "$.k")
+    return d.table("events").select("event_id", tx.error_class(blob).alias("class"), k.try_cast("int").alias("k"), k.isNotNull().alias("has_k"), F.concat(merged["type"], F.lit(":"), merged["k"]).alias("tagged"))
+
+
+@query("SELECT event_id, i - 1 AS place, CASE i WHEN 1 THEN event_type ELSE 'user' || user_id END AS entity FROM events, range(1, 3) r(i) WHERE event_id % 3 = 0", prelude=False)
+def nested_records(d: Domain) -> DataFrame:
+    """Records in JSON flattened; elements that are no objects are skipped."""
+    raw = F.concat(F.lit('{"entities":[{"name":"'), "event_type", F.lit('"},{"name":"user'), F.col("user_id").cast("string"), F.lit('"}]}'))
+    parsed = F.from_json(raw, "struct<entities: array<struct<name: string>>>")["entities"]
+    rows = d.table("events").filter("event_id % 3 = 0").select("event_id", F.posexplode(F.filter(parsed, lambda x: x.isNotNull())).alias("place", "e"))
+    return rows.select("event_id", F.col("place").cast("long").alias("place"), F.col("e.name").alias("entity"))
+
+
+@query()
+def document_chunks(d: Domain) -> DataFrame:
+    """Rows only: greedy packing depends on all before it."""
+    rows = d.table("documents").select("doc_id", tx.chunks(F.col("text"), 1_800).alias("c"))
+    return rows.select("doc_id", F.posexplode("c").alias("idx", "text"))
+
+
+@query()
+def transcript_paragraphs(d: Domain) -> DataFrame:
+    """Rows only: sentences are split with a look-behind, which DuckDB's expressions lack."""
+    return d.table("conversations").select("conv_id", "turn", F.posexplode(tx.paragraphs(F.col("text"))).alias("place", "paragraph"))
+
+
+_CUES = """c AS (SELECT conv_id, turn, role, turn * 4.0::DOUBLE + CASE WHEN turn % 3 = 2 THEN 3 ELSE 0 END AS start, role || ' ' || (turn // 2) AS said FROM (SELECT DISTINCT conv_id, turn, role FROM conversations)),
+k AS (SELECT *, start + 2.0 AS stop, lag(said) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM c), kept AS (SELECT * FROM k WHERE said IS DISTINCT FROM before),
+b AS (SELECT *, CASE WHEN start - lag(stop) OVER w > 2.5 THEN 1 ELSE 0 END AS brk FROM kept WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), g AS (SELECT *, sum(brk) OVER (PARTITION BY conv_id ORDER BY turn) AS par FROM b)"""
+
+
+@query(f"WITH {_CUES} SELECT conv_id, par::BIGINT AS paragraph, string_agg(said, ' ' ORDER BY turn) AS text, count(*) AS n_cues FROM g GROUP BY conv_id, par", prelude=False)
+def caption_paragraphs(d: Domain) -> DataFrame:
+    """Captions written as cues, parsed, repeated ones dropped, and joined until a gap of over 2.5 seconds."""
+    turn = F.col("turn")
+    start = turn * 4 + F.when(turn % 3 == 2, 3).otherwise(0)
+    clock = lambda s: F.concat_ws(":", F.lpad(F.floor(s / 3600).cast("string"), 2, "0"), F.lpad((F.floor(s / 60) % 60).cast("string"), 2, "0"), F.concat(F.lpad((s % 60).cast("string"), 2, "0"), F.lit(".000")))
+    cue = F.concat(clock(start), F.lit(" --> "), clock(start + 2), F.lit("\n<c>"), "role", F.lit("</c> "), F.floor(turn / 2).cast("string"))
+    said = d.table("conversations").select("conv_id", "turn", "role").distinct().select("conv_id", "turn", cue.alias("cue"))
+    vtt = said.groupBy("conv_id").agg(F.concat(F.lit("WEBVTT\n\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "cue"))), lambda x: x["cue"]), "\n\n")).alias("vtt"))
+    w = Window.partitionBy("conv_id").orderBy("place")
+    cues = vtt.select("conv_id", F.posexplode(tx.cue_blocks(F.col("vtt"))).alias("place", "c")).select("conv_id", "place", "c.*")
+    kept = cues.withColumn("before", F.lag("text").over(w)).filter(~F.col("text").eqNullSafe(F.col("before")))
+    breaks = kept.withColumn("brk", F.when(F.col("start") - F.lag("stop").over(w) > 2.5, 1).otherwise(0)).withColumn("paragraph", F.sum("brk").over(w))
+    return breaks.groupBy("conv_id", "paragraph").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), " ").alias("text"), F.count(F.lit(1)).alias("n_cues"))
+
+
+@query("SELECT page_id, url, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title, 'n/a: ' || page_id AS note, length(html) AS n FROM pages", prelude=False)
+def front_matter(d: Domain) -> DataFrame:
+    """Pages written as Markdown with front-matter and read again."""
+    title = F.regexp_extract("html", r"<title>([^<]*)</title>", 1)
+    text = md.join_front_matter({"page_id": F.col("page_id"), "url": F.col("url"), "title": title, "nothing": F.lit(None).cast("string"), "note": F.concat(F.lit("'n/a: "), F.col("page_id").cast("string"), F.lit("'"))}, F.col("html"))
+    fields, body = md.split_front_matter(F.col("text"))
+    read = d.table("pages").select(text.alias("text")).select(fields.alias("f"), body.alias("body"))
+    return read.select(F.col("f")["page_id"].cast("long").alias("page_id"), F.col("f")["url"].alias("url"), F.trim(F.col("f")["title"]).alias("title"), F.col("f")["note"].alias("note"), F.char_length("body").cast("long").alias("n"))
+
+
+@query("WITH p AS (SELECT lang || '/' || source || '/' || doc_id AS path FROM documents) SELECT string_split(path, '/')[1] AS folder, count(*) AS n FROM p GROUP BY ALL UNION ALL SELECT string_split(path, '/')[1] || '/' || string_split(path, '/')[2], count(*) FROM p GROUP BY ALL", prelude=False)
+def folder_counts(d: Domain) -> DataFrame:
+    return md.prefix_counts(d.table("documents").select(F.concat_ws("/", "lang", "source", "doc_id").alias("path")))
+
+
+@query("SELECT event_type AS ticker, ts::DATE AS day, max(value) AS high, min(value) AS low, arg_max(value, event_id) AS close, count(*) AS volume FROM events WHERE event_id % 11 <> 0 GROUP BY ALL HAVING count(*) % 7 <> 0", prelude=False)
+def landed_prices(d: Domain) -> DataFrame:
+    """Wide price rows as they land, with NaN for missing: rows without a close go."""
+    e = d.table("events").filter("event_id % 11 <> 0").groupBy(F.col("event_type").alias("ticker"), F.to_date("ts").alias("day")).agg(F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", "event_id").alias("last"), F.count(F.lit(1)).alias("volume"))
+    wide = e.withColumn("close", F.when(F.col("volume") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("last"))).withColumn("open", F.lit(None).cast("string"))
+    return md.wide_prices(wide).drop("open")
