@@ -113,7 +113,7 @@ def html_markdown(html: Column) -> Column:
     for p, r in ((r"(?is)<(?:b|strong)>(.*?)</(?:b|strong)>", "**$1**"), (r"(?is)<(?:i|em)>(.*?)</(?:i|em)>", "*$1*"), (r'(?is)<a\b[^>]*href="([^"]*)"[^>]*>(.*?)</a>', "[$2]($1)"),
                  (r"(?is)<li\b[^>]*>", "\n* "), (r"(?i)<br\s*/?>", "\n"), (r"(?i)</?p\b[^>]*>", "\n\n"), (r"(?s)<[^>]*>", ""), (r"\n{3,}", "\n\n")):
         out = F.regexp_replace(out, p, r)
-    return F.trim(out)
+    return F.regexp_replace(out, r"^\s+|\s+$", "")
 
 
 def paragraphs(text: Column, most: int = PARAGRAPH_CHARS) -> Column:

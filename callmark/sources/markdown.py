@@ -10,7 +10,7 @@ FRONT = r"(?s)\A---\n(.*?)\n---\n(.*)\z"
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """path, text of every .md below path, but for folders named raw."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).filter(~F.col("path").contains("/raw/"))
 
 
