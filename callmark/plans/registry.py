@@ -27,7 +27,7 @@ def query(sql: str | None = None, prelude: bool = True) -> Callable:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from callmark.plans import audits, incremental, leaderboards, listings, opinions, search, texts  # noqa: F401
+    from callmark.plans import audits, cleaning, incremental, leaderboards, listings, opinions, search, texts  # noqa: F401
 
 
 load()
