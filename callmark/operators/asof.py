@@ -21,8 +21,8 @@ def asof_forward(lookups: DataFrame, prices: DataFrame, key: str = "ticker", day
     back = Window.partitionBy("__key", "__slice").orderBy(F.desc("__day"), F.col("__row").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     within = both.withColumn("__found", F.last("__value", ignorenulls=True).over(back)).filter(F.col("__row").isNotNull())
     # for each key: slices in order with their first close, and the last close of all
-    firsts = known.groupBy("__key", "__slice").agg(F.min_by("__value", "__day").alias("first"), F.max(F.struct("__day", "__value")).alias("last"))
-    by_key = firsts.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("__slice", "first"))).alias("__later"), F.max("last").getField("__value").alias("__last"))
+    firsts = known.groupBy("__key", "__slice").agg(F.min_by("__value", "__day").alias("first"), F.max_by("__value", "__day").alias("last"), F.max("__day").alias("last_day"))
+    by_key = firsts.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("__slice", "first"))).alias("__later"), F.max_by("last", "last_day").alias("__last"))
     joined = within.join(by_key, "__key", "left")
     later = F.get(F.filter("__later", lambda s: s["__slice"] > F.col("__slice")), F.lit(0))["first"]
     return joined.select("__row.*", F.coalesce("__found", later, "__last").alias(value))
