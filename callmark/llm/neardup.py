@@ -11,8 +11,9 @@ full one, along a fixed random order. Registers are compressed into bands; docum
    components, in blocks of bounded size inside tasks that put out only the links that join something new.
 4. Components come from alternating large-star and small-star rounds over the links.
 
-No step writes out the pairs of a group. A pair at the threshold shares no band with probability under MISS; candidates
-are never capped. The estimate rejects a pair only five standard errors below the threshold.
+No step writes out the pairs of a group. A pair at the threshold shares no band with probability under MISS, if its sets
+are large; of small sets many registers are borrowed, hence the narrow bands. Candidates are never capped. The estimate
+rejects a pair only six standard errors below the threshold, by the number of buckets that the smaller set fills.
 
 Defined results: a null or blank text has no shingles, is linked with nothing and kept; repeated rows are one node, and
 each row is reported; rows without doc_id name no component and are kept; an empty table gives no rows; other columns
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from callmark.llm.common import materialise, slices, table, whole
 
 REGISTERS, MANTISSA = 192, 10
-MISS = 1e-6
+MISS = 1e-9
 #: Members and bytes of sets that a task holds of one side of a block pair.
 BLOCK_ROWS, BLOCK_BYTES = 2_048, 16 << 20
 #: Members of a star that one task compares with the star's centre.
@@ -121,9 +122,11 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def least_estimate(percent: int) -> float:
+def least_estimate(percent: int, sizes: np.ndarray) -> np.ndarray:
+    """Under which estimate no pair is looked at, by the size of its smaller set."""
     t = percent / 100
-    return t - 5 * (t * (1 - t) / REGISTERS) ** 0.5
+    filled = REGISTERS * -np.expm1(-sizes / REGISTERS)
+    return t - 6 * np.sqrt(t * (1 - t) / filled)
 
 
 def _features(docs: DataFrame, width: int, rows: int) -> DataFrame:
@@ -168,7 +171,6 @@ def _links_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
 
 def _star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (centre, node) that are links. A centre goes once to each salt of its star; its nodes stream past it."""
-    least = least_estimate(percent)
     salts = pairs.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / STAR_ROWS).cast("int").alias("salts"))
     one = salts.select("centre", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")).join(sets, F.col("centre") == F.col("node")).withColumn("is_node", F.lit(False))
     many = pairs.join(salts, "centre").withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")).drop("salts").join(sets, "node").withColumn("is_node", F.lit(True))
@@ -184,7 +186,7 @@ def _star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 own = np.frombuffer(r["registers"], np.uint16)
                 if not r["is_node"]:
                     centre = r["centre"], r["n"], own, np.frombuffer(r["hashes"], np.uint64)
-                elif centre and estimate(centre[2], centre[1], own[None], np.array([r["n"]]))[0] >= least and linked(centre[3], np.frombuffer(r["hashes"], np.uint64), percent):
+                elif centre and estimate(centre[2], centre[1], own[None], np.array([r["n"]]))[0] >= least_estimate(percent, min(centre[1], r["n"])) and linked(centre[3], np.frombuffer(r["hashes"], np.uint64), percent):
                     links.append((centre[0], r["node"]))
             yield _links_batch(links)
 
@@ -201,7 +203,7 @@ def join_blocks(left: list[dict], right: list[dict] | None, percent: int) -> lis
     registers = np.stack([np.frombuffer(r["registers"], np.uint16) for r in rows])
     names = {c: i for i, c in enumerate(dict.fromkeys(r["component"] for r in rows))}
     component = np.array([names[r["component"]] for r in rows])
-    least, links = least_estimate(percent), []
+    links = []
     # small components first: they meet the large ones in a few vector operations
     weight = np.bincount(component)
     for i in sorted(range(len(left)), key=lambda i: (weight[component[i]], i)):
@@ -210,12 +212,11 @@ def join_blocks(left: list[dict], right: list[dict] | None, percent: int) -> lis
         if not len(apart):
             continue
         close = estimate(registers[i], size[i], registers[apart], size[apart])
+        least = least_estimate(percent, np.minimum(size[apart], size[i]))
         own = np.frombuffer(rows[i]["hashes"], np.uint64)
         for k in np.argsort(-close, kind="stable"):
-            if close[k] < least:
-                break
             j = apart[k]
-            if component[j] != component[i] and linked(own, np.frombuffer(rows[j]["hashes"], np.uint64), percent):
+            if close[k] >= least[k] and component[j] != component[i] and linked(own, np.frombuffer(rows[j]["hashes"], np.uint64), percent):
                 links.append((rows[i]["node"], rows[j]["node"]))
                 component[component == component[j]] = component[i]
     return links

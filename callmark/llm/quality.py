@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -179,7 +180,7 @@ def keep(docs: DataFrame, model: Model, least: float = 0.3, text_col: str = "tex
     """docs without the rows that score under least."""
 
     @F.pandas_udf("boolean")
-    def good(texts):  # noqa: ANN001, ANN202
+    def good(texts: pd.Series) -> pd.Series:
         return texts.map(lambda x: model.score(x or "") >= least).astype(bool)
 
     return docs.filter(good(whole(text_col)))
