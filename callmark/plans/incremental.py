@@ -78,7 +78,7 @@ def pending_counts(d: Domain) -> DataFrame:
     return both.groupBy("source").agg(F.sum("total").alias("total"), F.sum("downloaded").alias("downloaded"), F.sum(F.col("total") - F.col("downloaded")).alias("pending"))
 
 
-@query("SELECT event_type, sum((props->>'k')::BIGINT) AS total FROM events WHERE (props->>'k') IS NOT NULL GROUP BY event_type HAVING sum((props->>'k')::BIGINT) <> 0", prelude=False)
+@query("SELECT event_type, sum((props->>'k')::BIGINT)::BIGINT AS total FROM events WHERE (props->>'k') IS NOT NULL GROUP BY event_type HAVING sum((props->>'k')::BIGINT) <> 0", prelude=False)
 def known_totals(d: Domain) -> DataFrame:
     """Totals told in JSON; those that are 0 are left out."""
     k = F.get_json_object("props", "$.k").try_cast("long")

@@ -82,7 +82,7 @@ def ticker_page(d: Domain) -> DataFrame:
     return rows.groupBy("topic").agg(F.count(F.lit(1)).alias("n_calls"), bulls.alias("bulls"), bears.alias("bears"), calls.ticker_consensus(bulls, bears).alias("consensus"), names("person").alias("people"), names("source").alias("sources"))
 
 
-@query(f"""+ {EVENTS}, s AS (SELECT topic, person, count(*) AS n, max(seen_at) AS last_at FROM ev WHERE person IS NOT NULL GROUP BY ALL), top AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY n DESC, last_at DESC, person) AS place FROM s),
+@query(f"""+ {EVENTS}, s AS (SELECT topic, person, count(*) AS n, max(seen_at) AS last_at FROM ev WHERE person IS NOT NULL GROUP BY ALL), top AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY n DESC, last_at DESC, person)::INTEGER AS place FROM s),
 r AS (SELECT ev.topic, ev.person, place, ref, seen_at, row_number() OVER (PARTITION BY ev.topic, ev.person ORDER BY seen_at DESC, ref DESC) AS rn FROM ev JOIN top ON ev.topic = top.topic AND ev.person = top.person WHERE place <= 8) SELECT topic, person, place, ref, seen_at FROM r WHERE rn <= 4""")
 def top_voices(d: Domain) -> DataFrame:
     """Eight people with most calls for each topic, four newest calls of each."""
@@ -93,7 +93,7 @@ def top_voices(d: Domain) -> DataFrame:
 
 
 @query(f"""+ {EVENTS}, n AS (SELECT channel_id, topic, count(*) AS n, count(*) FILTER (WHERE stance = 1) AS bulls, count(*) FILTER (WHERE stance = -1) AS bears FROM ev JOIN item USING (item_id) WHERE channel_id IS NOT NULL GROUP BY ALL)
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY n DESC, topic) AS place FROM n) WHERE place <= 10""")
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY n DESC, topic)::INTEGER AS place FROM n) WHERE place <= 10""")
 def analyst_page(d: Domain) -> DataFrame:
     """A channel's ten topics of most calls, with its stance mix."""
     n = events(d).join(d.item.filter("channel_id IS NOT NULL").select("item_id", "channel_id"), "item_id").groupBy("channel_id", "topic").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("stance") == 1).alias("bulls"), F.count_if(F.col("stance") == -1).alias("bears"))
@@ -109,7 +109,7 @@ def tagged(d: Domain) -> DataFrame:
 
 
 @query(f"""+ {EVENTS}, t AS (SELECT ref, lower(kind || ' ' || asset_name) AS low FROM ev), tag AS ({_THEMES}), n AS (SELECT theme, topic, count(*) AS n, count(DISTINCT person) AS n_people FROM tag JOIN ev USING (ref) GROUP BY ALL)
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY theme ORDER BY n DESC, topic) AS place FROM n) WHERE place <= 10""".replace("\\ ", " "))
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY theme ORDER BY n DESC, topic)::INTEGER AS place FROM n) WHERE place <= 10""".replace("\\ ", " "))
 def theme_page(d: Domain) -> DataFrame:
     """Themes' ten topics of most calls; a call may have several themes, one without any vanishes."""
     n = tagged(d).groupBy("theme", "topic").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("person").alias("n_people"))
