@@ -39,10 +39,10 @@ def browse(d: Domain) -> DataFrame:
 _POOLED = """pooled AS (SELECT item, list(x ORDER BY i) AS v FROM (SELECT vec_id % 100 AS item, i, avg(embedding[i]::DOUBLE) AS x FROM embeddings, range(1, 65) r(i) GROUP BY ALL) GROUP BY item)"""
 
 
-@query(f"WITH {_POOLED} SELECT item, list_transform(v, lambda x: round(x, 6)) AS vector FROM pooled", prelude=False)
+@query(f"WITH {_POOLED} SELECT item, i - 1 AS place, round(v[i], 6) AS x FROM pooled, range(1, 65) r(i)", prelude=False)
 def mean_pooled(d: Domain) -> DataFrame:
     pooled = op.mean_pool(d.table("embeddings").withColumn("item", F.col("vec_id") % 100), "item", "embedding")
-    return pooled.select("item", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
+    return pooled.select("item", F.posexplode("vector").alias("place", "x")).select("item", F.col("place").cast("long").alias("place"), F.round("x", 6).alias("x"))
 
 
 @query(f"""WITH {_POOLED}, s AS (SELECT a.item AS a, b.item AS b, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM pooled a, pooled b WHERE a.item <> b.item)
