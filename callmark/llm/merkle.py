@@ -7,6 +7,9 @@ text. A node's hash covers its children's hashes and number, a leaf's covers its
 exactly if the texts are. Comparing two trees descends only where hashes differ, which locates an edit; likeness is the
 share of characters in leaves that both trees hold.
 
+A text under SHORT_TEXT characters has leaves of one to three words, so that a small edit leaves leaves alone. Two trees
+are compared at the finer of their cuts: beside a short text a longer one is cut as finely, so that leaves can be shared.
+
 Defined results: a null text counts as the empty text, whose root is that of no section; two empty texts have likeness 1;
 documents follow one another by (doc_id, text), null ids first, so repeated rows are each other's neighbours; the first
 follows the last; a table of one row is its own neighbour; columns other than the two named ones are ignored.
@@ -19,6 +22,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from zlib import crc32
 
 import numpy as np
@@ -49,10 +53,16 @@ def _hash(data: bytes) -> bytes:
 class Tree:
     """levels: (sections, paragraphs of each section); leaves: (hash, characters) of each in order."""
 
+    text: str
+    fine: bool
     root: bytes
     sections: list[tuple[bytes, list[tuple[bytes, list[bytes]]]]]
     leaves: list[tuple[bytes, int]]
 
+    @cached_property
+    def finely(self) -> Tree:
+        return self if self.fine else build(self.text, True)
+
 
 def cut(paragraph: str, fine: bool = False) -> list[str]:
     """The paragraph's leaves; joined they are the paragraph."""
@@ -73,7 +83,9 @@ def cut(paragraph: str, fine: bool = False) -> list[str]:
     return out
 
 
-def build(text: str) -> Tree:
+def build(text: str, fine: bool | None = None) -> Tree:
+    """The text's tree; its leaves are fine if asked for, by default if the text is short."""
+    fine = len(text) < SHORT_TEXT if fine is None else fine
     sections: list[list[str]] = [[]]
     for line in text.split("\n") if text else []:
         if (not line.strip() or HEADING.match(line)) and sections[-1]:
@@ -83,23 +95,30 @@ def build(text: str) -> Tree:
     for lines in filter(None, sections):
         paragraphs = []
         for line in lines:
-            own = [(_hash(x.encode()), len(x)) for x in cut(line, len(text) < SHORT_TEXT)]
+            own = [(_hash(x.encode()), len(x)) for x in cut(line, fine)]
             leaves += own
             paragraphs.append((_hash(b"p" + b"".join(h for h, _ in own)), [h for h, _ in own]))
         built.append((_hash(b"s" + b"".join(h for h, _ in paragraphs)), paragraphs))
-    return Tree(_hash(b"r" + b"".join(h for h, _ in built)), built, leaves)
+    return Tree(text, fine, _hash(b"r" + b"".join(h for h, _ in built)), built, leaves)
+
+
+def same_cut(a: Tree, b: Tree) -> tuple[Tree, Tree]:
+    """Both trees at the finer of their cuts."""
+    return (a, b) if a.fine == b.fine else (a.finely, b.finely)
 
 
 def likeness(a: Tree, b: Tree) -> float:
     """Characters in shared leaves over characters in all leaves, each leaf as often as both texts hold it."""
     if a.root == b.root:
         return 1.0
+    a, b = same_cut(a, b)
     total = sum(n for _, n in a.leaves) + sum(n for _, n in b.leaves)
     return 2 * sum(n * k for (_, n), k in (Counter(a.leaves) & Counter(b.leaves)).items()) / total if total else 0.0
 
 
 def differing(a: Tree, b: Tree) -> list[tuple[int, int]]:
     """(section, paragraph) of a whose hashes b does not hold at any place; sections that b holds are not entered."""
+    a, b = same_cut(a, b)
     there = {h for h, _ in b.sections}
     inside = {h for _, ps in b.sections for h, _ in ps}
     return [(i, j) for i, (h, ps) in enumerate(a.sections) if h not in there for j, (p, _) in enumerate(ps) if p not in inside]

@@ -85,6 +85,26 @@ def test_merkle(spark, odd):
         assert sorted((r["n_chars"], r["edited_sha256"]) for r in merkle.fingerprint(docs).collect()) == want
 
 
+def test_merkle_across_short_text(spark):
+    """Texts on different sides of SHORT_TEXT are compared at one cut."""
+    rng = random.Random(3)
+    lines = [" ".join(f"word{rng.randrange(900)}" for _ in range(10)) + "." for _ in range(9)]
+    long = "\n".join(lines)
+    short = "\n".join(lines[:-4])
+    near = long.replace(lines[4], "other words here.")
+    a, b = merkle.build(long), merkle.build(short)
+    assert len(long) >= merkle.SHORT_TEXT > len(short)
+    kept = 2 * len(short) / (len(long) + len(short))
+    assert merkle.likeness(a, b) == merkle.likeness(b, a) and abs(merkle.likeness(a, b) - kept) < 0.05
+    assert merkle.differing(b, a) == [] and merkle.differing(a, b) == [(0, j) for j in range(5, 9)]
+    base = near[: merkle.SHORT_TEXT - 5]
+    assert merkle.likeness(merkle.build(base), merkle.build(base + " and a little more")) > 0.9
+    rows = {r["doc_id"]: r for r in merkle.fingerprint(spark.createDataFrame([(1, long), (2, short), (3, "a b")], "doc_id long, text string")).collect()}
+    edited = merkle.edited(long, short)
+    assert abs(rows[1]["near_next"] - kept) < 0.05 and rows[2]["near_next"] == 0
+    assert rows[1]["near_edited"] == merkle.likeness(a, merkle.build(edited)) > 0.4
+
+
 # 4
 def test_shuffle(spark, odd):
     for docs in (odd, spark.range(1_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text")), odd.limit(0)):
