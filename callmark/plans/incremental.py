@@ -102,7 +102,7 @@ def catalog_years(d: Domain) -> DataFrame:
 x AS (SELECT user_id, event_type, unnest(string_split(replace(replace(replace(ids, '["', ''), '"]', ''), '","', ','), ',')) AS id, unnest(range(0, len(string_split(ids, ',')))) AS ord FROM u)
 SELECT x.user_id, x.event_type, ord, id::BIGINT AS event_id, value FROM x JOIN events ON event_id = id::BIGINT""", prelude=False)
 def catalog_pages(d: Domain) -> DataFrame:
-    """Ids in a JSON array, in their order, joined with what they name."""
+    """Ids in a JSON array, in their order, joined with what they name; the first 5,000 ids only, as its SQL says."""
     e = d.table("events")
     ids = F.to_json(F.transform(F.array_sort(F.collect_list("event_id")), lambda x: x.cast("string")))
     stored = e.filter("event_id < 5000").groupBy("user_id", "event_type").agg(ids.alias("ids"))
@@ -110,6 +110,18 @@ def catalog_pages(d: Domain) -> DataFrame:
     return each.select("user_id", "event_type", F.col("ord").cast("long").alias("ord"), F.col("id").cast("long").alias("event_id")).join(e.select("event_id", "value"), "event_id")
 
 
+@query("""WITH u AS (SELECT user_id, event_type, ts::DATE AS day, '["' || string_agg(event_id::VARCHAR, '","' ORDER BY event_id) || '"]' AS ids FROM events GROUP BY ALL),
+x AS (SELECT user_id, event_type, day, unnest(string_split(replace(replace(replace(ids, '["', ''), '"]', ''), '","', ','), ',')) AS id, unnest(range(0, len(string_split(ids, ',')))) AS ord FROM u)
+SELECT x.user_id, x.event_type, x.day, ord, id::BIGINT AS event_id, value FROM x JOIN events ON event_id = id::BIGINT""", prelude=False)
+def catalog_entries(d: Domain) -> DataFrame:
+    """catalog_pages over all events: an array for each user, type and day, so that arrays stay short however large events is."""
+    e, keys = d.table("events"), ["user_id", "event_type", "day"]
+    ids = F.to_json(F.transform(F.array_sort(F.collect_list("event_id")), lambda x: x.cast("string")))
+    stored = e.withColumn("day", F.to_date("ts")).groupBy(*keys).agg(ids.alias("ids"))
+    each = stored.select(*keys, F.posexplode(F.from_json("ids", "array<string>")).alias("ord", "id"))
+    return each.select(*keys, F.col("ord").cast("long").alias("ord"), F.col("id").cast("long").alias("event_id")).join(e.select("event_id", "value"), "event_id")
+
+
 @query("SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' AND o_orderdate < TIMESTAMP '1998-01-01' THEN 'O' ELSE o_orderstatus END AS status, coalesce(CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate END, (SELECT min(l_shipdate) FROM lineitem WHERE l_orderkey = o_orderkey)) AS dated FROM orders", prelude=False)
 def state_repair(d: Domain) -> DataFrame:
     """Stuck states are reset, missing dates filled from what is known of the item otherwise."""
