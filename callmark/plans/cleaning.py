@@ -89,6 +89,15 @@ def versions(d: Domain) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(Window.orderBy(clean.version_key(F.col("version")))).cast("long"))
 
 
+@query("SELECT o_custkey AS owner, 'v' || o_orderkey AS version, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders", prelude=False)
+def owner_versions(d: Domain) -> DataFrame:
+    """Natural order within each owner's versions, a row for each order."""
+    from pyspark.sql import Window
+
+    rows = d.table("orders").select(F.col("o_custkey").alias("owner"), F.concat(F.lit("v"), F.col("o_orderkey").cast("string")).alias("version"))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("owner").orderBy(clean.version_key(F.col("version")))).cast("long"))
+
+
 @query("SELECT doc_id, instr(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), lower(trim(regexp_replace(substring(text, 21, 80), '\\s+', ' ', 'g')))) AS place FROM documents", prelude=False)
 def quote_places(d: Domain) -> DataFrame:
     return d.table("documents").select("doc_id", F.coalesce(clean.quote_at(F.col("text"), F.substring("text", 21, 80)), F.lit(0)).cast("long").alias("place"))

@@ -2,9 +2,11 @@
 
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from callmark.operators import search
 from callmark.plans import registry
 from tests.oracle import differences
 
@@ -33,3 +35,45 @@ def test_catalog_entries(spark, folder):
     found = registry.QUERIES["catalog_entries"](spark, where)
     assert differences(found, registry.ORACLES["catalog_entries"], where) == []
     assert found.count() == events.count()
+
+
+def nearest(items, k=10):
+    """a, b, similarity by brute force over {id: vector}."""
+    names = sorted(items)
+    m = np.array([items[n] for n in names], dtype=float)
+    m /= np.sqrt((m**2).sum(1, keepdims=True))
+    near = np.round(m @ m.T, 6)
+    found = {}
+    for i, a in enumerate(names):
+        others = sorted((-near[i, j], b) for j, b in enumerate(names) if b != a)
+        found |= {(a, b): -s for s, b in others[:k]}
+    return found
+
+
+def agree(rows, want, k):
+    """Same similarities by place; pairs may differ only where rounding decides."""
+    found = {(r["a"], r["b"]): r["similarity"] for r in rows}
+    assert len(found) == len(rows) == len(want)
+    for a in {a for a, _ in want}:
+        ours, theirs = (sorted((v for (x, _), v in of.items() if x == a), reverse=True) for of in (found, want))
+        assert len(ours) == k and np.allclose(ours, theirs, atol=2e-6)
+    assert len(found.keys() & want.keys()) > 0.99 * len(want)
+
+
+def test_item_links(spark, folder):
+    """The query over all items, more of them for a larger table, and several shards, against brute force."""
+    embeddings = spark.read.parquet(f"{SMALL}/embeddings.parquet")
+    twice = embeddings.unionByName(embeddings.withColumn("vec_id", F.col("vec_id") + 500).withColumn("embedding", F.transform("embedding", lambda x: (x * x - 0.3).cast("float"))))
+    where = folder(embeddings=twice.select(*embeddings.columns))
+    vectors = {}
+    for r in twice.collect():
+        vectors.setdefault(r["vec_id"] // 5, []).append(r["embedding"])
+    want = nearest({k: np.mean(np.array(v, dtype=float), axis=0) for k, v in vectors.items()})
+    assert len(vectors) == 200 and len(want) == 2_000
+    agree(registry.QUERIES["item_links"](spark, where).collect(), want, 10)
+    items = spark.createDataFrame([(k, [float(x) for x in np.mean(np.array(v, dtype=float), axis=0)]) for k, v in vectors.items()], "item long, vector array<double>")
+    agree(search.cosine_links(items, shard_rows=16).collect(), want, 10)
+
+
+def test_versions_of_all_orders(spark):
+    assert registry.QUERIES["owner_versions"](spark, SMALL).count() == spark.read.parquet(f"{SMALL}/orders.parquet").count()
