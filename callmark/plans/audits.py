@@ -42,6 +42,14 @@ def set_algebra(d: Domain) -> DataFrame:
     return both.join(d.table("labels").filter("toxic = 1").select(F.col("doc_id").alias("id")), "id", "left_anti")
 
 
+@query("SELECT CASE WHEN doc_id % 2 = 0 THEN doc_id ELSE -1 - doc_id END AS id FROM documents UNION SELECT page_id FROM pages EXCEPT SELECT doc_id FROM labels WHERE toxic = 1", prelude=False)
+def set_algebra_of_all(d: Domain) -> DataFrame:
+    """set_algebra over all documents; the odd ones have ids that no page has."""
+    ids = d.table("documents").select(F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")).otherwise(-1 - F.col("doc_id")).alias("id"))
+    both = ids.union(d.table("pages").select("page_id")).distinct()
+    return both.join(d.table("labels").filter("toxic = 1").select(F.col("doc_id").alias("id")), "id", "left_anti")
+
+
 @query("SELECT doc_id AS path, sha256(text) AS digest FROM documents WHERE doc_id % 3 = 0 AND (doc_id % 2 = 1 OR doc_id % 4 = 0)", prelude=False)
 def changed_pages(d: Domain) -> DataFrame:
     """Pages that are to be written, for the manifest has none of that content."""
@@ -73,6 +81,12 @@ def facets(d: Domain) -> DataFrame:
     return d.table("events").filter(F.col("user_id").isin(1, 2, 3, 5, 8)).groupBy("event_type", F.when(F.col("value") > 50, "high").otherwise("low").alias("facet")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT event_type, CASE WHEN value > 50 THEN 'high' ELSE 'low' END AS facet, count(*) AS n FROM events GROUP BY ALL", prelude=False)
+def all_facets(d: Domain) -> DataFrame:
+    """facets over all users."""
+    return d.table("events").groupBy("event_type", F.when(F.col("value") > 50, "high").otherwise("low").alias("facet")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("SELECT user_id, time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '2024-01-01') AS week, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL", prelude=False)
 def weekly_windows(d: Domain) -> DataFrame:
     """Tumbling weeks from a Monday on; callmark.streaming runs the same over a stream."""

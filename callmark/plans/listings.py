@@ -65,6 +65,13 @@ def items_without_calls(d: Domain) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "done").alias("done"))
 
 
+@query("SELECT count(*) AS total, count(*) FILTER (WHERE status = 'done') AS done FROM item WHERE item_id NOT IN (SELECT item_id FROM primary_call WHERE direction = 'up')")
+def all_items_without_calls(d: Domain) -> DataFrame:
+    """items_without_calls over all items, those without a channel too."""
+    rows = filter_items(d.item, d.primary_call.filter("direction = 'up'"), has_calls=False)
+    return rows.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "done").alias("done"))
+
+
 @query("""SELECT call_id, item_id, speaker, ticker, direction, made_at, round(score, 6) AS score, NULL::VARCHAR AS snippet FROM primary_scored JOIN item USING (item_id)
 WHERE speaker ILIKE '%s1%' AND direction = 'up' AND score IS NOT NULL AND made_at >= TIMESTAMP '1996-01-01' ORDER BY score DESC NULLS LAST, call_id DESC LIMIT 200""")
 def prediction_browser(d: Domain) -> DataFrame:

@@ -79,6 +79,16 @@ def nested_records(d: Domain) -> DataFrame:
     return rows.select("event_id", F.col("place").cast("long").alias("place"), F.col("e.name").alias("entity"))
 
 
+@query("SELECT event_id, i - 1 AS place, CASE i WHEN 1 THEN event_type ELSE 'user' || user_id END AS entity FROM events, range(1, 3) r(i) WHERE i = 1 OR event_id % 3 <> 1", prelude=False)
+def nested_entities(d: Domain) -> DataFrame:
+    """nested_records over all events; in a third of them an element is no object."""
+    second = F.when(F.col("event_id") % 3 == 1, F.lit("null")).otherwise(F.concat(F.lit('{"name":"user'), F.col("user_id").cast("string"), F.lit('"}')))
+    raw = F.concat(F.lit('{"entities":[{"name":"'), "event_type", F.lit('"},'), second, F.lit("]}"))
+    parsed = F.from_json(raw, "struct<entities: array<struct<name: string>>>")["entities"]
+    rows = d.table("events").select("event_id", F.posexplode(F.filter(parsed, lambda x: x.isNotNull())).alias("place", "e"))
+    return rows.select("event_id", F.col("place").cast("long").alias("place"), F.col("e.name").alias("entity"))
+
+
 @query()
 def document_chunks(d: Domain) -> DataFrame:
     """Rows only: greedy packing depends on all before it."""
@@ -128,9 +138,20 @@ def folder_counts(d: Domain) -> DataFrame:
     return md.prefix_counts(d.table("documents").select(F.concat_ws("/", "lang", "source", "doc_id").alias("path")))
 
 
+def landed(events: DataFrame) -> DataFrame:
+    """Wide price rows by type and day, without a close where the volume is divisible by 7."""
+    e = events.groupBy(F.col("event_type").alias("ticker"), F.to_date("ts").alias("day")).agg(F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", "event_id").alias("last"), F.count(F.lit(1)).alias("volume"))
+    wide = e.withColumn("close", F.when(F.col("volume") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("last"))).withColumn("open", F.lit(None).cast("string"))
+    return md.wide_prices(wide).drop("open")
+
+
 @query("SELECT event_type AS ticker, ts::DATE AS day, max(value) AS high, min(value) AS low, arg_max(value, event_id) AS close, count(*) AS volume FROM events WHERE event_id % 11 <> 0 GROUP BY ALL HAVING count(*) % 7 <> 0", prelude=False)
 def landed_prices(d: Domain) -> DataFrame:
     """Wide price rows as they land, with NaN for missing: rows without a close go."""
-    e = d.table("events").filter("event_id % 11 <> 0").groupBy(F.col("event_type").alias("ticker"), F.to_date("ts").alias("day")).agg(F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", "event_id").alias("last"), F.count(F.lit(1)).alias("volume"))
-    wide = e.withColumn("close", F.when(F.col("volume") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("last"))).withColumn("open", F.lit(None).cast("string"))
-    return md.wide_prices(wide).drop("open")
+    return landed(d.table("events").filter("event_id % 11 <> 0"))
+
+
+@query("SELECT event_type AS ticker, ts::DATE AS day, max(value) AS high, min(value) AS low, arg_max(value, event_id) AS close, count(*) AS volume FROM events GROUP BY ALL HAVING count(*) % 7 <> 0", prelude=False)
+def all_landed_prices(d: Domain) -> DataFrame:
+    """landed_prices over all events."""
+    return landed(d.table("events"))

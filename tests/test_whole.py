@@ -77,3 +77,20 @@ def test_item_links(spark, folder):
 
 def test_versions_of_all_orders(spark):
     assert registry.QUERIES["owner_versions"](spark, SMALL).count() == spark.read.parquet(f"{SMALL}/orders.parquet").count()
+
+
+def test_no_row_goes_for_its_id(spark):
+    events, documents, orders = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("events", "documents", "orders"))
+    run = lambda name: registry.QUERIES[name](spark, SMALL)
+    entities = run("nested_entities")
+    assert entities.select("event_id").distinct().count() == events.count()
+    assert entities.count() == 2 * events.count() - events.filter("event_id % 3 = 1").count()
+    assert run("all_facets").agg(F.sum("n")).first()[0] == events.count()
+    by_day = events.groupBy("event_type", F.to_date("ts")).count()
+    assert run("all_landed_prices").agg(F.sum("volume")).first()[0] == by_day.filter("count % 7 <> 0").agg(F.sum("count")).first()[0]
+    gone = spark.read.parquet(f"{SMALL}/labels.parquet").filter("toxic = 1 AND doc_id % 2 = 0").select("doc_id").distinct().count()
+    ids = run("set_algebra_of_all").select(F.when(F.col("id") < 0, -1 - F.col("id")).otherwise(F.col("id")).alias("doc_id"))
+    assert documents.select("doc_id").distinct().join(ids.distinct(), "doc_id", "left_semi").count() >= documents.select("doc_id").distinct().count() - gone
+    up = registry.QUERIES["all_items_without_calls"](spark, SMALL).first()
+    half = registry.QUERIES["items_without_calls"](spark, SMALL).first()
+    assert half["total"] < up["total"] < orders.count()
