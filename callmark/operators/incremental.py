@@ -49,3 +49,9 @@ def longest_prefix(pages: DataFrame, run: str = "run_id", number: str = "page_nu
     """run, n_pages: how many pages from 1 on a run has without a gap."""
     placed = pages.select(run, number).distinct().withColumn("__rn", F.row_number().over(Window.partitionBy(run).orderBy(number)))
     return placed.filter(F.col(number) == F.col("__rn")).groupBy(run).agg(F.count(F.lit(1)).alias("n_pages"))
+
+
+def pending(rows: DataFrame, order: str, limit: int | None = None) -> DataFrame:
+    """The whole queue in order; with a limit its first rows."""
+    queue = rows.orderBy(order)
+    return queue if limit is None else queue.limit(limit)

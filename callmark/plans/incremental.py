@@ -85,11 +85,21 @@ def known_totals(d: Domain) -> DataFrame:
     return d.table("events").filter(F.get_json_object("props", "$.k").isNotNull()).groupBy("event_type").agg(F.sum(k).alias("total")).filter("total <> 0")
 
 
+def not_downloaded(d: Domain) -> DataFrame:
+    docs = d.table("documents").select(F.col("doc_id").alias("page_id"), "lang")
+    return d.table("pages").filter("page_id % 3 <> 0").select("page_id", "url").join(docs, "page_id", "left").select("page_id", "url", F.coalesce("lang", F.lit("n/a")).alias("lang"))
+
+
 @query("""SELECT p.page_id, url, coalesce(lang, 'n/a') AS lang FROM pages p LEFT JOIN documents d ON p.page_id = d.doc_id WHERE p.page_id % 3 <> 0 ORDER BY p.page_id LIMIT 1000""", prelude=False)
 def pending_queue(d: Domain) -> DataFrame:
-    """What is not downloaded, oldest first, missing fields filled from the row beside it."""
-    docs = d.table("documents").select(F.col("doc_id").alias("page_id"), "lang")
-    return d.table("pages").filter("page_id % 3 <> 0").select("page_id", "url").join(docs, "page_id", "left").select("page_id", "url", F.coalesce("lang", F.lit("n/a")).alias("lang")).orderBy("page_id").limit(1_000)
+    """What is not downloaded, oldest first, missing fields filled from the row beside it; its first 1,000 rows, as its SQL says."""
+    return op.pending(not_downloaded(d), "page_id", 1_000)
+
+
+@query("""SELECT p.page_id, url, coalesce(lang, 'n/a') AS lang FROM pages p LEFT JOIN documents d ON p.page_id = d.doc_id WHERE p.page_id % 3 <> 0 ORDER BY p.page_id""", prelude=False)
+def whole_queue(d: Domain) -> DataFrame:
+    """pending_queue without a limit."""
+    return op.pending(not_downloaded(d), "page_id")
 
 
 @query("SELECT coalesce(CASE WHEN doc_id % 7 <> 0 THEN 2020 + doc_id % 5 END, 0) AS year, count(*) AS total, count(*) FILTER (WHERE doc_id % 4 = 0) AS downloaded FROM documents GROUP BY ALL", prelude=False)

@@ -94,3 +94,13 @@ def test_no_row_goes_for_its_id(spark):
     up = registry.QUERIES["all_items_without_calls"](spark, SMALL).first()
     half = registry.QUERIES["items_without_calls"](spark, SMALL).first()
     assert half["total"] < up["total"] < orders.count()
+
+
+def test_whole_queue(spark, folder):
+    """More than 1,000 pending pages, in order."""
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet")
+    many = spark.range(1_600).select(F.col("id").alias("page_id"), F.concat(F.lit("u"), F.col("id").cast("string")).alias("url"), F.lit("").alias("html")).select(*pages.columns)
+    where = folder(pages=many.repartition(5))
+    found = registry.QUERIES["whole_queue"](spark, where)
+    assert differences(found, registry.ORACLES["whole_queue"], where) == []
+    assert [r["page_id"] for r in found.collect()] == [i for i in range(1_600) if i % 3]
