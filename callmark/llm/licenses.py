@@ -1,7 +1,9 @@
 """License scans as an exact set-similarity join (operator 9); DataFrame functions only.
 
-Templates are short license notices. Texts are cut into overlapping blocks of words; a block matches a template if it
-contains at least ``threshold`` of the template's different words. Tokens are put in one global order, rarest in the corpus
+Templates are license notices. Texts are cut into overlapping blocks of words, for templates of up to STRIDE words into
+blocks of BLOCK words, for longer ones into blocks larger by a power of two; so every template lies within some block of
+its size, and long ones change nothing for short ones. A block matches a template if it contains at least ``threshold`` of
+the template's different words. Tokens are put in one global order, rarest in the corpus
 first. A block with an overlap of o tokens with a template of t shares, with the first t - o + 1 of the template, at least
 one of its own first tokens: only those are joined (prefix filter). Blocks with fewer than o tokens of any template go
 beforehand (length filter), and a pair goes if what follows the first shared token, on either side, cannot reach o
@@ -16,6 +18,7 @@ without doc_id are reported with null; an empty table gives no rows; other colum
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +28,7 @@ from callmark.llm.common import table, whole
 # What separates words once A-Z are lower case, and the base's phrases and labels.
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Notices and their labels; each has at most STRIDE words, so that it lies within some block.
+#: Notices and their labels.
 TEMPLATES = {
     "released under the mit license": "mit",
     "permission is hereby granted free of charge to any person obtaining a copy of this software": "mit",
@@ -40,6 +43,7 @@ TEMPLATES = {
     "free and unencumbered software released into the public domain": "unlicense",
     "permission to use copy modify and or distribute this software for any purpose": "isc",
 }
+#: A block's words and how far apart blocks begin, for templates of up to STRIDE words.
 BLOCK, STRIDE = 48, 24
 THRESHOLD = 0.9
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -89,9 +93,22 @@ def token_order(docs: DataFrame, templates: dict[str, str]) -> list[str]:
     return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 
 
+def scale(template: str) -> int:
+    """The least power of two by which STRIDE has to grow to have as many words as the template."""
+    return 1 << (-(-len(template.split()) // STRIDE) - 1).bit_length()
+
+
 def matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, text_key, block (its number), template, label, containment: every block that contains enough of a template."""
+    """doc_id, text_key, block (its number at the template's scale), template, label, containment: every block that contains enough of a template."""
     order = token_order(docs, templates)
+    scales = sorted({scale(t) for t in templates})
+    return reduce(DataFrame.unionByName, (_matches(docs, {t: label for t, label in templates.items() if scale(t) == n}, threshold, order, n * BLOCK, n * STRIDE) for n in scales))
+
+
+def _matches(docs: DataFrame, templates: dict[str, str], threshold: float, order: list[str], size: int, stride: int) -> DataFrame:
+    """matches of templates of one scale in blocks of so many words every stride."""
+    own_words = {w for t in templates for w in t.split()}
+    order = [w for w in order if w in own_words]
     rank = {w: i for i, w in enumerate(order)}
     rows = []
     for t, label in templates.items():
@@ -104,8 +121,8 @@ def matches(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: f
     side = spark.createDataFrame(rows, "template string, label string, tokens array<string>, need int, prefix array<string>").select("*", F.posexplode("prefix").alias("q", "token"))
 
     own = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("words")).filter(F.arrays_overlap(literal(prefixes), "words"))
-    last = F.greatest(F.lit(0), F.ceil((F.size("words") - BLOCK) / STRIDE)).cast("int")
-    blocks = own.select("doc_id", "text_key", F.posexplode(F.transform(F.sequence(F.lit(0), last), lambda i: F.slice("words", i * STRIDE + 1, F.lit(BLOCK)))).alias("block", "held"))
+    last = F.greatest(F.lit(0), F.ceil((F.size("words") - size) / stride)).cast("int")
+    blocks = own.select("doc_id", "text_key", F.posexplode(F.transform(F.sequence(F.lit(0), last), lambda i: F.slice("words", i * stride + 1, F.lit(size)))).alias("block", "held"))
     held = blocks.select("doc_id", "text_key", "block", F.array_intersect(literal(order), "held").alias("held")).filter(F.size("held") >= least)
     tried = held.select("*", F.posexplode(F.slice("held", F.lit(1), F.size("held") - least + 1)).alias("p", "token"))
     pairs = tried.join(F.broadcast(side), "token").filter(

@@ -224,6 +224,21 @@ def test_licenses(spark, odd):
     assert licenses.scan(odd).count() == odd.count() and licenses.scan(odd.limit(0)).count() == 0
 
 
+def test_long_licenses(spark):
+    """Templates of more words than a block's stride, or of more than a block has, wherever they stand; short ones stay as they are."""
+    notices = {n: " ".join(f"clause{n}x{i}" for i in range(n)) for n in (24, 25, 40, 60, 170)}
+    templates = licenses.TEMPLATES | {t: f"long{n}" for n, t in notices.items()}
+    rows = [(0, "released " + "filler " * 60 + "under the mit license", "")]
+    for n, text in notices.items():
+        for at in range(0, 100, 7):
+            rows.append((len(rows), "filler " * at + text + " filler" * 50, f"long{n}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, want string")
+    found = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(docs, templates=templates).collect()}
+    assert [i for i, _, want in rows[1:] if found[i] != (want, 1.0)] == []
+    plain = {r["doc_id"]: (r["labels"], r["score"]) for r in licenses.scan(docs).collect()}
+    assert found[0] == plain[0] and {licenses.scale(t) for t in licenses.TEMPLATES} == {1}
+
+
 # 10
 def test_warc(spark):
     rows = [(None, "u", None), (3, "u\r\nX: y", "é" * 90_000), (1, None, "é" * 90_000), (1, "u", "é" * 90_000), (4, "", "WARC/1.1\r\n\r\n" * 30), (None, "", "WARC/1.1\r\n\r\n" * 30), (5, "", "short"), (6, "", "short")]
