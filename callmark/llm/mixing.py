@@ -106,16 +106,29 @@ def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     The plan, a few numbers for each document, meets the documents on id, source and size; rows that agree in all three
     are numbered, and each takes the plan of its number.
     """
-    size = words(whole(text_col))
-    plan = mix(docs, id_col, text_col, source_col, **how)
+    plan = _copies(mix(docs, id_col, text_col, source_col, **how)).select("__key", "__n", "__positions")
+    rows = docs.withColumn("__key", _key(F.col(id_col).cast("long"), F.col(source_col), words(whole(text_col))))
+    rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy("__key").orderBy(F.xxhash64(text_col))))
+    return _sorted(rows.join(plan, ["__key", "__n"])).select(*docs.columns)
+
+
+def places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """doc_id, source, position of every copy that the mix has, in training_order's order, without texts."""
+    plan = _copies(mix(docs, id_col, text_col, source_col, **how))
+    return _sorted(plan).select("doc_id", "source", F.col("__position").alias("position"))
+
+
+def _copies(plan: DataFrame) -> DataFrame:
+    """mix's rows with copies, each with the training positions of all of them."""
     plan = plan.withColumn("__key", _key(F.col("doc_id"), F.col("source"), F.col("size")))
     plan = plan.withColumn("__n", F.row_number().over(Window.partitionBy("__key").orderBy("before"))).filter("copies > 0")
     demand = lambda k: F.col("before") + F.col("size") / 2 + k * F.col("source_size")
-    plan = plan.select("__key", "__n", F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda k: position(demand(k), F.col("target"), F.col("start"))).alias("__positions"))
-    rows = docs.withColumn("__key", _key(F.col(id_col).cast("long"), F.col(source_col), size))
-    rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy("__key").orderBy(F.xxhash64(text_col))))
-    placed = rows.join(plan, ["__key", "__n"]).select("*", F.explode("__positions").alias("__position"))
-    return placed.orderBy("__position", "__key", "__n").select(*docs.columns)
+    return plan.withColumn("__positions", F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda k: position(demand(k), F.col("target"), F.col("start"))))
+
+
+def _sorted(placed: DataFrame) -> DataFrame:
+    """A row for each copy, range-sorted."""
+    return placed.select("*", F.explode("__positions").alias("__position")).orderBy("__position", "__key", "__n")
 
 
 def _key(doc_id: Column, source: Column, size: Column) -> Column:
@@ -123,7 +136,9 @@ def _key(doc_id: Column, source: Column, size: Column) -> Column:
 
 
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", F.floor(F.col("position") * 1e6).alias("position_ppm"))
+    """A row for each document, range-sorted by its first copy's position; documents without copies come last."""
+    rows = mix(table(spark, sf_dir, "documents")).orderBy(F.asc_nulls_last("position"), _key(F.col("doc_id"), F.col("source"), F.col("size")), "before")
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "copies", F.floor(F.col("position") * 1e6).alias("position_ppm"))
 
 
 ORACLE = r"""

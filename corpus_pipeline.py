@@ -1,7 +1,7 @@
 """From raw documents to token ids: quality, near duplicates, secrets, mixture, encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-one's docs. All but the last return the columns of documents. Stages keep rows with null columns unless their decision is
+one's docs; no row order outlives that. All but the last return the columns of documents. Stages keep rows with null columns unless their decision is
 about that column: a null or empty text scores 0 and goes in the first stage; a null source is a source of its own.
 """
 

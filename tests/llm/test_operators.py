@@ -146,6 +146,19 @@ def test_mix(spark, odd):
     assert ordered.columns == odd.columns and ordered.count() == sum(r["copies"] for r in rows) and mixing.mix(odd.limit(0)).count() == 0
 
 
+def test_training_order(spark):
+    """op6_mix's rows and the copies of training_order stand in the order of their positions."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    found = [r["position_ppm"] for r in mixing.op6_mix(spark, SMALL).collect()]
+    placed = [x for x in found if x is not None]
+    assert placed == sorted(placed) and found == placed + [None] * (len(found) - len(placed))
+    copies = mixing.places(docs).collect()
+    at = [r["position"] for r in copies]
+    assert at == sorted(at) and 0 <= at[0] and at[-1] <= 1
+    assert len(copies) == sum(r["copies"] for r in mixing.mix(docs).collect())
+    assert [r["doc_id"] for r in mixing.training_order(docs).collect()] == [r["doc_id"] for r in copies]
+
+
 # 7
 def brute(sets, percent):
     parent = {i: i for i in sets}
