@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import struct
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -285,3 +286,50 @@ def test_pipeline(spark):
             assert done.columns == docs.columns
             docs = done
     assert 0 < docs.count() <= 3 * before
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Each stage's rows from the rows that it is given: a stage that loses or keeps a document too many fails."""
+    import corpus_pipeline
+    import duckdb
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    stages = {}
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        if stage is corpus_pipeline.secret_scan:  # a live secret, and an example that three owners hold
+            planted = [(10**6 + n, f"see token = {word}0123456789abc now", "en", source, 0) for n, (word, source) in enumerate([("Live", "src1"), *(("Example", f"src{k}") for k in (1, 2, 3))])]
+            docs = docs.unionByName(spark.createDataFrame(planted, "doc_id long, text string, lang string, source string, n_chars long")).select(*docs.columns)
+        stage(spark, docs, SMALL).write.parquet(f"{tmp_path}/{i}")
+        stages[name] = (docs.collect(), (made := spark.read.parquet(f"{tmp_path}/{i}")).collect())
+        docs = made
+    (first, good), (_, unique), (given, masked), (_, mixed), (_, encoded) = stages.values()
+
+    model = quality.fit(spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet"))
+    assert Counter(good) == Counter(r for r in first if model.score(r["text"] or "") >= corpus_pipeline.LEAST_QUALITY) and len(good) < len(first)
+
+    component = brute({r["doc_id"]: exact_set(r["text"], corpus_pipeline.SHINGLE_WORDS) for r in good}, corpus_pipeline.LIKENESS_PERCENT)
+    assert Counter(unique) == Counter(r for r in good if component[r["doc_id"]] == r["doc_id"]) and len(unique) < len(good)
+
+    owners = {}
+    for r in given:
+        for _, _, _, value in secrets.find(r["text"] or ""):
+            owners.setdefault(value, set()).add(r["source"])
+    want = {}
+    for r in given:
+        text, spans = r["text"] or "", sorted((a, b) for k, a, b, v in secrets.find(r["text"] or "") if len(owners[v]) <= corpus_pipeline.MOST_OWNERS_OF_A_SECRET and secrets.looks_random(k, v, 3.0))
+        for a, b in reversed(spans):
+            text = text[:a] + "[SECRET]" + text[b:]
+        want[r["doc_id"]] = (text, len(text), len(spans), any(b > c for (_, b), (c, _) in zip(spans, spans[1:], strict=False)))
+    assert sum(x[2] for x in want.values()) > 0 and len(masked) == len(want)
+    assert all((r["text"], r["n_chars"]) == want[r["doc_id"]][:2] for r in masked if not want[r["doc_id"]][3])
+
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/2/*.parquet'")
+    copies = {r[0]: r[1] for r in db.sql(f"SELECT doc_id, copies FROM ({mixing.ORACLE})").fetchall()}
+    assert Counter(mixed) == Counter({r: copies[r["doc_id"]] for r in masked if copies[r["doc_id"]]})
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
+    reference = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ids = lambda text: reference.encode_ordinary(text or "")
+    assert Counter((r["doc_id"], bytes(r["ids"])) for r in encoded) == Counter((r["doc_id"], struct.pack(f"<{len(x)}I", *x)) for r in mixed for x in [ids(r["text"])])
+    assert all(r["n_tokens"] * 4 == len(r["ids"]) for r in encoded)
