@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 BULL_ACTIONS, BEAR_ACTIONS = ("buy", "long", "cover"), ("sell", "short", "avoid")
 TICKER = r"^[A-Z0-9^.=:\-]{1,12}(\.[A-Z]{1,4})?$"
 LEVERAGE = 5.0
+#: What horizon_days can give.
+HORIZONS = (7, 14, 90, 365)
 
 
 def horizon_days(timeframe: Column) -> Column:

@@ -5,24 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICE_DAYS = 512
 
+def resolve(days: DataFrame, prices: DataFrame, key: str = "ticker", day: str = "day", value: str = "close", fall_back: bool = True) -> DataFrame:
+    """days (key, day and any other columns) with ``value``, its first one on or after the day.
 
-def asof_forward(lookups: DataFrame, prices: DataFrame, key: str = "ticker", day: str = "day", value: str = "close") -> DataFrame:
+    Without one the last value of all stands in, unless fall_back is False. Prices without a value do not count.
+    days should be different days of different keys, not the rows that ask for them: a key's window then has no more rows
+    than the calendar has days, however many rows ask.
+    """
+    own = [c for c in days.columns if c not in (key, day)]
+    known = prices.filter(F.col(value).isNotNull()).select(F.col(key).alias("__key"), F.col(day).alias("__day"), F.col(value).alias("__value"))
+    asked = days.select(F.col(key).alias("__key"), F.col(day).alias("__day"), F.lit(None).cast(known.schema["__value"].dataType).alias("__value"), F.struct(F.lit(True).alias("__asks"), *own).alias("__own"))
+    both = asked.unionByName(known.withColumn("__own", F.lit(None).cast(asked.schema["__own"].dataType)))
+    newest_first = Window.partitionBy("__key").orderBy(F.desc("__day"), F.col("__own").isNotNull())
+    found = F.last("__value", ignorenulls=True).over(newest_first.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    if fall_back:
+        found = F.coalesce(found, F.first("__value", ignorenulls=True).over(newest_first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    filled = both.withColumn("__found", found).filter("__own IS NOT NULL")
+    return filled.select(F.col("__key").alias(key), F.col("__day").alias(day), *(F.col(f"__own.{c}").alias(c) for c in own), F.col("__found").alias(value))
+
+
+def asof_forward(lookups: DataFrame, prices: DataFrame, key: str = "ticker", day: str = "day", value: str = "close", fall_back: bool = True) -> DataFrame:
     """lookups with ``value``; lookups must have ``key`` and ``day``, prices ``key``, ``day``, ``value``.
 
-    Rows are windowed by key and slice of SLICE_DAYS days, so a hot key is spread over tasks; what a slice cannot answer
-    itself is answered by the first close of a later slice, a table of one row for each key and slice.
+    The different (key, day) pairs are resolved once and joined to the lookups by both, so the lookups are shuffled once, by
+    key and day, and never windowed: their parallelism grows with the data.
     """
-    place = lambda c: F.floor(F.unix_date(c) / SLICE_DAYS).cast("int")
-    known = prices.filter(F.col(value).isNotNull()).select(F.col(key).alias("__key"), F.col(day).alias("__day"), F.col(value).alias("__value"), place(F.col(day)).alias("__slice"))
-    asked = lookups.withColumn("__row", F.struct(*lookups.columns)).select(F.col(key).alias("__key"), F.col(day).alias("__day"), F.lit(None).cast("double").alias("__value"), place(F.col(day)).alias("__slice"), "__row")
-    both = known.withColumn("__row", F.lit(None).cast(asked.schema["__row"].dataType)).select(*asked.columns).unionByName(asked)
-    back = Window.partitionBy("__key", "__slice").orderBy(F.desc("__day"), F.col("__row").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    within = both.withColumn("__found", F.last("__value", ignorenulls=True).over(back)).filter(F.col("__row").isNotNull())
-    # for each key: slices in order with their first close, and the last close of all
-    firsts = known.groupBy("__key", "__slice").agg(F.min_by("__value", "__day").alias("first"), F.max_by("__value", "__day").alias("last"), F.max("__day").alias("last_day"))
-    by_key = firsts.groupBy("__key").agg(F.array_sort(F.collect_list(F.struct("__slice", "first"))).alias("__later"), F.max_by("last", "last_day").alias("__last"))
-    joined = within.join(by_key, "__key", "left")
-    later = F.get(F.filter("__later", lambda s: s["__slice"] > F.col("__slice")), F.lit(0))["first"]
-    return joined.select("__row.*", F.coalesce("__found", later, "__last").alias(value))
+    return lookups.join(resolve(lookups.select(key, day).distinct(), prices, key, day, value, fall_back), [key, day], "left")

@@ -19,8 +19,25 @@ def measures() -> list:
     return [F.count(F.lit(1)).alias("n_calls"), F.count(s).alias("n_scored"), F.round(F.avg(s), 6).alias("avg_score"), F.round(calls.hit_rate(s), 6).alias("hit_rate")]
 
 
+def sums() -> list:
+    """What measures() are made of, to be added up over groups of groups."""
+    s = F.col("score")
+    return [F.count(F.lit(1)).alias("n_calls"), F.count(s).alias("n_scored"), F.sum(s).alias("total"), F.count_if(s > 0).alias("hits"), F.count_if(s < 0).alias("misses")]
+
+
+def measures_of_sums() -> list:
+    n = lambda c: F.sum(c)
+    return [n("n_calls").alias("n_calls"), n("n_scored").alias("n_scored"), F.round(F.try_divide(n("total"), n("n_scored")), 6).alias("avg_score"), F.round(F.try_divide(n("hits"), n("hits") + n("misses")), 6).alias("hit_rate")]
+
+
 def scored(d: Domain, call: DataFrame | None = None) -> DataFrame:
-    return score_calls(d.call if call is None else call, d.price, NOW)
+    """Scored calls. The days to price come from all calls, whatever call has been joined with or filtered by: they are few and cheap to read."""
+    return score_calls(d.call if call is None else call, d.price, NOW, d.call.select("ticker", F.to_date("made_at").alias("day")))
+
+
+def scored_primary(d: Domain, item: DataFrame) -> DataFrame:
+    """Primary calls with item's columns, scored. Runs are picked and items joined by one shuffle by item, before prices are."""
+    return scored(d, d.primary_call.join(item, "item_id"))
 
 
 @query("SELECT call_id, ticker, sign, horizon, round(p_call, 6) AS p_call, round(p_eval, 6) AS p_eval, round(score, 6) AS score, eval_at FROM scored")
@@ -49,8 +66,8 @@ def rescore(d: Domain) -> DataFrame:
 def channel_overall(d: Domain) -> DataFrame:
     """The overall channel leaderboard: primary runs only, channels with a scored call, best first."""
     owner = d.channel.join(F.broadcast(d.source), "source_id").select("channel_id", "handle", "source")
-    rows = scored(d, d.primary_call).join(d.item.select("item_id", "channel_id"), "item_id").join(owner, "channel_id")
-    return rows.groupBy("channel_id", "handle", "source").agg(*measures()).filter("n_scored > 0").orderBy(F.desc_nulls_last("avg_score"), "channel_id")
+    by_channel = scored_primary(d, d.item.select("item_id", "channel_id")).groupBy("channel_id").agg(*measures()).filter("n_scored > 0")
+    return by_channel.join(owner, "channel_id").orderBy(F.desc_nulls_last("avg_score"), "channel_id")
 
 
 @query("""+ page AS (SELECT channel_id, score FROM channel LEFT JOIN item USING (channel_id) LEFT JOIN primary_scored USING (item_id)
@@ -59,32 +76,33 @@ SELECT channel_id, count(score) AS n_scored, round(avg(score), 6) AS avg_score F
 def channel_overall_between(d: Domain) -> DataFrame:
     """With a range of publication dates, inclusive; the filter turns the outer joins into inner ones."""
     item = d.item.filter((F.col("published_at") >= "1997-01-01") & (F.col("published_at") < F.date_add(F.lit("1998-12-31").cast("date"), 1)))
-    rows = d.channel.join(item.select("item_id", "channel_id", "published_at"), "channel_id", "left").join(scored(d, d.primary_call).select("item_id", "score"), "item_id", "left").filter("published_at IS NOT NULL")
-    return rows.groupBy("channel_id").agg(F.count("score").alias("n_scored"), F.round(F.avg("score"), 6).alias("avg_score")).filter("n_scored > 0")
+    by_channel = scored_primary(d, item.select("item_id", "channel_id")).groupBy("channel_id").agg(F.count("score").alias("n_scored"), F.round(F.avg("score"), 6).alias("avg_score"))
+    return d.channel.select("channel_id").join(by_channel, "channel_id", "left").filter("n_scored > 0")
 
 
 @query(f"SELECT channel_id, date_trunc('week', made_at)::DATE AS week_start, {MEASURES} FROM primary_scored JOIN item USING (item_id) WHERE channel_id IS NOT NULL GROUP BY ALL")
 def weekly_leaderboard(d: Domain) -> DataFrame:
-    rows = scored(d, d.primary_call).join(d.item.filter("channel_id IS NOT NULL").select("item_id", "channel_id"), "item_id")
+    rows = scored_primary(d, d.item.filter("channel_id IS NOT NULL").select("item_id", "channel_id"))
     return rows.groupBy("channel_id", F.to_date(F.date_trunc("week", "made_at")).alias("week_start")).agg(*measures())
 
 
 @query(f"""+ weekly AS (SELECT channel_id, date_trunc('week', made_at)::DATE AS week_start, {MEASURES} FROM primary_scored JOIN item USING (item_id) WHERE channel_id IS NOT NULL GROUP BY ALL)
-SELECT *, row_number() OVER (ORDER BY week_start DESC, avg_score DESC NULLS FIRST, channel_id) AS place FROM weekly
-WHERE week_start >= DATE '{NOW[:10]}' - 84 AND week_start <= DATE '{NOW[:10]}' ORDER BY place LIMIT 500""")
+SELECT *, row_number() OVER (PARTITION BY week_start ORDER BY avg_score DESC NULLS FIRST, channel_id) AS place FROM weekly
+WHERE week_start >= DATE '{NOW[:10]}' - 84 AND week_start <= DATE '{NOW[:10]}'""")
 def weekly_recent(d: Domain) -> DataFrame:
-    """The last twelve weeks, newest first; unscored weeks lead, as nulls do in descending order by default there."""
+    """The last twelve weeks, all of their rows, newest first; place is that within the week. Unscored channels lead, as nulls do in descending order by default there."""
     today = F.lit(NOW[:10]).cast("date")
     rows = weekly_leaderboard(d).filter((F.col("week_start") >= F.date_sub(today, 84)) & (F.col("week_start") <= today))
-    top = rows.orderBy(F.desc("week_start"), F.desc_nulls_first("avg_score"), "channel_id").limit(500)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("week_start"), F.desc_nulls_first("avg_score"), "channel_id")).cast("long"))
+    place = F.row_number().over(Window.partitionBy("week_start").orderBy(F.desc_nulls_first("avg_score"), "channel_id")).cast("long")
+    return rows.withColumn("place", place).orderBy(F.desc("week_start"), "place")
 
 
 @query("""+ weekly AS (SELECT segment, date_trunc('quarter', made_at)::DATE AS quarter, avg(score) AS s FROM primary_scored JOIN item USING (item_id) JOIN channel USING (channel_id) GROUP BY ALL)
 SELECT quarter, round(max(CASE WHEN segment = 'AUTOMOBILE' THEN s END), 6) AS automobile, round(max(CASE WHEN segment = 'BUILDING' THEN s END), 6) AS building, round(max(CASE WHEN segment = 'MACHINERY' THEN s END), 6) AS machinery FROM weekly GROUP BY quarter""")
 def segment_pivot(d: Domain) -> DataFrame:
     """Quarter by channel segment, as for a chart."""
-    rows = scored(d, d.primary_call).join(d.item.select("item_id", "channel_id"), "item_id").join(d.channel.select("channel_id", F.lower("segment").alias("segment")), "channel_id")
+    owner = d.item.select("item_id", "channel_id").join(d.channel.select("channel_id", F.lower("segment").alias("segment")), "channel_id").drop("channel_id")
+    rows = scored_primary(d, owner)
     names = ["automobile", "building", "machinery"]
     wide = rows.groupBy(F.to_date(F.date_trunc("quarter", "made_at")).alias("quarter")).pivot("segment", names).agg(F.avg("score"))
     return wide.select("quarter", *(F.round(n, 6).alias(n) for n in names))
@@ -96,10 +114,10 @@ agg AS (SELECT speaker, {MEASURES}, max(made_at) AS last_call_at FROM rows GROUP
 SELECT agg.*, channel_id AS main_channel_id FROM agg LEFT JOIN (SELECT * FROM ranked WHERE rn = 1) USING (speaker)""")
 def speaker_leaderboard(d: Domain) -> DataFrame:
     """Speakers with their main channel, that of most calls, then of the newest, then of the smallest id."""
-    rows = scored(d, d.primary_call).select("item_id", "speaker", "score", "made_at").join(d.item.select("item_id", "channel_id"), "item_id")
-    by_channel = rows.filter("channel_id IS NOT NULL").groupBy("speaker", "channel_id").agg(F.count(F.lit(1)).alias("n"), F.max("made_at").alias("last"))
-    best = by_channel.withColumn("rn", F.row_number().over(Window.partitionBy("speaker").orderBy(F.desc("n"), F.desc("last"), "channel_id"))).filter("rn = 1")
-    return rows.groupBy("speaker").agg(*measures(), F.max("made_at").alias("last_call_at")).join(best.select("speaker", F.col("channel_id").alias("main_channel_id")), "speaker", "left")
+    rows = scored_primary(d, d.item.select("item_id", "channel_id"))
+    by_channel = rows.groupBy("speaker", "channel_id").agg(*sums(), F.max("made_at").alias("last"))
+    best = F.max_by("channel_id", F.when(F.col("channel_id").isNotNull(), F.struct("n_calls", "last", -F.col("channel_id"))))
+    return by_channel.groupBy("speaker").agg(*measures_of_sums(), F.max("last").alias("last_call_at"), best.alias("main_channel_id"))
 
 
 @query(f"""+ rows AS (SELECT provider, model, channel_id, score FROM scored JOIN item USING (item_id))
@@ -107,8 +125,8 @@ SELECT provider, model, channel_id, false AS overall, {MEASURES} FROM rows WHERE
 UNION ALL SELECT provider, model, NULL, true, {MEASURES} FROM rows GROUP BY ALL""")
 def model_leaderboard(d: Domain) -> DataFrame:
     """All runs, by model and channel and by model overall; calls without a channel count in the overall rows only."""
-    rows = scored(d).join(d.item.select("item_id", "channel_id"), "item_id")
-    sets = rows.groupingSets([["provider", "model", "channel_id"], ["provider", "model"]], "provider", "model", "channel_id").agg((F.grouping("channel_id") == 1).alias("overall"), *measures())
+    rows = scored(d, d.call.join(d.item.select("item_id", "channel_id"), "item_id")).groupBy("provider", "model", "channel_id").agg(*sums())
+    sets = rows.groupingSets([["provider", "model", "channel_id"], ["provider", "model"]], "provider", "model", "channel_id").agg((F.grouping("channel_id") == 1).alias("overall"), *measures_of_sums())
     return sets.filter("overall OR channel_id IS NOT NULL")
 
 
@@ -130,10 +148,11 @@ def price_series(d: Domain) -> DataFrame:
     return rows.filter((F.col("total") <= 50) | (F.col("rn") % F.ceil(F.col("total") / 50) == 0)).select("ticker", "day", F.round("close", 6).alias("close"))
 
 
-@query("""+ span AS (SELECT call.ticker, call_id, arg_min(close, day) AS first, arg_max(close, day) AS last FROM primary_call call JOIN price ON price.ticker = call.ticker AND day >= made_at::DATE - 7 AND day < made_at::DATE + 30 GROUP BY ALL)
-SELECT call_id, ticker, round((last - first) / first * 100, 6) AS moved FROM span""")
+@query("""+ called AS (SELECT call_id, ticker, made_at::DATE - 7 AS since FROM primary_call)
+SELECT call_id, c.ticker, round((last - close) / close * 100, 6) AS moved FROM called c ASOF JOIN price p ON c.ticker = p.ticker AND c.since <= p.day JOIN last_close l ON c.ticker = l.ticker""")
 def move_since_call(d: Domain) -> DataFrame:
-    """Percent between the first and the last close from a week before a call to 30 days after it: a range join on days."""
-    days = d.primary_call.select("call_id", "ticker", F.explode(F.sequence(F.date_sub(F.to_date("made_at"), 7), F.date_add(F.to_date("made_at"), 29))).alias("day"))
-    span = days.join(d.price, ["ticker", "day"]).groupBy("call_id", "ticker").agg(F.min_by("close", "day").alias("first"), F.max_by("close", "day").alias("last"))
-    return span.select("call_id", "ticker", F.round((F.col("last") - F.col("first")) / F.col("first") * 100, 6).alias("moved"))
+    """Percent from the first close on or after a week before the call to the last close of all; calls without one are left out."""
+    last = d.price.groupBy("ticker").agg(F.max_by("close", "day").alias("last"))
+    since = d.primary_call.select("call_id", "ticker", F.date_sub(F.to_date("made_at"), 7).alias("day"))
+    moved = F.round(F.try_divide(F.col("last") - F.col("close"), F.col("close")) * 100, 6)
+    return asof_forward(since, d.price, fall_back=False).filter("close IS NOT NULL").join(last, "ticker").select("call_id", "ticker", moved.alias("moved"))
