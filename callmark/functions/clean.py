@@ -11,7 +11,7 @@ from callmark.functions.text import MONTHS, collapse, slug
 CTA = r"(?is)\n[^\n]*(?:subscribe now|click here to|sign up for)\b.*\z"
 DISCLAIMER = r"(?is)\n[^\n]*\bdisclaimer\b.*\z"
 NO_TRANSCRIPT = "_(no transcript available)_"
-EXCERPT_MARK = "節錄"
+EXCERPT_MARK = "（節錄）"
 FULL_CHARS = 400
 
 
@@ -69,10 +69,10 @@ def absolute_url(url: Column, base: str) -> Column:
 
 
 def is_full(body: Column) -> Column:
-    """Long enough, not ending in an ellipsis, and not marked as an excerpt; headings and quotes do not count."""
-    kept = F.filter(F.split(body, "\n"), lambda x: ~x.rlike(r"^\s*([#>]|$)"))
+    """Long enough, not ending in an ellipsis, and not marked as an excerpt; headings, starred and blank lines do not count."""
+    kept = F.filter(F.split(body, "\n"), lambda x: ~x.rlike(r"^([#*]|\s*$)"))
     text = F.trim(F.array_join(kept, "\n"))
-    return (F.char_length(text) >= FULL_CHARS) & ~text.rlike(r"(…|\.\.\.)$") & ~body.contains(EXCERPT_MARK)
+    return (F.char_length(text) >= FULL_CHARS) & ~text.rlike(r"(…|\.\.\.)$") & ~text.contains(EXCERPT_MARK)
 
 
 def has_transcript(body: Column) -> Column:
@@ -104,17 +104,21 @@ def sanitise_links(text: DataFrame, pages: DataFrame, key: str, column: str) ->
 
 
 def topic_lines(text: Column) -> Column:
-    """array<struct<topic, recurring, new>> of lines 'TOPIC: a | RECURRING: b | NEW: c'."""
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"(?i)^\s*TOPIC:"))
-    part = lambda x, name: F.trim(F.regexp_extract(x, rf"(?i){name}:\s*([^|]*)", 1))
-    return F.transform(lines, lambda x: F.struct(part(x, "TOPIC").alias("topic"), part(x, "RECURRING").alias("recurring"), part(x, "NEW").alias("new")))
+    """array<struct<topic, recurring, new, changes>> of lines 'TOPIC: a | RECURRING: b | NEW: c', each with the lines 'CHANGE: "q" -> w' below it."""
+    blocks = F.regexp_extract_all(text, F.lit(r"(?im)^[ \t]*TOPIC:[^\n]*(?:\n(?![ \t]*TOPIC:)[^\n]*)*+"), F.lit(0))
+    head = r"(?i)^\s*TOPIC:\s*(.+?)\s*\|\s*RECURRING:\s*(\S+)\s*\|\s*NEW:\s*([^\n]*)"
+    change = r'(?im)^[ \t]*CHANGE:\s*"([^"\n]*)"\s*->\s*([^\n]*)$'
+    changes = lambda b: F.transform(F.regexp_extract_all(b, F.lit(change), F.lit(0)), lambda c: F.struct(F.trim(F.regexp_extract(c, change, 1)).alias("quote"), F.trim(F.regexp_extract(c, change, 2)).alias("what")))
+    made = lambda b: F.struct(F.regexp_extract(b, head, 1).alias("topic"), F.lower(F.regexp_extract(b, head, 2)).startswith("y").alias("recurring"), F.trim(F.regexp_extract(b, head, 3)).alias("new"), changes(b).alias("changes"))
+    return F.transform(F.filter(blocks, lambda b: b.rlike(head)), made)
 
 
-def numbered_tags(text: Column, taxonomy: tuple[str, ...]) -> Column:
-    """array<struct<i, tags>> of lines 'i | tag; tag'; tags outside the taxonomy go."""
+def numbered_tags(text: Column, most: Column | None = None) -> Column:
+    """array<struct<i, tags>> of lines 'i | tag; tag' (or with commas), of numbers under most; lines without a tag go."""
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"^\s*\d+\s*\|"))
-    tags = lambda x: F.filter(F.transform(F.split(F.regexp_extract(x, r"\|(.*)$", 1), ";"), lambda t: F.trim(t)), lambda t: t.isin(*taxonomy))
-    return F.transform(lines, lambda x: F.struct(F.regexp_extract(x, r"^\s*(\d+)", 1).cast("int").alias("i"), tags(x).alias("tags")))
+    tags = lambda x: F.filter(F.transform(F.split(F.regexp_extract(x, r"\|(.*)$", 1), "[;,]"), lambda t: F.trim(t)), lambda t: t != "")
+    rows = F.transform(lines, lambda x: F.named_struct(F.lit("i"), F.regexp_extract(x, r"^\s*(\d+)", 1).try_cast("int"), F.lit("tags"), tags(x)))
+    return F.filter(rows, lambda r: (F.size(r["tags"]) > 0) & (F.lit(True) if most is None else r["i"] < most))
 
 
 def quote_at(text: Column, quote: Column) -> Column:
@@ -126,7 +130,7 @@ def quote_at(text: Column, quote: Column) -> Column:
 
 def version_key(version: Column) -> Column:
     """Orders v2 before v10."""
-    return F.struct(F.coalesce(F.regexp_extract(version, r"(\d+)", 1).try_cast("int"), F.lit(0)), version)
+    return F.struct(F.coalesce(F.regexp_extract(version, r"(\d+)", 1).try_cast("int"), F.lit(0)).alias("number"), version.alias("version"))
 
 
 def content_path(source: Column, channel: Column, published: Column, title: Column) -> Column:
@@ -141,10 +145,10 @@ def in_public_subset(path: Column, channels: list[str] | None, first: str | None
     return allowed & (F.coalesce(day >= F.lit(first).cast("date"), F.lit(False)) if first else F.lit(True)) & (F.coalesce(day <= F.lit(last).cast("date"), F.lit(False)) if last else F.lit(True))
 
 
-def first_label(lines: DataFrame, line: str, order: str) -> DataFrame:
-    """The first non-blank uploader or channel of JSON lines, in order; broken lines are passed over."""
+def first_label(lines: DataFrame, line: str, order: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """The first non-blank uploader or channel of JSON lines, in order, of each group; broken lines are passed over."""
     label = F.coalesce(blank_to_null(F.get_json_object(line, "$.uploader")), blank_to_null(F.get_json_object(line, "$.channel")))
-    return lines.select(label.alias("label"), order).filter("label IS NOT NULL").agg(F.min_by("label", order).alias("label"))
+    return lines.select(*by, label.alias("label"), order).filter("label IS NOT NULL").groupBy(*by).agg(F.min_by("label", order).alias("label"))
 
 
 def asset_row(kind: Column, raw: Column) -> Column:

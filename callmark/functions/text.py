@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -9,8 +12,13 @@ from pyspark.sql import functions as F
 # Fixed values.
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 FIRST_DATE = "2005-04-23"
-BLOCKED = ("429", "too many requests", "sign in to confirm", "ip has been blocked")
-GONE = ("private video", "video unavailable", "has been removed", "not available")
+BLOCKED = ("429", "too many requests", "sign in to confirm", "protect our community", "ip has been blocked")
+GONE = ("private", "unavailable", "removed", "deleted", "members-only", "terminated")
+TITLE_ISO = r"(?U)\b(\d{4})-(\d{2})-(\d{2})\b"
+TITLE_DMY = r"(?iU)\b(\d{1,2})(?:st|nd|rd|th)?\s*([A-Za-z]{3,9})\s*,?\s*(\d{4})\b"
+TITLE_MDY = r"(?iU)\b([A-Za-z]{3,9})\s+(\d{1,2})(?:st|nd|rd|th)?,?\s+(\d{4})\b"
+ENTITIES = {"&nbsp;": " ", "&amp;": "&", "&lt;": "<", "&gt;": ">", "&#39;": "'"}
+PAUSE_SECONDS = 2.5
 PARAGRAPH_CHARS, CHUNK_CHARS = 600, 14_000
 
 
@@ -58,9 +66,10 @@ def _month(name: Column) -> Column:
 
 def title_date(title: Column, until: Column) -> Column:
     """yyyymmdd of the first form that gives a day from FIRST_DATE to until: ISO, then day-month-year, then month-day-year."""
-    iso, dmy, mdy = r"(20\d\d)[-./](\d{1,2})[-./](\d{1,2})", r"(?i)(\d{1,2})(?:st|nd|rd|th)?[\s-]*([a-z]{3,9})[\s,-]*(20\d\d)", r"(?i)([a-z]{3,9})\.?\s*(\d{1,2})(?:st|nd|rd|th)?,?\s*(20\d\d)"
     part = lambda p, i: F.regexp_extract(title, p, i)
-    return F.coalesce(_ymd(part(iso, 1), part(iso, 2), part(iso, 3), until), _ymd(part(dmy, 3), _month(part(dmy, 2)), part(dmy, 1), until), _ymd(part(mdy, 3), _month(part(mdy, 1)), part(mdy, 2), until))
+    return F.coalesce(
+        _ymd(part(TITLE_ISO, 1), part(TITLE_ISO, 2), part(TITLE_ISO, 3), until), _ymd(part(TITLE_DMY, 3), _month(part(TITLE_DMY, 2)), part(TITLE_DMY, 1), until),
+        _ymd(part(TITLE_MDY, 3), _month(part(TITLE_MDY, 1)), part(TITLE_MDY, 2), until))
 
 
 def upload_date(html: Column, until: Column) -> Column:
@@ -116,52 +125,45 @@ def html_markdown(html: Column) -> Column:
     return F.regexp_replace(out, r"^\s+|\s+$", "")
 
 
-def paragraphs(text: Column, most: int = PARAGRAPH_CHARS) -> Column:
-    """Array of paragraphs: split at blank lines and '>>', white space collapsed, packed at sentence ends to at most so many characters."""
-    parts = F.filter(F.transform(F.split(text, r"\n\s*\n|(?=>>)"), collapse), lambda p: p != "")
-
-    def pack(par: Column) -> Column:
-        add = lambda done, s: F.when(
-            (F.size(done) > 0) & (F.char_length(F.element_at(done, -1)) + F.char_length(s) + 1 <= most), F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.concat_ws(" ", F.element_at(done, -1), s)))
-        ).otherwise(F.concat(done, F.array(s)))
-        return F.aggregate(F.split(par, r"(?<=[.!?])\s+"), F.expr("CAST(array() AS array<string>)"), add)
+def capped(paragraph: Column, most: int = PARAGRAPH_CHARS) -> Column:
+    """Array of pieces of at most so many characters, each as many whole sentences as fit; a longer sentence stands alone.
 
-    return F.flatten(F.transform(parts, lambda p: F.when(F.char_length(p) <= most, F.array(p)).otherwise(pack(p))))
+    White space must be single spaces. One scan: the rest if it fits, else the longest run of sentences that does, else one sentence.
+    """
+    end = r"[.!?](?= |\z)"
+    pieces = rf"\S.{{0,{most - 1}}}\z|(?:\S.{{0,{most - 2}}})?{end}|\S.*?{end}|\S.*\z"
+    return F.when(F.char_length(paragraph) <= most, F.array(paragraph)).otherwise(F.regexp_extract_all(paragraph, F.lit(pieces), F.lit(0)))
 
 
-def wrap(paragraph: str, most: int) -> list[str]:
-    """Words packed into pieces of at most so many characters; a longer word is cut."""
-    out, held = [], ""
-    for word in paragraph.split():
-        pieces = [word[i : i + most] for i in range(0, len(word), most)]
-        for piece in pieces:
-            if held and len(held) + 1 + len(piece) <= most:
-                held += " " + piece
-            else:
-                out += [held] if held else []
-                held = piece
-    return out + ([held] if held else [])
+def paragraphs(text: Column, most: int = PARAGRAPH_CHARS) -> Column:
+    """Array of paragraphs: split at blank lines and '>>', which goes; white space collapsed; capped at so many characters."""
+    parts = F.filter(F.transform(F.split(text, r"\n\s*\n|\s*>>\s*"), collapse), lambda p: p != "")
+    return F.flatten(F.transform(parts, lambda p: capped(p, most)))
+
+
+def filled(units: list[str], gap: str, most: int, cut: Callable[[str], list[str]]) -> list[str]:
+    """Pieces of as many units as fit into so many characters, with gap between; a longer unit's own pieces stand alone, after and before others."""
+    out, piece = [], ""
+    for unit in units:
+        fits = len(piece) + len(gap) + len(unit) <= most
+        if fits:
+            piece = f"{piece}{gap}{unit}".strip()
+            continue
+        out.append(piece)
+        piece = unit
+        if len(unit) > most:
+            out += cut(unit)
+            piece = ""
+    return [p for p in (*out, piece) if p]
 
 
 def pack(text: str, most: int) -> list[str]:
-    """Whole if short enough, else paragraphs packed greedily; nothing but white space is lost."""
-    import re
-
+    """The text whole if short enough; else its paragraphs, of long ones the words, of long words the characters, filled into pieces."""
     text = text.strip()
     if len(text) <= most:
-        return [text] if text else []
-    out, held = [], ""
-    for par in (p for p in re.split(r"\n{2,}", text) if p.strip()):
-        if held and len(held) + 2 + len(par) <= most:
-            held += "\n\n" + par
-            continue
-        out += [held] if held else []
-        held = ""
-        if len(par) <= most:
-            held = par
-        else:
-            out += wrap(par, most)
-    return out + ([held] if held else [])
+        return [text]
+    letters = lambda word: [word[i : i + most] for i in range(0, len(word), most)]
+    return filled(re.split(r"\n{2,}", text), "\n\n", most, lambda par: filled(par.split(" "), " ", most, letters))
 
 
 def chunks(text: Column, most: int = CHUNK_CHARS) -> Column:
@@ -174,32 +176,22 @@ def chunks(text: Column, most: int = CHUNK_CHARS) -> Column:
     return packed(text)
 
 
-def embedded_object(text: str | None, marker: str) -> str | None:
-    """The first balanced {...} after the marker, aware of strings and escapes."""
-    at = text.find(marker) if text else -1
-    start = text.find("{", at + len(marker)) if at >= 0 else -1
-    depth, quoted, escaped = 0, False, False
-    for i in range(start, len(text)) if start >= 0 else ():
-        c = text[i]
-        if quoted:
-            escaped, quoted = (False, True) if escaped else (c == "\\", c != '"')
-        elif c == '"':
-            quoted = True
-        elif c in "{}":
-            depth += 1 if c == "{" else -1
-            if depth == 0:
-                return text[start : i + 1]
-    return None
-
-
 def json_after(text: Column, marker: str) -> Column:
-    """The first balanced object after the marker; null without one."""
+    """The first balanced object after the marker; null without one. Braces in strings do not count.
+
+    The text from the brace on is cut into strings, braces and the rest; a running sum over the braces finds the end.
+    """
+    after = F.when(F.instr(text, marker) > 0, F.substring(text, F.instr(text, marker) + len(marker), F.char_length(text))) if marker else text
+    rest = F.substring(after, F.nullif(F.instr(after, "{"), F.lit(0)), F.char_length(after))
+    parts = F.regexp_extract_all(rest, F.lit(r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"|[{}]|[^"{}]++|".*'), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("chars"), F.lit(False).alias("closed"))
 
-    @F.pandas_udf("string")
-    def found(texts: pd.Series) -> pd.Series:
-        return pd.Series([embedded_object(t, marker) for t in texts], dtype=object)
+    def step(at: Column, part: Column) -> Column:
+        depth = at["depth"] + F.when(part == "{", 1).when(part == "}", -1).otherwise(0)
+        return F.when(at["closed"], at).otherwise(F.struct(depth.alias("depth"), (at["chars"] + F.char_length(part)).alias("chars"), (depth == 0).alias("closed")))
 
-    return found(text)
+    end = F.aggregate(parts, start, step)
+    return F.when(end["closed"], F.substring(rest, F.lit(1), end["chars"]))
 
 
 def loose_json(raw: Column) -> Column:
@@ -209,17 +201,79 @@ def loose_json(raw: Column) -> Column:
     return F.coalesce(pick(bare), pick(json_after(raw, "")))
 
 
+def clean_caption(line: Column) -> Column:
+    """Without tags; entities as what they stand for."""
+    out = F.regexp_replace(line, r"<[^>]+>", "")
+    for entity, char in ENTITIES.items():
+        out = F.replace(out, F.lit(entity), F.lit(char))
+    return F.trim(out)
+
+
 def cue_blocks(vtt: Column) -> Column:
-    """array<struct<start, stop, text>> of a caption file: hours optional, dot or comma, tags cleaned, blank cues dropped."""
-    clock = r"(?:(\d+):)?(\d\d):(\d\d)[.,](\d{3})"
-    pattern = rf"(?m)^{clock}[ \t]*-->[ \t]*{clock}"
+    """array<struct<start, stop, text>> of a caption file: hours optional, dot or comma, lines cleaned and joined; blank cues and those that say
+    what the one before said are dropped."""
+    clock = r"(?:(\d+):)?(\d{1,2}):(\d{2})[.,](\d{3})"
+
+    def seconds(of: Column, pattern: str) -> Column:
+        n = lambda i: F.coalesce(F.nullif(F.regexp_extract(of, pattern, i), F.lit("")), F.lit("0")).cast("double")
+        return F.when(of.rlike(pattern), n(1) * 3600 + n(2) * 60 + n(3) + n(4) / 1000)
+
+    # a line with an arrow, and the lines after it up to a blank one or the next arrow
+    blocks = F.regexp_extract_all(F.regexp_replace(vtt, r"\r\n?", "\n"), F.lit(r"(?m)^[^\n]*-->[^\n]*(?:\n(?![^\n]*-->)[^\n]*\S[^\n]*)*+"), F.lit(0))
+    said = lambda b: F.array_join(F.filter(F.transform(F.slice(F.split(b, "\n"), F.lit(2), F.size(F.split(b, "\n"))), clean_caption), lambda x: x != ""), " ")
+    start = lambda b: seconds(b, rf"^\s*{clock}")
+    stop = lambda b: F.coalesce(seconds(F.regexp_extract(b, r"-->[ \t]*([^\s]*)", 1), rf"^{clock}"), start(b))
+    cues = F.filter(F.transform(blocks, lambda b: F.struct(start(b).alias("start"), stop(b).alias("stop"), said(b).alias("text"))), lambda c: c["start"].isNotNull() & (c["text"] != ""))
+    return F.filter(cues, lambda c, i: (i == 0) | (c["text"] != F.get(cues, i - 1)["text"]))
+
+
+def caption_paragraphs(vtt: Column) -> Column:
+    """Array of a caption file's paragraphs: a new one at '>>', which goes, and after a pause of over PAUSE_SECONDS; capped in length."""
+    cues = F.transform(cue_blocks(vtt), lambda c: F.struct(c["start"].alias("start"), c["stop"].alias("stop"), c["text"].startswith(">>").alias("speaker"), F.trim(F.regexp_replace(c["text"], "^>+", "")).alias("text")))
+    cues = F.filter(cues, lambda c: c["text"] != "")
+    breaks = lambda c, i: F.when((i > 0) & (c["speaker"] | (c["start"] - F.get(cues, i - 1)["stop"] > PAUSE_SECONDS)), F.lit("\n\n")).otherwise(F.lit(" "))
+    return paragraphs(F.array_join(F.transform(cues, lambda c, i: F.concat(breaks(c, i), c["text"])), ""))
+
+
+def html_meta(html: Column) -> dict[str, Column]:
+    """n_links, first_href, last_page (greatest page= of a link, else 1), title ('?' without), total (paragraphs) of a listing page."""
+    hrefs = F.regexp_extract_all(html, F.lit(r'<a\b[^>]*href="([^"]*)"'), F.lit(1))
+    pages = F.transform(F.filter(hrefs, lambda x: x.rlike(r"page=\d+")), lambda x: F.regexp_extract(x, r"page=(\d+)", 1).cast("int"))
+    return {"n_links": F.size(hrefs).cast("long"), "first_href": F.get(hrefs, F.lit(0)), "last_page": F.coalesce(F.array_max(pages), F.lit(1)),
+            "title": F.coalesce(F.nullif(F.regexp_extract(html, r"<title>([^<]*)</title>", 1), F.lit("")), F.lit("?")), "total": F.regexp_count(html, F.lit(r"<p\b")).cast("long")}
+
+
+def digest16(text: Column) -> Column:
+    """First 16 hexadecimal digits of the SHA-256: names a cached prose or study."""
+    return F.left(F.sha2(text, 256), F.lit(16))
+
+
+def set_key(blob: Column, key: str, value: Column) -> Column:
+    """A flat JSON object with one key set, as JSON in order of keys; null counts as the empty object."""
+    fields = F.coalesce(F.from_json(blob, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    others = F.map_filter(fields, lambda k, _: k != key)
+    entries = F.array_sort(F.map_entries(F.map_concat(others, F.create_map(F.lit(key), value.cast("string")))))
+    return F.to_json(F.map_from_entries(entries))
+
+
+def descriptor(blob: Column) -> Column:
+    """struct<external_id, url, title, published_at, channel_ref> of a discovery record in JSON; null without an id.
+
+    The channel is the handle, else the author's slug or handle; a date that is none is null.
+    """
+    get = lambda p: F.get_json_object(blob, f"$.{p}")
+    text = lambda p: F.nullif(F.trim(get(p)), F.lit(""))
+    channel = F.coalesce(text("channel_handle"), F.coalesce(F.trim(F.nullif(get("author.slug"), F.lit(""))), F.trim(get("author.handle"))))
+    at = F.try_to_timestamp(F.replace(get("published_at"), F.lit("Z"), F.lit(""))).cast("timestamp_ntz")
+    made = F.struct(text("external_id").alias("external_id"), get("url").alias("url"), get("title").alias("title"), at.alias("published_at"), F.nullif(channel, F.lit("")).alias("channel_ref"))
+    return F.when(text("external_id").isNotNull(), made)
 
-    def seconds(line: Column, at: int) -> Column:
-        n = lambda i: F.coalesce(F.nullif(F.regexp_extract(line, pattern, at + i), F.lit("")), F.lit("0")).cast("double")
-        return n(0) * 3600 + n(1) * 60 + n(2) + n(3) / 1000
 
-    blocks = F.filter(F.split(vtt, r"\r?\n\s*\r?\n"), lambda b: F.rlike(b, F.lit(pattern)))
-    clean = lambda b: collapse(F.regexp_replace(F.regexp_replace(F.regexp_replace(b, r"(?s)^.*?-->[^\n]*\n?", ""), r"<[^>]*>", ""), r"&nbsp;|&amp;nbsp;", " "))
-    cues = F.transform(blocks, lambda b: F.struct(seconds(b, 1).alias("start"), seconds(b, 5).alias("stop"), clean(b).alias("text")))
-    return F.filter(cues, lambda c: c["text"] != "")
+def vector_text(vector: Column) -> Column:
+    """[x,y,...] with six decimals."""
+    def six(x: Column) -> Column:
+        micros = F.round(x.cast("double") * 1e6).cast("long")
+        size = F.lpad(F.abs(micros).cast("string"), F.greatest(F.lit(7), F.char_length(F.abs(micros).cast("string"))), F.lit("0"))
+        return F.concat(F.when(micros < 0, "-").otherwise(""), F.left(size, F.char_length(size) - 6), F.lit("."), F.right(size, F.lit(6)))
 
+    return F.concat(F.lit("["), F.array_join(F.transform(vector, six), ","), F.lit("]"))

@@ -33,6 +33,25 @@ def replace_run(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new.select(*old.columns))
 
 
+def promote(items: DataFrame, runs: DataFrame, item: str = "item_id", run: str = "run") -> DataFrame:
+    """items with primary_run: of the item's finished runs that were not for comparison the latest; else what it was, if anything.
+
+    items: item, primary_run; runs: item, run, finished_at, done, compares.
+    """
+    latest = runs.filter("done AND NOT compares").groupBy(item).agg(F.max_by(run, F.struct("finished_at", run)).alias("__run"))
+    return items.join(latest, item, "left").withColumn("primary_run", F.coalesce("__run", "primary_run")).drop("__run")
+
+
+def backfilled(rows: DataFrame, column: str, where: Column, value: Column) -> DataFrame:
+    """rows with column set where it is null and the condition holds; applied again it changes nothing."""
+    return rows.withColumn(column, F.when(F.col(column).isNull() & F.coalesce(where, F.lit(False)), value).otherwise(F.col(column)))
+
+
+def sync_state(old: DataFrame, new: DataFrame, keys: Sequence[str] = ("ticker", "day"), order: str = "fetched_at") -> DataFrame:
+    """ticker, n_days, first_day, last_day over the merged prices: counted anew, so a day that comes twice counts once."""
+    return upsert(old, new, keys, order).groupBy("ticker").agg(F.count(F.lit(1)).alias("n_days"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
+
+
 def sync_jobs(need: DataFrame, state: DataFrame, now: str, fresh_day: Column | None = None, retry_hours: int = 168, size: int = 40) -> DataFrame:
     """ticker, start, batch, batch_start. need: ticker, first; state: ticker, status, last_day, last_synced_at."""
     at = F.lit(now).cast("timestamp_ntz")
@@ -51,6 +70,14 @@ def longest_prefix(pages: DataFrame, run: str = "run_id", number: str = "page_nu
     return placed.filter(F.col(number) == F.col("__rn")).groupBy(run).agg(F.count(F.lit(1)).alias("n_pages"))
 
 
+def best_prefix(pages: DataFrame, group: str, run: str = "run_id", number: str = "page_num") -> DataFrame:
+    """group and the gapless pages, from 1 on, of the group's run that has most of them; the greatest run of equals."""
+    placed = pages.withColumn("__rn", F.row_number().over(Window.partitionBy(group, run).orderBy(number))).filter(F.col(number) == F.col("__rn"))
+    kept = placed.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(group, run)))
+    best = kept.withColumn("__place", F.dense_rank().over(Window.partitionBy(group).orderBy(F.desc("__n"), F.desc(run))))
+    return best.filter("__place = 1").drop("__rn", "__n", "__place")
+
+
 def pending(rows: DataFrame, order: str, limit: int | None = None) -> DataFrame:
     """The whole queue in order; with a limit its first rows."""
     queue = rows.orderBy(order)

@@ -30,12 +30,26 @@ def filter_items(items: DataFrame, with_calls: DataFrame, sources: Sequence[str]
     return out.join(with_calls.select("item_id").distinct(), "item_id", "left_semi" if has_calls else "left_anti")
 
 
-def page(df: DataFrame, order: Sequence[Column], limit: int = 50, offset: int = 0, most: int = 200) -> DataFrame:
-    """Rows after offset in that order, limit kept within 1 and most: a top-k, not a sort of everything."""
-    return df.orderBy(*order).offset(max(0, offset)).limit(max(1, min(limit, most)))
+def page(df: DataFrame, order: Sequence[Column], limit: int | None = 50, offset: int = 0, most: int = 200) -> DataFrame:
+    """Rows after offset in that order, limit kept within 1 and most: a top-k, not a sort of everything. None lists all."""
+    rows = df.orderBy(*order).offset(max(0, offset))
+    return rows if limit is None else rows.limit(max(1, min(limit, most)))
+
+
+def page_with_total(df: DataFrame, order: Sequence[Column], limit: int = 50, offset: int = 0, most: int = 200) -> DataFrame:
+    """page() with total (how many rows df has), limit and offset on each row; the count is one row, so it is broadcast."""
+    limit, offset = max(1, min(limit, most)), max(0, offset)
+    total = df.agg(F.count(F.lit(1)).alias("total"))
+    return page(df, order, limit, offset, most).join(F.broadcast(total)).select("*", F.lit(limit).alias("limit"), F.lit(offset).alias("offset"))
+
+
+def scored_filter(wanted: bool | None) -> Column:
+    """True: scored calls; False: calls without a score; None: all."""
+    return F.lit(True) if wanted is None else F.col("score").isNotNull() if wanted else F.col("score").isNull()
 
 
 def call_order(name: str) -> list[Column]:
     """Recent if the name is not known."""
     first = {"score_desc": F.desc_nulls_last("score"), "score_asc": F.asc_nulls_last("score")}.get(name, F.desc_nulls_last("made_at"))
     return [first, F.desc("call_id")]
+

@@ -27,15 +27,25 @@ def attributed(calls: DataFrame, person: str = "person", item: str = "item_id")
     return calls.join(only, item, "left").withColumn(person, F.coalesce(person, "__lo")).drop("__lo")
 
 
+def hosts(person: Column, channel: Column, fragments: Mapping[str, Sequence[str]]) -> Column:
+    """Does the channel's name hold one of the person's fragments? fragments: person -> parts of the names of shows they host."""
+    name = F.lower(F.coalesce(channel, F.lit("")))
+    out = F.lit(False)
+    for who, parts in fragments.items():
+        for part in parts:
+            out |= (person == who) & name.contains(part.lower())
+    return F.coalesce(out, F.lit(False))
+
+
 def role(is_host: Column, n_people: Column) -> Column:
     return F.when(is_host, "host").when(n_people > 1, "guest").otherwise("solo")
 
 
 def keyword_pattern(keywords: Sequence[str]) -> str:
-    """Alphabetic ASCII keywords match as whole words, others anywhere; for lower-case text."""
+    """Keywords of ASCII letters alone match as whole words, others anywhere; for lower-case text."""
     import re
 
-    form = lambda k: rf"\b{re.escape(k)}\b" if k.isascii() and k[-1].isalpha() and k.strip() == k else re.escape(k)
+    form = lambda k: rf"\b{re.escape(k)}\b" if k.isascii() and k.isalpha() else re.escape(k)
     return "|".join(form(k.lower()) for k in keywords)
 
 
@@ -49,12 +59,13 @@ def directional(stance: Column) -> Column:
     return stance != 0
 
 
-def current_stance(events: DataFrame, by: Sequence[str], fall_back: bool = True) -> DataFrame:
-    """by, stance, seen_at: the last event that takes a side, else (if it may) the last of all. events: by, stance, seen_at, ref."""
+def current_stance(events: DataFrame, by: Sequence[str], fall_back: bool = True, **more: Column) -> DataFrame:
+    """by, stance, seen_at: the last event that takes a side, else (if it may) the last of all; and more aggregates. events: by, stance, seen_at, ref."""
     order = F.struct("seen_at", "ref")
     last_side = F.max_by(F.struct("stance", "seen_at"), F.when(directional(F.col("stance")), order))
     last = F.coalesce(last_side, F.max_by(F.struct("stance", "seen_at"), order)) if fall_back else last_side
-    return events.groupBy(*by).agg(last.alias("__l")).filter("__l IS NOT NULL").select(*by, "__l.stance", "__l.seen_at")
+    found = events.groupBy(*by).agg(last.alias("__l"), *(c.alias(n) for n, c in more.items())).filter("__l IS NOT NULL")
+    return found.select(*by, "__l.stance", "__l.seen_at", *more)
 
 
 def flips(events: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -68,3 +79,13 @@ def disagreements(latest: DataFrame) -> DataFrame:
     """topic, bulls, bears of topics on which people stand on both sides. latest: topic, person, stance."""
     n = lambda s: F.count_if(F.col("stance") == s)
     return latest.groupBy("topic").agg(n(1).alias("n_bulls"), n(-1).alias("n_bears")).filter("n_bulls > 0 AND n_bears > 0")
+
+
+def person_slugs(people: DataFrame, person: str = "person", order: str | None = None) -> DataFrame:
+    """people with slug: the name's, or person-NNN, counted in order over those whose name leaves none. people: a row a person."""
+    from callmark.functions.text import page_slug
+
+    own = people.withColumn("slug", F.nullif(page_slug(F.col(person)), F.lit("untitled")))
+    place = F.row_number().over(Window.orderBy(order or person))  # over the names without a Latin letter alone
+    nameless = own.filter("slug IS NULL").withColumn("slug", F.concat(F.lit("person-"), F.lpad(place.cast("string"), F.greatest(F.lit(3), F.char_length(place.cast("string"))), F.lit("0"))))
+    return own.filter("slug IS NOT NULL").unionByName(nameless)

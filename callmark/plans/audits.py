@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from callmark.operators import fuzzy
 from callmark.plans.registry import query
 from callmark.sources import markdown as md
 from callmark.sources.domain import Domain
@@ -21,11 +22,14 @@ def consistency(d: Domain) -> DataFrame:
         F.count_if(F.col("s2").isNull()).alias("missing"), F.count_if(F.col("s1").isNull()).alias("orphans"), F.count_if(F.col("n1") != F.col("n2")).alias("mismatches"), F.count_if(F.col("n1") == F.col("n2")).alias("fine"))
 
 
-@query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in ("region", "orders", "lineitem", "events", "documents", "pages")), prelude=False)
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in TABLES), prelude=False)
 def row_counts(d: Domain) -> DataFrame:
     from functools import reduce
 
-    counts = [d.table(t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("name"), "n") for t in ("region", "orders", "lineitem", "events", "documents", "pages")]
+    counts = [d.table(t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("name"), "n") for t in TABLES]
     return reduce(DataFrame.unionByName, counts)
 
 
@@ -35,16 +39,9 @@ def transcript_coverage(d: Domain) -> DataFrame:
     return d.table("documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(has).alias("with_mark"), F.round(100.0 * F.count_if(~has) / F.count(F.lit(1)), 6).alias("missing_pct"))
 
 
-@query("SELECT doc_id AS id FROM documents WHERE doc_id % 2 = 0 UNION SELECT page_id FROM pages EXCEPT SELECT doc_id FROM labels WHERE toxic = 1", prelude=False)
-def set_algebra(d: Domain) -> DataFrame:
-    """Distinct union, less what is gone."""
-    both = d.table("documents").filter("doc_id % 2 = 0").select(F.col("doc_id").alias("id")).union(d.table("pages").select("page_id")).distinct()
-    return both.join(d.table("labels").filter("toxic = 1").select(F.col("doc_id").alias("id")), "id", "left_anti")
-
-
 @query("SELECT CASE WHEN doc_id % 2 = 0 THEN doc_id ELSE -1 - doc_id END AS id FROM documents UNION SELECT page_id FROM pages EXCEPT SELECT doc_id FROM labels WHERE toxic = 1", prelude=False)
-def set_algebra_of_all(d: Domain) -> DataFrame:
-    """set_algebra over all documents; the odd ones have ids that no page has."""
+def set_algebra(d: Domain) -> DataFrame:
+    """Distinct union, less what is gone; odd documents have ids that no page has."""
     ids = d.table("documents").select(F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")).otherwise(-1 - F.col("doc_id")).alias("id"))
     both = ids.union(d.table("pages").select("page_id")).distinct()
     return both.join(d.table("labels").filter("toxic = 1").select(F.col("doc_id").alias("id")), "id", "left_anti")
@@ -65,25 +62,23 @@ def stale_pages(d: Domain) -> DataFrame:
     return md.changed(docs.filter("path % 3 = 0"), docs.filter("path % 2 = 0"))[1]
 
 
-_WORDS = "w AS (SELECT {id} AS id, list_distinct(list_filter(regexp_extract_all(lower(string_split(text, chr(10))[1]), '[a-z]+'), lambda x: length(x) >= 4)) AS t FROM {table})"
+def _stem_sql(table: str, key: str, stem: str) -> str:
+    return f"SELECT {key}, {stem} AS stem, list_distinct(regexp_extract_all({stem}, '[a-z]{{4,}}')) AS t FROM (SELECT *, regexp_replace(lower(string_split(text, chr(10))[1]), '[^a-z0-9]+', '-', 'g') AS slug FROM {table})"
 
 
-@query("WITH " + _WORDS.format(id="item_id", table="benchmark").replace("w AS", "a AS") + ", " + _WORDS.format(id="doc_id", table="documents").replace("w AS", "b AS") + """,
-x AS (SELECT id AS item_id, unnest(t) AS token FROM a), y AS (SELECT id AS doc_id, unnest(t) AS token FROM b) SELECT item_id, doc_id, count(*) AS shared FROM x JOIN y USING (token) GROUP BY ALL HAVING count(*) >= 3""", prelude=False)
+@query(f"""WITH a AS ({_stem_sql("benchmark", "item_id", "slug")}), b AS ({_stem_sql("documents", "doc_id", "'2024-01-01-mv-' || doc_id % 97 || '-' || left(slug, 60)")}),
+m AS (SELECT item_id, doc_id, length(a.stem) > 0 AND contains(b.stem, left(a.stem, 24)) AS by_prefix, contains(b.stem, 'mv-' || item_id) AS by_number, len(list_intersect(a.t, b.t)) AS shared FROM a, b)
+SELECT item_id, doc_id, by_prefix, by_number, shared >= 3 AS by_tokens FROM m WHERE by_prefix OR by_number OR shared >= 3""", prelude=False)
 def fuzzy_matches(d: Domain) -> DataFrame:
-    """Titles that share at least three words of four letters or more: joined on words, so only such pairs are formed."""
-    own = lambda t, c: d.table(t).select(c, F.explode(F.array_distinct(F.filter(F.regexp_extract_all(F.lower(F.split("text", "\n")[0]), F.lit("[a-z]+"), F.lit(0)), lambda x: F.char_length(x) >= 4))).alias("token"))
-    return own("benchmark", "item_id").join(own("documents", "doc_id"), "token").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("shared")).filter("shared >= 3")
-
-
-@query("SELECT event_type, CASE WHEN value > 50 THEN 'high' ELSE 'low' END AS facet, count(*) AS n FROM events WHERE user_id IN (1, 2, 3, 5, 8) GROUP BY ALL", prelude=False)
-def facets(d: Domain) -> DataFrame:
-    return d.table("events").filter(F.col("user_id").isin(1, 2, 3, 5, 8)).groupBy("event_type", F.when(F.col("value") > 50, "high").otherwise("low").alias("facet")).agg(F.count(F.lit(1)).alias("n"))
+    """Stems of files that hold the first 24 characters of a title's slug or its number, or share at least three words of four letters or more."""
+    slug = F.regexp_replace(F.lower(F.split("text", "\n")[0]), "[^a-z0-9]+", "-")
+    wanted = d.table("benchmark").select("item_id", slug.alias("slug"), F.col("item_id").cast("string").alias("number"))
+    stem = F.concat(F.lit("2024-01-01-mv-"), (F.col("doc_id") % 97).cast("string"), F.lit("-"), F.left(slug, F.lit(60)))
+    return fuzzy.same_title(wanted, d.table("documents").select("doc_id", stem.alias("stem")), "item_id", "doc_id")
 
 
 @query("SELECT event_type, CASE WHEN value > 50 THEN 'high' ELSE 'low' END AS facet, count(*) AS n FROM events GROUP BY ALL", prelude=False)
-def all_facets(d: Domain) -> DataFrame:
-    """facets over all users."""
+def facets(d: Domain) -> DataFrame:
     return d.table("events").groupBy("event_type", F.when(F.col("value") > 50, "high").otherwise("low").alias("facet")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callmark.functions import clean
+from callmark.operators import fuzzy
 from callmark.plans.registry import query
 from callmark.sources.domain import Domain
 
@@ -46,20 +47,17 @@ def content_paths_frame(d: Domain) -> DataFrame:
     return d.table("documents").select("doc_id", clean.content_path(F.col("source"), F.col("lang"), day, F.lit("t")).alias("path"))
 
 
-_T = "a AS (SELECT DISTINCT p_name AS topic, lower(p_name) AS k FROM part), b AS (SELECT DISTINCT string_split(p_name, ' ')[2] AS word FROM part)"
+_ASKED = """a AS (SELECT DISTINCT p_name AS topic, regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') AS k FROM part),
+b AS (SELECT asked, regexp_replace(lower(asked), '[^a-z0-9]+', '', 'g') AS q FROM (SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN string_split(p_name, ' ')[2] WHEN 1 THEN upper(replace(p_name, ' ', '-')) WHEN 2 THEN p_name || ' market analysis' ELSE right(p_name, 3) END AS asked FROM part))"""
 
 
-@query(f"WITH {_T} SELECT word, topic FROM b JOIN a ON contains(k, word) OR contains(word, k)", prelude=False)
+@query(f"WITH {_ASKED}, m AS (SELECT asked, topic, q = k AS exact FROM b JOIN a ON q <> '' AND (contains(k, q) OR contains(q, k))) SELECT asked, topic FROM m WHERE exact OR asked NOT IN (SELECT asked FROM m WHERE exact)", prelude=False)
 def topic_matches(d: Domain) -> DataFrame:
-    """Topics of which one's name holds the other's. Names are joined on their words; only a name of several words needs more."""
+    """Topics for names that were asked for: that of the same normalised key, else those of which one's key holds the other's."""
     names = d.table("part").select(F.col("p_name").alias("topic")).distinct()
-    words = names.select(F.split("topic", " ")[1].alias("word")).distinct()
-    pieces = names.select("topic", F.explode(F.split(F.lower("topic"), " ")).alias("piece"))
-    starts = F.transform(F.sequence(F.lit(1), F.char_length("piece")), lambda i: F.substring("piece", i, F.char_length("piece")))
-    # a word within a piece is a prefix of one of the piece's tails
-    tails = pieces.select("topic", F.explode(starts).alias("tail"))
-    parts = tails.select("topic", F.explode(F.transform(F.sequence(F.lit(1), F.char_length("tail")), lambda n: F.substring("tail", F.lit(1), n))).alias("word")).distinct()
-    return words.join(parts, "word").select("word", "topic").distinct()
+    k, name = F.col("p_partkey") % 4, F.col("p_name")
+    asked = F.when(k == 0, F.split(name, " ")[1]).when(k == 1, F.upper(F.replace(name, F.lit(" "), F.lit("-")))).when(k == 2, F.concat(name, F.lit(" market analysis"))).otherwise(F.right(name, F.lit(3)))
+    return fuzzy.contained(d.table("part").select(asked.alias("asked")).distinct(), "asked", names, "topic")
 
 
 @query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY CASE lang WHEN 'zh' THEN 0 WHEN 'en' THEN 1 WHEN 'en-orig' THEN 1 ELSE 2 END, lang) AS rn FROM (SELECT conv_id, CASE turn % 4 WHEN 0 THEN 'fr' WHEN 1 THEN 'en' WHEN 2 THEN 'zh' ELSE 'de' END AS lang FROM conversations)) SELECT conv_id, lang FROM r WHERE rn = 1", prelude=False)
@@ -80,13 +78,11 @@ def compatible_runs(d: Domain) -> DataFrame:
     return p.join(p.filter("run = 'click'").select("user_id", "mark"), ["user_id", "mark"], "left_semi").select("user_id", "run")
 
 
-@query("SELECT DISTINCT 'v' || (o_orderkey % 25) AS version, row_number() OVER (ORDER BY o_orderkey % 25) AS place FROM (SELECT DISTINCT o_orderkey % 25 AS o_orderkey FROM orders)", prelude=False)
+@query("SELECT 'v' || o_orderkey AS version, o_orderkey::INTEGER AS number FROM orders", prelude=False)
 def versions(d: Domain) -> DataFrame:
-    """Natural order: v2 before v10. A row for each version."""
-    from pyspark.sql import Window
-
-    rows = d.table("orders").select(F.concat(F.lit("v"), (F.col("o_orderkey") % 25).cast("string")).alias("version")).distinct()
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(clean.version_key(F.col("version")))).cast("long"))
+    """All versions in natural order: v2 before v10. A range sort."""
+    rows = d.table("orders").select(F.concat(F.lit("v"), F.col("o_orderkey").cast("string")).alias("version"))
+    return rows.select("version", clean.version_key(F.col("version"))["number"].alias("number")).orderBy("number", "version")
 
 
 @query("SELECT o_custkey AS owner, 'v' || o_orderkey AS version, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders", prelude=False)

@@ -55,6 +55,15 @@ def resume_prefix(d: Domain) -> DataFrame:
     return op.longest_prefix(crawl_pages(d).filter("page_num > 0"))
 
 
+_PREFIX = "n AS (SELECT run_id, page_num, ts, row_number() OVER (PARTITION BY run_id ORDER BY page_num) AS rn FROM pages_ WHERE page_num > 0), k AS (SELECT run_id // 10 AS creator, run_id, page_num, ts FROM n WHERE page_num = rn), s AS (SELECT creator, run_id, count(*) AS n FROM k GROUP BY ALL), best AS (SELECT creator, arg_max(run_id, (n, run_id)) AS run_id FROM s GROUP BY creator)"
+
+
+@query(f"WITH {_PAGES}, {_PREFIX} SELECT creator, run_id, page_num, ts FROM k JOIN best USING (creator, run_id) WHERE page_num > 1", prelude=False)
+def resume_pages(d: Domain) -> DataFrame:
+    """Of each creator's runs (ten a creator) the one with most pages from 1 without a gap, the newest of equals: its pages to take over, but for the first, which is fetched anew."""
+    return op.best_prefix(crawl_pages(d).filter("page_num > 0").withColumn("creator", F.floor(F.col("run_id") / 10)), "creator").filter("page_num > 1")
+
+
 @query(f"WITH {_PAGES} SELECT page_num, arg_max(run_id, (ts, run_id)) AS run_id, max(ts) AS ts FROM pages_ GROUP BY page_num", prelude=False)
 def newest_pages(d: Domain) -> DataFrame:
     """Of each page the copy of the newest run."""
@@ -78,11 +87,15 @@ def pending_counts(d: Domain) -> DataFrame:
     return both.groupBy("source").agg(F.sum("total").alias("total"), F.sum("downloaded").alias("downloaded"), F.sum(F.col("total") - F.col("downloaded")).alias("pending"))
 
 
-@query("SELECT event_type, sum((props->>'k')::BIGINT)::BIGINT AS total FROM events WHERE (props->>'k') IS NOT NULL GROUP BY event_type HAVING sum((props->>'k')::BIGINT) <> 0", prelude=False)
+@query("""WITH t AS (SELECT event_type AS source, sum((props->>'k')::BIGINT)::BIGINT AS total FROM events WHERE (props->>'k') IS NOT NULL GROUP BY event_type
+UNION ALL SELECT 'search', sum(n_chars)::BIGINT FROM documents UNION ALL SELECT 'posts', sum(CASE WHEN c_custkey < 0 THEN 1 ELSE 0 END)::BIGINT FROM customer UNION ALL SELECT 'creators', sum(s_suppkey)::BIGINT FROM supplier) SELECT * FROM t WHERE total <> 0""", prelude=False)
 def known_totals(d: Domain) -> DataFrame:
-    """Totals told in JSON; those that are 0 are left out."""
+    """Totals told in JSON and in two state tables; those that are 0 are left out."""
     k = F.get_json_object("props", "$.k").try_cast("long")
-    return d.table("events").filter(F.get_json_object("props", "$.k").isNotNull()).groupBy("event_type").agg(F.sum(k).alias("total")).filter("total <> 0")
+    told = d.table("events").filter(F.get_json_object("props", "$.k").isNotNull()).groupBy(F.col("event_type").alias("source")).agg(F.sum(k).alias("total"))
+    one = lambda t, name, of: d.table(t).agg(F.sum(of).cast("long").alias("total")).select(F.lit(name).alias("source"), "total")
+    both = told.unionByName(one("documents", "search", F.col("n_chars"))).unionByName(one("customer", "posts", F.when(F.col("c_custkey") < 0, 1).otherwise(0))).unionByName(one("supplier", "creators", F.col("s_suppkey")))
+    return both.filter("total <> 0")
 
 
 def not_downloaded(d: Domain) -> DataFrame:
@@ -90,15 +103,9 @@ def not_downloaded(d: Domain) -> DataFrame:
     return d.table("pages").filter("page_id % 3 <> 0").select("page_id", "url").join(docs, "page_id", "left").select("page_id", "url", F.coalesce("lang", F.lit("n/a")).alias("lang"))
 
 
-@query("""SELECT p.page_id, url, coalesce(lang, 'n/a') AS lang FROM pages p LEFT JOIN documents d ON p.page_id = d.doc_id WHERE p.page_id % 3 <> 0 ORDER BY p.page_id LIMIT 1000""", prelude=False)
-def pending_queue(d: Domain) -> DataFrame:
-    """What is not downloaded, oldest first, missing fields filled from the row beside it; its first 1,000 rows, as its SQL says."""
-    return op.pending(not_downloaded(d), "page_id", 1_000)
-
-
 @query("""SELECT p.page_id, url, coalesce(lang, 'n/a') AS lang FROM pages p LEFT JOIN documents d ON p.page_id = d.doc_id WHERE p.page_id % 3 <> 0 ORDER BY p.page_id""", prelude=False)
-def whole_queue(d: Domain) -> DataFrame:
-    """pending_queue without a limit."""
+def pending_queue(d: Domain) -> DataFrame:
+    """All that is not downloaded, oldest first, missing fields filled from the row beside it."""
     return op.pending(not_downloaded(d), "page_id")
 
 
@@ -108,23 +115,23 @@ def catalog_years(d: Domain) -> DataFrame:
     return d.table("documents").groupBy(F.coalesce(year, F.lit(0)).alias("year")).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("doc_id") % 4 == 0).alias("downloaded"))
 
 
-@query("""WITH u AS (SELECT user_id, event_type, '["' || string_agg(event_id::VARCHAR, '","' ORDER BY event_id) || '"]' AS ids FROM events WHERE event_id < 5000 GROUP BY ALL),
-x AS (SELECT user_id, event_type, unnest(string_split(replace(replace(replace(ids, '["', ''), '"]', ''), '","', ','), ',')) AS id, unnest(range(0, len(string_split(ids, ',')))) AS ord FROM u)
-SELECT x.user_id, x.event_type, ord, id::BIGINT AS event_id, value FROM x JOIN events ON event_id = id::BIGINT""", prelude=False)
+@query("""WITH u AS (SELECT event_type, event_id // 100 AS page, '["' || string_agg(event_id::VARCHAR, '","' ORDER BY event_id) || '"]' AS ids FROM events GROUP BY ALL),
+x AS (SELECT event_type, page, unnest(string_split(replace(replace(replace(ids, '["', ''), '"]', ''), '","', ','), ',')) AS id, unnest(range(0, len(string_split(ids, ',')))) AS ord FROM u)
+SELECT x.event_type, x.page, ord, id::BIGINT AS event_id, value FROM x JOIN events ON event_id = id::BIGINT""", prelude=False)
 def catalog_pages(d: Domain) -> DataFrame:
-    """Ids in a JSON array, in their order, joined with what they name; the first 5,000 ids only, as its SQL says."""
-    e = d.table("events")
+    """Ids in a JSON array, in their order, joined with what they name; a page holds the ids of a hundred, whatever the table's size."""
+    e, keys = d.table("events"), ["event_type", "page"]
     ids = F.to_json(F.transform(F.array_sort(F.collect_list("event_id")), lambda x: x.cast("string")))
-    stored = e.filter("event_id < 5000").groupBy("user_id", "event_type").agg(ids.alias("ids"))
-    each = stored.select("user_id", "event_type", F.posexplode(F.from_json("ids", "array<string>")).alias("ord", "id"))
-    return each.select("user_id", "event_type", F.col("ord").cast("long").alias("ord"), F.col("id").cast("long").alias("event_id")).join(e.select("event_id", "value"), "event_id")
+    stored = e.withColumn("page", F.floor(F.col("event_id") / 100)).groupBy(*keys).agg(ids.alias("ids"))
+    each = stored.select(*keys, F.posexplode(F.from_json("ids", "array<string>")).alias("ord", "id"))
+    return each.select(*keys, F.col("ord").cast("long").alias("ord"), F.col("id").cast("long").alias("event_id")).join(e.select("event_id", "value"), "event_id")
 
 
 @query("""WITH u AS (SELECT user_id, event_type, ts::DATE AS day, '["' || string_agg(event_id::VARCHAR, '","' ORDER BY event_id) || '"]' AS ids FROM events GROUP BY ALL),
 x AS (SELECT user_id, event_type, day, unnest(string_split(replace(replace(replace(ids, '["', ''), '"]', ''), '","', ','), ',')) AS id, unnest(range(0, len(string_split(ids, ',')))) AS ord FROM u)
 SELECT x.user_id, x.event_type, x.day, ord, id::BIGINT AS event_id, value FROM x JOIN events ON event_id = id::BIGINT""", prelude=False)
 def catalog_entries(d: Domain) -> DataFrame:
-    """catalog_pages over all events: an array for each user, type and day, so that arrays stay short however large events is."""
+    """The same by user, type and day."""
     e, keys = d.table("events"), ["user_id", "event_type", "day"]
     ids = F.to_json(F.transform(F.array_sort(F.collect_list("event_id")), lambda x: x.cast("string")))
     stored = e.withColumn("day", F.to_date("ts")).groupBy(*keys).agg(ids.alias("ids"))

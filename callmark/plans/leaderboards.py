@@ -97,15 +97,16 @@ def weekly_recent(d: Domain) -> DataFrame:
     return rows.withColumn("place", place).orderBy(F.desc("week_start"), "place")
 
 
-@query("""+ weekly AS (SELECT segment, date_trunc('quarter', made_at)::DATE AS quarter, avg(score) AS s FROM primary_scored JOIN item USING (item_id) JOIN channel USING (channel_id) GROUP BY ALL)
-SELECT quarter, round(max(CASE WHEN segment = 'AUTOMOBILE' THEN s END), 6) AS automobile, round(max(CASE WHEN segment = 'BUILDING' THEN s END), 6) AS building, round(max(CASE WHEN segment = 'MACHINERY' THEN s END), 6) AS machinery FROM weekly GROUP BY quarter""")
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+
+
+@query("+ weekly AS (SELECT segment, date_trunc('week', made_at)::DATE AS week, avg(score) AS s FROM primary_scored JOIN item USING (item_id) JOIN channel USING (channel_id) GROUP BY ALL) SELECT week, " + ", ".join(f"round(max(CASE WHEN segment = '{x}' THEN s END), 6) AS {x.lower()}" for x in SEGMENTS) + " FROM weekly GROUP BY week")
 def segment_pivot(d: Domain) -> DataFrame:
-    """Quarter by channel segment, as for a chart."""
+    """Week by channel segment, as for a chart."""
     owner = d.item.select("item_id", "channel_id").join(d.channel.select("channel_id", F.lower("segment").alias("segment")), "channel_id").drop("channel_id")
-    rows = scored_primary(d, owner)
-    names = ["automobile", "building", "machinery"]
-    wide = rows.groupBy(F.to_date(F.date_trunc("quarter", "made_at")).alias("quarter")).pivot("segment", names).agg(F.avg("score"))
-    return wide.select("quarter", *(F.round(n, 6).alias(n) for n in names))
+    names = [x.lower() for x in SEGMENTS]
+    wide = scored_primary(d, owner).groupBy(F.to_date(F.date_trunc("week", "made_at")).alias("week")).pivot("segment", names).agg(F.avg("score"))
+    return wide.select("week", *(F.round(n, 6).alias(n) for n in names))
 
 
 @query(f"""+ rows AS (SELECT speaker, score, made_at, channel_id FROM primary_scored JOIN item USING (item_id)),

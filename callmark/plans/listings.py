@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from callmark.functions import calls
-from callmark.operators.listing import call_order, filter_items, page
+from callmark.operators.listing import call_order, filter_items, page, page_with_total, scored_filter
 from callmark.plans.leaderboards import scored
 from callmark.plans.registry import query
 from callmark.sources.domain import NOW, Domain
@@ -55,21 +55,30 @@ WHERE source IN ('ASIA', 'EUROPE') AND published_at >= TIMESTAMP '1996-01-01' AN
 def list_items(d: Domain) -> DataFrame:
     rows = filter_items(items_with_source(d), d.primary_call, sources=["ASIA", "EUROPE"], first="1996-01-01", last="1998-12-31")
     top = page(rows.select("item_id", "source", "handle", "published_at", "status"), [F.desc_nulls_last("published_at"), F.desc("item_id")], 1_000, 10)
-    return top.join(d.primary_call.select("item_id", F.lit(True).alias("has_calls")).distinct(), "item_id", "left").withColumn("has_calls", F.coalesce("has_calls", F.lit(False)))
+    has = d.call.join(F.broadcast(top.select("item_id")), "item_id", "left_semi").select("item_id", F.lit(True).alias("has_calls")).distinct()  # an item with any call has a primary one; at most a page's
+    return top.join(has, "item_id", "left").withColumn("has_calls", F.coalesce("has_calls", F.lit(False)))
 
 
-@query("SELECT count(*) AS total, count(*) FILTER (WHERE status = 'done') AS done FROM item WHERE item_id NOT IN (SELECT item_id FROM primary_call WHERE direction = 'up') AND channel_id % 2 = 0")
+@query("SELECT count(*) AS total, count(*) FILTER (WHERE status = 'done') AS done FROM item WHERE item_id NOT IN (SELECT item_id FROM primary_call WHERE direction = 'up')")
 def items_without_calls(d: Domain) -> DataFrame:
     """The total beside a page; items that were never extracted count as being without calls."""
-    rows = filter_items(d.item.filter("channel_id % 2 = 0"), d.primary_call.filter("direction = 'up'"), has_calls=False)
+    rows = filter_items(d.item, d.primary_call.filter("direction = 'up'"), has_calls=False)
     return rows.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "done").alias("done"))
 
 
-@query("SELECT count(*) AS total, count(*) FILTER (WHERE status = 'done') AS done FROM item WHERE item_id NOT IN (SELECT item_id FROM primary_call WHERE direction = 'up')")
-def all_items_without_calls(d: Domain) -> DataFrame:
-    """items_without_calls over all items, those without a channel too."""
-    rows = filter_items(d.item, d.primary_call.filter("direction = 'up'"), has_calls=False)
-    return rows.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "done").alias("done"))
+@query("""+ found AS (SELECT item_id, source, published_at, count(*) OVER () AS total FROM item JOIN source USING (source_id) WHERE status = 'error')
+SELECT item_id, source, published_at, total, 50::INTEGER AS "limit", 100::INTEGER AS "offset" FROM found ORDER BY published_at DESC NULLS LAST, item_id DESC LIMIT 50 OFFSET 100""")
+def counted_page(d: Domain) -> DataFrame:
+    """A page of failed items and, on each of its rows, how many there are in all."""
+    rows = filter_items(items_with_source(d).filter("status = 'error'").select("item_id", "source", "published_at"), d.primary_call)
+    return page_with_total(rows, [F.desc_nulls_last("published_at"), F.desc("item_id")], 50, 100)
+
+
+@query("""SELECT item_id, source, published_at, status FROM item JOIN source USING (source_id) WHERE published_at >= TIMESTAMP '1996-01-01' AND published_at < TIMESTAMP '1999-01-01'""")
+def list_all_items(d: Domain) -> DataFrame:
+    """A listing without a limit: every item between two days, in order."""
+    rows = filter_items(d.item.join(F.broadcast(d.source), "source_id"), d.primary_call, first="1996-01-01", last="1998-12-31")
+    return page(rows.select("item_id", "source", "published_at", "status"), [F.desc_nulls_last("published_at"), F.desc("item_id")], None)
 
 
 @query("""SELECT call_id, item_id, speaker, ticker, direction, made_at, round(score, 6) AS score, NULL::VARCHAR AS snippet FROM primary_scored JOIN item USING (item_id)
@@ -77,17 +86,17 @@ WHERE speaker ILIKE '%s1%' AND direction = 'up' AND score IS NOT NULL AND made_a
 def prediction_browser(d: Domain) -> DataFrame:
     """Filters of the calls browser; % and _ in the user's text stay wildcards."""
     wanted = d.primary_call.filter(F.col("speaker").ilike("%s1%") & (F.col("direction") == "up") & (F.col("made_at") >= "1996-01-01")).join(d.item.select("item_id"), "item_id", "left_semi")
-    rows = scored(d, wanted).filter("score IS NOT NULL").select("call_id", "item_id", "speaker", "ticker", "direction", "made_at", "score")
+    rows = scored(d, wanted).filter(scored_filter(True)).select("call_id", "item_id", "speaker", "ticker", "direction", "made_at", "score")
     return page(rows, call_order("score_desc"), 500).select("call_id", "item_id", "speaker", "ticker", "direction", "made_at", F.round("score", 6).alias("score"), F.lit(None).cast("string").alias("snippet"))
 
 
 @query("""+ runs AS (SELECT item_id, provider, model, count(*) AS n_calls, count(*) FILTER (WHERE sign <> 0) AS n_directional, max(made_at) AS last_at FROM call GROUP BY ALL)
 SELECT runs.*, provider = run[1] AND model = run[2] AS is_primary FROM runs JOIN primary_run USING (item_id)""")
 def item_runs(d: Domain) -> DataFrame:
+    """Runs of each item with their counts; the smallest is primary. One aggregation, then a window over the runs."""
     sign = calls.stance(F.col("direction"), F.col("action"))
     runs = d.call.groupBy("item_id", "provider", "model").agg(F.count(F.lit(1)).alias("n_calls"), F.count_if(sign != 0).alias("n_directional"), F.max("made_at").alias("last_at"))
-    best = d.primary_run.select("item_id", F.col("provider").alias("p"), F.col("model").alias("m"))
-    return runs.join(best, "item_id").withColumn("is_primary", (F.col("provider") == F.col("p")) & (F.col("model") == F.col("m"))).drop("p", "m")
+    return runs.withColumn("is_primary", F.row_number().over(Window.partitionBy("item_id").orderBy("provider", "model")) == 1)
 
 
 @query("""+ a AS (SELECT * FROM call WHERE provider = 'F'), b AS (SELECT * FROM call WHERE provider = 'O'),

@@ -34,8 +34,7 @@ def opinion_shifts(d: Domain) -> DataFrame:
 @query(f"+ {EVENTS} SELECT person, topic, coalesce(arg_max(stance, (seen_at, ref)) FILTER (WHERE stance <> 0), arg_max(stance, (seen_at, ref))) AS stance, count(*) AS n, max(seen_at) AS last_at FROM ev WHERE person IS NOT NULL GROUP BY ALL")
 def person_topics(d: Domain) -> DataFrame:
     rows = events(d).filter("person IS NOT NULL")
-    totals = rows.groupBy("person", "topic").agg(F.count(F.lit(1)).alias("n"), F.max("seen_at").alias("last_at"))
-    return op.current_stance(rows, ["person", "topic"]).drop("seen_at").join(totals, ["person", "topic"])
+    return op.current_stance(rows, ["person", "topic"], n=F.count(F.lit(1)), last_at=F.max("seen_at")).drop("seen_at")
 
 
 @query(f"+ {EVENTS}, latest AS (SELECT topic, person, arg_max(stance, (seen_at, ref)) FILTER (WHERE stance <> 0) AS stance FROM ev WHERE person IS NOT NULL GROUP BY ALL) SELECT topic, count(*) FILTER (WHERE stance = 1) AS n_bulls, count(*) FILTER (WHERE stance = -1) AS n_bears FROM latest GROUP BY topic HAVING n_bulls > 0 AND n_bears > 0")
@@ -50,10 +49,9 @@ SELECT person, topic, stance, CASE WHEN stance = 1 THEN down ELSE up END AS n_op
 def opposed_people(d: Domain) -> DataFrame:
     """How many others stand against a person's current stance with their last event; counted by side, not by pairs of people."""
     by = ["person", "topic"]
-    rows = events(d).filter("person IS NOT NULL")
-    last = rows.groupBy(*by).agg(F.max_by("stance", F.struct("seen_at", "ref")).alias("last"))
-    sides = last.groupBy("topic").agg(F.count_if(F.col("last") == 1).alias("up"), F.count_if(F.col("last") == -1).alias("down"))
-    mine = op.current_stance(rows, by).filter("stance <> 0").join(sides, "topic")
+    rows = op.current_stance(events(d).filter("person IS NOT NULL"), by, last=F.max_by("stance", F.struct("seen_at", "ref")))
+    sides = rows.groupBy("topic").agg(F.count_if(F.col("last") == 1).alias("up"), F.count_if(F.col("last") == -1).alias("down"))
+    mine = rows.filter("stance <> 0").join(sides, "topic")
     return mine.select(*by, "stance", F.when(F.col("stance") == 1, F.col("down")).otherwise(F.col("up")).alias("n_opposed"))
 
 
@@ -61,10 +59,10 @@ def opposed_people(d: Domain) -> DataFrame:
 SELECT person, count(*) AS n_events, count(DISTINCT item_id) AS appearances, count(DISTINCT channel_id) AS n_channels, string_agg(DISTINCT CASE WHEN source_id = 1 THEN 'host' WHEN n_people > 1 THEN 'guest' ELSE 'solo' END, '/' ORDER BY CASE WHEN source_id = 1 THEN 'host' WHEN n_people > 1 THEN 'guest' ELSE 'solo' END) AS roles FROM r GROUP BY person""".replace("count(DISTINCT person) OVER (PARTITION BY item_id)", "n_people").replace("FROM ev JOIN item USING (item_id)", "FROM ev JOIN item USING (item_id) JOIN (SELECT item_id, count(DISTINCT person) AS n_people FROM ev GROUP BY item_id) USING (item_id)").replace("source_id, n_people AS n_people", "source_id, n_people"))
 def people(d: Domain) -> DataFrame:
     """Persons with events, items, channels and roles; a person hosts where the item's source is theirs."""
-    rows = events(d).filter("person IS NOT NULL").join(d.item.select("item_id", "channel_id", "source_id"), "item_id")
-    counted = rows.join(rows.groupBy("item_id").agg(F.countDistinct("person").alias("n_people")), "item_id")
+    by_item = events(d).filter("person IS NOT NULL").groupBy("item_id", "person").agg(F.count(F.lit(1)).alias("n"))
+    counted = by_item.withColumn("n_people", F.count(F.lit(1)).over(Window.partitionBy("item_id"))).join(d.item.select("item_id", "channel_id", "source_id"), "item_id")
     named = counted.withColumn("role", op.role(F.col("source_id") == 1, F.col("n_people")))
-    return named.groupBy("person").agg(F.count(F.lit(1)).alias("n_events"), F.countDistinct("item_id").alias("appearances"), F.countDistinct("channel_id").alias("n_channels"), F.array_join(F.sort_array(F.collect_set("role")), "/").alias("roles"))
+    return named.groupBy("person").agg(F.sum("n").alias("n_events"), F.count(F.lit(1)).alias("appearances"), F.countDistinct("channel_id").alias("n_channels"), F.array_join(F.sort_array(F.collect_set("role")), "/").alias("roles"))
 
 
 @query(f"""+ {EVENTS}, lone AS (SELECT item_id, min(person) AS p FROM ev GROUP BY item_id HAVING min(person) = max(person)) SELECT ref, coalesce(person, p) AS person FROM ev LEFT JOIN lone USING (item_id)""")
@@ -86,10 +84,10 @@ def ticker_page(d: Domain) -> DataFrame:
 r AS (SELECT ev.topic, ev.person, place, ref, seen_at, row_number() OVER (PARTITION BY ev.topic, ev.person ORDER BY seen_at DESC, ref DESC) AS rn FROM ev JOIN top ON ev.topic = top.topic AND ev.person = top.person WHERE place <= 8) SELECT topic, person, place, ref, seen_at FROM r WHERE rn <= 4""")
 def top_voices(d: Domain) -> DataFrame:
     """Eight people with most calls for each topic, four newest calls of each."""
-    rows = events(d).filter("person IS NOT NULL")
-    ranked = rows.groupBy("topic", "person").agg(F.count(F.lit(1)).alias("n"), F.max("seen_at").alias("last_at")).withColumn("place", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("n"), F.desc("last_at"), "person"))).filter("place <= 8")
-    newest = F.row_number().over(Window.partitionBy("topic", "person").orderBy(F.desc("seen_at"), F.desc("ref")))
-    return rows.join(ranked.select("topic", "person", "place"), ["topic", "person"]).withColumn("rn", newest).filter("rn <= 4").select("topic", "person", "place", "ref", "seen_at")
+    rows = events(d).filter("person IS NOT NULL").select("topic", "person", "ref", "seen_at")
+    newest = Window.partitionBy("topic", "person").orderBy(F.desc("seen_at"), F.desc("ref"))
+    counted = rows.withColumns({"rn": F.row_number().over(newest), "n": F.count(F.lit(1)).over(Window.partitionBy("topic", "person")), "last_at": F.max("seen_at").over(Window.partitionBy("topic", "person"))}).filter("rn <= 4")
+    return counted.withColumn("place", F.dense_rank().over(Window.partitionBy("topic").orderBy(F.desc("n"), F.desc("last_at"), "person"))).filter("place <= 8").select("topic", "person", "place", "ref", "seen_at")
 
 
 @query(f"""+ {EVENTS}, n AS (SELECT channel_id, topic, count(*) AS n, count(*) FILTER (WHERE stance = 1) AS bulls, count(*) FILTER (WHERE stance = -1) AS bears FROM ev JOIN item USING (item_id) WHERE channel_id IS NOT NULL GROUP BY ALL)

@@ -25,9 +25,18 @@ def query(sql: str | None = None, prelude: bool = True) -> Callable:
     return register
 
 
+#: Names that whole-table queries had while another query of theirs read a part of the table only.
+FORMER = {"all_facets": "facets", "all_items_without_calls": "items_without_calls", "all_landed_prices": "landed_prices", "set_algebra_of_all": "set_algebra", "whole_queue": "pending_queue", "item_vectors": "mean_pooled", "item_links": "links"}
+
+
 def load() -> None:
     """Imports the modules that register queries."""
-    from callmark.plans import audits, cleaning, incremental, leaderboards, listings, opinions, search, texts  # noqa: F401
+    from callmark.plans import audits, cleaning, details, functions, incremental, leaderboards, listings, opinions, search, texts, views  # noqa: F401
+
+    for old, name in FORMER.items():
+        QUERIES[old] = QUERIES[name]
+        if name in ORACLES:
+            ORACLES[old] = ORACLES[name]
 
 
 load()

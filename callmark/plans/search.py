@@ -36,22 +36,6 @@ def browse(d: Domain) -> DataFrame:
     return d.table("documents").filter(hit & (F.col("lang") == "en")).select("doc_id", "source", score.alias("rank")).orderBy(F.desc("doc_id")).limit(200)
 
 
-_POOLED = """pooled AS (SELECT item, list(x ORDER BY i) AS v FROM (SELECT vec_id % 100 AS item, i, avg(embedding[i]::DOUBLE) AS x FROM embeddings, range(1, 65) r(i) GROUP BY ALL) GROUP BY item)"""
-
-
-@query(f"WITH {_POOLED} SELECT item, i - 1 AS place, round(v[i], 6) AS x FROM pooled, range(1, 65) r(i)", prelude=False)
-def mean_pooled(d: Domain) -> DataFrame:
-    pooled = op.mean_pool(d.table("embeddings").withColumn("item", F.col("vec_id") % 100), "item", "embedding")
-    return pooled.select("item", F.posexplode("vector").alias("place", "x")).select("item", F.col("place").cast("long").alias("place"), F.round("x", 6).alias("x"))
-
-
-@query(f"""WITH {_POOLED}, s AS (SELECT a.item AS a, b.item AS b, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM pooled a, pooled b WHERE a.item <> b.item)
-SELECT a, b, similarity FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS rn FROM s) WHERE rn <= 10""", prelude=False)
-def links(d: Domain) -> DataFrame:
-    """Each item's ten nearest by cosine of mean-pooled vectors; a hundred items at any size, as its SQL says."""
-    return op.cosine_links(op.mean_pool(d.table("embeddings").withColumn("item", F.col("vec_id") % 100), "item", "embedding"))
-
-
 #: So many neighbouring vectors are one item's, so that items grow with the table.
 VECTORS_PER_ITEM = 5
 
@@ -60,13 +44,16 @@ def pooled_items(d: Domain) -> DataFrame:
     return op.mean_pool(d.table("embeddings").withColumn("item", F.floor(F.col("vec_id") / VECTORS_PER_ITEM)), "item", "embedding")
 
 
-@query(f"WITH {_POOLED.replace('vec_id % 100', f'vec_id // {VECTORS_PER_ITEM}')} SELECT item, i - 1 AS place, round(v[i], 6) AS x FROM pooled, range(1, 65) r(i)", prelude=False)
-def item_vectors(d: Domain) -> DataFrame:
-    """mean_pooled over items whose number grows with the table."""
+_POOLED = f"""pooled AS (SELECT item, list(x ORDER BY i) AS v FROM (SELECT vec_id // {VECTORS_PER_ITEM} AS item, i, avg(embedding[i]::DOUBLE) AS x FROM embeddings, range(1, 65) r(i) GROUP BY ALL) GROUP BY item)"""
+
+
+@query(f"WITH {_POOLED} SELECT item, i - 1 AS place, round(v[i], 6) AS x FROM pooled, range(1, 65) r(i)", prelude=False)
+def mean_pooled(d: Domain) -> DataFrame:
     return pooled_items(d).select("item", F.posexplode("vector").alias("place", "x")).select("item", F.col("place").cast("long").alias("place"), F.round("x", 6).alias("x"))
 
 
-@query()
-def item_links(d: Domain) -> DataFrame:
-    """links over items whose number grows with the table. Rows only: in SQL it is a cross join of all items."""
+@query(f"""WITH {_POOLED}, s AS (SELECT a.item AS a, b.item AS b, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM pooled a, pooled b WHERE a.item <> b.item)
+SELECT a, b, similarity FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY similarity DESC, b) AS rn FROM s) WHERE rn <= 10""", prelude=False)
+def links(d: Domain) -> DataFrame:
+    """Each item's ten nearest by cosine of mean-pooled vectors."""
     return op.cosine_links(pooled_items(d))

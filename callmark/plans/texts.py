@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callmark.functions import text as tx
@@ -31,12 +31,29 @@ def page_urls(d: Domain) -> DataFrame:
     return d.table("pages").select("page_id", F.regexp_extract(url, r"page=(\d+)", 1).alias("page_no"), F.try_parse_url(url, F.lit("HOST")).alias("host"), F.regexp_extract(url, r"^https?://[^/]+/([^/?#]*)", 1).alias("first_part"), tx.safe_url(url).alias("safe"))
 
 
-@query()
+def _markdown_sql() -> str:
+    out = "regexp_replace(html, '(<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->)', '', 'gis')"
+    for n in range(1, 7):
+        out = f"regexp_replace({out}, '<h{n}\\b[^>]*>(.*?)</h{n}>', chr(10) || '{'#' * n} \\1' || chr(10), 'gis')"
+    for p, r in (("<(?:b|strong)>(.*?)</(?:b|strong)>", "'**\\1**'"), ("<(?:i|em)>(.*?)</(?:i|em)>", "'*\\1*'"), ('<a\\b[^>]*href="([^"]*)"[^>]*>(.*?)</a>', "'[\\2](\\1)'"), ("<li\\b[^>]*>", "chr(10) || '* '"),
+                 ("<br\\s*/?>", "chr(10)"), ("</?p\\b[^>]*>", "chr(10) || chr(10)"), ("<[^>]*>", "''"), ("\\n{3,}", "chr(10) || chr(10)"), ("^\\s+|\\s+$", "''")):
+        out = f"regexp_replace({out}, '{p}', {r}, 'gis')"
+    return f"SELECT page_id, {out} AS markdown FROM pages"
+
+
+@query(_markdown_sql(), prelude=False)
 def page_markdown(d: Domain) -> DataFrame:
-    """Rows only: the chain of replacements has no counterpart in SQL's regular expressions."""
     return d.table("pages").select("page_id", tx.html_markdown(F.col("html")).alias("markdown"))
 
 
+@query("SELECT page_id, len(h) AS n_links, h[1] AS first_href, coalesce(list_max(list_transform(list_filter(h, lambda x: regexp_matches(x, 'page=\\d+')), lambda x: regexp_extract(x, 'page=(\\d+)', 1)::INTEGER)), 1) AS last_page, coalesce(nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), ''), '?') AS title, len(regexp_extract_all(html, '<p\\b')) AS total FROM (SELECT page_id, html, regexp_extract_all(html, '<a\\b[^>]*href=\"([^\"]*)\"', 1) AS h FROM pages)", prelude=False)
+def page_meta(d: Domain) -> DataFrame:
+    """Links, last page number, title and result total told by a page's HTML."""
+    html = F.col("html")
+    rows = d.table("pages").select("page_id", F.struct(*(x.alias(n) for n, x in tx.html_meta(html).items())).alias("m"))
+    return rows.select("page_id", "m.*")
+
+
 _SLUG = "regexp_replace(lower(trim(regexp_replace(title, '[^\\p{L}\\p{N}_\\s-]', '', 'g'))), '[\\s_-]+', '-', 'g')"
 
 
@@ -48,40 +65,45 @@ def title_forms(d: Domain) -> DataFrame:
     return t.select("doc_id", tx.slug(title).alias("slug"), tx.shorten(title, 60).alias("short"), tx.collapse(title).alias("collapsed"), tx.md_escape(title).alias("escaped"))
 
 
-@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 4 THEN NULL ELSE strftime(o_orderdate + INTERVAL 20 YEAR, '%Y%m%d') END AS dated, CASE WHEN o_orderkey % 5 = 0 THEN (o_orderdate + INTERVAL 20 YEAR)::DATE END AS stem,
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 8 >= 4 THEN NULL ELSE strftime(o_orderdate + INTERVAL 20 YEAR, '%Y%m%d') END AS dated, CASE WHEN o_orderkey % 5 = 0 THEN (o_orderdate + INTERVAL 20 YEAR)::DATE END AS stem,
 last_day(make_date(2020 + o_orderkey::INT % 5, (o_orderkey::INT % 4 + 1) * 3, 1)) AS quarter_end FROM orders""", prelude=False)
 def title_dates(d: Domain) -> DataFrame:
-    """Dates found again in titles, file names and quarter slugs that were made from dates."""
+    """Dates found again in titles, file names and quarter slugs that were made from dates; forms that only look like dates give none."""
     k, on = F.col("o_orderkey"), F.col("o_orderdate") + F.expr("INTERVAL 20 YEARS")
     show = lambda form: F.date_format(on, form)
-    title = F.when(k % 5 == 0, F.concat(F.lit("Notes "), show("yyyy-MM-dd"))).when(k % 5 == 1, F.concat(show("dMMMyyyy"), F.lit(" outlook"))).when(k % 5 == 2, F.concat(F.lit("The week of "), show("MMMM d, yyyy"))).when(k % 5 == 3, F.concat(show("d"), F.lit("th "), show("MMM yyyy"))).otherwise(F.lit("No date 1987"))
+    forms = (F.concat(F.lit("Notes "), show("yyyy-MM-dd")), F.concat(show("dMMMyyyy"), F.lit(" outlook")), F.concat(F.lit("The week of "), show("MMMM d, yyyy")), F.concat(show("d"), F.lit("th "), show("MMM yyyy")),
+             F.concat(F.lit("x1"), show("ddMMMyyyy")), show("yyyy.M.d"), F.concat(F.lit("No date "), F.lit("15May 1987")), F.concat(show("yyyy-M"), F.lit("-100 and 30 Feb 2020")))
+    title = F.element_at(F.array(*forms), (k % 8 + 1).cast("int"))
     path = F.when(k % 5 == 0, F.concat(F.lit("/blog/2020/"), show("yyyy-MM-dd"), F.lit("-name.md"))).otherwise(F.lit("/blog/undated-name.md"))
     quarter = F.concat((2020 + k % 5).cast("string"), F.lit("-q"), (k % 4 + 1).cast("string"))
     return d.table("orders").select(k.alias("id"), tx.title_date(title, F.lit("2030-01-01").cast("date")).alias("dated"), tx.stem_date(path).alias("stem"), tx.quarter_end(quarter).alias("quarter_end"))
 
 
-@query("SELECT event_id, CASE event_type WHEN 'error' THEN 'blocked' WHEN 'view' THEN 'gone' END AS class, (props->>'k')::INT AS k, (props->>'k') IS NOT NULL AS has_k, event_type || ':' || (props->>'k') AS tagged FROM events", prelude=False)
+_ERRORS = ("HTTP Error 429: Too Many Requests; video unavailable", "Sign in to protect our community", "Private video. Sign in if you've been granted access", "This video was deleted", "Join for members-only content", "account terminated", "connection reset by peer", "Video unavailable")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 8 < 2 THEN 'blocked' WHEN event_id % 8 <> 6 THEN 'gone' END AS class, (props->>'k')::INT AS k, (props->>'k') IS NOT NULL AS has_k, event_type || ':' || (props->>'k') AS tagged FROM events", prelude=False)
 def event_json(d: Domain) -> DataFrame:
     """JSON paths with casts, presence, right-wins merging, and classes of error texts."""
-    blob = F.when(F.col("event_type") == "error", "HTTP Error 429: Too Many Requests; video unavailable").when(F.col("event_type") == "view", "ERROR: Private video").otherwise("fine")
+    blob = F.element_at(F.array(*map(F.lit, _ERRORS)), (F.col("event_id") % 8 + 1).cast("int"))
     fields = F.from_json("props", "map<string,string>")
     merged = F.map_from_entries(F.map_entries(F.map_zip_with(fields, F.create_map(F.lit("type"), F.col("event_type")), lambda k, a, b: F.coalesce(b, a))))
     k = F.get_json_object("props", "$.k")
     return d.table("events").select("event_id", tx.error_class(blob).alias("class"), k.try_cast("int").alias("k"), k.isNotNull().alias("has_k"), F.concat(merged["type"], F.lit(":"), merged["k"]).alias("tagged"))
 
 
-@query("SELECT event_id, i - 1 AS place, CASE i WHEN 1 THEN event_type ELSE 'user' || user_id END AS entity FROM events, range(1, 3) r(i) WHERE event_id % 3 = 0", prelude=False)
+@query("SELECT event_id, i - 1 AS place, CASE i WHEN 1 THEN event_type ELSE 'user' || user_id END AS entity FROM events, range(1, 3) r(i)", prelude=False)
 def nested_records(d: Domain) -> DataFrame:
     """Records in JSON flattened; elements that are no objects are skipped."""
     raw = F.concat(F.lit('{"entities":[{"name":"'), "event_type", F.lit('"},{"name":"user'), F.col("user_id").cast("string"), F.lit('"}]}'))
     parsed = F.from_json(raw, "struct<entities: array<struct<name: string>>>")["entities"]
-    rows = d.table("events").filter("event_id % 3 = 0").select("event_id", F.posexplode(F.filter(parsed, lambda x: x.isNotNull())).alias("place", "e"))
+    rows = d.table("events").select("event_id", F.posexplode(F.filter(parsed, lambda x: x.isNotNull())).alias("place", "e"))
     return rows.select("event_id", F.col("place").cast("long").alias("place"), F.col("e.name").alias("entity"))
 
 
 @query("SELECT event_id, i - 1 AS place, CASE i WHEN 1 THEN event_type ELSE 'user' || user_id END AS entity FROM events, range(1, 3) r(i) WHERE i = 1 OR event_id % 3 <> 1", prelude=False)
 def nested_entities(d: Domain) -> DataFrame:
-    """nested_records over all events; in a third of them an element is no object."""
+    """nested_records where in a third of the events an element is no object."""
     second = F.when(F.col("event_id") % 3 == 1, F.lit("null")).otherwise(F.concat(F.lit('{"name":"user'), F.col("user_id").cast("string"), F.lit('"}')))
     raw = F.concat(F.lit('{"entities":[{"name":"'), "event_type", F.lit('"},'), second, F.lit("]}"))
     parsed = F.from_json(raw, "struct<entities: array<struct<name: string>>>")["entities"]
@@ -89,38 +111,74 @@ def nested_entities(d: Domain) -> DataFrame:
     return rows.select("event_id", F.col("place").cast("long").alias("place"), F.col("e.name").alias("entity"))
 
 
-@query()
+def filling(units: str, out: str, most: int, gap: str) -> str:
+    """CTEs for greedy filling in SQL: units (run, i from 1, unit) -> out (run, first, piece). From each unit the end of a piece that
+    begins there is looked up; pieces are then followed from the first on. Wants WITH RECURSIVE."""
+    n = len(gap)
+    shown = "' '" if gap == " " else "chr(10) || chr(10)"
+    return f"""{out}_u AS (SELECT run, i, unit, sum(length(unit)) OVER w + {n} * i AS e, sum(length(unit)) OVER w - length(unit) + {n} * i AS b FROM {units} WINDOW w AS (PARTITION BY run ORDER BY i)),
+{out}_n AS (SELECT a.run, a.i, greatest(a.i, coalesce(c.i, 0)) + 1 AS nxt FROM {out}_u a ASOF LEFT JOIN {out}_u c ON a.run = c.run AND a.b + {most} >= c.e),
+{out}_s AS (SELECT run, i, nxt FROM {out}_n WHERE i = 1 UNION ALL SELECT n.run, n.i, n.nxt FROM {out}_s s JOIN {out}_n n ON n.run = s.run AND n.i = s.nxt),
+{out} AS (SELECT s.run, s.i AS first, string_agg(u.unit, {shown} ORDER BY u.i) AS piece FROM {out}_s s JOIN {out}_u u ON u.run = s.run AND u.i >= s.i AND u.i < s.nxt GROUP BY ALL)"""
+
+
+# paragraphs (p) of long texts; runs of those that fit (pr), and of the words of those that do not (wr), filled; characters of long words
+_CHUNKS = f"""WITH RECURSIVE t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS t FROM documents),
+p AS (SELECT doc_id, unnest(l) AS p, unnest(range(1, len(l) + 1)) AS k FROM (SELECT doc_id, regexp_split_to_array(t, '\\n{{2,}}') AS l FROM t WHERE length(t) > 1800)),
+pg AS (SELECT *, count(*) FILTER (WHERE length(p) > 1800) OVER (PARTITION BY doc_id ORDER BY k) AS g FROM p),
+pr AS (SELECT (doc_id, g) AS run, row_number() OVER (PARTITION BY doc_id, g ORDER BY k) AS i, p AS unit, k FROM pg WHERE length(p) <= 1800),
+{filling("pr", "pc", 1800, "\n\n")},
+w AS (SELECT doc_id, k, unnest(l) AS w, unnest(range(1, len(l) + 1)) AS j FROM (SELECT doc_id, k, string_split(p, ' ') AS l FROM p WHERE length(p) > 1800)),
+wg AS (SELECT *, count(*) FILTER (WHERE length(w) > 1800) OVER (PARTITION BY doc_id, k ORDER BY j) AS g FROM w),
+wr AS (SELECT (doc_id, k, g) AS run, row_number() OVER (PARTITION BY doc_id, k, g ORDER BY j) AS i, w AS unit, j FROM wg WHERE length(w) <= 1800),
+{filling("wr", "wc", 1800, " ")},
+c AS (SELECT pr.run[1] AS doc_id, pr.k, 0 AS j, 0 AS c, piece FROM pc JOIN pr ON pr.run = pc.run AND pr.i = pc.first
+    UNION ALL SELECT wr.run[1], wr.run[2], wr.j, 0, piece FROM wc JOIN wr ON wr.run = wc.run AND wr.i = wc.first
+    UNION ALL SELECT doc_id, k, j, s, substring(w, s + 1, 1800) FROM (SELECT *, unnest(range(0, length(w), 1800)) AS s FROM w WHERE length(w) > 1800)
+    UNION ALL SELECT doc_id, 0, 0, 0, t FROM t WHERE length(t) <= 1800)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k, j, c) - 1)::INTEGER AS idx, piece AS text FROM c"""
+
+
+@query(_CHUNKS, prelude=False)
 def document_chunks(d: Domain) -> DataFrame:
-    """Rows only: greedy packing depends on all before it."""
+    """Its SQL is for texts whose words stand a space or line end apart."""
     rows = d.table("documents").select("doc_id", tx.chunks(F.col("text"), 1_800).alias("c"))
     return rows.select("doc_id", F.posexplode("c").alias("idx", "text"))
 
 
-@query()
+def _sentences(source: str, key: str) -> str:
+    """CTEs: source (key, k, p: paragraphs of single spaces) -> par (key, k, first, piece)."""
+    return f"""u AS (SELECT ({key}, k) AS run, unnest(l) AS unit, unnest(range(1, len(l) + 1)) AS i FROM (SELECT *, string_split(regexp_replace(p, '([.!?]) ', '\\1' || chr(1), 'g'), chr(1)) AS l FROM {source})),
+{filling("u", "f", 600, " ")},
+par AS (SELECT run[1] AS key, run[2] AS k, first, piece FROM f)"""
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT row_number() OVER () AS r, conv_id, turn, string_split_regex(text, '\\n\\s*\\n|\\s*>>\\s*') AS l FROM conversations),
+p AS (SELECT r, unnest(range(1, len(l) + 1)) AS k, trim(regexp_replace(unnest(l), '\\s+', ' ', 'g')) AS p FROM s), q AS (SELECT * FROM p WHERE p <> ''), {_sentences("q", "r")}
+SELECT conv_id, turn, (row_number() OVER (PARTITION BY r ORDER BY k, first) - 1)::INTEGER AS place, piece AS paragraph FROM par JOIN s ON s.r = par.key""", prelude=False)
 def transcript_paragraphs(d: Domain) -> DataFrame:
-    """Rows only: sentences are split with a look-behind, which DuckDB's expressions lack."""
     return d.table("conversations").select("conv_id", "turn", F.posexplode(tx.paragraphs(F.col("text"))).alias("place", "paragraph"))
 
 
-_CUES = """c AS (SELECT conv_id, turn, role, turn * 4.0::DOUBLE + CASE WHEN turn % 3 = 2 THEN 3 ELSE 0 END AS start, role || ' ' || (turn // 2) AS said FROM (SELECT DISTINCT conv_id, turn, role FROM conversations)),
-k AS (SELECT *, start + 2.0 AS stop, lag(said) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM c), kept AS (SELECT * FROM k WHERE said IS DISTINCT FROM before),
-b AS (SELECT *, CASE WHEN start - lag(stop) OVER w > 2.5 THEN 1 ELSE 0 END AS brk FROM kept WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), g AS (SELECT *, sum(brk) OVER (PARTITION BY conv_id ORDER BY turn) AS par FROM b)"""
+_CUES = f"""c AS (SELECT conv_id, turn, role, said, CASE WHEN turn % 5 = 4 THEN '>> ' || said ELSE said END AS shown, turn * 4.0::DOUBLE + CASE WHEN turn % 3 = 2 THEN 3 ELSE 0 END AS start
+    FROM (SELECT conv_id, turn, min(role) AS role, min(role) || ' & ' || (turn // 2) || '. ' || trim(regexp_replace(left(min(text), 200), '[<>&\\s]+', ' ', 'g')) AS said FROM conversations GROUP BY conv_id, turn)),
+k AS (SELECT *, start + 2.0 AS stop, lag(shown) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM c), kept AS (SELECT * FROM k WHERE shown IS DISTINCT FROM before),
+b AS (SELECT *, CASE WHEN start - lag(stop) OVER w > 2.5 OR turn % 5 = 4 AND lag(stop) OVER w IS NOT NULL THEN 1 ELSE 0 END AS brk FROM kept WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), g AS (SELECT *, sum(brk) OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM b),
+q AS (SELECT conv_id, k, string_agg(said, ' ' ORDER BY turn) AS p FROM g GROUP BY conv_id, k)"""
 
 
-@query(f"WITH {_CUES} SELECT conv_id, par::BIGINT AS paragraph, string_agg(said, ' ' ORDER BY turn) AS text, count(*) AS n_cues FROM g GROUP BY conv_id, par", prelude=False)
+@query(f"WITH RECURSIVE {_CUES}, {_sentences('q', 'conv_id')} SELECT key AS conv_id, (row_number() OVER (PARTITION BY key ORDER BY k, first) - 1)::INTEGER AS place, piece AS paragraph FROM par", prelude=False)
 def caption_paragraphs(d: Domain) -> DataFrame:
-    """Captions written as cues, parsed, repeated ones dropped, and joined until a gap of over 2.5 seconds."""
+    """Captions written as cues, parsed, and joined until a pause, a change of speaker or the length cap."""
     turn = F.col("turn")
     start = turn * 4 + F.when(turn % 3 == 2, 3).otherwise(0)
-    clock = lambda s: F.concat_ws(":", F.lpad(F.floor(s / 3600).cast("string"), 2, "0"), F.lpad((F.floor(s / 60) % 60).cast("string"), 2, "0"), F.concat(F.lpad((s % 60).cast("string"), 2, "0"), F.lit(".000")))
-    cue = F.concat(clock(start), F.lit(" --> "), clock(start + 2), F.lit("\n<c>"), "role", F.lit("</c> "), F.floor(turn / 2).cast("string"))
-    said = d.table("conversations").select("conv_id", "turn", "role").distinct().select("conv_id", "turn", cue.alias("cue"))
-    vtt = said.groupBy("conv_id").agg(F.concat(F.lit("WEBVTT\n\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "cue"))), lambda x: x["cue"]), "\n\n")).alias("vtt"))
-    w = Window.partitionBy("conv_id").orderBy("place")
-    cues = vtt.select("conv_id", F.posexplode(tx.cue_blocks(F.col("vtt"))).alias("place", "c")).select("conv_id", "place", "c.*")
-    kept = cues.withColumn("before", F.lag("text").over(w)).filter(~F.col("text").eqNullSafe(F.col("before")))
-    breaks = kept.withColumn("brk", F.when(F.col("start") - F.lag("stop").over(w) > 2.5, 1).otherwise(0)).withColumn("paragraph", F.sum("brk").over(w))
-    return breaks.groupBy("conv_id", "paragraph").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), " ").alias("text"), F.count(F.lit(1)).alias("n_cues"))
+    two = lambda n: F.lpad(n.cast("string"), 2, "0")
+    clock = lambda s: F.when(s < 600, F.concat(F.floor(s / 60).cast("string"), F.lit(":"), two(s % 60), F.lit(".000"))).otherwise(F.concat_ws(":", two(F.floor(s / 3600)), two(F.floor(s / 60) % 60), F.concat(two(s % 60), F.lit(",000"))))
+    body = F.trim(F.regexp_replace(F.left(F.min("text"), F.lit(200)), r"[<>&\s]+", " "))
+    said = d.table("conversations").groupBy("conv_id", "turn").agg(F.concat(F.min("role"), F.lit("</c> &amp; "), F.floor(turn / 2).cast("string"), F.lit(".\n"), body).alias("said"))
+    cue = F.concat(clock(start), F.lit(" --> "), clock(start + 2), F.lit(" align:start\n"), F.when(turn % 5 == 4, "&gt;&gt; ").otherwise(""), F.lit("<c>"), "said")
+    vtt = said.select("conv_id", "turn", cue.alias("cue")).groupBy("conv_id").agg(F.concat(F.lit("WEBVTT\n\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "cue"))), lambda x: x["cue"]), "\n\n")).alias("vtt"))
+    return vtt.select("conv_id", F.posexplode(tx.caption_paragraphs(F.col("vtt"))).alias("place", "paragraph"))
 
 
 @query("SELECT page_id, url, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title, 'n/a: ' || page_id AS note, length(html) AS n FROM pages", prelude=False)
@@ -145,13 +203,7 @@ def landed(events: DataFrame) -> DataFrame:
     return md.wide_prices(wide).drop("open")
 
 
-@query("SELECT event_type AS ticker, ts::DATE AS day, max(value) AS high, min(value) AS low, arg_max(value, event_id) AS close, count(*) AS volume FROM events WHERE event_id % 11 <> 0 GROUP BY ALL HAVING count(*) % 7 <> 0", prelude=False)
+@query("SELECT event_type AS ticker, ts::DATE AS day, max(value) AS high, min(value) AS low, arg_max(value, event_id) AS close, count(*) AS volume FROM events GROUP BY ALL HAVING count(*) % 7 <> 0", prelude=False)
 def landed_prices(d: Domain) -> DataFrame:
     """Wide price rows as they land, with NaN for missing: rows without a close go."""
-    return landed(d.table("events").filter("event_id % 11 <> 0"))
-
-
-@query("SELECT event_type AS ticker, ts::DATE AS day, max(value) AS high, min(value) AS low, arg_max(value, event_id) AS close, count(*) AS volume FROM events GROUP BY ALL HAVING count(*) % 7 <> 0", prelude=False)
-def all_landed_prices(d: Domain) -> DataFrame:
-    """landed_prices over all events."""
     return landed(d.table("events"))

@@ -1,7 +1,7 @@
 """The domain's tables, projected from the provided ones; ``PRELUDE`` is the same in DuckDB's SQL.
 
 region -> source, customer -> channel, orders -> item, lineitem and part -> call (prediction) and its extraction run,
-average prices by brand and day -> price. Every tenth item has no channel, so that outer joins have something to show.
+average prices by brand and day -> price, events -> market view. Every tenth item has no channel, so that outer joins have something to show.
 """
 
 from __future__ import annotations
@@ -63,6 +63,16 @@ class Domain:
         first = F.rank().over(Window.partitionBy("item_id").orderBy("provider", "model"))
         return self.call.withColumn("__place", first).filter("__place = 1").drop("__place")
 
+    @cached_property
+    def view(self) -> DataFrame:
+        """view_id, item_id, speaker, asset_class, direction, rationale, seen_at: market views, from events; an event's item is the order of its number."""
+        e = self.table("events")
+        order = self.table("orders").select(F.col("o_orderkey").alias("item_id"), F.col("o_orderdate").alias("seen_at"))
+        k = F.col("event_id") % 5
+        why = F.when(k == 0, "bond yields and rates").when(k == 1, "Gold price").when(k == 2, "gold against YIELDS").when(k == 3, "")
+        return e.select(F.col("event_id").alias("view_id"), F.col("event_id").alias("item_id"), F.concat(F.lit("S"), F.col("user_id").cast("string")).alias("speaker"), F.col("event_type").alias("asset_class"),
+                        F.when(F.col("value") > 20, "bullish").when(F.col("value") > 8, "bearish").otherwise("mixed").alias("direction"), why.alias("rationale")).join(order, "item_id")
+
     @cached_property
     def price(self) -> DataFrame:
         """ticker, day, close: days have gaps."""
@@ -87,6 +97,8 @@ call AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' ||
     FROM lineitem JOIN part ON l_partkey = p_partkey),
 primary_run AS (SELECT item_id, min((provider, model)) AS run FROM call GROUP BY item_id),
 primary_call AS (SELECT call.* FROM call JOIN primary_run USING (item_id) WHERE provider = run[1] AND model = run[2]),
+view AS (SELECT event_id AS view_id, event_id AS item_id, 'S' || user_id AS speaker, event_type AS asset_class, CASE WHEN value > 20 THEN 'bullish' WHEN value > 8 THEN 'bearish' ELSE 'mixed' END AS direction,
+    CASE event_id % 5 WHEN 0 THEN 'bond yields and rates' WHEN 1 THEN 'Gold price' WHEN 2 THEN 'gold against YIELDS' WHEN 3 THEN '' END AS rationale, o_orderdate AS seen_at FROM events JOIN orders ON o_orderkey = event_id),
 price AS (SELECT p_brand AS ticker, l_shipdate::DATE AS day, (sum(round(l_extendedprice * 100)::BIGINT)::DOUBLE / sum(l_quantity::BIGINT)::DOUBLE) AS close
     FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_suppkey % 2 = 0 GROUP BY ALL),
 last_close AS (SELECT ticker, arg_max(close, day) AS last FROM price GROUP BY ticker),

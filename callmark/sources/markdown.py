@@ -15,9 +15,13 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
 
 
 def split_front_matter(text: Column) -> tuple[Column, Column]:
-    """(map of its flat 'key: value' lines, body); text without front-matter is all body."""
+    """(map of its 'key: value' lines, body); text without front-matter is all body. Keys indented below another are named outer.inner."""
     has = text.rlike(FRONT)
-    lines = F.filter(F.split(F.regexp_extract(text, FRONT, 1), "\n"), lambda x: x.rlike(r"^[^\s:#][^:]*:"))
+    head = F.regexp_replace(F.regexp_extract(text, FRONT, 1), r"(?m)^([^\s:#][^:\n]*):[ \t]*\n((?:[ \t]+[^\n]*\n?)+)", "\u0001$1\u0002$2\u0001")
+    outer = lambda block: F.substring_index(block, "\u0002", 1)
+    inner = lambda block: F.transform(F.filter(F.split(F.substring_index(block, "\u0002", -1), "\n"), lambda x: x.rlike(r"^\s+[^\s:#][^:]*:")), lambda x: F.concat(F.trim(outer(block)), F.lit("."), F.trim(x)))
+    flat = lambda block: F.filter(F.split(block, "\n"), lambda x: x.rlike(r"^[^\s:#][^:]*:"))
+    lines = F.flatten(F.transform(F.split(head, "\u0001"), lambda b: F.when(F.contains(b, F.lit("\u0002")), inner(b)).otherwise(flat(b))))
     unquoted = lambda v: F.regexp_replace(F.trim(v), r"""^(["'])(.*)\1$""", "$2")
     pairs = F.map_from_entries(F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("key"), unquoted(F.substring(x, F.instr(x, ":") + 1, F.char_length(x))).alias("value"))))
     empty = F.create_map().cast("map<string,string>")
@@ -37,6 +41,13 @@ def prefix_counts(paths: DataFrame, path: str = "path") -> DataFrame:
     return paths.filter(F.col(path).contains("/")).select(F.explode(folders).alias("folder")).groupBy("folder").agg(F.count(F.lit(1)).alias("n"))
 
 
+def disk_counts(paths: DataFrame, path: str = "path") -> DataFrame:
+    """source, n: Markdown files by first folder, without README.md and what lies under a folder named raw."""
+    parts = F.split(path, "/")
+    counts = (F.size(parts) > 1) & F.col(path).endswith(".md") & (F.element_at(parts, -1) != "README.md") & ~F.array_contains(parts, "raw")
+    return paths.filter(counts).groupBy(parts[0].alias("source")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def changed(new: DataFrame, old: DataFrame, key: str = "path", content: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows of new to write, for their content differs or is new; keys of old that are stale)."""
     digest = lambda df: df.select(key, F.sha2(content, 256).alias("__d"))
