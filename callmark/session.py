@@ -1,14 +1,19 @@
-"""The SparkSession's settings, and the package for its Python workers."""
+"""The SparkSession's settings, the package for its Python workers, and working tables in the shared folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: Folders of the scratch() blocks that are open, innermost last.
+_OPEN: list[str] = []
 
 
 def session(master: str = "local[*]", shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -34,3 +39,53 @@ def ship(spark: SparkSession) -> SparkSession:
         spark.sparkContext.addPyFile(str(archive))
         _SHIPPED.add(app)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. A local session without one gets a temporary folder; on a cluster that is an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("working tables need a folder that all executors share: set spark.checkpoint.dir")
+        base = tempfile.mkdtemp(prefix="callmark-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/callmark"
+
+
+def work_dir(spark: SparkSession) -> str:
+    """A new folder in the shared one, within the innermost open scratch() block."""
+    return f"{_OPEN[-1] if _OPEN else shared_dir(spark)}/{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Writes df as a working table in the shared folder and reads it back: cuts the lineage, survives lost executors."""
+    path = work_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of working tables, wherever it is stored."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Working tables that are written in the block are deleted at its end; what outlives it must be written after, by kept()."""
+    folder = work_dir(spark)
+    _OPEN.append(folder)
+    try:
+        yield
+    finally:
+        _OPEN.pop()
+        remove(spark, folder)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """materialise() outside the innermost scratch() block: the table outlives it."""
+    inner = _OPEN.pop()
+    try:
+        return materialise(df)
+    finally:
+        _OPEN.append(inner)

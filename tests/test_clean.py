@@ -9,7 +9,7 @@ from tests.test_functions import values
 def test_bodies(spark):
     body = "# Opinion\nx\n# Real title\ntext"
     assert values(spark, [(body,), ("no heading",), ("# Own\ny",)], "t string", clean.from_heading(F.col("t"))) == ["# Real title\ntext", "no heading", "# Own\ny"]
-    assert values(spark, [("x" * 500,), ("x" * 500 + "…",), ("short",), ("x" * 500 + "節錄",)], "t string", clean.is_full(F.col("t"))) == [True, False, False, False]
+    assert values(spark, [("x" * 500,), ("x" * 500 + "…",), ("short",), ("x" * 500 + "（節錄）",)], "t string", clean.is_full(F.col("t"))) == [True, False, False, False]
     assert values(spark, [("a _(no transcript available)_",), ("b",)], "t string", clean.has_transcript(F.col("t"))) == [False, True]
 
 
@@ -28,10 +28,11 @@ def test_names(spark):
 
 
 def test_model_output(spark):
-    [topics] = values(spark, [("x\nTOPIC: Gold | RECURRING: yes | NEW: no\nTOPIC: Oil",)], "t string", clean.topic_lines(F.col("t")))
-    assert [tuple(t) for t in topics] == [("Gold", "yes", "no"), ("Oil", "", "")]
-    [tags] = values(spark, [("1 | gold; odd\n2 | oil\nnoise",)], "t string", clean.numbered_tags(F.col("t"), ("gold", "oil")))
-    assert [(t["i"], t["tags"]) for t in tags] == [(1, ["gold"]), (2, ["oil"])]
+    raw = 'x\nTOPIC: Gold | RECURRING: yes | NEW: no\nCHANGE: "it fell" -> lower\nso\nCHANGE: "up" -> higher \nTOPIC: Oil | RECURRING: N | NEW:\nTOPIC: broken'
+    [topics] = values(spark, [(raw,)], "t string", clean.topic_lines(F.col("t")))
+    assert [(t["topic"], t["recurring"], t["new"], [tuple(c) for c in t["changes"]]) for t in topics] == [("Gold", True, "no", [("it fell", "lower"), ("up", "higher")]), ("Oil", False, "", [])]
+    [tags] = values(spark, [("1 | gold; odd\n2 | oil, gas\nnoise\n3 | ;\n7 | late",)], "t string", clean.numbered_tags(F.col("t"), F.lit(5)))
+    assert [(t["i"], t["tags"]) for t in tags] == [(1, ["gold", "odd"]), (2, ["oil", "gas"])]
 
 
 def test_links(spark):

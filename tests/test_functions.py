@@ -1,16 +1,19 @@
 """Facts about scoring, prices, text and dates on small fixtures."""
 
 import datetime as dt
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from callmark.functions import calls
 from callmark.functions import text as tx
-from callmark.operators import incremental, listing, opinions
+from callmark.operators import fuzzy, incremental, listing, opinions
 from callmark.operators.asof import asof_forward
 from callmark.operators.scoring import refresh_scores, score_calls
 from callmark.sources import markdown as md
+from callmark.sources import sinks
 
 
 def values(spark, rows, schema, column):
@@ -52,28 +55,81 @@ def test_ticker_hygiene(spark):
 
 
 def test_chunks():
-    assert tx.pack("short", 100) == ["short"] and tx.pack("  ", 5) == []
+    assert tx.pack("short", 100) == ["short"] and tx.pack("  ", 5) == [""]
     assert list(map(len, tx.pack("\n\n".join(["x" * 50] * 3), 60))) == [50, 50, 50]
     words = " ".join(f"w{i}" for i in range(10_000))
     for text, most in ((words, 1_000), ("漢" * 40_000, 5_000)):
         out = tx.pack(text, most)
         assert max(map(len, out)) <= most and "".join(out).replace(" ", "") == text.replace(" ", "")
+    assert tx.pack("aaa bbbbbbbbbbbb cc", 5) == ["aaa", "bbbbb", "bbbbb", "bb", "cc"]
+    assert tx.pack("a  b\nc\n\n\nd\n\n" + "e" * 8 + "\n\nf", 8) == ["a  b\nc", "d", "e" * 8, "f"]
+    assert all(w in " ".join(tx.pack("alpha beta gamma delta", 12)) for w in ("alpha", "beta", "gamma", "delta"))
 
 
 def test_paragraphs(spark):
     text = "One line\nwrapped.\n\n>> Second speaker. " + "A sentence here. " * 60
     [got] = values(spark, [(text,)], "t string", tx.paragraphs(F.col("t")))
-    assert got[0] == "One line wrapped." and got[1].startswith(">> Second") and all(len(p) <= 600 for p in got)
+    assert got[0] == "One line wrapped." and got[1].startswith("Second speaker.") and all(len(p) <= 600 for p in got)
     assert values(spark, [("\n\n".join(got),)], "t string", tx.paragraphs(F.col("t")))[0] == got
+    stored = "\nNothing is a\nrecommendation to buy\n\n>> dude? It's a pleasure.\nMan, great to see you.\n"
+    assert values(spark, [(stored,), ("a\nb\nc\n",), ("",)], "t string", tx.paragraphs(F.col("t"))) == [["Nothing is a recommendation to buy", "dude? It's a pleasure. Man, great to see you."], ["a b c"], []]
+
+
+def capped(paragraph, most):
+    """Sentences filled into pieces, one by one."""
+    out = []
+    for s in re.split(r"(?<=[.!?])\s+", paragraph):
+        if out and len(out[-1]) + 1 + len(s) <= most:
+            out[-1] += " " + s
+        else:
+            out.append(s)
+    return out
+
+
+def test_cap(spark):
+    rng = random.Random(4)
+    mark = lambda: rng.choice(["", "", ".", "!", "?", "...", ".5"])
+    texts = [" ".join("x" * rng.randrange(1, 9) + mark() for _ in range(rng.randrange(1, 60))) for _ in range(200)] + [". . .", "a.", "é🙂. " * 30 + "é"]
+    got = values(spark, [(t,) for t in texts], "t string", tx.capped(F.col("t"), 40))
+    assert got == [capped(t, 40) if len(t) > 40 else [t] for t in texts]
+
+
+VTT = """WEBVTT
+Kind: captions
+
+00:00:00.500 --> 00:00:02.000
+Nothing said here is a
+recommendation to buy
+
+00:00:02.100 --> 00:00:04.000 align:start
+any product.
+<c>All right, what's going on?</c>
+
+00:00:04.100 --> 00:00:06.000
+&gt;&gt; Welcome back
+
+00:00:06.100 --> 00:00:08.000
+to Tom &amp; Jerry&#39;s.
+
+00:00:06.200 --> 00:00:08.000
+to Tom &amp; Jerry&#39;s.
+
+00:00:30.000 --> 00:00:32.000
+After a pause, a new topic.
+"""
 
 
 def test_captions(spark):
-    vtt = "WEBVTT\n\n00:00.500 --> 00:02.000\n<c>Hello</c> there\n\n00:02,000 --> 00:03,000\n \n\n01:00:03.000 --> 01:00:04.250\nlater"
-    assert [tuple(c) for c in values(spark, [(vtt,)], "t string", tx.cue_blocks(F.col("t")))[0]] == [(0.5, 2.0, "Hello there"), (3603.0, 3604.25, "later")]
+    vtt = "WEBVTT\n\n0:00.500 --> 00:02.000\r\n<c>Hello</c> there\r\n\r\n00:02,000 --> 00:03,000\n \n\n01:00:03.000 -->\nlater\n<00:00:01.000>more\n1:00:05.000 --> 1:00:06.000\nnext\n\nbad --> 00:01.000\nlost"
+    assert [tuple(c) for c in values(spark, [(vtt,)], "t string", tx.cue_blocks(F.col("t")))[0]] == [(0.5, 2.0, "Hello there"), (3603.0, 3603.0, "later more"), (3605.0, 3606.0, "next")]
+    cues, none = values(spark, [(VTT,), ("WEBVTT\n",)], "t string", tx.cue_blocks(F.col("t")))
+    assert len(cues) == 5 and cues[0]["text"] == "Nothing said here is a recommendation to buy" and none == []
+    assert values(spark, [(VTT,), ("",)], "t string", tx.caption_paragraphs(F.col("t"))) == [["Nothing said here is a recommendation to buy any product. All right, what's going on?", "Welcome back to Tom & Jerry's.", "After a pause, a new topic."], []]
 
 
 def test_dates(spark):
-    want = {"15May2022 talk": "20220515", "3rd Sep 2025": "20250903", "May 15, 2022": "20220515", "on 2026-08-02": "20260802", "nothing": None, "1 Jan 1987": None, "1 Jan 2030": None, "2022": None, None: None}
+    want = {"15May2022 talk": "20220515", "3rd Sep 2025": "20250903", "May 15, 2022": "20220515", "on 2026-08-02": "20260802", "nothing": None, "1 Jan 1987": None, "1 Jan 2030": None, "2022": None, None: None, "選舉 | 6Nov2020": "20201106", "Wrap 15 May, 2026": "20260515", "Sept 21 2025 episode": "20250921", "15May 1987 crash": None,
+            "2024.1.5": None, "x115May2022": None, "2024-1-5": None, "30 Feb 2020": None}
     assert values(spark, [(k,) for k in want], "t string", tx.title_date(F.col("t"), F.lit("2026-12-31").cast("date"))) == list(want.values())
     html = ['{"uploadDate":"2022-05-15"}', '"publishDate": "2020-01-02T00"', '"uploadDate":"1987-02-30"', "none"]
     assert values(spark, [(h,) for h in html], "t string", tx.upload_date(F.col("t"), F.lit("2026-12-31").cast("date"))) == ["20220515", "20200102", None, None]
@@ -83,11 +139,12 @@ def test_dates(spark):
 def test_json(spark):
     raw = ['{"a": 1}', '```json\n{"a": {"b": 2}}\n```', 'Sure: {"a": "}{"} done', "garbage"]
     assert values(spark, [(r,) for r in raw], "t string", tx.loose_json(F.col("t"))) == ['{"a": 1}', '{"a": {"b": 2}}', '{"a": "}{"}', None]
-    assert tx.embedded_object('x var d = {"q": "a \\" } b", "n": {}}; y', "var d") == '{"q": "a \\" } b", "n": {}}' and tx.embedded_object("x", "var d") is None
+    scripts = ['x var d = {"q": "a \\" } b", "n": {}}; y', "x", 'var d = {"open', 'var d = {"a": "' + "\\\\é" * 9_000 + '"} z', None]
+    assert values(spark, [(x,) for x in scripts], "t string", tx.json_after(F.col("t"), "var d")) == ['{"q": "a \\" } b", "n": {}}', None, None, '{"a": "' + "\\\\é" * 9_000 + '"}', None]
 
 
 def test_errors_urls_slugs(spark):
-    assert values(spark, [("HTTP 429",), ("Sign in to confirm you",), ("Private video",), ("has been removed",), ("else",)], "t string", tx.error_class(F.col("t"))) == ["blocked", "blocked", "gone", "gone", None]
+    assert values(spark, [("HTTP 429",), ("Sign in to confirm you",), ("Private video",), ("has been removed",), ("else",), ("protect our community",), ("deleted",), ("members-only",), ("Private video. Sign in if",)], "t string", tx.error_class(F.col("t"))) == ["blocked", "blocked", "gone", "gone", None, "blocked", "gone", "gone", "gone"]
     urls = {"https://example.com/a": True, "http://localhost/x": False, "http://10.0.0.1/": False, "http://172.20.1.1/": False, "ftp://example.com": False, "nonsense": False, None: False}
     assert values(spark, [(u,) for u in urls], "t string", tx.safe_url(F.col("t"))) == list(urls.values())
     assert values(spark, [("Héllo, Wörld! 漢字",), ("!!!",)], "t string", tx.slug(F.col("t"))) == ["héllo-wörld-漢字", "x"]
@@ -104,11 +161,12 @@ def test_html(spark):
 
 def test_markdown_files(spark, tmp_path):
     (tmp_path / "a" / "raw").mkdir(parents=True)
-    (tmp_path / "a" / "x.md").write_text("---\ntitle: 'T: 1'\nn: 2\n---\nbody\n")
+    (tmp_path / "a" / "x.md").write_text("---\ntitle: 'T: 1'\nextra:\n  views: 3\n  tag: x: y\nn: 2\n---\nbody\n")
     (tmp_path / "a" / "raw" / "y.md").write_text("no")
     (tmp_path / "z.md").write_text("all body")
     fields, body = md.split_front_matter(F.col("text"))
     rows = md.read_markdown(spark, str(tmp_path)).select(fields.alias("f"), body.alias("b")).collect()
+    assert [r["f"] for r in rows if r["f"]] == [{"title": "T: 1", "extra.views": "3", "extra.tag": "x: y", "n": "2"}]
     assert sorted((r["f"].get("title"), r["b"]) for r in rows if r["f"]) == [("T: 1", "body\n")] and [r["b"] for r in rows if not r["f"]] == ["all body"]
 
 
@@ -144,7 +202,55 @@ def test_flips(spark):
 def test_paging(spark):
     df = spark.range(500)
     assert [r["id"] for r in listing.page(df, [F.desc("id")], 0, -5).collect()] == [499]
-    assert listing.page(df, [F.desc("id")], 10_000).count() == 200
+    assert listing.page(df, [F.desc("id")], 10_000).count() == 200 and listing.page(df, [F.desc("id")], None, 100).count() == 400
+    [(last, total, limit, offset)] = listing.page_with_total(df, [F.desc("id")], 1, 2).collect()
+    assert (last, total, limit, offset) == (497, 500, 1, 2)
+    scores = spark.createDataFrame([("a", None), ("b", 1.0), ("c", -1.0)], "call_id string, score double")
+    assert [scores.filter(listing.scored_filter(w)).count() for w in (True, False, None)] == [2, 1, 3]
+    for name, order in (("score_desc", "bca"), ("score_asc", "cba")):
+        assert "".join(r["call_id"] for r in scores.withColumn("made_at", F.lit(1)).orderBy(*listing.call_order(name)).collect()) == order
+
+
+def test_sinks(spark, tmp_path):
+    """Pages are written once, again only if they change, and removed when they are no more."""
+    root = f"file://{tmp_path}/wiki"
+    pages = lambda **of: spark.createDataFrame([(k.replace("_", "/") + ".md", v) for k, v in of.items()], "path string, text string")
+    assert sinks.write_pages(pages(a_x="one", b="two"), root) == (2, 0)
+    assert sinks.write_pages(pages(a_x="one", b="two"), root) == (0, 0)
+    assert sinks.write_pages(pages(a_x="one!", c="é"), root) == (2, 1)
+    assert (tmp_path / "wiki/a/x.md").read_text() == "one!" and (tmp_path / "wiki/c.md").read_text() == "é" and not (tmp_path / "wiki/b.md").exists()
+    for name in ("src/en/2024-01-05-a.md", "src/de/2024-01-06-b.md", "src/en/2023-01-01-c.md", "src/en/raw/2024-01-07-d.md"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "src/fr").mkdir(exist_ok=True)
+        (tmp_path / name).write_text(name)
+    (tmp_path / "src/fr/2024-01-08-e.md").write_text("no")
+    copy = lambda: sinks.copy_subset(spark, f"file://{tmp_path}", f"file://{tmp_path}/public", ["en", "de"], "2024-01-01", "2024-12-31")
+    assert (copy(), copy()) == (2, 0) and (tmp_path / "public/src/en/2024-01-05-a.md").exists()
+    table = f"{tmp_path}/board"
+    assert sinks.refresh(spark.range(5), table).count() == 5 and sinks.refresh(spark.range(3), table).count() == 3
+
+
+def test_promotion_and_backfill(spark):
+    items = spark.createDataFrame([(1, "old"), (2, None), (3, "old")], "item_id int, primary_run string")
+    runs = spark.createDataFrame([(1, "r1", 1, True, False), (1, "r2", 2, True, True), (1, "r3", 3, False, False), (2, "r4", 1, True, False), (2, "r5", 5, True, False)], "item_id int, run string, finished_at int, done boolean, compares boolean")
+    assert sorted(map(tuple, incremental.promote(items, runs).collect())) == [(1, "r1"), (2, "r5"), (3, "old")]
+    pages = spark.createDataFrame([("c", r, n) for r, ns in ((1, (1, 2, 4)), (2, (1, 2, 3)), (3, (2, 3))) for n in ns], "creator string, run_id int, page_num int")
+    assert sorted(map(tuple, incremental.best_prefix(pages, "creator").collect())) == [("c", 2, 1), ("c", 2, 2), ("c", 2, 3)]
+
+
+def test_fuzzy(spark):
+    asked = spark.createDataFrame([("Silver",), ("silver market analysis",), ("GOLD!",), ("--",), ("au",)], "asked string")
+    topics = spark.createDataFrame([("Silver",), ("gold",), ("gold miners",), ("Laurel",)], "topic string")
+    assert sorted(map(tuple, fuzzy.contained(asked, "asked", topics, "topic").collect())) == [("GOLD!", "gold"), ("Silver", "Silver"), ("au", "Laurel"), ("silver market analysis", "Silver")]
+    wanted = spark.createDataFrame([(1, "jeffrey-snider-luke-gromen-on-money", "545"), (2, "short", "7")], "w int, slug string, number string")
+    files = spark.createDataFrame([(1, "2024-mv-545-other"), (2, "x-luke-gromen-jeff-snider-y"), (3, "x-jeffrey-snider-luke-gromen-z"), (4, "a-short-b"), (5, "mv-71-x"), (6, "luke-only")], "f int, stem string")
+    found = {(r["w"], r["f"]): (r["by_prefix"], r["by_number"], r["by_tokens"]) for r in fuzzy.same_title(wanted, files, "w", "f").collect()}
+    assert found == {(1, 1): (False, True, False), (1, 2): (False, False, True), (1, 3): (True, False, True), (2, 4): (True, False, False), (2, 5): (False, True, False)}
+
+
+def test_hosts(spark):
+    rows = [("Jane", "The Jane Show"), ("Jane", "Other"), ("Joe", "The Jane Show"), (None, "x"), ("Jane", None)]
+    assert values(spark, rows, "p string, c string", opinions.hosts(F.col("p"), F.col("c"), {"Jane": ["jane s"]})) == [True, False, False, False, False]
 
 
 def test_stream(spark, tmp_path):
