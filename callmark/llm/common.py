@@ -1,17 +1,16 @@
-"""What the corpus operators share: reading tables, null-safe columns, working tables and Arrow slices."""
+"""What the corpus operators share: reading tables, null-safe columns, records, working tables and Arrow slices."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callmark.session import ship
+from callmark.session import kept, materialise, remove, scratch, ship, work_dir
 
+__all__ = ["SLICE_ROWS", "few", "kept", "materialise", "name", "record", "remove", "scratch", "slices", "table", "whole", "work_dir"]
 #: Rows that a Python task turns into Python objects at one time.
 SLICE_ROWS = 128
 
@@ -20,28 +19,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def name(column: str) -> str:
+    """The column's name, whatever signs are in it."""
+    return "`" + column.replace("`", "``") + "`"
+
+
 def whole(text: str | Column) -> Column:
     """The text, null as the empty text."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
-def work_dir(spark: SparkSession) -> str:
-    """A new folder below the shared folder named by spark.checkpoint.dir.
-
-    Only where that setting is absent (tests, notebooks) a temporary folder of this machine stands in.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="callmark-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/callmark/{uuid.uuid4().hex}"
+def record(df: DataFrame, **more: Column) -> DataFrame:
+    """record (a row of df as a struct) and more columns, made from df's: what is added later clashes with no name of df's."""
+    return df.select(F.struct(*(F.col(name(c)) for c in df.columns)).alias("record"), *(c.alias(n) for n, c in more.items()))
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Writes df as a working table in the shared folder and reads it back: cuts the lineage, survives lost executors."""
-    path = work_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def few(df: DataFrame, most: int) -> bool:
+    """Has df at most so many rows? Reads no more of it than that."""
+    return df.limit(most + 1).count() <= most
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:

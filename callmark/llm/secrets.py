@@ -1,15 +1,17 @@
 """Secret scans with corpus-wide ownership frequency (operator 1).
 
 Every text is scanned for candidate secrets. A candidate's value is hashed, and the hashes are counted over the whole
-corpus by distinct repositories and by distinct owners. A value that many owners hold is an example that was copied
-around (a tutorial's key); a value that few owners hold and that looks random is taken for a live credential.
+corpus by distinct repositories and by distinct owners. A value that many owners hold, or that one owner has in many
+repositories, is an example that was copied around (a tutorial's key); a value of few owners and repositories that looks
+random is taken for a live credential.
 
-Verdicts: ``example`` (at least ``min_owners`` owners), ``live`` (fewer owners, and random-looking: ``min_entropy`` bits
-a character, letters and digits both, or a kind with a fixed prefix), ``weak`` (the rest).
+Verdicts: ``example`` (at least ``min_owners`` owners or ``min_repos`` repositories), ``live`` (fewer of both, and
+random-looking: ``min_entropy`` bits a character, letters and digits both, or a kind with a fixed prefix), ``weak`` (the rest).
 
-Defined results: a null text counts as the empty text and has no findings; a null owner or repository counts as one
-owner or repository of its own, null; repeated rows are scanned and reported each, but count once as a repository;
-an empty table gives no rows; columns other than those named are ignored.
+Defined results: a null text counts as the empty text and has no findings; a long text is scanned whole, in the task that
+reads it; a null owner or repository counts as one owner or repository of its own, null; repeated rows are scanned and
+reported each, but count once as a repository; an empty table gives no rows; other columns, whatever their names, are
+ignored by the scan and kept by ``redact``.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callmark.llm.common import materialise, slices, table, whole
+from callmark.llm.common import few, materialise, name, record, slices, table, whole
 
 # The base kinds, in order, with the least length of what must be long enough.
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -44,6 +46,10 @@ KINDS = (*BASE_KINDS, *(k for k, _, _ in ADDED))
 FORMED = ("access", "forge", "jwt", "pem")
 WORDS = ("passw", "secret", "token", "api")
 
+MIN_OWNERS, MIN_REPOS = 3, 10
+#: A value in more repositories than this is joined by broadcast, if there are at most so many such values.
+HOT_REPOS, MOST_HOT = 1_000, 200_000
+
 FINDING = "array<struct<kind:string,start:int,stop:int,value_hash:string,random:boolean>>"
 FINDING_ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("value_hash", pa.string()), ("random", pa.bool_())]))
 
@@ -78,7 +84,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             rows = [[{"kind": k, "start": a, "stop": b, "value_hash": hashlib.sha256(v.encode()).hexdigest(), "random": looks_random(k, v, min_entropy)} for k, a, b, v in find(x.as_py())] for x in part.column("text")]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("owner"), part.column("repo"), pa.array(rows, FINDING_ARROW)], ["doc_id", "owner", "repo", "findings"])
 
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(owner_col).cast("string").alias("owner"), F.col(repo_col or id_col).cast("string").alias("repo"), whole(text_col).alias("text"))
+    docs = docs.select(F.col(name(id_col)).cast("long").alias("doc_id"), F.col(name(owner_col)).cast("string").alias("owner"), F.col(name(repo_col or id_col)).cast("string").alias("repo"), whole(name(text_col)).alias("text"))
     return docs.mapInArrow(run, f"doc_id long, owner string, repo string, findings {FINDING}")
 
 
@@ -93,22 +99,32 @@ def ownership(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("value_hash").agg(F.sum("n").alias("n_repos"), F.count(F.lit(1)).alias("n_owners"))
 
 
-def verdicts(found: DataFrame, min_owners: int = 3) -> DataFrame:
-    """doc_id, spans_key, kind, start, stop, value_hash, n_repos, n_owners, verdict: a row for each finding of each different (doc_id, findings)."""
+def verdicts(found: DataFrame, min_owners: int = MIN_OWNERS, min_repos: int = MIN_REPOS) -> DataFrame:
+    """doc_id, spans_key, kind, start, stop, value_hash, n_repos, n_owners, verdict: a row for each finding of each different (doc_id, findings).
+
+    Values of many repositories, which would gather in one task, are few: they meet their counts by broadcast.
+    """
     each = found.filter(F.size("findings") > 0).select("doc_id", spans_key().alias("spans_key"), "findings").distinct().select("doc_id", "spans_key", F.inline("findings"))
-    verdict = F.when(F.col("n_owners") >= min_owners, "example").when(F.col("random"), "live").otherwise("weak")
-    return each.join(ownership(found), "value_hash").select("doc_id", "spans_key", "kind", "start", "stop", "value_hash", "n_repos", "n_owners", verdict.alias("verdict"))
+    counts = materialise(ownership(found))
+    hot = counts.filter(F.col("n_repos") > HOT_REPOS)
+    if few(hot, MOST_HOT):
+        hot = F.broadcast(hot)
+        joined = each.join(hot, "value_hash").unionByName(each.join(hot.select("value_hash"), "value_hash", "left_anti").join(counts.filter(F.col("n_repos") <= HOT_REPOS), "value_hash"))
+    else:
+        joined = each.join(counts, "value_hash")
+    verdict = F.when((F.col("n_owners") >= min_owners) | (F.col("n_repos") >= min_repos), "example").when(F.col("random"), "live").otherwise("weak")
+    return joined.select("doc_id", "spans_key", "kind", "start", "stop", "value_hash", "n_repos", "n_owners", verdict.alias("verdict"))
 
 
 def spans_key():
     return F.xxhash64("findings")
 
 
-def per_document(found: DataFrame, min_owners: int = 3) -> DataFrame:
-    """found with n_live and n_example, a row for each row of found."""
-    judged = verdicts(found, min_owners).groupBy(F.col("doc_id").alias("id_"), F.col("spans_key").alias("key_")).agg(
-        F.count_if(F.col("verdict") == "live").alias("n_live"), F.count_if(F.col("verdict") == "example").alias("n_example"), F.max("n_owners").alias("max_owners"))
-    none = found.filter(F.size("findings") == 0).select("*", F.lit(0).cast("long").alias("n_live"), F.lit(0).cast("long").alias("n_example"), F.lit(0).cast("long").alias("max_owners"))
+def per_document(found: DataFrame, min_owners: int = MIN_OWNERS, min_repos: int = MIN_REPOS) -> DataFrame:
+    """found with n_live, n_example, max_owners and max_repos (of its values), a row for each row of found."""
+    judged = verdicts(found, min_owners, min_repos).groupBy(F.col("doc_id").alias("id_"), F.col("spans_key").alias("key_")).agg(
+        F.count_if(F.col("verdict") == "live").alias("n_live"), F.count_if(F.col("verdict") == "example").alias("n_example"), F.max("n_owners").alias("max_owners"), F.max("n_repos").alias("max_repos"))
+    none = found.filter(F.size("findings") == 0).select("*", *(F.lit(0).cast("long").alias(c) for c in ("n_live", "n_example", "max_owners", "max_repos")))
     some = found.filter(F.size("findings") > 0).join(judged, F.col("doc_id").eqNullSafe(F.col("id_")) & (spans_key() == F.col("key_"))).drop("id_", "key_")
     return none.unionByName(some)
 
@@ -128,19 +144,21 @@ def mask_values(text: str, hashes: set[str], mask: str) -> str:
     return "".join([*out, text[done:]])
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", min_owners: int = 3, mask: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", min_owners: int = MIN_OWNERS, min_repos: int = MIN_REPOS, mask: str = "[SECRET]") -> DataFrame:
     """docs with every live-looking secret in text_col replaced by mask; other rows and columns as they were."""
-    columns, text = docs.columns, F.col(text_col)
+    text = F.col(name(text_col))
     suspect = F.coalesce(text.rlike(SUSPECT), F.lit(False))
     found = materialise(candidates(docs.filter(suspect), id_col, text_col, owner_col))
-    live = verdicts(found, min_owners).filter("verdict = 'live'").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("value_hash").alias("__live"))
+    live = verdicts(found, min_owners, min_repos).filter("verdict = 'live'").groupBy("doc_id").agg(F.collect_set("value_hash").alias("live"))
 
     @F.pandas_udf("string")
     def masked(texts: pd.Series, hashes: pd.Series) -> pd.Series:
         return pd.Series([t if h is None else mask_values(t, set(h), mask) for t, h in zip(texts, hashes, strict=True)], dtype=object)
 
-    judged = docs.filter(suspect).join(live, F.col(id_col).cast("long").eqNullSafe(F.col("__id")), "left")
-    return docs.filter(~suspect).unionByName(judged.withColumn(text_col, masked(text, "__live")).select(*columns))
+    rows = record(docs.filter(suspect), id=F.col(name(id_col)).cast("long"))
+    judged = rows.join(live, F.col("id").eqNullSafe(F.col("doc_id")), "left")
+    columns = [masked(F.col(f"record.{name(c)}"), "live").alias(c) if c == text_col else F.col(f"record.{name(c)}").alias(c) for c in docs.columns]
+    return docs.filter(~suspect).unionByName(judged.select(*columns))
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,5 +169,5 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *(count(k).alias(f"n_{k}") for k in BASE_KINDS),
         F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("findings")).alias("spans"),
-        "n_live", "n_example", "max_owners",
+        "n_live", "n_example", "max_owners", "max_repos",
     )
