@@ -44,11 +44,15 @@ class Shards:
     def number(self) -> int:
         return int(self.first[-1])
 
-    def away(self, queries: np.ndarray, least: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query's row, shard) of all shards but home that may hold an inner product of at least least."""
+    def away(self, queries: np.ndarray, least: np.ndarray, home: np.ndarray, first: int = 0, last: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(query's row, shard) of all shards but home that may hold an inner product of at least least; of the pivots from first to last, by bound."""
         bound = queries @ self.pivots.T + np.sqrt((queries**2).sum(1))[:, None] * self.radii
         bound += 1e-9 * np.abs(bound) + 1e-6
-        row, pivot = np.nonzero(bound >= least[:, None])
+        wanted = bound >= least[:, None]
+        if first or last is not None:
+            place = np.argsort(np.argsort(-bound, axis=1, kind="stable"), axis=1)
+            wanted &= (place >= first) & (place < (len(self.pivots) if last is None else last))
+        row, pivot = np.nonzero(wanted)
         sizes = np.diff(self.first)[pivot]
         shard = np.repeat(self.first[pivot] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
         row = np.repeat(row, sizes)
