@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from callmark.llm import bpe, licenses, merkle, mixing, neardup, quality, registry, secrets, sharding, topk, warc
 from callmark.llm.common import work_dir
+from callmark.operators.shards import deal
 from tests.oracle import differences
 
 SMALL = "/root/testdata/sf0.001"
@@ -69,9 +70,31 @@ def test_top_k(spark):
     own[7] = min(own[7], [576] * 5)
     clamp = lambda x: max(-(2**63), min(2**63 - 1, x))
     want = {(q, r + 1, v, -s) for q in own if q % 20 == 0 for r, (s, v) in enumerate(sorted((-clamp(sum(a * b for a, b in zip(own[q], own[i]))), i) for i in own if i != q)[:20])}
-    for shard_rows in (50, 1_000):
-        assert {tuple(r) for r in topk.top_k(df, F.col("vec_id") % 20 == 0, shard_rows=shard_rows).collect()} == want
-    assert topk.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+    for shard_rows in (10, 50, 1_000):
+        assert {tuple(r) for r in topk.top_k(df, F.col("id") % 20 == 0, shard_rows=shard_rows).collect()} == want
+    assert topk.top_k(df.limit(0), F.col("id") % 20 == 0).count() == 0
+
+
+def test_top_k_of_clusters(spark):
+    """Of clustered vectors few members are compared and few shards visited; the result is that of brute force."""
+    rng = np.random.default_rng(22)
+    centres = rng.normal(size=(40, 8)) * 20
+    own = np.floor((centres[rng.integers(0, 40, 4_000)] + rng.normal(size=(4_000, 8)) * 0.3) * 64)
+    tree = topk.BallTree(np.arange(4_000), own)
+    for i in range(0, 4_000, 100):
+        ids, scores = tree.search(i, own[i], tree.bounds(own[i : i + 1])[0], 20, -np.inf)
+        best = sorted((-s, j) for j, s in enumerate(own @ own[i]) if j != i)[:20]
+        assert [(-s, j) for j, s in zip(ids, scores, strict=True)] == best
+    assert tree.compared < 0.5 * 40 * 4_000
+    df = spark.createDataFrame([(i, (v / 64).tolist()) for i, v in enumerate(own)], "id long, v array<double>")
+    dealt, shards = deal(df.withColumn("v", F.transform("v", lambda x: x * 64)), 100)
+    assert shards.number >= 40 and dealt.groupBy("shard").count().agg(F.max("count")).first()[0] <= 200
+    least = np.array([np.sort(own @ q)[-21] for q in own[:50]])
+    row, _ = shards.away(own[:50], least, np.full(50, -1))
+    assert len(row) < 0.5 * 50 * shards.number
+    found = {tuple(r) for r in topk.top_k(df, F.col("id") % 400 == 0, id_col="id", vector_col="v", shard_rows=100).collect()}
+    want = {(q, n + 1, j, -s) for q in range(0, 4_000, 400) for n, (s, j) in enumerate(sorted((-int(s), j) for j, s in enumerate(own @ own[q]) if j != q)[:20])}
+    assert found == want
 
 
 # 3
