@@ -4,21 +4,28 @@ A text's tree has four levels: leaves are runs of words inside a paragraph, cut
 without sentences, after a word whose checksum says so (a cut depends on the words beside it, so an edit moves no cut
 elsewhere); paragraphs are lines; sections are runs of lines between blank lines or headings; the root stands for the
 text. A node's hash covers its children's hashes and number, a leaf's covers its characters, so two roots are equal
-exactly if the texts are. Comparing two trees descends only where hashes differ, which locates an edit; likeness is the
-share of characters in leaves that both trees hold.
+exactly if the texts are.
+
+Two trees are compared from the root down. The children of a node are aligned with the other's by their hashes, in order;
+aligned ones are equal and not entered, and the children of what stands between them, on both sides, are aligned in turn.
+What is left between aligned paragraphs are the edits: places where paragraphs of one text were changed, left out or put in.
+Likeness is the share of characters in leaves that were aligned, so moved text counts as different where it moved.
 
 A text under SHORT_TEXT characters has leaves of one to three words, so that a small edit leaves leaves alone. Two trees
 are compared at the finer of their cuts: beside a short text a longer one is cut as finely, so that leaves can be shared.
 
 Defined results: a null text counts as the empty text, whose root is that of no section; two empty texts have likeness 1;
-documents follow one another by (doc_id, text), null ids first, so repeated rows are each other's neighbours; the first
-follows the last; a table of one row is its own neighbour; columns other than the two named ones are ignored.
+a long text's tree is held by the task that reads it, with its neighbour's; documents follow one another by (doc_id, hash of
+the text, text), null ids first, so repeated rows are each other's neighbours; the first follows the last; a table of one row
+is its own neighbour, an empty one gives no rows; other columns, whatever their names, are ignored. An id that many rows
+have (or none: null) is dealt to several tasks by the texts' hashes; only rows that repeat id and text meet in one.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callmark.llm.common import slices, table, whole
+from callmark.llm.common import name, slices, table, whole
 
 SENTENCE = re.compile(r"[^.!?]*[.!?]+[\s\"')\]]*|[^.!?]+")
 #: A run of more than so many words is cut after words whose checksum is divisible by CUT_EVERY, and after MOST_WORDS.
@@ -43,6 +50,8 @@ HEADING = re.compile(r"#{1,6} |[=-]{3,}$")
 DIGEST = 16
 #: Documents that one task streams through, about; the number of tasks grows with the table.
 ROWS_PER_RANGE, MOST_RANGES = 4_000, 20_000
+#: Stands for a null id, and for the least hash.
+NO_ID = -(2**63)
 
 
 def _hash(data: bytes) -> bytes:
@@ -51,14 +60,18 @@ def _hash(data: bytes) -> bytes:
 
 @dataclass
 class Tree:
-    """levels: (sections, paragraphs of each section); leaves: (hash, characters) of each in order."""
+    """sections: (hash, paragraphs, characters); paragraphs: (hash, leaves, characters and one for the line's end); leaves: (hash, characters)."""
 
     text: str
     fine: bool
     root: bytes
-    sections: list[tuple[bytes, list[tuple[bytes, list[bytes]]]]]
+    sections: list[tuple[bytes, list[tuple[bytes, list[tuple[bytes, int]], int]], int]]
     leaves: list[tuple[bytes, int]]
 
+    @property
+    def chars(self) -> int:
+        return sum(s[2] for s in self.sections)
+
     @cached_property
     def finely(self) -> Tree:
         return self if self.fine else build(self.text, True)
@@ -97,9 +110,9 @@ def build(text: str, fine: bool | None = None) -> Tree:
         for line in lines:
             own = [(_hash(x.encode()), len(x)) for x in cut(line, fine)]
             leaves += own
-            paragraphs.append((_hash(b"p" + b"".join(h for h, _ in own)), [h for h, _ in own]))
-        built.append((_hash(b"s" + b"".join(h for h, _ in paragraphs)), paragraphs))
-    return Tree(text, fine, _hash(b"r" + b"".join(h for h, _ in built)), built, leaves)
+            paragraphs.append((_hash(b"p" + b"".join(h for h, _ in own)), own, 1 + sum(n for _, n in own)))
+        built.append((_hash(b"s" + b"".join(p[0] for p in paragraphs)), paragraphs, sum(p[2] for p in paragraphs)))
+    return Tree(text, fine, _hash(b"r" + b"".join(s[0] for s in built)), built, leaves)
 
 
 def same_cut(a: Tree, b: Tree) -> tuple[Tree, Tree]:
@@ -107,21 +120,75 @@ def same_cut(a: Tree, b: Tree) -> tuple[Tree, Tree]:
     return (a, b) if a.fine == b.fine else (a.finely, b.finely)
 
 
-def likeness(a: Tree, b: Tree) -> float:
-    """Characters in shared leaves over characters in all leaves, each leaf as often as both texts hold it."""
+def aligned(a: list, b: list) -> list[tuple[int, int]]:
+    """(i, j) with a[i] == b[j], both rising: equal ends first, then a longest rising sequence of pairs of equal rank among their equals."""
+    n = min(len(a), len(b))
+    head = next((i for i in range(n) if a[i] != b[i]), n)
+    tail = next((i for i in range(n - head) if a[-1 - i] != b[-1 - i]), n - head)
+    seen: dict[object, list[int]] = {}
+    for j in range(len(b) - tail - 1, head - 1, -1):
+        seen.setdefault(b[j], []).append(j)
+    pairs = [(i, places.pop()) for i in range(head, len(a) - tail) if (places := seen.get(a[i]))]
+    least: list[int] = []  # of the rising sequences of each length, the least last place
+    at: list[int] = []
+    before = [-1] * len(pairs)
+    for p, (_, j) in enumerate(pairs):
+        k = bisect_left(least, j)
+        before[p] = at[k - 1] if k else -1
+        least[k : k + 1], at[k : k + 1] = [j], [p]
+    middle, p = [], at[-1] if at else -1
+    while p >= 0:
+        middle.append(pairs[p])
+        p = before[p]
+    ends = [(len(a) - i, len(b) - i) for i in range(tail, 0, -1)]
+    return [(i, i) for i in range(head)] + middle[::-1] + ends
+
+
+def gaps(pairs: list[tuple[int, int]], n: int, m: int) -> Iterator[tuple[int, int, int, int]]:
+    """(a's first, last, b's first, last), ends excluded, of what stands between aligned places of sequences of n and m."""
+    i = j = 0
+    for x, y in [*pairs, (n, m)]:
+        if x > i or y > j:
+            yield i, x, j, y
+        i, j = x + 1, y + 1
+
+
+@dataclass
+class Comparison:
+    shared: int  # characters in aligned leaves
+    edits: list[tuple[int, int, int, int]]  # paragraphs of a, of b (first and end of each)
+
+
+def compare(a: Tree, b: Tree) -> Comparison:
+    """From the root down; nodes that are aligned are not entered."""
     if a.root == b.root:
-        return 1.0
+        return Comparison(a.chars, [])
     a, b = same_cut(a, b)
-    total = sum(n for _, n in a.leaves) + sum(n for _, n in b.leaves)
-    return 2 * sum(n * k for (_, n), k in (Counter(a.leaves) & Counter(b.leaves)).items()) / total if total else 0.0
+    out = Comparison(0, [])
+    sections = aligned([h for h, *_ in a.sections], [h for h, *_ in b.sections])
+    out.shared += sum(a.sections[i][2] for i, _ in sections)
+    of_a, of_b = (np.cumsum([0, *(len(s[1]) for s in t.sections)]) for t in (a, b))  # each section's first paragraph
+    for i, x, j, y in gaps(sections, len(a.sections), len(b.sections)):
+        ours, theirs = ([p for s in t.sections[f:e] for p in s[1]] for t, f, e in ((a, i, x), (b, j, y)))
+        lines = aligned([h for h, *_ in ours], [h for h, *_ in theirs])
+        out.shared += sum(ours[p][2] for p, _ in lines)
+        for p, q, r, s in gaps(lines, len(ours), len(theirs)):
+            out.edits.append((int(of_a[i]) + p, int(of_a[i]) + q, int(of_b[j]) + r, int(of_b[j]) + s))
+            one, two = ([x for par in side for x in par[1]] for side in (ours[p:q], theirs[r:s]))
+            out.shared += sum(one[k][1] for k, _ in aligned(one, two))
+    return out
 
 
-def differing(a: Tree, b: Tree) -> list[tuple[int, int]]:
-    """(section, paragraph) of a whose hashes b does not hold at any place; sections that b holds are not entered."""
-    a, b = same_cut(a, b)
-    there = {h for h, _ in b.sections}
-    inside = {h for _, ps in b.sections for h, _ in ps}
-    return [(i, j) for i, (h, ps) in enumerate(a.sections) if h not in there for j, (p, _) in enumerate(ps) if p not in inside]
+def likeness(a: Tree, b: Tree, shared: int | None = None) -> float:
+    """Characters in aligned leaves over all characters, of both texts; a line's end counts with its line."""
+    if a.root == b.root:
+        return 1.0
+    return 2 * (compare(a, b).shared if shared is None else shared) / (a.chars + b.chars)
+
+
+def differing(a: Tree, b: Tree) -> list[tuple[int, int, int, int]]:
+    """The edits from a to b: first paragraph and end in a, and in b; an empty range on one side is text put in or left out."""
+    return compare(a, b).edits
 
 
 def edited(text: str, following: str) -> str:
@@ -131,30 +198,47 @@ def edited(text: str, following: str) -> str:
 
 
 def in_ranges(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) in ranges of doc_id, one a partition, each with the first row of the next range as ``__tail``.
+    """docs (doc_id, text) in ranges of (doc_id, hash of the text), one a partition, each with the first row of the next range as ``__tail``.
 
-    A range begins at an id that occurs, taken from approximate quantiles; only these few ids reach the driver, and
-    their number is bounded by MOST_RANGES. Rows without an id come first of all.
+    Ranges are cut at approximate quantiles of the ids, and ids that fill ranges alone at quantiles of their hashes. Cuts and each
+    range's first (id, hash) are all that reaches the driver, and MOST_RANGES bounds their number. Rows without an id come first.
     """
-    number = docs.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id"), F.xxhash64("text").alias("__hash"), F.col("doc_id").isNull().alias("__none"), "text")
+    number = rows.count()
     wanted = max(1, min(MOST_RANGES, max(number // ROWS_PER_RANGE, docs.sparkSession.sparkContext.defaultParallelism)))
-    quantiles = docs.agg(F.percentile_approx("doc_id", [i / wanted for i in range(1, wanted)] or [0.5], 10 * wanted).alias("q"), F.min("doc_id").alias("least"), F.max(F.col("doc_id").isNull()).alias("gaps")).first()
-    starts = sorted({x for x in quantiles["q"] or [] if wanted > 1 and x != quantiles["least"]} | ({quantiles["least"]} if quantiles["gaps"] and quantiles["least"] is not None else set()))
-    first = None if quantiles["gaps"] else quantiles["least"]
-    bounds = np.array(starts, dtype=np.int64)
-
-    @F.pandas_udf("long")
-    def place(ids: pd.Series) -> pd.Series:
-        """Twice the number of starts that are at most the id, plus 1 if it is a start."""
-        at = np.searchsorted(bounds, ids.to_numpy(), side="right")
-        return pd.Series(2 * at + (np.append(bounds, 0)[np.maximum(at, 1) - 1] == ids.to_numpy()) * (at > 0))
-
-    dealt = docs.withColumn("__place", place(F.coalesce("doc_id", F.lit(-(2**63)))))
-    at = F.shiftright("__place", 1).cast("int")
-    to = F.when(F.col("doc_id").eqNullSafe(F.lit(first)), F.lit(len(starts))).when(F.col("__place") % 2 == 1, at - 1)
-    places = F.array_compact(F.array(F.struct(at.alias("part"), F.lit(False).alias("tail")), F.when(to.isNotNull(), F.struct(to.alias("part"), F.lit(True).alias("tail")))))
-    dealt = dealt.select("doc_id", "text", F.inline(places).alias("__part", "__tail"))
-    return dealt.repartitionById(len(starts) + 1, F.col("__part")).sortWithinPartitions("__part", "__tail", "doc_id", "text")
+    quantiles = lambda c: F.percentile_approx(c, [i / wanted for i in range(1, wanted)] or [0.5], 10 * wanted)
+    ids = Counter(rows.agg(quantiles("__id")).first()[0] or [])
+    cuts = {(NO_ID, NO_ID), *((i, NO_ID) for i in ids)}
+    hot = [i for i, n in ids.items() if n > 1]
+    if hot:
+        # quantiles are doubles inside, so those of 53 bits are taken
+        for r in rows.filter(F.col("__id").isin(hot)).groupBy("__id").agg(quantiles(F.shiftright("__hash", 11)).alias("q"), F.count(F.lit(1)).alias("n")).collect():
+            step = max(1, round(number / r["n"]))  # as many cuts as the id has ranges
+            cuts |= {(r["__id"], h << 11) for h in r["q"][step - 1 :: step]}
+    cut_ids, cut_hashes = (np.array(x, dtype=np.int64) for x in zip(*sorted(cuts), strict=True))
+
+    @F.pandas_udf("int")
+    def place(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        i, h = ids.to_numpy(), hashes.to_numpy()
+        first, end = np.searchsorted(cut_ids, i, side="left"), np.searchsorted(cut_ids, i, side="right")
+        at = end - 1
+        for k in np.flatnonzero(end - first > 1):
+            at[k] = first[k] + np.searchsorted(cut_hashes[first[k] : end[k]], h[k], side="right") - 1
+        return pd.Series(at)
+
+    placed = rows.withColumn("__place", place("__id", "__hash"))
+    firsts = sorted((r["__place"], *r["first"]) for r in placed.groupBy("__place").agg(F.min(F.struct("__id", "__hash")).alias("first")).collect())
+    numbers, first_ids, first_hashes = (np.array(x, dtype=np.int64) for x in (zip(*firsts, strict=True) if firsts else ([0], [0], [0])))
+
+    @F.pandas_udf("array<int>")
+    def parts(places: pd.Series, ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        """The number of the row's range, and that of the range before, round the table, if the row is its range's first."""
+        at = np.searchsorted(numbers, places.to_numpy())
+        begins = (first_ids[at] == ids.to_numpy()) & (first_hashes[at] == hashes.to_numpy())
+        return pd.Series([[n, (n - 1) % len(numbers)] if b else [n] for n, b in zip(at.tolist(), begins.tolist(), strict=True)])
+
+    dealt = placed.select("__id", "__hash", F.when(~F.col("__none"), F.col("__id")).alias("doc_id"), "text", F.posexplode(parts("__place", "__id", "__hash")).alias("__tail", "__part")).withColumn("__tail", F.col("__tail") == 1)
+    return dealt.repartitionById(len(numbers), F.col("__part")).sortWithinPartitions("__part", "__tail", "__id", "__hash", "text").select("doc_id", "text", "__part", "__tail")
 
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -162,14 +246,17 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Each task streams through one range in order and holds two documents at a time.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_sections int, n_paragraphs int, n_leaves int, changed_paragraphs int, edited_text string"
+    docs = docs.select(F.col(name(id_col)).cast("long").alias("doc_id"), whole(name(text_col)).alias("text"))
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_sections int, n_paragraphs int, n_leaves int, n_edits int, edits string, edited_text string"
 
     def row(doc_id: int | None, text: str, tree: Tree, following: str, next_tree: Tree) -> tuple:
         new = edited(text, following)
         new_tree = build(new)
-        return (doc_id, len(text), hashlib.sha256(new.encode()).hexdigest(), tree.root.hex(), new_tree.root.hex(), likeness(tree, new_tree), likeness(tree, next_tree),
-                len(tree.sections), sum(len(ps) for _, ps in tree.sections), len(tree.leaves), len(differing(tree, new_tree)), new)
+        found = compare(tree, new_tree)
+        one, two = same_cut(tree, new_tree)
+        places = ",".join(f"{a}-{b}:{c}-{d}" for a, b, c, d in found.edits)
+        return (doc_id, len(text), hashlib.sha256(new.encode()).hexdigest(), tree.root.hex(), new_tree.root.hex(), likeness(one, two, found.shared), likeness(tree, next_tree),
+                len(tree.sections), sum(len(s[1]) for s in tree.sections), len(tree.leaves), len(found.edits), places, new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = part = None
@@ -191,8 +278,8 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return in_ranges(docs).mapInArrow(run, schema)
 
 
-NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_sections", "n_paragraphs", "n_leaves", "changed_paragraphs", "edited_text"]
-TYPES = [pa.int64(), pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2, *[pa.int32()] * 4, pa.string()]
+NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_sections", "n_paragraphs", "n_leaves", "n_edits", "edits", "edited_text"]
+TYPES = [pa.int64(), pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2, *[pa.int32()] * 4, *[pa.string()] * 2]
 
 
 def op3_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:

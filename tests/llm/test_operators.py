@@ -98,17 +98,103 @@ def test_top_k_of_clusters(spark):
 
 
 # 3
+def in_order(docs):
+    """(id, text) as documents follow one another: null ids first, of one id by the text's hash."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()
+    return [(r["doc_id"], r["t"]) for r in sorted(rows, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["h"], r["t"]))]
+
+
+def most_shared(a, b):
+    """Characters of a longest common subsequence of leaves and line ends, by brute force."""
+    x, y = ([leaf for s in t.sections for p in s[1] for leaf in (*p[1], (b"", 1))] for t in (a, b))
+    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i, (h, n) in enumerate(x):
+        for j, (g, _) in enumerate(y):
+            best[i + 1][j + 1] = best[i][j] + n if h == g else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
 def test_merkle(spark, odd):
     a, b = merkle.build("One two three. Four five six.\nSecond line"), merkle.build("One two three. Four five six.\nChanged line")
-    assert a.root != b.root and merkle.differing(a, b) == [(0, 1)] and 0.5 < merkle.likeness(a, b) < 1
+    assert a.root != b.root and merkle.differing(a, b) == [(1, 2, 1, 2)] and 0.5 < merkle.likeness(a, b) < 1
     assert merkle.build("a\n").root != merkle.build("a").root and merkle.build("").root != merkle.build("\n").root
     assert "".join(merkle.cut("word " * 100 + "end. Next!")) == "word " * 100 + "end. Next!"
     for docs in (odd, odd.filter("doc_id IS NOT NULL"), odd.limit(1), odd.limit(0)):
-        rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        rows = in_order(docs)
         want = sorted((len(t), hashlib.sha256(merkle.edited(t, rows[(i + 1) % len(rows)][1]).encode()).hexdigest()) for i, (_, t) in enumerate(rows))
         assert sorted((r["n_chars"], r["edited_sha256"]) for r in merkle.fingerprint(docs).collect()) == want
 
 
+def test_merkle_edits():
+    """Swapped, doubled, deleted, inserted and changed lines are found where they are, whatever stands around them."""
+    lines = [f"This is line {i} of a text. It says {i * 7919 % 1000} things." if i % 9 else "" for i in range(1, 60)]
+    a = merkle.build("\n".join(lines))
+    cases = {
+        "double": (lines[:10] + [lines[10]] + lines[10:], [(11, 11, 11, 12)]),
+        "append": ([*lines, "a new last line"], [(59, 59, 59, 60)]),
+        "delete": (lines[:20] + lines[22:], [(20, 22, 20, 20)]),
+        "insert": ([*lines[:30], "put in", "twice", *lines[30:]], [(30, 30, 30, 32)]),
+        "change": ([*lines[:40], "changed", *lines[41:]], [(40, 41, 40, 41)]),
+        "both": ([*lines[:5], "one", *lines[5:50], *lines[51:]], [(5, 5, 5, 6), (50, 51, 51, 51)]),
+        "blank": ([*lines[:13], "", *lines[13:]], [(13, 13, 13, 14)]),
+    }
+    for kind, (changed, want) in cases.items():
+        b = merkle.build("\n".join(changed))
+        assert a.root != b.root and merkle.differing(a, b) == want, kind
+        assert merkle.differing(b, a) == [(c, d, x, y) for x, y, c, d in want], kind
+        assert 0.9 < merkle.likeness(a, b) == merkle.likeness(b, a) < 1, kind
+    swapped = merkle.build("\n".join([*lines[:33], lines[34], lines[33], *lines[35:]]))
+    found = merkle.differing(a, swapped)
+    assert {p for x, y, _, _ in found for p in range(x, y)} | {p for _, _, x, y in found for p in range(x, y)} <= {33, 34} and found
+    assert 0.9 < merkle.likeness(a, swapped) < 1
+
+
+def test_merkle_likeness():
+    """Against the longest common subsequence of leaves: never over it, and it where edits move nothing."""
+    rng = random.Random(33)
+    for _ in range(60):
+        lines = [" ".join(f"w{rng.randrange(60)}" for _ in range(rng.randrange(0, 9))) + rng.choice([".", "", "!"]) for _ in range(rng.randrange(1, 25))]
+        other = [*lines]
+        for _ in range(rng.randrange(0, 4)):
+            k = rng.randrange(len(other) + 1)
+            other[k : k + rng.randrange(0, 3)] = [" ".join(f"v{rng.randrange(10**6)}" for _ in range(4)) for _ in range(rng.randrange(0, 3))]
+        a, b = merkle.same_cut(merkle.build("\n".join(lines)), merkle.build("\n".join(other)))
+        most = 2 * most_shared(a, b) / max(1, a.chars + b.chars) if a.root != b.root else 1.0
+        got = merkle.likeness(a, b)
+        assert got <= most + 1e-9 and got >= 0.85 * most - 1e-9
+    assert merkle.aligned([*"abcabba"], [*"cbabac"]) and len(merkle.aligned([*"abc"], [*"xabcx"])) == 3 and merkle.aligned([], [1]) == []
+
+
+def test_merkle_of_table(spark):
+    """The query against brute force over the smallest table."""
+    rows = in_order(spark.read.parquet(f"{SMALL}/documents.parquet"))
+    want = {}
+    for i, (doc_id, text) in enumerate(rows):
+        following = rows[(i + 1) % len(rows)][1]
+        half = len(text) // 2
+        new = text[: len(text) - half] + following[:half]
+        a, b, c = merkle.build(text), merkle.build(new), merkle.build(following)
+        want[doc_id] = (len(text), hashlib.sha256(new.encode()).hexdigest(), a.root.hex(), b.root.hex(), merkle.likeness(a, b), merkle.likeness(a, c))
+    found = registry.QUERIES["op3_merkle"](spark, SMALL).collect()
+    assert {r["doc_id"]: tuple(r)[1:7] for r in found} == want
+    texts = {}
+    for (_, text), w in zip(rows, want.values(), strict=True):
+        texts.setdefault(w[2], set()).add(text)
+    assert all(len(x) == 1 for x in texts.values()) and len(texts) == len({t for _, t in rows})
+
+
+def test_merkle_hot_ids(spark, monkeypatch):
+    """Ids that many rows have, and rows without one, are dealt to several tasks; the order stays."""
+    monkeypatch.setattr(merkle, "ROWS_PER_RANGE", 20)
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i * 7919 % 1000} " + "x" * (i % 17)) for i in range(600)] + [(7, "same")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt = merkle.in_ranges(docs.select("doc_id", "text"))
+    assert dealt.filter("NOT __tail").groupBy("__part").count().agg(F.max("count")).first()[0] < 100
+    order = in_order(docs)
+    want = sorted(hashlib.sha256(merkle.edited(t, order[(i + 1) % len(order)][1]).encode()).hexdigest() for i, (_, t) in enumerate(order))
+    assert sorted(r["edited_sha256"] for r in merkle.fingerprint(docs).collect()) == want
+
+
 def test_merkle_across_short_text(spark):
     """Texts on different sides of SHORT_TEXT are compared at one cut."""
     rng = random.Random(3)
@@ -120,7 +206,7 @@ def test_merkle_across_short_text(spark):
     assert len(long) >= merkle.SHORT_TEXT > len(short)
     kept = 2 * len(short) / (len(long) + len(short))
     assert merkle.likeness(a, b) == merkle.likeness(b, a) and abs(merkle.likeness(a, b) - kept) < 0.05
-    assert merkle.differing(b, a) == [] and merkle.differing(a, b) == [(0, j) for j in range(5, 9)]
+    assert merkle.differing(b, a) == [(5, 5, 5, 9)] and merkle.differing(a, b) == [(5, 9, 5, 5)]
     base = near[: merkle.SHORT_TEXT - 5]
     assert merkle.likeness(merkle.build(base), merkle.build(base + " and a little more")) > 0.9
     rows = {r["doc_id"]: r for r in merkle.fingerprint(spark.createDataFrame([(1, long), (2, short), (3, "a b")], "doc_id long, text string")).collect()}
