@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import struct
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -218,7 +219,7 @@ def test_merkle_across_short_text(spark):
 # 4
 def test_shuffle(spark, odd):
     for docs in (odd, spark.range(1_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text")), odd.limit(0)):
-        rows = sharding.shuffle(docs, ["doc_id", "text"], F.lit(1_000_000)).collect()
+        rows = sharding.shuffle(docs, F.lit(1_000_000)).collect()
         n = len(rows)
         slots = {s: sorted(r["slot"] for r in rows if r["shard"] == s) for s in range(16)}
         assert all(v == list(range(len(v))) for v in slots.values()) and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
@@ -227,6 +228,47 @@ def test_shuffle(spark, odd):
     assert sorted(order) == list(range(1_000)) and abs(np.corrcoef(order, range(1_000))[0, 1]) < 0.15
 
 
+def test_shuffle_again(spark, monkeypatch):
+    """One order, whatever the partitions; clashing names; buckets that share sums and tasks."""
+    monkeypatch.setattr(sharding, "BUCKETS_PER_SUM", 7)
+    monkeypatch.setattr(sharding, "MOST_TASKS", 3)
+    docs = spark.range(3_000).select("id", F.concat(F.lit("t"), F.col("id") % 50).alias("text"), *(F.lit(i).alias(c) for i, c in enumerate(("bucket", "hash", "start", "record", "shard", "slot", "n", "sum", "hot", "a.b"))))
+    seen = []
+    for part in (1, 2, 9):
+        rows = sharding.shuffle(docs.repartition(part), F.lit(1_000_000)).collect()
+        assert len(rows) == 3_000 and rows[0]["record"].asDict()["a.b"] == 9
+        seen.append(sorted((r["shard"], r["slot"], r["record"]["id"]) for r in rows))
+    assert seen[0] == seen[1] == seen[2]
+    assert len({i // 100 for _, _, i in seen[0][:187]}) > 25
+
+
+def test_shuffle_of_copies(spark, monkeypatch):
+    """A record that a third of the rows repeat fills no bucket."""
+    monkeypatch.setattr(sharding, "HOT_COPIES", 50)
+    monkeypatch.setattr(sharding, "COPIES_PER_ROW", 16)
+    docs = spark.range(3_000).select(F.when(F.col("id") < 1_000, -1).otherwise(F.col("id")).alias("doc_id"), F.lit("same").alias("text"))
+    seen = []
+    for part in (1, 5):
+        scattered = sharding._scattered(docs.repartition(part), docs.columns, 17)
+        assert scattered.filter("record.doc_id = -1").select("hash").distinct().count() == 1_000
+        rows = sharding.shuffle(docs.repartition(part), F.lit(1_000_000)).collect()
+        assert Counter(r["record"]["doc_id"] for r in rows) == Counter(r["doc_id"] for r in docs.collect())
+        seen.append(sorted((r["shard"], r["slot"], r["record"]["doc_id"]) for r in rows))
+    assert seen[0] == seen[1]
+
+
+def test_shuffle_of_table(spark):
+    """The query's columns against the table."""
+    want = {r["doc_id"]: (len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode())) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    rows = registry.QUERIES["op4_external_shuffle"](spark, SMALL).collect()
+    assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in rows} == want and len(rows) == len(want)
+    assert {(r["law"], r["grown_shard"]) for r in rows} == {("rows", None)}
+    for shard in range(16):
+        assert sorted(r["slot"] for r in rows if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in rows)))
+    sizes = Counter(r["shard"] for r in rows)
+    assert max(sizes.values()) - min(sizes.get(s, 0) for s in range(16)) <= 1
+
+
 # 5
 def test_quality(spark, odd):
     rng = random.Random(5)
