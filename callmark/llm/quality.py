@@ -9,9 +9,11 @@ document's one probability. Embedding, filters and weights are learned by Adam o
 The model is fitted on a bounded sample of labelled rows: at most ``most_rows`` of them, those of smallest hash, with at
 most ``most_chars`` characters each. It has some thousand parameters and goes to the executors by value; scoring is a map.
 
-Defined results: a null or empty text scores 0, as it has nothing to keep; a text shorter than a window is padded
-with zero bytes; repeated rows get equal scores; rows with a null label are not learned from; with no labelled rows, or
-labels of one class only, every text scores the share of label 1 (0.5 without rows); other columns are ignored.
+Defined results: a null text counts as the empty text; the empty text is a window of zero bytes, as a text shorter than a
+window is padded with them, and the network scores it like any other; a long text is scored whole, in blocks of chunks;
+repeated rows get equal scores; rows with a null label are not learned from; with no labelled rows, or labels of one class
+only, every text scores the share of label 1 (0.5 without rows); an empty table gives no rows; other columns, whatever their
+names, are ignored by ``score`` and kept by ``keep``.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callmark.llm.common import slices, table, whole
+from callmark.llm.common import name, slices, table, whole
 
 WIDTH, STRIDE, DEPTH, FILTERS = 12, 4, 8, 24
 #: Values of a byte's place: its embedding and the channel of repeats, which looks back so many bytes.
@@ -72,8 +74,6 @@ class Model:
         return np.concatenate(out), np.concatenate(sizes)
 
     def score(self, text: str) -> float:
-        if not text:
-            return 0.0
         if self.constant is not None:
             return self.constant
         logits, sizes = self.logits(np.frombuffer(text.encode(), np.uint8))
@@ -86,6 +86,8 @@ def repeats(data: np.ndarray) -> np.ndarray:
     grams = wide.copy()
     grams[3:] |= wide[2:-1] << 8 | wide[1:-2] << 16 | wide[:-3] << 24
     found = np.zeros(len(data), bool)
+    if len(data) < 4:
+        return found
     for lag in range(2, min(LOOK_BACK, len(data) - 4) + 1):
         found[lag:] |= grams[lag:] == grams[:-lag]
     found[:3] = False
@@ -104,7 +106,7 @@ def train(texts: list[str], labels: list[int], epochs: int = 5, rate: float = 0.
     """The same rows in the same order give the same model."""
     rng = np.random.default_rng(seed)
     model = Model(rng.normal(0, 0.5, (256, DEPTH)).astype(np.float32), rng.normal(0, 0.15, (WIDTH * CHANNELS, FILTERS)).astype(np.float32), np.zeros(FILTERS, np.float32), rng.normal(0, 0.2, FILTERS).astype(np.float32), 0.0)
-    rows = [(padded(np.frombuffer(t.encode(), np.uint8)), y) for t, y in zip(texts, labels, strict=True) if t]
+    rows = [(padded(np.frombuffer(t.encode(), np.uint8)), y) for t, y in zip(texts, labels, strict=True)]
     if len({y for _, y in rows}) < 2:
         model.constant = float(np.mean([y for _, y in rows])) if rows else 0.5
         return model
@@ -151,17 +153,15 @@ def _gradient(model: Model, data: np.ndarray, label: int, grads: dict[str, np.nd
 
 
 def is_held_out(id_col: str | Column, folds: int = 5) -> Column:
-    return F.crc32(F.col(id_col).cast("string")) % folds == 0 if isinstance(id_col, str) else F.crc32(id_col.cast("string")) % folds == 0
+    own = F.col(name(id_col)) if isinstance(id_col, str) else id_col
+    return F.crc32(own.cast("string")) % folds == 0
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_rows: int = 2_000, most_chars: int = 32_768) -> Model:
     """A model of the labelled rows outside the held-out fold; most_rows and most_chars bound what reaches the driver."""
-    chosen = (
-        labels.filter(F.col(label_col).isNotNull() & ~is_held_out(id_col))
-        .select(F.col(id_col).alias("id_"), F.col(label_col).cast("int").alias("label_")).distinct()
-        .orderBy(F.xxhash64("id_"), "id_", "label_").limit(most_rows)
-    )
-    rows = docs.filter(F.char_length(text_col) <= most_chars).select(F.col(id_col).alias("id_"), F.col(text_col).alias("text_")).join(F.broadcast(chosen), "id_")
+    own, label, text = F.col(name(id_col)), F.col(name(label_col)).cast("int"), whole(name(text_col))
+    chosen = labels.filter(label.isNotNull() & ~is_held_out(id_col)).select(own.alias("id_"), label.alias("label_")).distinct().orderBy(F.xxhash64("id_"), "id_", "label_").limit(most_rows)
+    rows = docs.filter(F.char_length(text) <= most_chars).select(own.alias("id_"), text.alias("text_")).join(F.broadcast(chosen), "id_")
     rows = rows.orderBy(F.xxhash64("id_"), "id_", "text_", "label_").limit(most_rows).collect()
     return train([r["text_"] for r in rows], [r["label_"] for r in rows])
 
@@ -173,7 +173,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for part in slices(batches):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([model.score(x.as_py()) for x in part.column("text")], pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col(name(id_col)).cast("long").alias("doc_id"), whole(name(text_col)).alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
 def keep(docs: DataFrame, model: Model, least: float = 0.3, text_col: str = "text") -> DataFrame:
@@ -183,7 +183,7 @@ def keep(docs: DataFrame, model: Model, least: float = 0.3, text_col: str = "tex
     def good(texts: pd.Series) -> pd.Series:
         return texts.map(lambda x: model.score(x or "") >= least).astype(bool)
 
-    return docs.filter(good(whole(text_col)))
+    return docs.filter(good(whole(name(text_col))))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
