@@ -12,11 +12,14 @@ D(t) = target * (start * t + (1 - start) * t^2); a document copy whose middle is
 the t where D(t) = c, found in closed form. Range-sorting by that position puts the copies in training order.
 
 Running sums over a source never gather it in one task: documents fall into buckets of the order's hash, sums of whole
-buckets are added up first, and sums within a bucket last.
-
-Defined results: a null or blank text has no words, is taken 0 words and put at its place with 0 copies; a null source is
-a source of its own, last in order; repeated rows are documents of their own, tied in order; a table without words
-gives targets of 0; other columns are ignored by ``mix``, and kept by ``training_order``.
+buckets are added up first, and sums within a bucket last. Rows that agree in id, source and size are one row until then,
+with their number, so an id (or its lack) that many rows have is no hot key. Sources, which may be as many as hosts, are
+ranked and filled by ranges too.
+
+Defined results: a null or blank text has no words, is taken 0 words and put at its place with 0 copies; a long text counts
+whole, as one document; a null source is a source of its own, last in order; repeated rows are documents of their own, tied
+in order; a table without words gives targets of 0, an empty one no rows; other columns, whatever their names, are ignored
+by ``mix``, and kept by ``training_order``.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from callmark.llm.common import materialise, table, whole
+from callmark.llm.common import few, materialise, name, record, running, table, whole
 
 #: What separates words, and the weights of sources in order, repeating.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -36,6 +39,10 @@ BUCKET_DIGITS = 3
 GIANT = 50
 #: A source's weight at t = 0 against its mean, by its place in order, repeating: early, even, late.
 STARTS = (1.5, 1.0, 0.5)
+#: Sources up to so many meet the documents by broadcast, some 100 bytes each.
+BROADCAST_SOURCES = 1_000_000
+#: Rows of one kind that a task writes out; more are dealt anew.
+ROWS_PER_BLOCK = 10_000
 
 
 def words(text: Column) -> Column:
@@ -49,48 +56,69 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     full (most * size / weight), a prefix is full and the rest has the level (total - full sizes) / (weights of the rest);
     the first level that is at most the next one's own share is it. The table has a row for each source, and no text.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    place = (F.row_number().over(by_name) - 1) % len(weights)
-    ranked = sizes.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), place + 1)).withColumn("start", F.element_at(F.array(*map(F.lit, STARTS)), place % len(STARTS) + 1))
-    full_at = F.col("source_size") * most / F.col("weight")
-    before = Window.orderBy(full_at, F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    level = (
-        ranked.withColumn("rest_size", F.sum("source_size").over(everything) - most * F.coalesce(F.sum("source_size").over(before), F.lit(0)))
-        .withColumn("rest_weight", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-        .withColumn("level", F.max(F.when(F.col("rest_size") <= full_at * F.col("rest_weight"), F.col("rest_size") / F.col("rest_weight"))).over(everything))
-    )
+    place = F.col("place") % len(weights)
+    ranked = running(sizes, [F.col("source").asc_nulls_last()]).select(
+        "source", "source_size", F.element_at(F.array(*map(F.lit, weights)), (place + 1).cast("int")).alias("weight"), F.element_at(F.array(*map(F.lit, STARTS)), (place % len(STARTS) + 1).cast("int")).alias("start"))
+    ranked = ranked.withColumn("full_at", F.col("source_size") * most / F.col("weight"))
+    filling = running(ranked, [F.col("full_at").asc(), F.col("source").asc_nulls_last()], full_size=F.col("source_size"), full_weight=F.col("weight")).drop("place")
+    filling = materialise(filling)
+    all_size, all_weight = filling.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    rest_size, rest_weight = F.lit(all_size) - most * F.col("full_size"), F.lit(all_weight) - F.col("full_weight")
     # after the first row that is not full, levels only fall: the largest that a row allows is the level
-    target = F.least((F.col("source_size") * most).cast("double"), F.coalesce(F.col("level"), F.lit(0.0)) * F.col("weight"))
-    return level.select("source", "source_size", "weight", "start", target.alias("target"))
-
+    level = filling.agg(F.max(F.when(rest_size <= F.col("full_at") * rest_weight, rest_size / rest_weight))).first()[0] or 0.0
+    target = F.least((F.col("source_size") * most).cast("double"), F.lit(float(level)) * F.col("weight"))
+    return filling.select("source", "source_size", "weight", "start", target.alias("target"))
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken, position; a row for each row of docs.
 
-    position: when the document's first copy is trained on, from 0 to 1; null without copies.
-    """
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), words(whole(text_col)).alias("size"))
-    own = materialise(own.withColumn("order_key", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))))
-    sizes = own.groupBy("source").agg(F.sum("size").alias("source_size"))
+def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, weights: tuple[int, ...], most: int) -> DataFrame:
+    """A row for all rows of docs that agree in doc_id, source and size: these, their number c, and what the words before them (ahead) and the target say."""
+    own = docs.select(F.col(name(id_col)).cast("long").alias("doc_id"), F.col(name(source_col)).cast("string").alias("source"), words(whole(name(text_col))).alias("size"))
+    own = materialise(own.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("c")).withColumn("order_key", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))))
+    sizes = own.groupBy("source").agg(F.sum(F.col("size") * F.col("c")).alias("source_size"))
     plan = targets(sizes, weights, most).withColumn("rounds", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-    plan = plan.withColumn("left", F.col("target") - F.col("rounds") * F.col("source_size")).withColumnRenamed("source", "source_").drop("weight")
+    plan = materialise(plan.withColumn("left", F.col("target") - F.col("rounds") * F.col("source_size")).withColumnRenamed("source", "source_").drop("weight"))
+    if few(plan, BROADCAST_SOURCES):
+        plan = F.broadcast(plan)
     giant = F.col("size") * GIANT > F.col("source_size")
     side = F.when(giant, F.when(F.col("left") * 2 >= F.col("source_size"), -1).otherwise(1)).otherwise(0)
     own = own.join(plan, F.col("source").eqNullSafe(F.col("source_"))).drop("source_").withColumn("side", side)
     own = own.withColumn("bucket", F.when(F.col("side") < 0, "").when(F.col("side") > 0, "z").otherwise(F.left("order_key", F.lit(BUCKET_DIGITS))))
-    buckets = own.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
+    weight = F.col("size") * F.col("c")
+    buckets = own.groupBy("source", "bucket").agg(F.sum(weight).alias("bucket_size"))
     of_source = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = buckets.select(F.col("source").alias("source_"), F.col("bucket").alias("bucket_"), F.coalesce(F.sum("bucket_size").over(of_source), F.lit(0)).alias("ahead"))
+    ahead = buckets.select(F.col("source").alias("source_"), F.col("bucket").alias("bucket_"), F.coalesce(F.sum("bucket_size").over(of_source), F.lit(0)).alias("before_bucket"))
     within = Window.partitionBy("source", "bucket").orderBy(F.col("side") * F.col("size"), "order_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = own.withColumn("done", F.sum("size").over(within)).join(ahead, F.col("source").eqNullSafe(F.col("source_")) & (F.col("bucket") == F.col("bucket_")))
-    before = F.col("ahead") + F.col("done") - F.col("size")
-    return (
-        placed.withColumn("before", before)
-        .withColumn("copies", F.when(F.col("size") == 0, 0).otherwise(F.col("rounds") + F.when(F.col("before") + F.col("size") / 2 <= F.col("left"), 1).otherwise(0)).cast("int"))
-        .withColumn("position", F.when(F.col("copies") > 0, position(F.col("before") + F.col("size") / 2, F.col("target"), F.col("start"))))
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "position", "before", "start")
-    )
+    placed = own.withColumn("done", F.sum(weight).over(within)).join(ahead, F.col("source").eqNullSafe(F.col("source_")) & (F.col("bucket") == F.col("bucket_")))
+    return placed.select("doc_id", "source", "size", "c", "source_size", "target", "start", "rounds", "left", (F.col("before_bucket") + F.col("done") - weight).alias("ahead"))
+
+
+def _each(planned: DataFrame) -> DataFrame:
+    """A row for each row of docs: n (its number among its equals, from 0), before (words before it), copies; rows that repeat very often are dealt over tasks."""
+    planned = materialise(planned)
+    rare, often = planned.filter(F.col("c") <= ROWS_PER_BLOCK).withColumn("n", F.explode(F.sequence(F.lit(0), F.col("c") - 1))), planned.filter(F.col("c") > ROWS_PER_BLOCK)
+    if not often.isEmpty():
+        blocks = often.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("c") - 1) / ROWS_PER_BLOCK)))).repartition("doc_id", "size", "block")
+        first = F.col("block") * ROWS_PER_BLOCK
+        rare = rare.unionByName(blocks.withColumn("n", F.explode(F.sequence(first, F.least(first + ROWS_PER_BLOCK, F.col("c")) - 1))).drop("block"))
+    before = F.col("ahead") + F.col("n") * F.col("size")
+    copies = F.when(F.col("size") == 0, 0).otherwise(F.col("rounds") + F.when(F.col("before") + F.col("size") / 2 <= F.col("left"), 1).otherwise(0)).cast("int")
+    return rare.withColumn("before", before).withColumn("copies", copies)
+
+
+def _positions() -> Column:
+    """Training positions of a row's copies, in order."""
+    demand = lambda k: F.col("before") + F.col("size") / 2 + k * F.col("source_size")
+    made = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(1), F.col("copies")) - 1), lambda k: position(demand(k), F.col("target"), F.col("start")))
+    return F.when(F.col("copies") > 0, made).otherwise(F.array().cast("array<double>"))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken, positions, n, before; a row for each row of docs.
+
+    positions: when each copy of the document is trained on, from 0 to 1.
+    """
+    rows = _each(_planned(docs, id_col, text_col, source_col, seed, weights, most)).withColumn("positions", _positions())
+    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "positions", "n", "before", "c")
 
 
 def position(demand: Column, target: Column, start: Column) -> Column:
@@ -103,42 +131,42 @@ def position(demand: Column, target: Column, start: Column) -> Column:
 def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """docs' rows, each as often as the mix has copies of it, range-sorted by training position; docs' columns only.
 
-    The plan, a few numbers for each document, meets the documents on id, source and size; rows that agree in all three
-    are numbered, and each takes the plan of its number.
+    The plan, a few numbers for each document, meets the documents on id, source and size, and the sort moves them once more.
+    Only rows that agree in all three with others are numbered before, in one task for each such three.
     """
-    plan = _copies(mix(docs, id_col, text_col, source_col, **how)).select("__key", "__n", "__positions")
-    rows = docs.withColumn("__key", _key(F.col(id_col).cast("long"), F.col(source_col), words(whole(text_col))))
-    rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy("__key").orderBy(F.xxhash64(text_col))))
-    return _sorted(rows.join(plan, ["__key", "__n"])).select(*docs.columns)
+    plan = materialise(mix(docs, id_col, text_col, source_col, **how).filter("copies > 0").select(_key(F.col("doc_id"), F.col("source"), F.col("size")).alias("at"), "n", "c", "positions"))
+    rows = record(docs, key=_key(F.col(name(id_col)).cast("long"), F.col(name(source_col)), words(whole(name(text_col)))))
+    single = rows.join(plan.filter("c = 1"), F.col("key") == F.col("at")).select("record", "key", F.lit(0).cast("long").alias("n"), "positions")
+    several = plan.filter("c > 1")
+    if not several.isEmpty():
+        known = several.select(F.col("at").alias("key")).distinct()
+        numbered = rows.join(F.broadcast(known) if few(known, BROADCAST_SOURCES) else known, "key", "left_semi")
+        numbered = numbered.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64(f"record.{name(text_col)}"))) - 1)
+        single = single.unionByName(numbered.join(several, (F.col("key") == F.col("at")) & (F.col("nth") == F.col("n"))).select("record", "key", F.col("n").cast("long").alias("n"), "positions"))
+    return _sorted(single).select(*(F.col(f"record.{name(c)}").alias(c) for c in docs.columns))
 
 
 def places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """doc_id, source, position of every copy that the mix has, in training_order's order, without texts."""
-    plan = _copies(mix(docs, id_col, text_col, source_col, **how))
-    return _sorted(plan).select("doc_id", "source", F.col("__position").alias("position"))
-
-
-def _copies(plan: DataFrame) -> DataFrame:
-    """mix's rows with copies, each with the training positions of all of them."""
-    plan = plan.withColumn("__key", _key(F.col("doc_id"), F.col("source"), F.col("size")))
-    plan = plan.withColumn("__n", F.row_number().over(Window.partitionBy("__key").orderBy("before"))).filter("copies > 0")
-    demand = lambda k: F.col("before") + F.col("size") / 2 + k * F.col("source_size")
-    return plan.withColumn("__positions", F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda k: position(demand(k), F.col("target"), F.col("start"))))
+    plan = mix(docs, id_col, text_col, source_col, **how).withColumn("key", _key(F.col("doc_id"), F.col("source"), F.col("size")))
+    return _sorted(plan).select("doc_id", "source", "position")
 
 
 def _sorted(placed: DataFrame) -> DataFrame:
     """A row for each copy, range-sorted."""
-    return placed.select("*", F.explode("__positions").alias("__position")).orderBy("__position", "__key", "__n")
+    return placed.select("*", F.explode("positions").alias("position")).orderBy("position", "key", "n")
 
 
 def _key(doc_id: Column, source: Column, size: Column) -> Column:
-    return F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("none")), size.cast("string"), F.coalesce(F.concat(F.lit("="), source), F.lit("none")))
+    return F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("none")), size.cast("string"), F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("none")))
 
 
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each document, range-sorted by its first copy's position; documents without copies come last."""
-    rows = mix(table(spark, sf_dir, "documents")).orderBy(F.asc_nulls_last("position"), _key(F.col("doc_id"), F.col("source"), F.col("size")), "before")
-    return rows.select("doc_id", "size", "source_size", "target", "taken", "copies", F.floor(F.col("position") * 1e6).alias("position_ppm"))
+    """A row for each document with the places of all its copies, range-sorted by the first's; documents without copies come last."""
+    first = F.get("positions", F.lit(0))
+    rows = mix(table(spark, sf_dir, "documents")).orderBy(first.asc_nulls_last(), _key(F.col("doc_id"), F.col("source"), F.col("size")), "n")
+    ppm = lambda x: F.floor(x * 1e6)
+    return rows.select("doc_id", "size", "source_size", "target", "taken", "copies", ppm(first).alias("position_ppm"), F.array_join(F.transform("positions", lambda x: ppm(x).cast("string")), ",").alias("positions_ppm"))
 
 
 ORACLE = r"""
@@ -175,8 +203,7 @@ WITH own AS (
         (CASE WHEN size = 0 THEN 0 ELSE rounds + CASE WHEN before::DOUBLE + size::DOUBLE / 2 <= remaining THEN 1 ELSE 0 END END)::INTEGER AS copies
     FROM placed
 )
-SELECT doc_id, size, source_size, target, copies * size AS taken, copies,
-    CASE WHEN copies > 0 THEN floor(2 * least(1.0::DOUBLE, demand / target)
-        / (start + sqrt(greatest(0.0::DOUBLE, start * start + 4 * (1 - start) * least(1.0::DOUBLE, demand / target)))) * 1e6::DOUBLE)::BIGINT END AS position_ppm
-FROM copied
+SELECT doc_id, size, source_size, target, copies * size AS taken, copies, ps[1] AS position_ppm, array_to_string(ps, ',') AS positions_ppm FROM (SELECT *, list_transform(range(0, copies),
+    lambda k: floor(2 * least(1.0::DOUBLE, (demand + k * source_size::DOUBLE) / target) / (start + sqrt(greatest(0.0::DOUBLE, start * start + 4 * (1 - start) * least(1.0::DOUBLE, (demand + k * source_size::DOUBLE) / target)))) * 1e6::DOUBLE)::BIGINT) AS ps
+FROM copied)
 """

@@ -14,7 +14,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from callmark.llm import bpe, licenses, merkle, mixing, neardup, quality, registry, secrets, sharding, topk, warc
+from callmark.llm import bpe, common, licenses, merkle, mixing, neardup, quality, registry, secrets, sharding, topk, warc
 from callmark.llm.common import work_dir
 from callmark.operators.shards import deal
 from tests.oracle import differences
@@ -330,8 +330,47 @@ def test_mix(spark, odd):
     assert ordered.columns == odd.columns and ordered.count() == sum(r["copies"] for r in rows) and mixing.mix(odd.limit(0)).count() == 0
 
 
-def test_training_order(spark):
-    """op6_mix's rows and the copies of training_order stand in the order of their positions."""
+def test_mix_by_hand(spark, monkeypatch):
+    """Targets by repeated sharing, and every source's words, over few and many sources, with ids that repeat."""
+    monkeypatch.setattr(mixing, "ROWS_PER_BLOCK", 3)
+    rng = random.Random(66)
+    for n_sources in (1, 2, 3, 40):
+        rows = [(rng.choice([None, 5, i]), "w " * rng.randrange(0, 30), rng.choice([None, *(f"s{k:02}" for k in range(n_sources))])) for i in range(300)] + [(7, "a b c", "s00")] * 20
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        found = mixing.mix(docs).collect()
+        sizes = Counter()
+        for _, text, source in rows:
+            sizes[source] += len(text.split())
+        weight = {s: (1, 2, 3)[i % 3] for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s)))}
+        target, free, left = {}, set(sizes), float(sum(sizes.values()))
+        while free:
+            level = left / sum(weight[s] for s in free)
+            full = {s for s in free if 3 * sizes[s] < level * weight[s]}
+            if not full:
+                target |= {s: level * weight[s] for s in free}
+                break
+            target |= {s: 3.0 * sizes[s] for s in full}
+            left -= sum(target[s] for s in full)
+            free -= full
+        assert len(found) == len(rows) and Counter((r["doc_id"], r["source"], r["size"]) for r in found) == Counter((i, s, len(t.split())) for i, t, s in rows)
+        taken = Counter()
+        for r in found:
+            assert abs(r["target"] - target[r["source"]]) < 1e-6 and r["source_size"] == sizes[r["source"]] and r["copies"] <= 3 and len(r["positions"]) == r["copies"]
+            taken[r["source"]] += r["taken"]
+        for s in sizes:
+            most = max((len(t.split()) for _, t, x in rows if x == s), default=0)
+            assert abs(taken[s] - target[s]) <= most, (n_sources, s)
+
+
+def test_running(spark):
+    df = spark.range(500).select((F.col("id") * 7919 % 500).alias("v"))
+    found = common.running(df.repartition(5), [F.col("v")], total=F.col("v")).collect()
+    assert sorted((r["place"], r["v"], r["total"]) for r in found) == [(v, v, v * (v - 1) // 2) for v in range(500)]
+    assert common.running(df.limit(0), [F.col("v")], total=F.col("v")).count() == 0
+
+
+def test_training_order(spark, odd):
+    """op6_mix's rows and the copies of training_order stand in the order of their positions; names that helpers use stay the user's."""
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     found = [r["position_ppm"] for r in mixing.op6_mix(spark, SMALL).collect()]
     placed = [x for x in found if x is not None]
@@ -341,6 +380,8 @@ def test_training_order(spark):
     assert at == sorted(at) and 0 <= at[0] and at[-1] <= 1
     assert len(copies) == sum(r["copies"] for r in mixing.mix(docs).collect())
     assert [r["doc_id"] for r in mixing.training_order(docs).collect()] == [r["doc_id"] for r in copies]
+    repeated = docs.unionByName(docs.limit(30)).withColumn("doc_id", F.when(F.col("doc_id") % 4 == 0, 1).otherwise(F.col("doc_id")))
+    assert Counter(r["doc_id"] for r in mixing.training_order(repeated).collect()) == Counter(r["doc_id"] for r in mixing.places(repeated).collect())
 
 
 # 7
