@@ -13,6 +13,8 @@ from callmark.session import kept, materialise, remove, scratch, ship, work_dir
 __all__ = ["SLICE_ROWS", "few", "kept", "materialise", "name", "record", "remove", "running", "scratch", "slices", "table", "whole", "work_dir"]
 #: Rows that a Python task turns into Python objects at one time.
 SLICE_ROWS = 128
+#: Rows of narrow tables (sources, say) that one task orders.
+FEW_ROWS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,9 +44,12 @@ def few(df: DataFrame, most: int) -> bool:
 def running(df: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
     """df with its rows' places in that order, from 0, as ``place``, and for each of sums its total over the rows before, by name.
 
-    No window over all: rows are dealt by ranges of the order into a working table that remembers its ranges; their sums, a row
-    for each, are added up on the driver, and what is left is a window within each range. Ties must be told apart by order.
+    Up to FEW_ROWS rows are one window. More are dealt by ranges of the order into a working table that remembers its ranges; their
+    sums, a row for each, are added up on the driver, and what is left is a window within each range. Order must tell all rows apart.
     """
+    above = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    if few(df, FEW_ROWS):
+        return df.withColumns({"place": F.count(F.lit(1)).over(above), **{n: F.coalesce(F.sum(c).over(above), F.lit(0)) for n, c in sums.items()}})
     dealt = materialise(df.repartitionByRange(*order).withColumn("part_", F.spark_partition_id()))
     totals = dealt.groupBy("part_").agg(F.count(F.lit(1)).alias("place"), *(F.sum(c).alias(n) for n, c in sums.items())).orderBy("part_").collect()
     ahead, rows = dict.fromkeys(("place", *sums), 0), []

@@ -61,23 +61,24 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
         "source", "source_size", F.element_at(F.array(*map(F.lit, weights)), (place + 1).cast("int")).alias("weight"), F.element_at(F.array(*map(F.lit, STARTS)), (place % len(STARTS) + 1).cast("int")).alias("start"))
     ranked = ranked.withColumn("full_at", F.col("source_size") * most / F.col("weight"))
     filling = running(ranked, [F.col("full_at").asc(), F.col("source").asc_nulls_last()], full_size=F.col("source_size"), full_weight=F.col("weight")).drop("place")
-    filling = materialise(filling)
-    all_size, all_weight = filling.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
-    rest_size, rest_weight = F.lit(all_size) - most * F.col("full_size"), F.lit(all_weight) - F.col("full_weight")
+    everything = F.broadcast(ranked.agg(F.sum("source_size").alias("all_size"), F.sum("weight").alias("all_weight")))  # one row, as the level
+    rest_size, rest_weight = F.col("all_size") - most * F.col("full_size"), F.col("all_weight") - F.col("full_weight")
     # after the first row that is not full, levels only fall: the largest that a row allows is the level
-    level = filling.agg(F.max(F.when(rest_size <= F.col("full_at") * rest_weight, rest_size / rest_weight))).first()[0] or 0.0
-    target = F.least((F.col("source_size") * most).cast("double"), F.lit(float(level)) * F.col("weight"))
-    return filling.select("source", "source_size", "weight", "start", target.alias("target"))
+    level = filling.join(everything).agg(F.max(F.when(rest_size <= F.col("full_at") * rest_weight, rest_size / rest_weight)).alias("level"))
+    target = F.least((F.col("source_size") * most).cast("double"), F.coalesce("level", F.lit(0.0)) * F.col("weight"))
+    return ranked.join(F.broadcast(level)).select("source", "source_size", "weight", "start", target.alias("target"))
 
 
-def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, weights: tuple[int, ...], most: int) -> DataFrame:
-    """A row for all rows of docs that agree in doc_id, source and size: these, their number c, and what the words before them (ahead) and the target say."""
+def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, weights: tuple[int, ...], most: int) -> tuple[DataFrame, bool]:
+    """A row for all rows of docs that agree in doc_id, source and size: these, their number c, what the words before them (ahead) and the
+    target say; and whether any of these rows stands for very many."""
     own = docs.select(F.col(name(id_col)).cast("long").alias("doc_id"), F.col(name(source_col)).cast("string").alias("source"), words(whole(name(text_col))).alias("size"))
     own = materialise(own.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("c")).withColumn("order_key", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))))))
-    sizes = own.groupBy("source").agg(F.sum(F.col("size") * F.col("c")).alias("source_size"))
+    often = not own.filter(F.col("c") > ROWS_PER_BLOCK).isEmpty()
+    sizes = materialise(own.groupBy("source").agg(F.sum(F.col("size") * F.col("c")).alias("source_size")))
     plan = targets(sizes, weights, most).withColumn("rounds", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-    plan = materialise(plan.withColumn("left", F.col("target") - F.col("rounds") * F.col("source_size")).withColumnRenamed("source", "source_").drop("weight"))
-    if few(plan, BROADCAST_SOURCES):
+    plan = plan.withColumn("left", F.col("target") - F.col("rounds") * F.col("source_size")).withColumnRenamed("source", "source_").drop("weight")
+    if few(sizes, BROADCAST_SOURCES):
         plan = F.broadcast(plan)
     giant = F.col("size") * GIANT > F.col("source_size")
     side = F.when(giant, F.when(F.col("left") * 2 >= F.col("source_size"), -1).otherwise(1)).otherwise(0)
@@ -89,17 +90,19 @@ def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed:
     ahead = buckets.select(F.col("source").alias("source_"), F.col("bucket").alias("bucket_"), F.coalesce(F.sum("bucket_size").over(of_source), F.lit(0)).alias("before_bucket"))
     within = Window.partitionBy("source", "bucket").orderBy(F.col("side") * F.col("size"), "order_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = own.withColumn("done", F.sum(weight).over(within)).join(ahead, F.col("source").eqNullSafe(F.col("source_")) & (F.col("bucket") == F.col("bucket_")))
-    return placed.select("doc_id", "source", "size", "c", "source_size", "target", "start", "rounds", "left", (F.col("before_bucket") + F.col("done") - weight).alias("ahead"))
+    return placed.select("doc_id", "source", "size", "c", "source_size", "target", "start", "rounds", "left", (F.col("before_bucket") + F.col("done") - weight).alias("ahead")), often
 
 
-def _each(planned: DataFrame) -> DataFrame:
+def _each(planned: DataFrame, often: bool) -> DataFrame:
     """A row for each row of docs: n (its number among its equals, from 0), before (words before it), copies; rows that repeat very often are dealt over tasks."""
-    planned = materialise(planned)
-    rare, often = planned.filter(F.col("c") <= ROWS_PER_BLOCK).withColumn("n", F.explode(F.sequence(F.lit(0), F.col("c") - 1))), planned.filter(F.col("c") > ROWS_PER_BLOCK)
-    if not often.isEmpty():
-        blocks = often.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("c") - 1) / ROWS_PER_BLOCK)))).repartition("doc_id", "size", "block")
+    numbers = lambda first, end: F.explode(F.sequence(first, end - 1))
+    if often:
+        planned = materialise(planned)
+        blocks = planned.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("c") - 1) / ROWS_PER_BLOCK)))).repartition("doc_id", "size", "block")
         first = F.col("block") * ROWS_PER_BLOCK
-        rare = rare.unionByName(blocks.withColumn("n", F.explode(F.sequence(first, F.least(first + ROWS_PER_BLOCK, F.col("c")) - 1))).drop("block"))
+        rare = blocks.withColumn("n", numbers(first, F.least(first + ROWS_PER_BLOCK, F.col("c")))).drop("block")
+    else:
+        rare = planned.withColumn("n", numbers(F.lit(0).cast("long"), F.col("c")))
     before = F.col("ahead") + F.col("n") * F.col("size")
     copies = F.when(F.col("size") == 0, 0).otherwise(F.col("rounds") + F.when(F.col("before") + F.col("size") / 2 <= F.col("left"), 1).otherwise(0)).cast("int")
     return rare.withColumn("before", before).withColumn("copies", copies)
@@ -117,7 +120,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     positions: when each copy of the document is trained on, from 0 to 1.
     """
-    rows = _each(_planned(docs, id_col, text_col, source_col, seed, weights, most)).withColumn("positions", _positions())
+    rows = _each(*_planned(docs, id_col, text_col, source_col, seed, weights, most)).withColumn("positions", _positions())
     return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "positions", "n", "before", "c")
 
 
@@ -153,8 +156,11 @@ def places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
 
 
 def _sorted(placed: DataFrame) -> DataFrame:
-    """A row for each copy, range-sorted."""
-    return placed.select("*", F.explode("positions").alias("position")).orderBy("position", "key", "n")
+    """A row for each copy, range-sorted. Training time is what the words are spread over evenly, so equal spans of it are the ranges: no sampling."""
+    ranges = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    copies = placed.select("*", F.explode("positions").alias("position"))
+    span = F.least(F.lit(ranges - 1), F.floor(F.col("position") * ranges)).cast("int")
+    return copies.repartitionById(ranges, span).sortWithinPartitions("position", "key", "n")
 
 
 def _key(doc_id: Column, source: Column, size: Column) -> Column:
@@ -164,7 +170,7 @@ def _key(doc_id: Column, source: Column, size: Column) -> Column:
 def op6_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each document with the places of all its copies, range-sorted by the first's; documents without copies come last."""
     first = F.get("positions", F.lit(0))
-    rows = mix(table(spark, sf_dir, "documents")).orderBy(first.asc_nulls_last(), _key(F.col("doc_id"), F.col("source"), F.col("size")), "n")
+    rows = materialise(mix(table(spark, sf_dir, "documents"))).orderBy(first.asc_nulls_last(), _key(F.col("doc_id"), F.col("source"), F.col("size")), "n")
     ppm = lambda x: F.floor(x * 1e6)
     return rows.select("doc_id", "size", "source_size", "target", "taken", "copies", ppm(first).alias("position_ppm"), F.array_join(F.transform("positions", lambda x: ppm(x).cast("string")), ",").alias("positions_ppm"))
 
