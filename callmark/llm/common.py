@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from callmark.session import kept, materialise, remove, scratch, ship, work_dir
 
-__all__ = ["SLICE_ROWS", "few", "kept", "materialise", "name", "record", "remove", "running", "scratch", "slices", "table", "whole", "work_dir"]
+__all__ = ["SLICE_ROWS", "few", "kept", "materialise", "name", "record", "remove", "running", "scratch", "slices", "spread_join", "table", "whole", "work_dir"]
 #: Rows that a Python task turns into Python objects at one time.
 SLICE_ROWS = 128
 #: Rows of narrow tables (sources, say) that one task orders.
 FEW_ROWS = 100_000
+#: A key of more rows than this meets its one row of the other side by broadcast, if there are at most so many such keys.
+HOT_ROWS, MOST_HOT = 1_000, 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +43,19 @@ def few(df: DataFrame, most: int) -> bool:
     return df.limit(most + 1).count() <= most
 
 
+def spread_join(big: DataFrame, small: DataFrame, key: str, size: str) -> DataFrame:
+    """big joined with small, which has a row for each key and says in column size how many rows of big have it.
+
+    Keys that very many rows have would each gather in one task; their rows of small, of which there are few, are broadcast.
+    """
+    hot = small.filter(F.col(size) > HOT_ROWS)
+    number = hot.limit(MOST_HOT + 1).count()
+    if not 0 < number <= MOST_HOT:
+        return big.join(small, key)
+    hot = F.broadcast(hot)
+    return big.join(hot, key).unionByName(big.join(hot.select(key), key, "left_anti").join(small.filter(F.col(size) <= HOT_ROWS), key))
+
+
 def running(df: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
     """df with its rows' places in that order, from 0, as ``place``, and for each of sums its total over the rows before, by name.
 

@@ -8,16 +8,21 @@ full one, along a fixed random order. Registers are compressed into bands; docum
 2. In each band bucket every node is compared with the bucket's smallest: first by the sketches' Jaccard estimate,
    corrected for registers that collide by chance, then on the full sets. This star joins most of a group of copies.
 3. What the stars leave apart is compared in full: for buckets that still hold several components, all pairs across
-   components, in blocks of bounded size inside tasks that put out only the links that join something new.
+   components, in blocks of bounded size inside tasks that put out only the links that join something new. Members of the
+   bucket's largest component are compared with the others only, and sent once for each block of these.
 4. Components come from alternating large-star and small-star rounds over the links.
 
-No step writes out the pairs of a group. A pair at the threshold shares no band with probability under MISS, if its sets
+Sets and links are confirmed on 64-bit hashes of shingles: two different shingles of one pair of texts are taken for the same
+with a probability of about the product of the sets' sizes over 2^64.
+
+No step writes out the pairs of a group, and buckets and sets that very many rows share meet their one row by broadcast. A pair at the threshold shares no band with probability under MISS, if its sets
 are large; of small sets many registers are borrowed, hence the narrow bands. Candidates are never capped. The estimate
 rejects a pair only six standard errors below the threshold, by the number of buckets that the smaller set fills.
 
-Defined results: a null or blank text has no shingles, is linked with nothing and kept; repeated rows are one node, and
-each row is reported; rows without doc_id name no component and are kept; an empty table gives no rows; other columns
-are ignored by ``components`` and kept by ``deduplicate``.
+Defined results: a null or blank text has no shingles, is linked with nothing and kept; a long text's set is made and
+compared whole; repeated rows are one node, and each row is reported (``deduplicate`` keeps one of the rows of an id, that
+of the least text); rows without doc_id name no component and are kept; an empty table gives no rows; other columns, whatever
+their names, are ignored by ``components`` and kept by ``deduplicate``.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callmark.llm.common import materialise, slices, table, whole
+from callmark.llm.common import few, kept, materialise, name, record, scratch, slices, spread_join, table, whole
 
 REGISTERS, MANTISSA = 192, 10
 MISS = 1e-9
@@ -223,13 +228,22 @@ def join_blocks(left: list[dict], right: list[dict] | None, percent: int) -> lis
 
 
 def _block_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """members: bucket, node, component, n. Links across the components of each bucket, found block pair by block pair."""
-    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") * 8 / BLOCK_BYTES)).cast("int")
-    sized = members.join(members.groupBy("bucket").agg(blocks.alias("blocks")), "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    """members: bucket, node, component, n (a table). Links across the components of each bucket, found block pair by block pair."""
+    by_component = members.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("hashes"))
+    most = F.max_by(F.struct("component", "rows", "hashes"), F.struct("rows", "component"))
+    stats = by_component.groupBy("bucket").agg(most.alias("most"), F.sum("rows").alias("rows"), F.sum("hashes").alias("hashes"))
+    blocks = lambda rows, hashes: F.greatest(F.lit(1), F.ceil(rows / BLOCK_ROWS), F.ceil(hashes * 8 / BLOCK_BYTES)).cast("int")
+    stats = materialise(stats.select("bucket", "rows", F.col("most.component").alias("major"), blocks(F.col("most.rows"), F.col("most.hashes")).alias("of_major"), blocks(F.col("rows") - F.col("most.rows"), F.col("hashes") - F.col("most.hashes")).alias("of_rest")))
+    is_major = F.col("component") == F.col("major")
+    sized = spread_join(members, stats, "bucket", "rows").withColumn("block", F.pmod(F.xxhash64("node"), F.when(is_major, F.col("of_major")).otherwise(F.col("of_rest"))).cast("int"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    pair = lambda kind, a, b, second, alone: F.struct(F.xxhash64("bucket", F.lit(kind), a, b).alias("pair"), second.alias("second"), alone.alias("alone"))
+    block, no = F.col("block"), F.lit(False)
+    with_rest = F.transform(upto(F.col("of_rest")), lambda o: pair(0, F.least(block, o), F.greatest(block, o), block > o, block == o))
+    with_major = F.transform(upto(F.col("of_major")), lambda k: pair(1, block, k, no, no))
+    from_major = F.transform(upto(F.col("of_rest")), lambda o: pair(1, o, block, F.lit(True), no))
     dealt = (
-        sized.select("bucket", "node", "component", "block", other)
-        .select("node", "component", F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")).alias("pair"), (F.col("block") > F.col("other")).alias("second"), (F.col("block") == F.col("other")).alias("alone"))
+        sized.select("node", "component", F.inline(F.when(is_major, from_major).otherwise(F.concat(with_rest, with_major))))
         .join(sets, "node").repartition("pair").sortWithinPartitions("pair")
     )
 
@@ -264,27 +278,29 @@ def connected(links: DataFrame) -> DataFrame:
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, a row for each row of docs."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
-    features = materialise(_features(docs, width, rows_per_band(percent)))
-    nodes = features.filter("n > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    in_band = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    buckets = in_band.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("centre")).filter("members > 1")
-    members = materialise(in_band.join(buckets, "bucket"))
-    pairs = members.filter("node <> centre").select("centre", "node").distinct()
-    sets = materialise(_sets(_rows_of(docs, members.select("node").distinct()), width))
-    stars = materialise(_star_links(pairs, sets, percent))
-    joined = connected(stars)
-
-    # buckets of two are settled; of the others, each different list of members that spans components is looked at once
-    named = members.filter("members > 2").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = named.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.col("node").cast("decimal(38,0)")).alias("s")).filter("low < high")
-    open_ = open_.groupBy("size", "x", "s").agg(F.min("bucket").alias("bucket")).select("bucket")
-    more = materialise(_block_links(named.join(open_, "bucket").select("bucket", "node", "component", "n"), sets, percent))
-    final = connected(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-
-    ids = nodes.select("set_key", "node").join(final, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id"))
+    docs = docs.select(F.col(name(id_col)).cast("long").alias("doc_id"), whole(name(text_col)).alias("text"))
+    with scratch(docs.sparkSession):
+        features = kept(_features(docs, width, rows_per_band(percent)))
+        of_rows = features.filter("n > 0 AND doc_id IS NOT NULL")
+        nodes = materialise(of_rows.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies")))
+        in_band = nodes.select("node", "n", F.explode("bands").alias("bucket"))
+        buckets = materialise(in_band.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("centre")).filter("members > 1"))
+        members = materialise(spread_join(in_band, buckets, "bucket", "members"))
+        pairs = members.filter("node <> centre").select("centre", "node").distinct()
+        sets = materialise(_sets(_rows_of(docs, members.select("node").distinct()), width))
+        stars = materialise(_star_links(pairs, sets, percent))
+        joined = connected(stars)
+
+        # buckets of two are settled; of the others, each different list of members that spans components is looked at once
+        named = materialise(members.filter("members > 2").select("bucket", "members", "node", "n").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")))
+        open_ = named.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.col("node").cast("decimal(38,0)")).alias("s")).filter("low < high")
+        open_ = materialise(open_.groupBy("size", "x", "s").agg(F.min("bucket").alias("bucket")).select("bucket", "size"))
+        more = materialise(_block_links(materialise(spread_join(named, open_, "bucket", "size").select("bucket", "node", "component", "n")), sets, percent))
+        final = connected(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+        ids = kept(nodes.select("set_key", "node", "copies").join(final, "node", "left").select("set_key", "copies", F.coalesce("component", "node").alias("component_id")))
+
     rest = features.filter("n = 0 OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return features.filter("n > 0 AND doc_id IS NOT NULL").join(ids, "set_key").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(rest)
+    return spread_join(of_rows.select("set_key", "doc_id", F.col("n").alias("n_shingles")), ids, "set_key", "copies").select("doc_id", "n_shingles", "component_id").unionByName(rest)
 
 
 def _rows_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -294,19 +310,22 @@ def _rows_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def _if_few(ids: DataFrame) -> DataFrame:
     """For broadcast, if a count shows that the ids are few."""
-    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+    return F.broadcast(ids) if few(ids, BROADCAST_IDS) else ids
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """docs without the rows of other documents than a component's first, and each kept document once."""
-    found = materialise(components(docs, id_col, text_col, width, percent))
-    named = F.col(id_col).cast("long") == F.col("__id")
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    left = docs.join(_if_few(gone), named, "left_anti")
-    repeated = materialise(found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).count().filter("count > 1").select("__id"))
-    if repeated.isEmpty():
-        return left
-    return left.join(repeated, named, "left_anti").unionByName(left.join(repeated, named, "left_semi").dropDuplicates([id_col]))
+    with scratch(docs.sparkSession):
+        found = materialise(components(docs, id_col, text_col, width, percent))
+        gone = kept(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct())
+        repeated = kept(found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("again")).count().filter("count > 1").select("again"))
+    rows = record(docs, id=F.col(name(id_col)).cast("long"))
+    left = rows.join(_if_few(gone), F.col("id") == F.col("gone"), "left_anti")
+    if not repeated.isEmpty():
+        again = _if_few(repeated)
+        once = left.join(again, F.col("id") == F.col("again"), "left_semi").groupBy("id").agg(F.min_by("record", F.coalesce(F.col(f"record.{name(text_col)}"), F.lit(""))).alias("record"))
+        left = left.join(again, F.col("id") == F.col("again"), "left_anti").select("record").unionByName(once.select("record"))
+    return left.select(*(F.col(f"record.{name(c)}").alias(c) for c in docs.columns))
 
 
 def op7_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -430,6 +430,40 @@ def test_near_duplicates(spark, odd, monkeypatch):
     assert kept.columns == odd.columns and kept.filter("doc_id = 1").count() == 1 and kept.filter("doc_id IS NULL").count() == 2
 
 
+def test_near_duplicates_of_small_sets(spark):
+    """Sets of 3 to 30 shingles, a word or two apart: every link is found."""
+    rng = random.Random(77)
+    texts = []
+    for n in range(5, 33):
+        for _ in range(8):
+            base = [f"t{rng.randrange(10**6)}" for _ in range(n)]
+            texts += [" ".join(base), " ".join([*base, "end"]), " ".join(["start", *base]), " ".join(base[1:]), " ".join([*base, "more", "words"])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute({i: exact_set(t, 3) for i, t in enumerate(texts)}, 85)
+    found = {r["doc_id"]: r["component_id"] for r in neardup.components(docs, width=3, percent=85).collect()}
+    lost = sum(found[i] != want[i] for i in want)
+    assert lost == 0, lost
+
+
+def test_near_duplicates_in_hot_groups(spark, monkeypatch):
+    """A group of exact and one of near copies that a task may not hold at once, by broadcast and in blocks around the largest component."""
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 7)
+    rng = random.Random(78)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(80)]
+
+    def near(k):
+        words = base[:]
+        for at in rng.sample(range(80), k):
+            words[at] = f"e{rng.randrange(10**6)}"
+        return " ".join(words)
+
+    texts = ["one and the same text of some words that many documents hold"] * 60 + [near(rng.randrange(0, 6)) for _ in range(70)] + [f"lone {i} {rng.random()}" for i in range(20)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = brute({i: exact_set(t, 3) for i, t in enumerate(texts)}, 85)
+    assert {r["doc_id"]: r["component_id"] for r in neardup.components(docs, width=3, percent=85).collect()} == want
+
+
 def test_near_duplicates_of_table(spark):
     docs = dict(spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect())
     found = registry.QUERIES["op7_hyperminhash"](spark, SMALL).collect()
