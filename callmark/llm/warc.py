@@ -1,47 +1,60 @@
 """WARC archives: writing pages as records, reading them back, reassembling segments (operator 10).
 
 Writing. A page's payload is its text in UTF-8. Among payloads of at least ``REVISIT_BYTES`` bytes that are equal, the page
-of smallest id is stored and the others become revisit records that name it. A response's block is an HTTP message in
-chunked transfer framing; a block over ``segment_bytes`` is cut into a first record and continuation records. Files hold
-a bounded number of records, and records a bounded number of bytes, so a file fits a task.
+of smallest id is stored and the others become revisit records that refer to its record. A response's block is an HTTP
+message in chunked transfer framing; a block over ``segment_bytes`` is cut into a first record and continuation records.
+Each record is a gzip member of its own, and each file begins with a warcinfo record and holds a bounded number of records of
+bounded size, so a file fits a task. Spark's text writer commits the files (hence their names end in .txt): a task that is
+lost leaves none behind.
 
-Reading. Files are parsed record by record, by Content-Length. Records of a segmented block are grouped by the origin's
+Reading. Files are parsed member by member, records by Content-Length. Records of a segmented block are grouped by the origin's
 identifier and put in order of segment number; the numbers must be 1 to n, and the last one's total length must be that of
 what was put together. Then the chunked framing is decoded, and the payload's digest is compared with the record's.
 
-Defined results: a null page is an empty payload; repeated rows are records of their own (those of smallest id are all
-responses); rows without page_id revisit the first page that has one, else are responses; an empty table gives an archive
-without records; what fails a check comes back with ``intact`` false instead of being dropped; other columns are ignored.
+Defined results: a null page is an empty payload; a long page is segmented; repeated rows are records of their own (those of
+smallest id are all responses); rows without page_id revisit the first page that has one, else are responses; an empty
+table gives an archive without records; a record that is cut off or broken comes back with ``intact`` false and what could be
+read of it, and those after it are read on; white space and control characters in URLs are percent-encoded; other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
+import re
 import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callmark.llm.common import materialise, slices, table, whole, work_dir
+from callmark.llm.common import few, materialise, name, slices, table, whole, work_dir
 
 REVISIT_BYTES = 100
 SEGMENT_BYTES = 65_536
+#: A gzip member ends in its length's highest byte, 0 below this length; that byte is what the text writer puts after each row.
+MOST_RECORD_BYTES = 1 << 24
 CHUNK_BYTES = 8_192
 RECORDS_PER_FILE = 2_000
-VERSION, CRLF = b"WARC/1.1", b"\r\n"
+MOST_REPEATED = 1_000_000
+VERSION, CRLF, MAGIC = b"WARC/1.1", b"\r\n", b"\x1f\x8b\x08"
 
-RECORD = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("payload_digest", pa.string()), ("refers_to", pa.int64()),
-                    ("origin_id", pa.string()), ("segment", pa.int32()), ("total_length", pa.int64()), ("block", pa.binary())])
-RECORD_DDL = "record_id string, record_type string, page_id long, url string, payload_digest string, refers_to long, origin_id string, segment int, total_length long, block binary"
+RECORD = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("payload_digest", pa.string()), ("refers_to_id", pa.string()),
+                    ("origin_id", pa.string()), ("segment", pa.int32()), ("total_length", pa.int64()), ("block", pa.binary()), ("sound", pa.bool_())])
+RECORD_DDL = "record_id string, record_type string, page_id long, url string, payload_digest string, refers_to_id string, origin_id string, segment int, total_length long, block binary, sound boolean"
 
 
 def record(headers: list[tuple[str, object]], block: bytes) -> bytes:
-    """A record without the two line ends that close it. Line ends within a header's value become spaces."""
-    lines = [VERSION, *(f"{k}: {' '.join(str(v).split())}".encode() for k, v in headers if v is not None), f"Content-Length: {len(block)}".encode()]
-    return CRLF.join(lines) + CRLF + CRLF + block
+    """A record, as a gzip member without its last byte. White space and control characters in a header's value are percent-encoded."""
+    value = lambda v: re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", str(v))
+    lines = [VERSION, *(f"{k}: {value(v)}".encode() for k, v in headers if v is not None), f"Content-Length: {len(block)}".encode()]
+    whole_ = CRLF.join(lines) + CRLF + CRLF + block + CRLF + CRLF
+    if len(whole_) >= MOST_RECORD_BYTES:
+        raise ValueError("a record is too long: lower segment_bytes")
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return (packer.compress(whole_) + packer.flush())[:-1]
 
 
 def chunked(payload: bytes, size: int = CHUNK_BYTES) -> bytes:
@@ -64,95 +77,145 @@ def unchunked(body: bytes) -> bytes:
         at += size + 2
 
 
-def page_records(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, segment_bytes: int) -> list[bytes]:
-    name = f"<urn:uuid:{uuid.uuid4()}>"
-    common = [("WARC-Target-URI", url), ("WARC-Page-ID", page_id), ("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", "application/http;msgtype=response")]
+def urn(key: str) -> str:
+    """A record's identifier, from what tells it from others."""
+    h = hashlib.md5(key.encode(), usedforsecurity=False).hexdigest()
+    return f"<urn:uuid:{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}>"
+
+
+def page_records(key: str, date: str, page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: str | None, segment_bytes: int) -> list[bytes]:
+    """key names the response's record; refers_to the key of the one that a revisit refers to."""
+    common = [("WARC-Record-ID", urn(key)), ("WARC-Date", date), ("WARC-Target-URI", url), ("WARC-Page-ID", page_id), ("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", "application/http;msgtype=response")]
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
     if refers_to is not None:
-        return [record([("WARC-Type", "revisit"), ("WARC-Record-ID", name), *common, ("WARC-Refers-To-Page", refers_to), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")], http)]
+        return [record([("WARC-Type", "revisit"), *common, ("WARC-Refers-To", urn(refers_to)), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")], http)]
     block = http + chunked(payload)
     parts = [block[i : i + segment_bytes] for i in range(0, len(block), segment_bytes)]
-    segmented = len(parts) > 1
-    out = [record([("WARC-Type", "response"), ("WARC-Record-ID", name), *common, ("WARC-Segment-Number", 1 if segmented else None)], parts[0])]
+    out = [record([("WARC-Type", "response"), *common, ("WARC-Segment-Number", 1 if len(parts) > 1 else None)], parts[0])]
     for n, part in enumerate(parts[1:], 2):
         total = len(block) if n == len(parts) else None
-        out.append(record([("WARC-Type", "continuation"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Segment-Origin-ID", name), ("WARC-Segment-Number", n), ("WARC-Segment-Total-Length", total)], part))
+        out.append(record([("WARC-Type", "continuation"), ("WARC-Record-ID", urn(f"{key}/{n}")), ("WARC-Date", date), ("WARC-Segment-Origin-ID", urn(key)), ("WARC-Segment-Number", n), ("WARC-Segment-Total-Length", total)], part))
     return out
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers by lower-case name, block) of each record of an archive."""
-    at = 0
-    while at < len(data):
-        if data[at : at + len(VERSION)] != VERSION:
-            raise ValueError(f"no record begins at byte {at}")
-        end = data.index(CRLF + CRLF, at)
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in data[at:end].decode("utf-8", "replace").split("\r\n")[1:])}
-        start, size = end + 4, int(headers["content-length"])
-        yield headers, data[start : start + size]
-        if data[start + size : start + size + 4] != CRLF + CRLF:
-            raise ValueError(f"the record at byte {at} does not end where its length says")
-        at = start + size + 4
+def members(data: bytes) -> Iterator[tuple[bytes, bool]]:
+    """(content, whole and sound) of each gzip member; after a broken one the next that begins is looked for."""
+    at = data.find(MAGIC)
+    while 0 <= at < len(data):
+        unpacker, out, end, sound = zlib.decompressobj(31), [], at, True
+        try:
+            while not unpacker.eof and end < len(data):
+                part = data[end : end + 65_536]
+                out.append(unpacker.decompress(part))
+                end += len(part) - len(unpacker.unused_data)
+            sound = unpacker.eof
+        except zlib.error:
+            sound = False
+        yield b"".join(out), sound
+        at = data.find(MAGIC, end if sound else at + 1)
+
+
+def parse(content: bytes) -> tuple[dict[str, str], bytes, bool] | None:
+    """(headers by lower-case name, block, is it as its headers say) of a record; None where no record begins."""
+    head, gap, rest = content.partition(CRLF + CRLF)
+    if not head.startswith(VERSION):
+        return None
+    headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])}
+    size = headers.get("content-length", "")
+    n = int(size) if size.isascii() and size.isdigit() else len(rest)
+    return headers, rest[:n], bool(gap) and size.isascii() and size.isdigit() and rest[n:] == CRLF + CRLF
+
+
+def _key(copy: Column | int) -> Column:
+    """What tells a record from all others: page, address, payload, and which of equal rows it is."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
+    return F.concat_ws("|", text("page_id"), text("url"), "digest", F.lit(copy).cast("string") if isinstance(copy, int) else copy.cast("string"))
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", segment_bytes: int = SEGMENT_BYTES) -> None:
-    """Gzipped archives below path. Payloads meet their first page by digest; a hot digest's rows are split by the skew join."""
-    pages = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), whole(html_col).alias("html")).withColumn("digest", F.sha2("html", 256))
+    """Archives below path. Payloads meet their first page by digest; a hot digest's rows are split by the skew join."""
+    pages = pages.select(F.col(name(id_col)).cast("long").alias("page_id"), F.col(name(url_col)).cast("string").alias("url"), whole(name(html_col)).alias("html")).withColumn("digest", F.sha2("html", 256)).withColumn("same", F.md5(_key(0)))
+    # rows that agree in everything are counted first, so that each copy gets a number of its own
+    repeated = materialise(pages.groupBy("same").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("same"))
+    rows = pages.withColumn("copy", F.lit(0).cast("long"))
+    if not repeated.isEmpty():
+        repeated = F.broadcast(repeated) if few(repeated, MOST_REPEATED) else repeated
+        several = pages.join(repeated, "same", "left_semi").groupBy("same").agg(*(F.first(c).alias(c) for c in ("page_id", "url", "html", "digest")), F.count(F.lit(1)).alias("n"))
+        rows = rows.join(repeated, "same", "left_anti").unionByName(several.select(*pages.columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("copy")))
     large = F.octet_length("html") >= REVISIT_BYTES
-    firsts = pages.filter(large).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    known = pages.filter(large).join(firsts, "digest", "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))).drop("first")
-    all_pages = known.unionByName(pages.filter(~large).withColumn("refers_to", F.lit(None).cast("long")))
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url")))
+    firsts = pages.filter(large).groupBy("digest").agg(first.alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND first IS NOT NULL").select("digest", "first")
+    known = rows.filter(large).join(firsts, "digest", "left")
+    refers = F.when(~F.col("page_id").eqNullSafe(F.col("first.page_id")), F.concat_ws("|", F.col("first.page_id").cast("string"), F.coalesce("first.url", F.lit("none")), "digest", F.lit("0")))
+    columns = ["page_id", "url", "html", "digest", _key(F.col("copy")).alias("key")]
+    all_pages = known.select(*columns, F.when(F.col("first").isNotNull(), refers).alias("refers_to")).unionByName(rows.filter(~large).select(*columns, F.lit(None).cast("string").alias("refers_to")))
+    date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
         for part in slices(batches):
-            out = [r for page_id, url, html, digest, to in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to")), strict=True) for r in page_records(page_id, url, html.encode(), digest, to, segment_bytes)]
+            out = []
+            for row in zip(*(part.column(c).to_pylist() for c in ("key", "page_id", "url", "html", "digest", "refers_to")), strict=True):
+                key, page_id, url, html, digest, to = row
+                for r in page_records(key, date, page_id, url, html.encode(), digest, to, segment_bytes):
+                    if n % RECORDS_PER_FILE == 0:  # where the writer begins a file
+                        out.append(record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", urn(f"{key}/info")), ("WARC-Date", date), ("Content-Type", "application/warc-fields")], b"software: callmark\r\nformat: WARC File Format 1.1\r\n"))
+                        n += 1
+                    out.append(r)
+                    n += 1
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
-    # the text writer puts bytes out as they are, and after each row what closes a record
+    # the text writer puts bytes out as they are, and after each row the byte that closes its member
     records = all_pages.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
-    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    records.write.option("lineSep", "\0").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each record of the archives below path."""
-    number = lambda x: None if x is None else int(x)
+    """A row for each record of the archives below path, but for those that describe the file."""
+    number = lambda x: int(x) if x and x.isascii() and x.isdigit() else None
 
-    def row(headers: dict[str, str], block: bytes) -> dict:
+    def row(content: bytes, whole_: bool) -> dict | None:
+        headers, block, sound = parse(content) or ({}, content, False)
         get = headers.get
-        return {"record_id": get("warc-record-id"), "record_type": get("warc-type"), "page_id": number(get("warc-page-id")), "url": get("warc-target-uri"), "payload_digest": (get("warc-payload-digest") or "").removeprefix("sha256:") or None,
-                "refers_to": number(get("warc-refers-to-page")), "origin_id": get("warc-segment-origin-id"), "segment": number(get("warc-segment-number")), "total_length": number(get("warc-segment-total-length")), "block": block}
+        if get("warc-type") == "warcinfo":
+            return None
+        page_id = get("warc-page-id") or ""
+        return {"record_id": get("warc-record-id"), "record_type": get("warc-type"), "page_id": int(page_id) if re.fullmatch(r"-?\d+", page_id) else None, "url": get("warc-target-uri"),
+                "payload_digest": (get("warc-payload-digest") or "").removeprefix("sha256:") or None, "refers_to_id": get("warc-refers-to"), "origin_id": get("warc-segment-origin-id"),
+                "segment": number(get("warc-segment-number")), "total_length": number(get("warc-segment-total-length")), "block": block, "sound": whole_ and sound}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             rows = []
-            for headers, block in parse(zlib.decompress(batch.column("content")[0].as_py(), 47)):
-                rows.append(row(headers, block))
+            for content, sound in members(batch.column("content")[0].as_py()):
+                if content and (r := row(content, sound)):
+                    rows.append(r)
                 if len(rows) == 256:
                     yield pa.RecordBatch.from_pylist(rows, RECORD)
                     rows = []
             yield pa.RecordBatch.from_pylist(rows, RECORD)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").schema("path string, modificationTime timestamp, length long, content binary").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").schema("path string, modificationTime timestamp, length long, content binary").load(path)
     return files.filter("length > 0").select("content").mapInArrow(run, RECORD_DDL)
 
 
 def reassemble(records: DataFrame) -> DataFrame:
-    """records without continuations, each block whole; n_segments, and intact: numbers without gap and the total length as told."""
-    lone = records.filter("segment IS NULL").drop("origin_id", "segment", "total_length").withColumns({"n_segments": F.lit(1), "intact": F.lit(True)})
+    """records without continuations, each block whole; n_segments, and intact: sound, numbers without gap and the total length as told."""
+    lone = records.filter("segment IS NULL").withColumns({"n_segments": F.lit(1), "intact": F.col("sound")}).drop("origin_id", "segment", "total_length", "sound")
     origin = F.coalesce("origin_id", "record_id").alias("origin")
-    head = [c for c in ("record_type", "page_id", "url", "payload_digest", "refers_to")]
+    head = ["record_type", "page_id", "url", "payload_digest", "refers_to_id"]
     grouped = records.filter("segment IS NOT NULL").groupBy(origin).agg(
         *(F.max(F.when(F.col("origin_id").isNull(), F.col(c))).alias(c) for c in head),
-        F.max("total_length").alias("total"), F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("parts"))
-    block = F.aggregate("parts", F.lit(b""), lambda done, x: F.concat(done, x["block"]))
+        F.max("total_length").alias("total"), F.min("sound").alias("sound"), F.array_sort(F.collect_list(F.struct("segment", "block"))).alias("parts"))
+    block = F.array_join(F.transform("parts", lambda x: x["block"].cast("string")), "").cast("binary")  # joins bytes, whatever they are, in one go
     in_order = F.expr("transform(parts, x -> x.segment) = sequence(1, greatest(1, size(parts)))")
-    whole_ = grouped.withColumn("block", block).withColumn("intact", in_order & F.coalesce(F.col("total") == F.octet_length("block"), F.lit(False)))
+    whole_ = grouped.withColumn("block", block).withColumn("intact", F.col("sound") & in_order & F.coalesce(F.col("total") == F.octet_length("block"), F.lit(False)))
     return lone.unionByName(whole_.select(F.col("origin").alias("record_id"), *head, "block", F.size("parts").alias("n_segments"), "intact"))
 
 
 def payloads(records: DataFrame) -> DataFrame:
     """records with payload (binary) in place of block; intact only if framing and digest agree. A revisit has no payload."""
-    names = ["record_id", "record_type", "page_id", "url", "payload_digest", "refers_to", "n_segments"]
+    names = ["record_id", "record_type", "page_id", "url", "payload_digest", "refers_to_id", "n_segments"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -170,22 +233,24 @@ def payloads(records: DataFrame) -> DataFrame:
                 good.append(intact)
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(out, pa.binary()), pa.array(good, pa.bool_())], [*names, "payload", "intact"])
 
-    return records.select(*names, "block", "intact").mapInArrow(run, "record_id string, record_type string, page_id long, url string, payload_digest string, refers_to long, n_segments int, payload binary, intact boolean")
+    return records.select(*names, "block", "intact").mapInArrow(run, "record_id string, record_type string, page_id long, url string, payload_digest string, refers_to_id string, n_segments int, payload binary, intact boolean")
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """record_id, record_type, page_id, url, payload_digest, refers_to_id, n_segments, payload, intact of every page; a revisit has no payload."""
     return payloads(reassemble(read_records(spark, path)))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_dir(spark)
     write_archives(table(spark, sf_dir, "pages"), path)
-    read = materialise(read_pages(spark, path).select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), F.when(F.col("payload").isNotNull(), F.sha2("payload", 256)).alias("payload_digest"), F.col("payload_digest").alias("told"), "record_type", "refers_to", "intact"))  # small columns, so the archives are parsed once
+    own = F.when(F.col("payload").isNotNull(), F.sha2("payload", 256))
+    read = materialise(read_pages(spark, path).select("record_id", "page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), own.alias("payload_digest"), F.col("payload_digest").alias("told"), "record_type", "refers_to_id", "intact"))  # small columns, so the archives are parsed once
     responses = read.filter("record_type = 'response'")
-    first = responses.groupBy(F.col("page_id").alias("first")).agg(F.min("payload_bytes").alias("first_bytes"), F.min("payload_digest").alias("first_digest"))
-    revisits = read.filter("record_type = 'revisit'").join(first, F.col("refers_to") == F.col("first"), "left").select(
+    first = responses.select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("first_bytes"), F.col("payload_digest").alias("first_digest"))
+    revisits = read.filter("record_type = 'revisit'").join(first, "refers_to_id", "left").select(
         "page_id", F.col("first_bytes").alias("payload_bytes"), F.col("first_digest").alias("payload_digest"), "record_type", "refers_to", (F.col("intact") & F.coalesce(F.col("told") == F.col("first_digest"), F.lit(False))).alias("intact"))
-    return responses.drop("told").unionByName(revisits)
+    return responses.select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"), "intact").unionByName(revisits)
 
 
 ORACLE = """

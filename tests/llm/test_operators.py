@@ -1,6 +1,7 @@
 """Each operator against brute force or SQL, and on nulls, empty and long texts, repeated rows, clashing columns, no rows."""
 
 import base64
+import gzip
 import hashlib
 import random
 import re
@@ -515,15 +516,16 @@ def test_long_licenses(spark):
 
 # 10
 def test_warc(spark):
-    rows = [(None, "u", None), (3, "u\r\nX: y", "é" * 90_000), (1, None, "é" * 90_000), (1, "u", "é" * 90_000), (4, "", "WARC/1.1\r\n\r\n" * 30), (None, "", "WARC/1.1\r\n\r\n" * 30), (5, "", "short"), (6, "", "short")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("block", F.lit(0))
+    rows = [(None, "u", None), (3, "u\r\nX:  y", "é" * 90_000), (1, None, "é" * 90_000), (1, "u", "é" * 90_000), (4, "", "WARC/1.1\r\n\r\n" * 30), (None, "", "WARC/1.1\r\n\r\n" * 30), (5, "", "short"), (6, "", "short"), *[(7, "same", "again and again " * 10)] * 3]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("block", F.lit(0)).withColumn("same", F.lit(0))
     path = work_dir(spark)
     warc.write_archives(pages, path, segment_bytes=10_000)
     read = warc.read_pages(spark, path).collect()
-    assert len(read) == len(rows) and all(r["intact"] for r in read)
-    want = sorted([(-1, ""), (1, "é" * 90_000), (1, "é" * 90_000), (4, "WARC/1.1\r\n\r\n" * 30), (5, "short"), (6, "short")])
+    assert len(read) == len(rows) and all(r["intact"] for r in read) and len({r["record_id"] for r in read}) == len(rows)
+    want = sorted([(-1, ""), (1, "é" * 90_000), (1, "é" * 90_000), (4, "WARC/1.1\r\n\r\n" * 30), (5, "short"), (6, "short"), *[(7, "again and again " * 10)] * 3])
     assert sorted((-1 if r["page_id"] is None else r["page_id"], r["payload"].decode()) for r in read if r["record_type"] == "response") == want
-    assert sorted((r["page_id"] or -1, r["refers_to"]) for r in read if r["record_type"] == "revisit") == [(-1, 4), (3, 1)]
+    ids = {r["record_id"]: r["page_id"] for r in read}
+    assert sorted((r["page_id"] or -1, ids[r["refers_to_id"]], r["url"]) for r in read if r["record_type"] == "revisit") == [(-1, 4, ""), (3, 1, "u%0D%0AX:%20%20y")]
     records = warc.read_records(spark, path)
     lost = warc.payloads(warc.reassemble(records.filter("segment IS NULL OR segment <> 2")))
     assert lost.filter("NOT intact").count() == 2
@@ -533,6 +535,29 @@ def test_warc(spark):
     assert warc.unchunked(warc.chunked(b"x" * 20_000)) == b"x" * 20_000
 
 
+def test_warc_form(spark):
+    """Files as gzip members of a record each, a warcinfo first, every record with its mandatory headers; broken ones come back as not intact."""
+    path = work_dir(spark)
+    warc.write_archives(spark.range(40).select(F.col("id").alias("page_id"), F.lit("http://x/").alias("url"), F.concat(F.lit("page "), F.repeat(F.col("id").cast("string"), 200)).alias("html")).coalesce(1), path, segment_bytes=300)
+    [file] = [r["content"] for r in spark.read.format("binaryFile").load(path).filter("length > 0").collect()]
+    assert gzip.decompress(bytes(file)).count(b"WARC/1.1\r\n") == len(found := list(warc.members(bytes(file)))) and all(sound for _, sound in found)
+    parsed = [warc.parse(content) for content, _ in found]
+    assert parsed[0][0]["warc-type"] == "warcinfo" and all(sound for _, _, sound in parsed)
+    assert all({"warc-type", "warc-record-id", "warc-date", "content-length"} <= h.keys() and re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", h["warc-date"]) for h, _, _ in parsed)
+    starts = [0]
+    for content, _ in found[:-1]:
+        starts.append(bytes(file).index(warc.MAGIC, starts[-1] + 1))
+    cut = bytes(file)[: starts[5] + 20] + bytes(file)[starts[6] : starts[-1] + 30]  # one cut short, the last cut off
+    broken = list(warc.members(cut))
+    assert [sound for _, sound in broken].count(False) == 2 and len(broken) == len(found)
+    assert warc.parse(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc\r\n\r\n")[2] is False and warc.parse(b"WARC/1.1\r\nContent-Length: x\r\n\r\n")[2] is False and warc.parse(b"junk") is None
+    other = work_dir(spark)
+    spark.createDataFrame([(cut,)], "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\0").text(other)
+    back = warc.read_pages(spark, other).collect()
+    whole = {r["page_id"]: bytes(r["payload"]) for r in warc.read_pages(spark, path).collect()}
+    assert 0 < sum(not r["intact"] for r in back) <= 3 and all(bytes(r["payload"]) == whole[r["page_id"]] for r in back if r["intact"])
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
