@@ -5,10 +5,11 @@ lowest rank first, leftmost on ties. Short texts are encoded in the task that re
 ``chunk_chars`` is cut into overlapping chunks that different tasks pre-tokenise. The scanner behind the pattern
 keeps no state but its position, so from the first boundary that two neighbours share inside their overlap on, both
 see the same pre-tokens: there the chunks are stitched, and the pieces between stitches are encoded in parallel.
-A text with an overlap that shares no boundary (one endless run of letters, say) is encoded in one piece.
+Chunks whose overlap shares no boundary (within one endless run of letters, say) are one piece with their neighbours.
 
 Defined results: a null text counts as the empty text; an empty text has no ids and decodes to no bytes; repeated
-rows and rows without doc_id each get their own result row; columns other than the two named ones are ignored.
+rows and rows without doc_id each get their own result row; an empty table gives no rows; other columns, whatever their
+names, are ignored. A long text that many rows have is encoded once, and its ids are sent to as many tasks as its rows ask for.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from callmark.llm.common import slices, table, whole
+from callmark.llm.common import HOT_ROWS, MOST_HOT, few, materialise, name, slices, table, whole
 
 CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 2_048
@@ -122,12 +123,19 @@ def _encode_column(df: DataFrame, vocabulary: Broadcast, pattern: str, key: str)
 
 def encode(docs: DataFrame, vocabulary: Broadcast, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
     """doc_id, ids (binary: little-endian unsigned 32-bit integers), a row for each row of docs."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole(text_col).alias("text"))
+    docs = docs.select(F.col(name(id_col)).cast("long").alias("doc_id"), whole(name(text_col)).alias("text"))
     is_long = F.char_length("text") > chunk_chars
     short = _encode_column(docs.filter(~is_long).withColumn("ahead", F.lit(0)), vocabulary, pattern, "doc_id long")
     long = docs.filter(is_long).withColumn("text_key", F.sha2("text", 256))
     by_text = _encode_long(long.select("text_key", "text"), vocabulary, pattern, chunk_chars, overlap_chars)
-    return short.unionByName(long.select("doc_id", "text_key").join(by_text, "text_key").select("doc_id", "ids"))
+    rows = long.select("doc_id", "text_key")
+    salts = materialise(rows.groupBy("text_key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_ROWS).select("text_key", F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("salts")))
+    if salts.isEmpty() or not few(salts, MOST_HOT):
+        return short.unionByName(rows.join(by_text, "text_key").select("doc_id", "ids"))
+    salts = F.broadcast(salts)
+    salted = rows.join(salts, "text_key", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id"), "salts"), F.lit(0)).cast("int")).drop("salts")
+    spread = by_text.join(salts, "text_key", "left").select("text_key", "ids", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    return short.unionByName(salted.join(spread, ["text_key", "salt"]).select("doc_id", "ids"))
 
 
 def _encode_long(texts: DataFrame, vocabulary: Broadcast, pattern: str, size: int, overlap: int) -> DataFrame:
@@ -154,24 +162,17 @@ def _encode_long(texts: DataFrame, vocabulary: Broadcast, pattern: str, size: in
     scanned = chunks.mapInArrow(scan, "text_key string, i int, n int, chunk string, head array<long>, tail array<long>")
     by_place = Window.partitionBy("text_key").orderBy("i")
     seam = F.when(F.col("i") == 0, F.lit(0)).otherwise(F.array_min(F.array_intersect("head", F.lag("tail").over(by_place))))
-    stitched = (
-        scanned.withColumn("start", seam)
-        .withColumn("stop", F.when(F.col("i") == F.col("n") - 1, F.col("i") * step + F.char_length("chunk")).otherwise(F.lead("start").over(by_place)))
-        .withColumn("ahead", F.when(F.col("i") == F.col("n") - 1, 0).otherwise(LOOK_AHEAD))
-        .withColumn("loose", F.max(F.col("start").isNull()).over(Window.partitionBy("text_key")))
-    )
-    piece = F.when(F.col("loose"), F.expr(f"IF(i = n - 1, chunk, left(chunk, {step}))")).otherwise(F.substring("chunk", (F.col("start") - F.col("i") * step + 1).cast("int"), (F.col("stop") - F.col("start") + F.col("ahead")).cast("int")))
-    in_order = lambda of: F.transform(F.array_sort(F.collect_list(F.struct("i", of))), lambda x: x[of])
-    pieces = (
-        stitched.select("text_key", "i", F.when(F.col("loose"), F.lit(0)).otherwise(F.col("i")).alias("piece_no"), piece.alias("piece"), F.when(F.col("loose"), F.lit(0)).otherwise(F.col("ahead")).alias("ahead"))
-        .groupBy("text_key", "piece_no").agg(F.array_join(in_order("piece"), "").alias("text"), F.max("ahead").alias("ahead"))
-        .withColumnRenamed("piece_no", "i")
-    )
-    return (
-        _encode_column(pieces, vocabulary, pattern, "text_key string, i int")
-        .groupBy("text_key").agg(F.array_sort(F.collect_list(F.struct("i", "ids"))).alias("parts"))
-        .select("text_key", F.aggregate("parts", F.lit(b""), lambda done, x: F.concat(done, x["ids"])).alias("ids"))
-    )
+    last = F.col("i") == F.col("n") - 1
+    placed = scanned.withColumn("start", seam).withColumn("next", F.lead("start").over(by_place))
+    placed = placed.withColumn("piece_no", F.count("start").over(by_place.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    # a chunk's part begins at its seam, or at its own start if it has none, and ends at the next one's, or where that begins
+    first = F.coalesce(F.col("start") - F.col("i") * step, F.lit(0))
+    end = F.when(last, F.char_length("chunk")).when(F.col("next").isNotNull(), F.col("next") - F.col("i") * step + LOOK_AHEAD).otherwise(F.lit(step))
+    parts = placed.select("text_key", "i", "piece_no", F.substring("chunk", (first + 1).cast("int"), (end - first).cast("int")).alias("part"), F.when(~last & F.col("next").isNotNull(), LOOK_AHEAD).otherwise(0).alias("ahead"))
+    joined = lambda of: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", of))), lambda x: x[of].cast("string")), "")  # noqa: E731  # bytes or text, in one go
+    pieces = parts.groupBy("text_key", "piece_no").agg(joined("part").alias("text"), F.max("ahead").alias("ahead")).withColumnRenamed("piece_no", "i")
+    encoded = _encode_column(pieces.withColumn("i", F.col("i").cast("int")), vocabulary, pattern, "text_key string, i int")
+    return encoded.groupBy("text_key").agg(joined("ids").cast("binary").alias("ids"))
 
 
 def decode(encoded: DataFrame, vocabulary: Broadcast, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -185,7 +186,7 @@ def decode(encoded: DataFrame, vocabulary: Broadcast, id_col: str = "doc_id", id
             texts = [b"".join(map(names.__getitem__, np.frombuffer(x.as_py() or b"", "<u4").tolist())) for x in part.column("ids")]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(texts, pa.binary())], ["doc_id", "ids", "decoded"])
 
-    return encoded.select(F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, "doc_id long, ids binary, decoded binary")
+    return encoded.select(F.col(name(id_col)).alias("doc_id"), F.col(name(ids_col)).alias("ids")).mapInArrow(run, "doc_id long, ids binary, decoded binary")
 
 
 def digests(docs: DataFrame, vocabulary: Broadcast, pattern: str) -> DataFrame:

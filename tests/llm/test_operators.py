@@ -490,6 +490,23 @@ def test_bpe(spark, odd):
     assert bpe.encode(odd, vocabulary, public_tokenizers.PATTERN).count() == odd.count() and bpe.encode(odd.limit(0), vocabulary, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_of_table(spark, monkeypatch):
+    """The query against tiktoken, with chunks small enough that many texts are stitched and loose seams occur; hot long texts."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    reference = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    packed = lambda text: (lambda x: (len(x), hashlib.sha256(struct.pack(f"<{len(x)}I", *x)).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))(reference.encode_ordinary(text))
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    found = registry.QUERIES["op8_byte_bpe"](spark, SMALL).collect()
+    assert {r["doc_id"]: tuple(r)[1:] for r in found} == {i: packed(t) for i, t in texts.items()} and len(found) == len(texts)
+    monkeypatch.setattr(bpe, "HOT_ROWS", 5)
+    odd = ["a b " * 60 + "z" * 300 + " end of it " * 40 + "9" * 250 + "!" * 80, "word " * 200, "é中" * 200 + " x " * 100]
+    docs = spark.createDataFrame([(i, odd[i % 3]) for i in range(60)], "doc_id long, text string")
+    vocabulary = bpe.load_ranks(spark, path)
+    rows = bpe.encode(docs, vocabulary, public_tokenizers.PATTERN, chunk_chars=100, overlap_chars=24).collect()
+    assert {r["doc_id"]: [x for (x,) in struct.iter_unpack("<I", r["ids"])] for r in rows} == {i: reference.encode_ordinary(odd[i % 3]) for i in range(60)}
+
+
 # 9
 def test_licenses(spark, odd):
     rows = [(1, "MIT license mit-License; the General PUBLIC license"), (2, "foo " * 60 + "Redistribution and use in source\nand binary forms, with or without modification, are permitted"), (3, "license mit"), (None, None)]
