@@ -1,8 +1,14 @@
 """From raw documents to token ids: quality, near duplicates, secrets, mixture, encoding.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-one's docs; no row order outlives that. All but the last return the columns of documents. Stages keep rows with null columns unless their decision is
-about that column: a null or empty text scores 0 and goes in the first stage; a null source is a source of its own.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next one's
+docs; no row order outlives that, and the table before is then deleted. All but the last return the columns of documents, and
+any others that docs has, whatever their names.
+
+Defined results, stage by stage. Null columns: rows stay unless the stage's decision is about that column; a null text is scored,
+counted and encoded as the empty text, has no near duplicates and no secrets; a null source is a source of its own; rows
+without doc_id are kept by deduplication, one by one. Empty and very long texts are scored, compared, scanned and encoded
+whole. Repeated rows get one score; deduplication keeps one row of an id, that of the least text; mixing repeats rows by
+design. Ties go to the smaller id. An empty table passes every stage as an empty table.
 """
 
 from __future__ import annotations
@@ -12,12 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callmark.llm import bpe, mixing, neardup, quality, secrets
-from callmark.llm.common import materialise, table
+from callmark.llm.common import remove, scratch, table, work_dir
 from callmark.session import ship
 
 LEAST_QUALITY = 0.3
 SHINGLE_WORDS, LIKENESS_PERCENT = 5, 80
-MOST_OWNERS_OF_A_SECRET = 2
+MOST_OWNERS_OF_A_SECRET, MOST_REPOS_OF_A_SECRET = 2, 9
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +39,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Live-looking secrets, held by few owners, are masked; examples that were copied around stay as they are."""
+    """Live-looking secrets, of few owners and documents, are masked; examples that were copied around stay as they are."""
     ship(spark)
-    masked = secrets.redact(docs, min_owners=MOST_OWNERS_OF_A_SECRET + 1)
+    masked = secrets.redact(docs, min_owners=MOST_OWNERS_OF_A_SECRET + 1, min_repos=MOST_REPOS_OF_A_SECRET + 1)
     return masked.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.col("n_chars")))
 
 
@@ -59,12 +65,18 @@ STAGES = [
     ("mixing sources to target weights", source_mix),
     ("byte-level BPE encoding", encode),
 ]
-#: Neither a learned classifier nor BPE is a query in SQL; tests/llm compares the stages with brute force instead.
+#: Neither a learned classifier nor BPE is a query in SQL; tests/llm compares each stage's rows with brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir))
+        path = work_dir(spark)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
