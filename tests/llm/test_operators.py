@@ -593,6 +593,65 @@ def test_pipeline(spark):
     assert 0 < docs.count() <= 3 * before
 
 
+#: Names that operators use inside, and awkward ones.
+CLASHES = ("record", "id", "key", "n", "c", "at", "hash", "bucket", "positions", "position", "live", "again", "gone", "size", "score", "ids", "tail", "__id", "__n", "__key", "__position", "__live", "a.b", "with `tick`", "doc_id_")
+
+
+def test_stages_on_odd_tables(spark, odd):
+    """Nulls, empty and long texts, repeated rows, no rows, and columns named like those that helpers make: kept as they are by every stage."""
+    import corpus_pipeline
+
+    docs = odd.select("doc_id", "text", F.lit("en").alias("lang"), "source", F.char_length("text").cast("long").alias("n_chars"), *(F.lit(f"own {c}").alias(c) for c in CLASHES))
+    for rows in (docs, docs.limit(0)):
+        rows = spark.createDataFrame(rows.collect(), rows.schema)
+        for name, stage in corpus_pipeline.STAGES:
+            done = stage(spark, rows, SMALL)
+            if name == corpus_pipeline.STAGES[-1][0]:
+                assert done.count() == rows.count()
+                break
+            assert done.columns == docs.columns, name
+            found = done.collect()
+            assert all(r[c] == f"own {c}" for r in found for c in CLASHES), name
+            kept = Counter((r["doc_id"], r["source"], r["lang"]) for r in found)
+            assert kept.keys() <= {(r["doc_id"], r["source"], r["lang"]) for r in rows.collect()}, name
+            if name == corpus_pipeline.STAGES[1][0]:
+                assert max(Counter(r["doc_id"] for r in found if r["doc_id"] is not None).values(), default=1) == 1
+
+
+def test_secrets_of_table(spark):
+    """The query against brute force: spans, kinds and digests of every text, and how many owners and documents hold its values."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
+    owners, repos, found = {}, {}, {}
+    for r in docs:
+        text = r["text"] or ""
+        spans = [("assign", m.start(), m.end(), m[2]) for m in re.finditer(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.A) if len(m[2]) >= 12]
+        spans += [("access", m.start(), m.end(), m[0]) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+        spans += [("hex", m.start(), m.end(), m[0]) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16]
+        found[r["doc_id"]] = sorted(spans, key=lambda x: (x[1], ("assign", "access", "hex").index(x[0])))
+        for _, _, _, v in secrets.find(text):
+            owners.setdefault(v, set()).add(r["source"])
+            repos.setdefault(v, set()).add(r["doc_id"])
+    rows = registry.QUERIES["op1_secret_scan"](spark, SMALL).collect()
+    assert len(rows) == len(docs) and sum(map(len, found.values())) > 0
+    texts = {r["doc_id"]: r["text"] or "" for r in docs}
+    for r in rows:
+        spans, values = found[r["doc_id"]], [v for *_, v in secrets.find(texts[r["doc_id"]])]
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b, _ in spans).encode()).hexdigest()
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(k == kind for k, *_ in spans) for kind in ("assign", "access", "hex"))
+        assert {f"{k}:{a}:{b}" for k, a, b, _ in spans} <= set(r["spans"].split(","))
+        assert (r["max_owners"], r["max_repos"]) == (max((len(owners[v]) for v in values), default=0), max((len(repos[v]) for v in values), default=0))
+
+
+def test_secret_repositories(spark, monkeypatch):
+    """A value in many documents of one owner is an example; hot values meet their counts by broadcast."""
+    for hot in (2, 10**6):
+        monkeypatch.setattr(secrets, "HOT_REPOS", hot)
+        rows = [(i, "token = Copied0123456789a", "one") for i in range(12)] + [(20, "token = Live0123456789abc", "one")]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        judged = {r["doc_id"]: (r["n_live"], r["n_example"], r["max_repos"]) for r in secrets.per_document(secrets.candidates(docs)).collect()}
+        assert judged == {i: (0, 1, 12) for i in range(12)} | {20: (1, 0, 1)}
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     """Each stage's rows from the rows that it is given: a stage that loses or keeps a document too many fails."""
     import corpus_pipeline
@@ -615,13 +674,14 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     component = brute({r["doc_id"]: exact_set(r["text"], corpus_pipeline.SHINGLE_WORDS) for r in good}, corpus_pipeline.LIKENESS_PERCENT)
     assert Counter(unique) == Counter(r for r in good if component[r["doc_id"]] == r["doc_id"]) and len(unique) < len(good)
 
-    owners = {}
+    owners, repos = {}, {}
     for r in given:
         for _, _, _, value in secrets.find(r["text"] or ""):
             owners.setdefault(value, set()).add(r["source"])
+            repos.setdefault(value, set()).add((r["source"], r["doc_id"]))
     want = {}
     for r in given:
-        text, spans = r["text"] or "", sorted((a, b) for k, a, b, v in secrets.find(r["text"] or "") if len(owners[v]) <= corpus_pipeline.MOST_OWNERS_OF_A_SECRET and secrets.looks_random(k, v, 3.0))
+        text, spans = r["text"] or "", sorted((a, b) for k, a, b, v in secrets.find(r["text"] or "") if len(owners[v]) <= corpus_pipeline.MOST_OWNERS_OF_A_SECRET and len(repos[v]) <= corpus_pipeline.MOST_REPOS_OF_A_SECRET and secrets.looks_random(k, v, 3.0))
         for a, b in reversed(spans):
             text = text[:a] + "[SECRET]" + text[b:]
         want[r["doc_id"]] = (text, len(text), len(spans), any(b > c for (_, b), (c, _) in zip(spans, spans[1:], strict=False)))
