@@ -53,7 +53,7 @@ def record(headers: list[tuple[str, object]], block: bytes) -> bytes:
     whole_ = CRLF.join(lines) + CRLF + CRLF + block + CRLF + CRLF
     if len(whole_) >= MOST_RECORD_BYTES:
         raise ValueError("a record is too long: lower segment_bytes")
-    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    packer = zlib.compressobj(1, zlib.DEFLATED, 31)
     return (packer.compress(whole_) + packer.flush())[:-1]
 
 
