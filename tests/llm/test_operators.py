@@ -42,7 +42,7 @@ def test_rows_and_columns(spark):
     n = {t: spark.read.parquet(f"{SMALL}/{t}.parquet").count() for t in ("documents", "pages")}
     for name, query in registry.QUERIES.items():
         found = query(spark, SMALL)
-        if name != "op2_ball_tree":
+        if name not in ("op2_ball_tree", "op12_spelling", "op13_lexical"):
             assert found.count() == n["pages" if "warc" in name else "documents"], name
 
 
