@@ -1,61 +1,22 @@
-"""Full-text search with a weighted rank, snippets, mean-pooled vectors and cosine links."""
+"""Mean-pooled vectors and cosine links."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from callmark.operators.shards import deal, matrix
 from callmark.session import materialise
 
-WORD = r"[\p{L}\p{N}_]+"
-TITLE_WEIGHT, BODY_WEIGHT = 1.0, 0.4
 SHARD_ROWS = 4_096
 #: Components that are averaged side by side.
 POOL_WIDTH = 64
 
 
-def tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
-
-
-def _share(tf: Column) -> Column:
-    """Sum of 1 / k^2 up to tf, against its limit."""
-    total = F.aggregate(F.sequence(F.lit(1), tf), F.lit(0.0), lambda s, k: s + 1.0 / (k * k))
-    return F.when(tf > 0, total / (math.pi**2 / 6)).otherwise(0.0)
-
-
-def _count(field: Column, word: str) -> Column:
-    return F.size(F.filter(field, lambda x: x == word))
-
-
-def rank(query: str, title: Column, body: Column) -> tuple[Column, Column]:
-    """(does every word of the query occur, rank) over token arrays; a blank query matches all with rank 0."""
-    import re
-
-    words = list(dict.fromkeys(re.findall(r"\w+", query.lower())))
-    if not words:
-        return F.lit(True), F.lit(0.0)
-    hit, score = F.lit(True), F.lit(0.0)
-    for w in words:
-        n = [_count(field, w) for field in (title, body)]
-        hit &= (n[0] + n[1]) > 0
-        score += TITLE_WEIGHT * _share(n[0]) + BODY_WEIGHT * _share(n[1])
-    return hit, score / len(words)
-
-
-def snippet(words: Column, query: Sequence[str], before: int = 3, length: int = 12) -> Column:
-    """So many words around the first one of the query."""
-    at = F.array_min(F.filter(F.array(*(F.array_position(words, w) for w in query)), lambda x: x > 0))
-    start = F.greatest(F.lit(1), at - before).cast("int")
-    return F.array_join(F.slice(words, start, F.lit(length)), " ")
-
-
 def mean_pool(vectors: DataFrame, group: str, vector: str) -> DataFrame:
     """group, vector: the mean, component by component, of the group's vectors. A vector is a row for each POOL_WIDTH components,
     and their means are that many plain averages, so sums are combined before the shuffle and no group is gathered."""

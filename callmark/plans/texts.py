@@ -161,7 +161,7 @@ def transcript_paragraphs(d: Domain) -> DataFrame:
 
 
 _CUES = f"""c AS (SELECT conv_id, turn, role, said, CASE WHEN turn % 5 = 4 THEN '>> ' || said ELSE said END AS shown, turn * 4.0::DOUBLE + CASE WHEN turn % 3 = 2 THEN 3 ELSE 0 END AS start
-    FROM (SELECT conv_id, turn, min(role) AS role, min(role) || ' & ' || (turn // 2) || '. ' || trim(regexp_replace(left(min(text), 200), '[<>&\\s]+', ' ', 'g')) AS said FROM conversations GROUP BY conv_id, turn)),
+    FROM (SELECT conv_id, turn, min(role) AS role, min(role) || ' & ' || (turn // 2) || '. ' || trim(regexp_replace(min(text), '[<>&\\s]+', ' ', 'g')) AS said FROM conversations GROUP BY conv_id, turn)),
 k AS (SELECT *, start + 2.0 AS stop, lag(shown) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM c), kept AS (SELECT * FROM k WHERE shown IS DISTINCT FROM before),
 b AS (SELECT *, CASE WHEN start - lag(stop) OVER w > 2.5 OR turn % 5 = 4 AND lag(stop) OVER w IS NOT NULL THEN 1 ELSE 0 END AS brk FROM kept WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), g AS (SELECT *, sum(brk) OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM b),
 q AS (SELECT conv_id, k, string_agg(said, ' ' ORDER BY turn) AS p FROM g GROUP BY conv_id, k)"""
@@ -174,7 +174,7 @@ def caption_paragraphs(d: Domain) -> DataFrame:
     start = turn * 4 + F.when(turn % 3 == 2, 3).otherwise(0)
     two = lambda n: F.lpad(n.cast("string"), 2, "0")
     clock = lambda s: F.when(s < 600, F.concat(F.floor(s / 60).cast("string"), F.lit(":"), two(s % 60), F.lit(".000"))).otherwise(F.concat_ws(":", two(F.floor(s / 3600)), two(F.floor(s / 60) % 60), F.concat(two(s % 60), F.lit(",000"))))
-    body = F.trim(F.regexp_replace(F.left(F.min("text"), F.lit(200)), r"[<>&\s]+", " "))
+    body = F.trim(F.regexp_replace(F.min("text"), r"[<>&\s]+", " "))
     said = d.table("conversations").groupBy("conv_id", "turn").agg(F.concat(F.min("role"), F.lit("</c> &amp; "), F.floor(turn / 2).cast("string"), F.lit(".\n"), body).alias("said"))
     cue = F.concat(clock(start), F.lit(" --> "), clock(start + 2), F.lit(" align:start\n"), F.when(turn % 5 == 4, "&gt;&gt; ").otherwise(""), F.lit("<c>"), "said")
     vtt = said.select("conv_id", "turn", cue.alias("cue")).groupBy("conv_id").agg(F.concat(F.lit("WEBVTT\n\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "cue"))), lambda x: x["cue"]), "\n\n")).alias("vtt"))

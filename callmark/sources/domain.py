@@ -75,11 +75,12 @@ class Domain:
 
     @cached_property
     def price(self) -> DataFrame:
-        """ticker, day, close: days have gaps."""
+        """ticker, day, close: a day on which a multiple of seven was sold has no close, and so is a gap."""
         part = self.table("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("ticker"))
-        rows = self.table("lineitem").filter("l_suppkey % 2 = 0").join(part, "l_partkey")
+        rows = self.table("lineitem").join(part, "l_partkey")
         cents = F.round(F.col("l_extendedprice") * 100).cast("long")  # whole numbers add up alike in any order
-        return rows.groupBy("ticker", F.to_date("l_shipdate").alias("day")).agg((F.sum(cents) / F.sum(F.col("l_quantity").cast("long"))).alias("close"))
+        sold = F.sum(F.col("l_quantity").cast("long"))
+        return rows.groupBy("ticker", F.to_date("l_shipdate").alias("day")).agg(F.when(sold % 7 != 0, F.sum(cents) / sold).alias("close")).filter("close IS NOT NULL")
 
 
 PRELUDE = f"""
@@ -100,7 +101,7 @@ primary_call AS (SELECT call.* FROM call JOIN primary_run USING (item_id) WHERE
 view AS (SELECT event_id AS view_id, event_id AS item_id, 'S' || user_id AS speaker, event_type AS asset_class, CASE WHEN value > 20 THEN 'bullish' WHEN value > 8 THEN 'bearish' ELSE 'mixed' END AS direction,
     CASE event_id % 5 WHEN 0 THEN 'bond yields and rates' WHEN 1 THEN 'Gold price' WHEN 2 THEN 'gold against YIELDS' WHEN 3 THEN '' END AS rationale, o_orderdate AS seen_at FROM events JOIN orders ON o_orderkey = event_id),
 price AS (SELECT p_brand AS ticker, l_shipdate::DATE AS day, (sum(round(l_extendedprice * 100)::BIGINT)::DOUBLE / sum(l_quantity::BIGINT)::DOUBLE) AS close
-    FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_suppkey % 2 = 0 GROUP BY ALL),
+    FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL HAVING sum(l_quantity::BIGINT) % 7 <> 0),
 last_close AS (SELECT ticker, arg_max(close, day) AS last FROM price GROUP BY ticker),
 asked AS (SELECT *, made_at::DATE AS call_day, least(TIMESTAMP '{NOW}', made_at + to_days(horizon::INT)) AS eval_at FROM call),
 priced AS (SELECT asked.*, coalesce(a.close, l.last) AS p_call, coalesce(e.close, l.last) AS p_eval FROM asked
