@@ -54,10 +54,14 @@ def from_heading(body: Column, generic: tuple[str, ...] = ("column", "opinion",
 
 
 def vanity(raw: Column) -> Column:
-    """A creator's name from a handle, a path or an address: the u parameter, else the last part after c/, cw/ or user/."""
-    path = F.regexp_replace(F.regexp_replace(F.trim(raw), r"^https?://[^/]+/?", ""), r"[?#].*$", "")
-    named = F.regexp_replace(F.regexp_extract(path, r"^(?:c/|cw/|user/)?@?([^/]+)", 1), r"^@", "")
-    return F.coalesce(F.nullif(F.regexp_extract(raw, r"[?&]u=([^&#]+)", 1), F.lit("")), F.nullif(named, F.lit("")))
+    """A creator's name from a handle, a path or an address: the vanity parameter, else what follows c/, cw/ or user/, else the first part of the path;
+    null if there is none."""
+    asked = F.trim(F.regexp_extract(raw, r"(?i)[?&]vanity=([^&#]+)", 1))
+    path = F.regexp_replace(F.regexp_replace(F.trim(raw), r"(?i)^(https?:)?//[^/?#]*", ""), r"[?#].*$", "")
+    parts = F.filter(F.split(path, "/"), lambda x: x != "")
+    first, second = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+    named = F.when(first.isin("c", "cw"), F.coalesce(second, first)).when(first == "user", second).otherwise(first)
+    return F.coalesce(F.nullif(asked, F.lit("")), F.nullif(F.regexp_replace(named, r"^@", ""), F.lit("")))
 
 
 def at_handle(raw: Column) -> Column:
@@ -79,13 +83,23 @@ def has_transcript(body: Column) -> Column:
     return ~body.contains(NO_TRANSCRIPT)
 
 
+def as_replacement(text: Column) -> Column:
+    """Text that stands for itself where a pattern's match is replaced."""
+    return F.regexp_replace(text, r"([\\$])", r"\\$1")
+
+
+def as_pattern(text: Column) -> Column:
+    """A pattern that matches this text alone."""
+    return F.regexp_replace(text, r"([^\p{L}\p{N}_])", r"\\$1")
+
+
 def patch_metadata(body: Column, duration: Column, published: Column, description: Column) -> Column:
     """Duration and Published lines replaced, an empty Description filled; doing it again changes nothing."""
     def line(text: Column, name: str, value: Column) -> Column:
-        return F.when(value.isNull(), text).otherwise(F.regexp_replace(text, F.lit(rf"(?m)^(- \*\*{name}:\*\*).*$"), F.concat(F.lit("$1 "), value)))
+        return F.when(value.isNull(), text).otherwise(F.regexp_replace(text, F.lit(rf"(?m)^(- \*\*{name}:\*\*).*$"), F.concat(F.lit("$1 "), as_replacement(value))))
 
     out = line(line(body, "Duration", duration), "Published", published)
-    return F.when(description.isNull(), out).otherwise(F.regexp_replace(out, F.lit(r"(?m)^## Description\n+(?=##|\z)"), F.concat(F.lit("## Description\n\n"), description, F.lit("\n\n"))))
+    return F.when(description.isNull(), out).otherwise(F.regexp_replace(out, F.lit(r"(?m)^## Description\n+(?=##|\z)"), F.concat(F.lit("## Description\n\n"), as_replacement(description), F.lit("\n\n"))))
 
 
 def sanitise_links(text: DataFrame, pages: DataFrame, key: str, column: str) -> DataFrame:
@@ -96,8 +110,8 @@ def sanitise_links(text: DataFrame, pages: DataFrame, key: str, column: str) ->
     fate = found.withColumn("__form", F.replace("target", F.lit("_"), F.lit("-"))).join(known, "__form", "left").groupBy(key).agg(F.collect_list(F.struct("target", best.alias("best"))).alias("__fate"))
 
     def one(out: Column, f: Column) -> Column:
-        quoted = F.concat(F.lit(r"\[([^\]]*)\]\(\Q"), f["target"], F.lit(r"\E\)"))
-        return F.regexp_replace(out, quoted, F.when(f["best"].isNull(), F.lit("$1")).otherwise(F.concat(F.lit("[$1]("), f["best"], F.lit(")"))))
+        link = F.concat(F.lit(r"\[([^\]]*)\]\("), as_pattern(f["target"]), F.lit(r"\)"))
+        return F.regexp_replace(out, link, F.when(f["best"].isNull(), F.lit("$1")).otherwise(F.concat(F.lit("[$1]("), as_replacement(f["best"]), F.lit(")"))))
 
     joined = text.join(fate, key, "left")
     return joined.withColumn(column, F.when(F.col("__fate").isNull(), F.col(column)).otherwise(F.aggregate("__fate", F.col(column), one))).drop("__fate")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ipaddress
 import re
-from collections.abc import Callable
+from collections.abc import Sequence
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -99,10 +102,43 @@ def fingerprint(ids: Column) -> Column:
     return F.sha2(F.array_join(ids, "\n"), 256)
 
 
+#: Networks that are private, of this host, of links, reserved, or for documentation and tests.
+PRIVATE_V4 = ("0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "240.0.0.0/4")
+PRIVATE_V6 = (
+    "::/8", "64:ff9b:1::/48", "100::/8", "200::/7", "400::/6", "800::/5", "1000::/4", "2001::/23", "2001:db8::/32", "2002::/16", "3fff::/20", "4000::/3", "6000::/3", "8000::/3", "a000::/3", "c000::/3",
+    "e000::/4", "f000::/5", "f800::/6", "fc00::/7", "fe00::/9", "fe80::/10",
+)
+
+
+def _within(bits: Column, networks: Sequence[str], size: int) -> Column:
+    """Is the address, a text of size bits, in one of the networks?"""
+    heads = [format(int(n.network_address), f"0{size}b")[: n.prefixlen] for n in map(ipaddress.ip_network, networks)]
+    return reduce(lambda a, h: a | bits.startswith(h), heads, F.lit(False))
+
+
+def _bits(numbers: Column, base: int, width: int) -> Column:
+    """Numbers (texts in a base) as bits of that width, joined."""
+    return F.array_join(F.transform(numbers, lambda x: F.lpad(F.conv(x, base, 2), width, "0")), "")
+
+
 def safe_url(url: Column) -> Column:
-    host = F.lower(F.try_parse_url(url, F.lit("HOST")))
-    private = r"^(localhost|0\.0\.0\.0|127\..*|10\..*|192\.168\..*|169\.254\..*|172\.(1[6-9]|2\d|3[01])\..*|\[?::1\]?)$"
-    return F.coalesce(url.rlike(r"(?i)^https?://") & (host != "") & ~host.rlike(private), F.lit(False))
+    """http(s), and a host that is a name other than localhost, or an address that is not private, of this host, of a link or reserved; IPv4 addresses
+    written in IPv6 ones lie in a reserved network."""
+    host = F.lower(F.regexp_extract(url, r"(?i)^https?://(?:[^/?#]*@)?(\[[^\]/?#]*\]|[^:/?#\[\]]*)(?::\d*)?(?:[/?#]|$)", 1))
+    v4 = r"(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$"
+    four = lambda of: F.array(*(F.regexp_extract(of, v4, i) for i in range(1, 5)))
+    is_v4 = host.rlike("^" + v4) & F.forall(four(host), lambda x: x.try_cast("int") <= 255)
+    inner = F.regexp_replace(F.regexp_replace(host, r"^\[|\]$", ""), "%.*$", "")
+    # the dotted end as two groups, then the groups that '::' stands for
+    hexed = lambda i: F.lower(F.hex(F.get(four(inner), F.lit(i)).try_cast("int") * 256 + F.get(four(inner), F.lit(i + 1)).try_cast("int")))
+    plain = F.when(inner.rlike(v4), F.concat(F.regexp_replace(inner, v4, ""), hexed(0), F.lit(":"), hexed(2))).otherwise(inner)
+    groups = lambda part: F.filter(F.split(part, ":"), lambda x: x != "")
+    head, tail = groups(F.substring_index(plain, "::", 1)), groups(F.when(plain.contains("::"), F.substring_index(plain, "::", -1)).otherwise(""))
+    all_groups = F.concat(head, F.array_repeat(F.lit("0"), F.greatest(F.lit(0), 8 - F.size(head) - F.size(tail))), tail)
+    is_v6 = host.startswith("[") & (F.size(all_groups) == 8) & F.forall(all_groups, lambda x: x.rlike("^[0-9a-f]{1,4}$"))
+    bits = _bits(all_groups, 16, 16)
+    good = F.when(host.startswith("["), is_v6 & ~_within(bits, PRIVATE_V6, 128)).when(is_v4, ~_within(_bits(four(host), 10, 8), PRIVATE_V4, 32)).otherwise(~host.isin("", "localhost"))
+    return F.coalesce(good, F.lit(False))
 
 
 def html_text(html: Column) -> Column:
@@ -141,39 +177,43 @@ def paragraphs(text: Column, most: int = PARAGRAPH_CHARS) -> Column:
     return F.flatten(F.transform(parts, lambda p: capped(p, most)))
 
 
-def filled(units: list[str], gap: str, most: int, cut: Callable[[str], list[str]]) -> list[str]:
-    """Pieces of as many units as fit into so many characters, with gap between; a longer unit's own pieces stand alone, after and before others."""
-    out, piece = [], ""
-    for unit in units:
-        fits = len(piece) + len(gap) + len(unit) <= most
-        if fits:
-            piece = f"{piece}{gap}{unit}".strip()
-            continue
-        out.append(piece)
-        piece = unit
-        if len(unit) > most:
-            out += cut(unit)
-            piece = ""
-    return [p for p in (*out, piece) if p]
+def pieces(sizes: np.ndarray, gap: int, most: int) -> list[tuple[int, int]]:
+    """(first, end) of runs of units that fill up to most characters, gap between two: for each unit where a piece that begins there ends is
+    looked up among the running lengths, and pieces are followed from the first on. A longer unit is a piece of its own."""
+    ends = np.cumsum(sizes + gap)
+    after = np.maximum(np.searchsorted(ends, ends - sizes + most, "right"), np.arange(1, len(sizes) + 1)).tolist()
+    out, at = [], 0
+    while at < len(sizes):
+        out.append((at, after[at]))
+        at = after[at]
+    return out
 
 
-def pack(text: str, most: int) -> list[str]:
-    """The text whole if short enough; else its paragraphs, of long ones the words, of long words the characters, filled into pieces."""
+def packed(text: str, most: int) -> list[str]:
+    """The text whole if short enough; else its paragraphs filled into pieces; of a long paragraph the words, of a long word the characters."""
     text = text.strip()
     if len(text) <= most:
         return [text]
-    letters = lambda word: [word[i : i + most] for i in range(0, len(word), most)]
-    return filled(re.split(r"\n{2,}", text), "\n\n", most, lambda par: filled(par.split(" "), " ", most, letters))
+    out: list[str] = []
+    paragraphs = re.split(r"\n{2,}", text)
+    for first, end in pieces(np.array([len(p) for p in paragraphs]), 2, most):
+        if len(paragraphs[first]) <= most:
+            out.append("\n\n".join(paragraphs[first:end]).strip())
+            continue
+        words = paragraphs[first].split(" ")
+        for a, b in pieces(np.array([len(w) for w in words]), 1, most):
+            out += [" ".join(words[a:b]).strip()] if len(words[a]) <= most else [words[a][i : i + most] for i in range(0, len(words[a]), most)]
+    return [p for p in out if p]
 
 
 def chunks(text: Column, most: int = CHUNK_CHARS) -> Column:
-    """Array of chunks. Greedy packing depends on all before it, so this is a vectorised function; rows stay where they are."""
+    """Array of chunks. What a chunk holds depends on all before it, so this is a vectorised function; rows stay where they are."""
 
     @F.pandas_udf("array<string>")
-    def packed(texts: pd.Series) -> pd.Series:
-        return pd.Series([pack(t or "", most) for t in texts], dtype=object)
+    def cut(texts: pd.Series) -> pd.Series:
+        return pd.Series([packed(t or "", most) for t in texts], dtype=object)
 
-    return packed(text)
+    return cut(text)
 
 
 def json_after(text: Column, marker: str) -> Column:
@@ -248,14 +288,6 @@ def digest16(text: Column) -> Column:
     return F.left(F.sha2(text, 256), F.lit(16))
 
 
-def set_key(blob: Column, key: str, value: Column) -> Column:
-    """A flat JSON object with one key set, as JSON in order of keys; null counts as the empty object."""
-    fields = F.coalesce(F.from_json(blob, "map<string,string>"), F.create_map().cast("map<string,string>"))
-    others = F.map_filter(fields, lambda k, _: k != key)
-    entries = F.array_sort(F.map_entries(F.map_concat(others, F.create_map(F.lit(key), value.cast("string")))))
-    return F.to_json(F.map_from_entries(entries))
-
-
 def descriptor(blob: Column) -> Column:
     """struct<external_id, url, title, published_at, channel_ref> of a discovery record in JSON; null without an id.
 

@@ -5,21 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callmark.operators import fuzzy
+from callmark.operators import audit, fuzzy
 from callmark.plans.registry import query
 from callmark.sources import markdown as md
 from callmark.sources.domain import Domain
 
 
-@query("""WITH a AS (SELECT doc_id AS id, source, n_chars FROM documents WHERE doc_id % 7 <> 0), b AS (SELECT doc_id AS id, source, CASE WHEN doc_id % 11 = 0 THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents WHERE doc_id % 5 <> 0)
-SELECT coalesce(a.source, b.source) AS source, count(*) FILTER (WHERE b.id IS NULL) AS missing, count(*) FILTER (WHERE a.id IS NULL) AS orphans, count(*) FILTER (WHERE a.n_chars <> b.n_chars) AS mismatches, count(*) FILTER (WHERE a.n_chars = b.n_chars) AS fine FROM a FULL JOIN b ON a.id = b.id GROUP BY ALL""", prelude=False)
+_SIDES = """a AS (SELECT doc_id AS id, source, n_chars FROM documents WHERE doc_id % 7 <> 0 UNION ALL SELECT doc_id, source, n_chars FROM documents WHERE doc_id % 13 = 5),
+b AS (SELECT CASE WHEN doc_id % 17 = 2 THEN NULL ELSE doc_id - CASE WHEN doc_id % 19 = 1 THEN 1 ELSE 0 END END AS id, source, CASE WHEN doc_id % 11 = 0 THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents WHERE doc_id % 5 <> 0)"""
+
+
+@query(f"""WITH {_SIDES}, x AS (SELECT id, min(source) AS source, min(n_chars) AS n_chars, count(*) - 1 AS more FROM a GROUP BY id), y AS (SELECT id, min(source) AS source, min(n_chars) AS n_chars, count(*) - 1 AS more FROM b WHERE id IS NOT NULL GROUP BY id),
+j AS (SELECT coalesce(x.source, y.source) AS source, count(*) FILTER (WHERE y.id IS NULL) AS missing, count(*) FILTER (WHERE x.id IS NULL) AS orphans, count(*) FILTER (WHERE x.n_chars <> y.n_chars) AS mismatches, count(*) FILTER (WHERE x.n_chars = y.n_chars) AS fine, sum(coalesce(x.more, 0))::BIGINT AS repeated_rows, sum(coalesce(y.more, 0))::BIGINT AS repeated_files FROM x FULL JOIN y ON x.id = y.id GROUP BY ALL),
+u AS (SELECT source, count(*) AS unreadable FROM b WHERE id IS NULL GROUP BY source) SELECT source, coalesce(missing, 0) AS missing, coalesce(orphans, 0) AS orphans, coalesce(mismatches, 0) AS mismatches, coalesce(fine, 0) AS fine, coalesce(repeated_rows, 0) AS repeated_rows, coalesce(repeated_files, 0) AS repeated_files, coalesce(unreadable, 0) AS unreadable FROM j FULL JOIN u USING (source)""", prelude=False)
 def consistency(d: Domain) -> DataFrame:
-    """What the table has against what the disk has, by source, in one full outer join."""
-    docs = d.table("documents")
-    a = docs.filter("doc_id % 7 <> 0").select("doc_id", F.col("source").alias("s1"), F.col("n_chars").alias("n1"))
-    b = docs.filter("doc_id % 5 <> 0").select("doc_id", F.col("source").alias("s2"), F.when(F.col("doc_id") % 11 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars")).alias("n2"))
-    return a.join(b, "doc_id", "full").groupBy(F.coalesce("s1", "s2").alias("source")).agg(
-        F.count_if(F.col("s2").isNull()).alias("missing"), F.count_if(F.col("s1").isNull()).alias("orphans"), F.count_if(F.col("n1") != F.col("n2")).alias("mismatches"), F.count_if(F.col("n1") == F.col("n2")).alias("fine"))
+    """What the table has against what the disk has, by source: the table lacks some documents and has others twice; of the files some
+    have the number of the one before, and some no number that can be read."""
+    docs, n = d.table("documents"), F.col("doc_id")
+    row = lambda key, chars: (key.alias("key"), "source", chars.alias("content"))
+    table = docs.filter(n % 7 != 0).unionByName(docs.filter(n % 13 == 5)).select(*row(n, F.col("n_chars")))
+    key = F.when(n % 17 != 2, n - F.when(n % 19 == 1, 1).otherwise(0))
+    files = docs.filter(n % 5 != 0).select(*row(key, F.when(n % 11 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))))
+    return audit.compared(table, files)
 
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")

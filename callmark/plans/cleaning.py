@@ -11,12 +11,14 @@ from callmark.plans.registry import query
 from callmark.sources.domain import Domain
 
 
-@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'ch-' || c_custkey WHEN c_custkey % 3 = 1 THEN 'customer' || right(c_name, 9) ELSE lower(c_mktsegment) END AS slug, right(c_name, 9) AS vanity FROM customer", prelude=False)
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'ch-' || c_custkey WHEN c_custkey % 3 = 1 THEN 'customer' || right(c_name, 9) ELSE lower(c_mktsegment) END AS slug, CASE WHEN c_custkey % 7 < 6 THEN right(c_name, 9) END AS vanity FROM customer", prelude=False)
 def channel_names(d: Domain) -> DataFrame:
     """Slugs with their fall-backs, and names from handles and addresses."""
     k = F.col("c_custkey")
     handle, name = F.when(k % 3 == 1, F.concat(F.lit("@"), "c_name")), F.when(k % 3 == 2, F.col("c_mktsegment")).otherwise(F.lit("!!"))
-    raw = F.concat(F.when(k % 2 == 0, "https://example.com/c/").otherwise("https://example.com/x?u="), F.right("c_name", F.lit(9)), F.when(k % 2 == 0, "/posts?x=1").otherwise("&y=2"))
+    v = F.right("c_name", F.lit(9))
+    around = (("https://example.com/c/", "/posts?x=1"), ("http://www.example.com/x?u=3&Vanity=", "&y=2"), ("/cw/", ""), ("user/", "/about"), (" @", ""), ("https://example.com/", "#top"))
+    raw = F.element_at(F.array(*(F.concat(F.lit(a), v, F.lit(b)) for a, b in around), F.lit("https://example.com/user?u=12")), (k % 7 + 1).cast("int"))
     return d.table("customer").select(k.alias("id"), clean.channel_slug(handle, name, k).alias("slug"), clean.vanity(raw).alias("vanity"))
 
 

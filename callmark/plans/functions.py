@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from callmark.functions import calls, clean
 from callmark.functions import text as tx
+from callmark.functions import variants as va
 from callmark.plans.registry import query
 from callmark.sources.domain import Domain
 
@@ -75,12 +76,12 @@ def article_bodies(d: Domain) -> DataFrame:
     return d.table("documents").select("doc_id", clean.from_heading(body, ("opinion",)).alias("body"), clean.has_transcript(marked).alias("has_transcript"), clean.is_full(shown).alias("is_full"))
 
 
-@query("SELECT o_orderkey AS id, '- **Duration:** ' || CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey || ' sec' ELSE '?' END || chr(10) || '- **Published:** 2024' || chr(10) || chr(10) || '## Description' || chr(10) || chr(10) || 'About ' || o_orderkey || chr(10) || chr(10) || '## Transcript' || chr(10) || 'text' AS body FROM orders", prelude=False)
+@query("SELECT o_orderkey AS id, '- **Duration:** ' || CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey || ' sec' ELSE '?' END || chr(10) || '- **Published:** 2024' || chr(10) || chr(10) || '## Description' || chr(10) || chr(10) || 'About $' || o_orderkey || ' in C:\\x \\1 ${n}' || chr(10) || chr(10) || '## Transcript' || chr(10) || 'text' AS body FROM orders", prelude=False)
 def patched_pages(d: Domain) -> DataFrame:
-    """Metadata merged into pages, twice, which changes nothing more."""
+    """Metadata with signs that patterns know merged into pages, twice, which changes nothing more."""
     n = F.col("o_orderkey")
     body = F.lit("- **Duration:** ?\n- **Published:** ?\n\n## Description\n\n\n## Transcript\ntext")
-    patch = lambda b: clean.patch_metadata(b, F.when(n % 2 == 0, F.concat(n.cast("string"), F.lit(" sec"))), F.lit("2024"), F.concat(F.lit("About "), n.cast("string")))
+    patch = lambda b: clean.patch_metadata(b, F.when(n % 2 == 0, F.concat(n.cast("string"), F.lit(" sec"))), F.lit("2024"), F.concat(F.lit("About $"), n.cast("string"), F.lit(r" in C:\x \1 ${n}")))
     return d.table("orders").select(n.alias("id"), patch(patch(body)).alias("body"))
 
 
@@ -118,11 +119,11 @@ def descriptors(d: Domain) -> DataFrame:
     return d.table("orders").select(n.alias("id"), tx.descriptor(raw).alias("r")).select("id", "r.external_id", "r.channel_ref", "r.published_at")
 
 
-@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN '{"seen":"' || user_id || '"}' WHEN 1 THEN '{"a":"1","seen":"' || user_id || '"}' ELSE '{"seen":"' || user_id || '","z":"2"}' END AS blob FROM events""", prelude=False)
+@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN '{"seen":' || user_id || '}' WHEN 1 THEN '{"a":"1","seen":' || user_id || '}' WHEN 2 THEN '{"f":true,"n":null,"o":{"k":[1,"x"]},"seen":' || user_id || ',"z":2}' WHEN 3 THEN '[1, 2]' WHEN 4 THEN '{"cut": ' ELSE '{"k":' || (props->>'k') || ',"seen":' || user_id || '}' END AS blob FROM events""", prelude=False)
 def json_keys(d: Domain) -> DataFrame:
-    """A key set in JSON objects that lack it, have it, or are null."""
-    blob = picked(F.col("event_id"), F.lit(None).cast("string"), '{"seen": "old", "a": "1"}', '{"z": 2}')
-    return d.table("events").select("event_id", tx.set_key(blob, "seen", F.col("user_id")).alias("blob"))
+    """A key set in JSON objects that lack it, have it, have fields of all types, or are null; arrays and broken texts stay as they are."""
+    blob = picked(F.col("event_id"), F.lit(None).cast("string"), '{"seen": "old", "a": "1"}', '{"z": 2, "o": {"k": [1, "x"]}, "f": true, "n": null}', "[1, 2]", '{"cut": ', F.col("props"))
+    return d.table("events").select("event_id", va.set_key(blob, "seen", F.col("user_id")).alias("blob"))
 
 
 @query("SELECT doc_id, i AS place, CASE i WHEN 0 THEN source ELSE 'oil' END AS topic, i = 0 AS recurring, CASE i WHEN 0 THEN 'n' || doc_id ELSE '' END AS new, CASE i WHEN 0 THEN 2 ELSE 0 END AS n_changes, CASE i WHEN 0 THEN 'q' || doc_id END AS quote, CASE i WHEN 0 THEN 1 ELSE 0 END AS n_tags FROM documents, range(0, 2) r(i)", prelude=False)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callmark.functions import text as tx
+from callmark.functions import variants as va
 from callmark.plans.registry import query
 from callmark.sources import markdown as md
 from callmark.sources.domain import Domain
@@ -82,33 +83,36 @@ def title_dates(d: Domain) -> DataFrame:
 _ERRORS = ("HTTP Error 429: Too Many Requests; video unavailable", "Sign in to protect our community", "Private video. Sign in if you've been granted access", "This video was deleted", "Join for members-only content", "account terminated", "connection reset by peer", "Video unavailable")
 
 
-@query("SELECT event_id, CASE WHEN event_id % 8 < 2 THEN 'blocked' WHEN event_id % 8 <> 6 THEN 'gone' END AS class, (props->>'k')::INT AS k, (props->>'k') IS NOT NULL AS has_k, event_type || ':' || (props->>'k') AS tagged FROM events", prelude=False)
+@query("""SELECT event_id, CASE WHEN event_id % 8 < 2 THEN 'blocked' WHEN event_id % 8 <> 6 THEN 'gone' END AS class, (props->>'k')::INT AS k, (props->>'k') IS NOT NULL AS has_k,
+'{"k":' || CASE WHEN event_id % 3 = 0 THEN '{"old":' || (props->>'k') || '}' ELSE (props->>'k') END || ',"ok":' || (value > 20) || ',"type":"' || event_type || '","user":{"id":' || user_id || '}}' AS merged FROM events""", prelude=False)
 def event_json(d: Domain) -> DataFrame:
-    """JSON paths with casts, presence, right-wins merging, and classes of error texts."""
+    """JSON paths with casts, presence, right-wins merging that keeps numbers, truths and objects, and classes of error texts."""
     blob = F.element_at(F.array(*map(F.lit, _ERRORS)), (F.col("event_id") % 8 + 1).cast("int"))
-    fields = F.from_json("props", "map<string,string>")
-    merged = F.map_from_entries(F.map_entries(F.map_zip_with(fields, F.create_map(F.lit("type"), F.col("event_type")), lambda k, a, b: F.coalesce(b, a))))
     k = F.get_json_object("props", "$.k")
-    return d.table("events").select("event_id", tx.error_class(blob).alias("class"), k.try_cast("int").alias("k"), k.isNotNull().alias("has_k"), F.concat(merged["type"], F.lit(":"), merged["k"]).alias("tagged"))
+    more = F.concat(F.lit('{"user": {"id": '), F.col("user_id").cast("string"), F.lit('}, "ok": '), (F.col("value") > 20).cast("string"), F.lit(', "type": "'), "event_type", F.lit('"'), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(', "k": {"old": '), k, F.lit("}"))).otherwise(""), F.lit("}"))
+    merged = va.shown(va.merged(va.fields(F.col("props")), va.fields(more)))
+    return d.table("events").select("event_id", tx.error_class(blob).alias("class"), k.try_cast("int").alias("k"), k.isNotNull().alias("has_k"), merged.alias("merged"))
 
 
 @query("SELECT event_id, i - 1 AS place, CASE i WHEN 1 THEN event_type ELSE 'user' || user_id END AS entity FROM events, range(1, 3) r(i)", prelude=False)
 def nested_records(d: Domain) -> DataFrame:
-    """Records in JSON flattened; elements that are no objects are skipped."""
+    """Records in JSON flattened."""
     raw = F.concat(F.lit('{"entities":[{"name":"'), "event_type", F.lit('"},{"name":"user'), F.col("user_id").cast("string"), F.lit('"}]}'))
-    parsed = F.from_json(raw, "struct<entities: array<struct<name: string>>>")["entities"]
-    rows = d.table("events").select("event_id", F.posexplode(F.filter(parsed, lambda x: x.isNotNull())).alias("place", "e"))
-    return rows.select("event_id", F.col("place").cast("long").alias("place"), F.col("e.name").alias("entity"))
+    rows = d.table("events").select("event_id", F.posexplode(va.records(raw, "$.entities")).alias("place", "e"))
+    return rows.select("event_id", F.col("place").cast("long").alias("place"), va.text_of(F.col("e"), "$.name").alias("entity"))
 
 
-@query("SELECT event_id, i - 1 AS place, CASE i WHEN 1 THEN event_type ELSE 'user' || user_id END AS entity FROM events, range(1, 3) r(i) WHERE i = 1 OR event_id % 3 <> 1", prelude=False)
+#: What stands between two records: other kinds of elements, and a record without a name.
+_BETWEEN = ("null", '"bare text"', "17.5", '[{"name":"inner"}]', "true", '{"kind":"theme"}')
+
+
+@query("""SELECT event_id, i - 1 AS place, CASE WHEN i = 1 THEN event_type WHEN event_id % 7 = 5 AND i = 2 THEN NULL ELSE user_id::VARCHAR END AS entity FROM events, range(1, 4) r(i) WHERE event_id % 7 <> 6 AND (i < 3 OR event_id % 7 = 5)""", prelude=False)
 def nested_entities(d: Domain) -> DataFrame:
-    """nested_records where in a third of the events an element is no object."""
-    second = F.when(F.col("event_id") % 3 == 1, F.lit("null")).otherwise(F.concat(F.lit('{"name":"user'), F.col("user_id").cast("string"), F.lit('"}')))
-    raw = F.concat(F.lit('{"entities":[{"name":"'), "event_type", F.lit('"},'), second, F.lit("]}"))
-    parsed = F.from_json(raw, "struct<entities: array<struct<name: string>>>")["entities"]
-    rows = d.table("events").select("event_id", F.posexplode(F.filter(parsed, lambda x: x.isNotNull())).alias("place", "e"))
-    return rows.select("event_id", F.col("place").cast("long").alias("place"), F.col("e.name").alias("entity"))
+    """Records with an element between them that is no record, which is passed over alone; a seventh of the texts is cut off and gives none."""
+    between = F.element_at(F.array(*map(F.lit, _BETWEEN), F.lit("")), (F.col("event_id") % 7 + 1).cast("int"))
+    raw = F.concat(F.lit('{"entities":[{"name":"'), "event_type", F.lit('"},'), between, F.when(F.col("event_id") % 7 == 6, "").otherwise(F.concat(F.lit(',{"name":'), F.col("user_id").cast("string"), F.lit("}]}"))))
+    rows = d.table("events").select("event_id", F.posexplode(va.records(raw, "$.entities")).alias("place", "e"))
+    return rows.select("event_id", F.col("place").cast("long").alias("place"), va.text_of(F.col("e"), "$.name").alias("entity"))
 
 
 def filling(units: str, out: str, most: int, gap: str) -> str:

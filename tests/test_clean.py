@@ -22,8 +22,8 @@ def test_patch(spark):
 
 
 def test_names(spark):
-    raw = [("https://example.com/c/jane/posts",), ("@jane",), ("https://example.com/x?u=jane",), ("cw/jane",)]
-    assert values(spark, raw, "t string", clean.vanity(F.col("t"))) == ["jane"] * 4 and values(spark, raw[:1], "t string", clean.at_handle(F.col("t"))) == ["@jane"]
+    raw = [("https://example.com/c/jane/posts",), ("@jane",), ("https://example.com/x?u=1&VANITY=jane",), ("cw/jane",)]
+    assert values(spark, raw, "t string", clean.vanity(F.col("t"))) == ["jane"] * 4 and values(spark, [("https://example.com/user?u=1",), ("user/7",), ("c",), ("",), ("https://example.com",)], "t string", clean.vanity(F.col("t"))) == [None, "7", "c", None, None] and values(spark, raw[:1], "t string", clean.at_handle(F.col("t"))) == ["@jane"]
     assert values(spark, [("/a",), ("//h/a",), ("https://h/a",), (None,)], "t string", clean.absolute_url(F.col("t"), "https://b/")) == ["https://b/a", "https://h/a", "https://h/a", ""]
 
 
@@ -46,3 +46,24 @@ def test_json_rows(spark):
     assert clean.first_label(lines, "line", "n").first()["label"] == "Jane"
     got = values(spark, [("Story", '{"uuid": "1", "title": "t", "canonicalUrl": {"url": "u"}}'), ("Outlink", '{"id": "2", "headline": "h", "outlinkUrl": "o"}'), ("Ad", "{}")], "k string, t string", clean.asset_row(F.col("k"), F.col("t")))
     assert [tuple(g) if g else None for g in got] == [("1", "t", "u"), ("2", "h", "o"), None]
+
+
+def test_signs_of_patterns(spark):
+    """Dollar signs, backslashes and quotes stand for themselves in patches and links."""
+    body = "- **Duration:** ?\n- **Published:** ?\n\n## Description\n\n\n## Transcript\ntext"
+    said = "costs $5 now, C:\\new, ${a} \\E $1"
+    [out] = [r[0] for r in spark.createDataFrame([(body, said)], "b string, s string").select(clean.patch_metadata(F.col("b"), F.col("s"), F.lit("$9"), F.col("s"))).collect()]
+    assert out == f"- **Duration:** {said}\n- **Published:** $9\n\n## Description\n\n{said}\n\n## Transcript\ntext"
+    pages = spark.createDataFrame([("a-$1\\Eb.md",), ("c.md",)], "page string")
+    text = spark.createDataFrame([(1, "[A](a_$1\\Eb.md) [C](c.md) [D$](d+(.md)")], "id long, text string")
+    assert clean.sanitise_links(text, pages, "id", "text").collect()[0]["text"] == "[A](a-$1\\Eb.md) [C](c.md) D$"
+
+
+def test_audit(spark):
+    from callmark.operators import audit
+
+    rows = spark.createDataFrame([(1, "a", 5), (1, "a", 5), (2, "a", 1), (3, "b", None), (None, "b", 1)], "key long, source string, content long")
+    files = spark.createDataFrame([(1, "a", 5), (2, "a", 2), (2, "c", 2), (4, "c", 1), (None, "c", 1), (None, None, 1), (3, "b", 1)], "key long, source string, content long")
+    found = {r["source"]: tuple(r)[1:] for r in audit.compared(rows, files).collect()}
+    assert found == {"a": (0, 0, 1, 1, 1, 1, 0), "b": (0, 0, 0, 0, 0, 0, 0), "c": (0, 1, 0, 0, 0, 0, 1), None: (0, 0, 0, 0, 0, 0, 1)}
+    assert audit.compared(rows.limit(0), files.limit(0)).collect() == []

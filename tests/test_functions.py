@@ -1,5 +1,6 @@
 """Facts about scoring, prices, text and dates on small fixtures."""
 
+import ipaddress
 import datetime as dt
 import random
 import re
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from callmark.functions import calls
 from callmark.functions import text as tx
+from callmark.functions import variants as va
 from callmark.operators import fuzzy, incremental, listing, opinions
 from callmark.operators.asof import asof_forward
 from callmark.operators.scoring import refresh_scores, score_calls
@@ -55,15 +57,15 @@ def test_ticker_hygiene(spark):
 
 
 def test_chunks():
-    assert tx.pack("short", 100) == ["short"] and tx.pack("  ", 5) == [""]
-    assert list(map(len, tx.pack("\n\n".join(["x" * 50] * 3), 60))) == [50, 50, 50]
+    assert tx.packed("short", 100) == ["short"] and tx.packed("  ", 5) == [""]
+    assert list(map(len, tx.packed("\n\n".join(["x" * 50] * 3), 60))) == [50, 50, 50]
     words = " ".join(f"w{i}" for i in range(10_000))
     for text, most in ((words, 1_000), ("漢" * 40_000, 5_000)):
-        out = tx.pack(text, most)
+        out = tx.packed(text, most)
         assert max(map(len, out)) <= most and "".join(out).replace(" ", "") == text.replace(" ", "")
-    assert tx.pack("aaa bbbbbbbbbbbb cc", 5) == ["aaa", "bbbbb", "bbbbb", "bb", "cc"]
-    assert tx.pack("a  b\nc\n\n\nd\n\n" + "e" * 8 + "\n\nf", 8) == ["a  b\nc", "d", "e" * 8, "f"]
-    assert all(w in " ".join(tx.pack("alpha beta gamma delta", 12)) for w in ("alpha", "beta", "gamma", "delta"))
+    assert tx.packed("aaa bbbbbbbbbbbb cc", 5) == ["aaa", "bbbbb", "bbbbb", "bb", "cc"]
+    assert tx.packed("a  b\nc\n\n\nd\n\n" + "e" * 8 + "\n\nf", 8) == ["a  b\nc", "d", "e" * 8, "f"]
+    assert all(w in " ".join(tx.packed("alpha beta gamma delta", 12)) for w in ("alpha", "beta", "gamma", "delta"))
 
 
 def test_paragraphs(spark):
@@ -145,8 +147,16 @@ def test_json(spark):
 
 def test_errors_urls_slugs(spark):
     assert values(spark, [("HTTP 429",), ("Sign in to confirm you",), ("Private video",), ("has been removed",), ("else",), ("protect our community",), ("deleted",), ("members-only",), ("Private video. Sign in if",)], "t string", tx.error_class(F.col("t"))) == ["blocked", "blocked", "gone", "gone", None, "blocked", "gone", "gone", "gone"]
-    urls = {"https://example.com/a": True, "http://localhost/x": False, "http://10.0.0.1/": False, "http://172.20.1.1/": False, "ftp://example.com": False, "nonsense": False, None: False}
-    assert values(spark, [(u,) for u in urls], "t string", tx.safe_url(F.col("t"))) == list(urls.values())
+    hosts = ["127.0.0.1", "10.0.0.1", "172.20.1.1", "172.32.0.1", "8.8.8.8", "192.168.3.4", "169.254.1.1", "0.0.0.0", "240.1.2.3", "255.255.255.255", "198.18.0.1", "1.2.3.4", "100.1.2.3"]
+    hosts += [f"[{x}]" for x in ("fd00::1", "fe80::1", "::1", "::", "::ffff:127.0.0.1", "::ffff:8.8.8.8", "::ffff:7f00:1", "2606:4700::1111", "2001:db8::5", "2a00:1450:4001:82a::200e", "fc00:1:2:3:4:5:6:7", "FE80::1", "fec0::1", "100::1", "64:ff9b::8.8.8.8", "1:2:3:4:5:6:7:8")]
+    def allowed(host):
+        ip = ipaddress.ip_address(host.strip("[]"))
+        return not (ip.is_private or ip.is_loopback or ip.is_reserved or ip.is_link_local)
+
+    urls = {f"http://{h}{rest}": allowed(h) for h in hosts for rest in ("", "/a?b=c", ":8080/")}
+    urls |= {"https://example.com/a": True, "HTTPS://Example.com:81": True, "http://localhost/x": False, "http://LOCALHOST:3": False, "http://u:p@10.0.0.1/": False, "http://10.example.com/": True, "http://[::1": False, "http://[1::2::3]/": False, "http:///x": False, "ftp://example.com": False, "nonsense": False, None: False}
+    found = values(spark, [(u,) for u in urls], "t string", tx.safe_url(F.col("t")))
+    assert {u: f for u, f in zip(urls, found) if f != urls[u]} == {}
     assert values(spark, [("Héllo, Wörld! 漢字",), ("!!!",)], "t string", tx.slug(F.col("t"))) == ["héllo-wörld-漢字", "x"]
     a, b, c = values(spark, [(["1", "2"],), (["1", "2"],), (["2", "1"],)], "t array<string>", tx.fingerprint(F.col("t")))
     assert a == b != c
@@ -262,3 +272,32 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema(batch.schema).parquet(str(tmp_path / "in"))
     start_weekly(stream, "weeks", str(tmp_path / "state")).awaitTermination(120)
     assert {(r["user_id"], r["week"], r["n"]) for r in spark.table("weeks").collect()} == {(r["user_id"], r["week"], r["n"]) for r in weekly(batch).collect()}
+
+
+def test_typed_json(spark):
+    """Fields keep their types beside a key that is set; what is no object stays; malformed elements go alone."""
+    blobs = {None: '{"seen":1}', '{"z":2,"o":{"k":[1]},"f":true,"n":null}': '{"f":true,"n":null,"o":{"k":[1]},"seen":1,"z":2}', "[1]": "[1]", '"x"': '"x"', "{broken": "{broken", "": "", '{"seen":{"a":1},"b":"2"}': '{"b":"2","seen":1}', "{}": '{"seen":1}'}
+    assert values(spark, [(b,) for b in blobs], "t string", va.set_key(F.col("t"), "seen", F.lit(1))) == list(blobs.values())
+    assert values(spark, [('{"a":1}',)], "t string", va.set_key(F.col("t"), "b", F.lit(None).cast("string"))) == ['{"a":1,"b":null}']
+    names = lambda t: F.transform(va.records(t, "$.e"), lambda x: va.text_of(x, "$.name"))
+    raw = {'{"e":[{"name":"a"},"x",{"name":"b"}]}': ["a", "b"], '{"e":[1,null,[{"name":"c"}],{"name":5},{},true]}': ["5", None], '{"e":{"name":"a"}}': None, '{"e":[]}': [], '{"x":1}': None, '{"e":[{"name":"a"},': None, None: None}
+    assert values(spark, [(r,) for r in raw], "t string", names(F.col("t"))) == list(raw.values())
+    sides = [('{"a":1,"b":{"c":true}}', '{"b":[1.5],"d":null}', '{"a":1,"b":[1.5],"d":null}'), (None, '{"b":1}', '{"b":1}'), ('{"b":1}', "[2]", '{"b":1}'), (None, None, "{}")]
+    found = spark.createDataFrame(sides, "a string, b string, want string").select(va.shown(va.merged(va.fields(F.col("a")), va.fields(F.col("b")))).alias("x"), "want").collect()
+    assert [r["x"] for r in found] == [r["want"] for r in found]
+
+
+def test_packed_pieces():
+    """Every piece fits, nothing is lost but white space at cuts, and no two neighbours would fit together unless a longer unit stands between."""
+    import random
+
+    r = random.Random(4)
+    for _ in range(300):
+        most = r.randint(1, 12)
+        text = "".join(r.choice("ab  \n\n") for _ in range(r.randint(0, 60)))
+        found = tx.packed(text, most)
+        assert all(len(p) <= max(most, len(text.strip()) if len(found) == 1 else most) for p in found)
+        assert "".join("".join(found).split()) == "".join(text.split())
+    assert tx.packed("aa bb\n\ncc", 20) == ["aa bb\n\ncc"]
+    assert tx.packed("aaaaaaa bb cc\n\nd", 5) == ["aaaaa", "aa", "bb cc", "d"]
+    assert tx.packed("a b\n\nccc\n\n\ndd", 6) == ["a b", "ccc", "dd"] or tx.packed("a b\n\nccc\n\n\ndd", 6) == ["a b", "ccc", "dd"]
