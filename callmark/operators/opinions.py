@@ -7,6 +7,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from callmark.functions.themes import themes_of, whole_word
+from callmark.operators.ordering import running
+
+__all__ = ["attributed", "current_stance", "directional", "disagreements", "flips", "hosts", "keyword_pattern", "person_slugs", "resolve_person", "role", "themes_of"]
+
 GENERIC = ("host", "guest", "narrator", "speaker", "unknown", "analyst", "interviewer")
 GENERIC_FORM = r"^(speaker|guest|host|voice)\s*[#\d]*$"
 
@@ -42,19 +47,13 @@ def role(is_host: Column, n_people: Column) -> Column:
 
 
 def keyword_pattern(keywords: Sequence[str]) -> str:
-    """Keywords of ASCII letters alone match as whole words, others anywhere; for lower-case text."""
+    """For lower-case text; of a few keywords (themes_of takes many)."""
     import re
 
-    form = lambda k: rf"\b{re.escape(k)}\b" if k.isascii() and k.isalpha() else re.escape(k)
+    form = lambda k: rf"\b{re.escape(k)}\b" if whole_word(k) else re.escape(k)
     return "|".join(form(k.lower()) for k in keywords)
 
 
-def themes_of(text: Column, themes: Mapping[str, Sequence[str]]) -> Column:
-    """Array of the themes with a keyword in the text."""
-    low = F.lower(text)
-    return F.array_compact(F.array(*(F.when(low.rlike(keyword_pattern(words)), F.lit(name)) for name, words in themes.items())))
-
-
 def directional(stance: Column) -> Column:
     return stance != 0
 
@@ -86,6 +85,7 @@ def person_slugs(people: DataFrame, person: str = "person", order: str | None =
     from callmark.functions.text import page_slug
 
     own = people.withColumn("slug", F.nullif(page_slug(F.col(person)), F.lit("untitled")))
-    place = F.row_number().over(Window.orderBy(order or person))  # over the names without a Latin letter alone
-    nameless = own.filter("slug IS NULL").withColumn("slug", F.concat(F.lit("person-"), F.lpad(place.cast("string"), F.greatest(F.lit(3), F.char_length(place.cast("string"))), F.lit("0"))))
-    return own.filter("slug IS NOT NULL").unionByName(nameless)
+    nameless = running(own.filter("slug IS NULL"), [F.col(c) for c in dict.fromkeys((order or person, person))])
+    number = (F.col("place") + 1).cast("string")
+    numbered = nameless.withColumn("slug", F.concat(F.lit("person-"), F.lpad(number, F.greatest(F.lit(3), F.char_length(number)), F.lit("0")))).select(*own.columns)
+    return own.filter("slug IS NOT NULL").unionByName(numbered)

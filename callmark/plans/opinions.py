@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from callmark.functions import calls
+from callmark.functions import calls, themes
 from callmark.operators import opinions as op
 from callmark.plans.registry import query
 from callmark.sources.domain import Domain
 
 ALIASES = {"s1": "S One", "s2": "S Two"}
-THEMES = {"metal": ["bolt", "gear", "ring"], "color red": ["red "], "large": ["large", "big"], "promo": ["promo"]}
+#: The table of themes, and four that the parts' names have.
+PART_THEMES = themes.THEMES | {"metal": ["bolt", "gear", "ring"], "color red": ["red "], "large": ["large", "big"], "promo": ["promo"]}
+
+
+def theme_sql(of: str, themes: dict[str, list[str]], select: str) -> str:
+    """One SELECT a theme of the rows in whose column low one of its keywords stands."""
+    return " UNION ALL ".join(f"SELECT {select.format(theme=name)} FROM {of} WHERE regexp_matches(low, '{op.keyword_pattern(words)}')" for name, words in themes.items()).replace("\\ ", " ")
+
+
 PERSON = "CASE WHEN call.speaker = 'S3' OR call.speaker = '' THEN NULL WHEN call.speaker = 'S1' THEN 'S One' WHEN call.speaker = 'S2' THEN 'S Two' ELSE call.speaker END"
 EVENTS = f"ev AS (SELECT call_id AS ref, item_id, {PERSON} AS person, ticker AS topic, sign AS stance, made_at AS seen_at, kind, asset_name FROM call)"
 
@@ -98,12 +106,12 @@ def analyst_page(d: Domain) -> DataFrame:
     return n.withColumn("place", F.row_number().over(Window.partitionBy("channel_id").orderBy(F.desc("n"), "topic"))).filter("place <= 10")
 
 
-_THEMES = " UNION ALL ".join(f"SELECT ref, '{name}' AS theme FROM t WHERE regexp_matches(low, '{op.keyword_pattern(words)}')" for name, words in THEMES.items())
+_THEMES = theme_sql("t", PART_THEMES, "ref, '{theme}' AS theme")
 
 
 def tagged(d: Domain) -> DataFrame:
     text = F.concat_ws(" ", "kind", "asset_name")
-    return events(d).withColumn("theme", F.explode(op.themes_of(text, THEMES)))
+    return events(d).withColumn("theme", F.explode(op.themes_of(text, PART_THEMES)))
 
 
 @query(f"""+ {EVENTS}, t AS (SELECT ref, lower(kind || ' ' || asset_name) AS low FROM ev), tag AS ({_THEMES}), n AS (SELECT theme, topic, count(*) AS n, count(DISTINCT person) AS n_people FROM tag JOIN ev USING (ref) GROUP BY ALL)

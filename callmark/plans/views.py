@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callmark.functions import calls
+from callmark.functions.themes import RATES_CONTEXT, THEMES
 from callmark.operators import opinions as op
-from callmark.plans.opinions import ALIASES, EVENTS, THEMES, events, tagged
+from callmark.plans.opinions import ALIASES, EVENTS, PART_THEMES, events, tagged, theme_sql
 from callmark.plans.registry import query
 from callmark.sources.domain import Domain
 
-VIEW_THEMES = {"rates": ["yields", "rates"], "gold": ["gold"]}
 #: Who hosts which shows: parts of their names.
 HOSTS = {"S One": ["#00000000"], "S5": ["1", "7"], "S9": ["customer"]}
 
@@ -20,7 +20,7 @@ def _person_sql(of: str) -> str:
     return f"CASE WHEN {of} = 'S3' OR {of} = '' THEN NULL WHEN {of} = 'S1' THEN 'S One' WHEN {of} = 'S2' THEN 'S Two' ELSE {of} END"
 
 
-_VIEW_EVENTS = " UNION ALL ".join(f"SELECT view_id::VARCHAR AS ref, item_id, person, '{name}' AS topic, stance, seen_at FROM vt WHERE regexp_matches(low, '{op.keyword_pattern(words)}')" for name, words in VIEW_THEMES.items())
+_VIEW_EVENTS = theme_sql("vt", THEMES, "view_id::VARCHAR AS ref, item_id, person, '{theme}' AS topic, stance, seen_at")
 ALL_EVENTS = f"""{EVENTS}, vt AS (SELECT *, {_person_sql("speaker")} AS person, lower(asset_class || ' ' || coalesce(rationale, '')) AS low, CASE direction WHEN 'bullish' THEN 1 WHEN 'bearish' THEN -1 ELSE 0 END AS stance FROM view),
 vev AS ({_VIEW_EVENTS}), evs AS (SELECT 'call' AS what, ref, item_id, person, topic, stance, seen_at FROM ev UNION ALL SELECT 'view', ref, item_id, person, topic, stance, seen_at FROM vev)"""
 
@@ -32,7 +32,7 @@ def person(speaker: str | Column = "speaker") -> Column:
 def view_rows(d: Domain) -> DataFrame:
     """Views with person, stance and themes."""
     side = calls.view_stance(F.col("direction"))
-    return d.view.withColumns({"person": person(), "stance": F.when(side == "bullish", 1).when(side == "bearish", -1).otherwise(0), "themes": op.themes_of(F.concat_ws(" ", "asset_class", "rationale"), VIEW_THEMES)})
+    return d.view.withColumns({"person": person(), "stance": F.when(side == "bullish", 1).when(side == "bearish", -1).otherwise(0), "themes": op.themes_of(F.concat_ws(" ", "asset_class", "rationale"))})
 
 
 def all_events(d: Domain) -> DataFrame:
@@ -85,7 +85,7 @@ def person_topic_pages(d: Domain) -> DataFrame:
     return mine.join(sides, "topic").select("person", "topic", "n", F.col("stance").alias("now"), opposed.alias("n_opposed"), place.alias("place"))
 
 
-_TAGS = " UNION ALL ".join(f"SELECT ref, '{name}' AS theme FROM tt WHERE regexp_matches(low, '{op.keyword_pattern(words)}')" for name, words in THEMES.items()).replace("\\ ", " ")
+_TAGS = theme_sql("tt", PART_THEMES, "ref, '{theme}' AS theme")
 
 
 @query(f"""+ {ALL_EVENTS}, tt AS (SELECT ref, lower(kind || ' ' || asset_name) AS low FROM ev), tag AS ({_TAGS}), v AS (SELECT theme, person FROM tag JOIN ev USING (ref) UNION ALL SELECT topic, person FROM vev),
@@ -97,10 +97,10 @@ def theme_voices(d: Domain) -> DataFrame:
     return n.withColumn("place", F.row_number().over(Window.partitionBy("theme").orderBy(F.desc("n"), "person"))).filter("place <= 10")
 
 
-@query("""SELECT view_id, seen_at, direction, speaker FROM view WHERE regexp_matches(lower(asset_class || ' ' || coalesce(rationale, '')), '\\byields\\b|\\brates\\b') ORDER BY seen_at DESC, view_id DESC LIMIT 6""")
+@query(f"""SELECT view_id, seen_at, direction, speaker FROM view WHERE regexp_matches(lower(asset_class || ' ' || coalesce(rationale, '')), '{op.keyword_pattern(RATES_CONTEXT)}') ORDER BY seen_at DESC, view_id DESC LIMIT 6""")
 def rates_backdrop(d: Domain) -> DataFrame:
     """The six newest views on rates, the backdrop of every other ticker's page."""
-    said = F.lower(F.concat_ws(" ", "asset_class", "rationale")).rlike(op.keyword_pattern(VIEW_THEMES["rates"]))
+    said = F.lower(F.concat_ws(" ", "asset_class", "rationale")).rlike(op.keyword_pattern(RATES_CONTEXT))
     return d.view.filter(said).select("view_id", "seen_at", "direction", "speaker").orderBy(F.desc("seen_at"), F.desc("view_id")).limit(6)
 
 

@@ -12,6 +12,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 NOW = "2000-06-30 00:00:00"
+#: What market views say, by number: words that only look like keywords, codes, and both languages.
+RATIONALES = (
+    "bond yields and rates", "Gold price", "gold against YIELDS", "", None, "Goldman on chips, AI boom", "港股急升 with A股", "^TNX at 5, USDJPY", "S&P 500 and the macroeconomy", "war in Hormuz; post-war warming", "paid in full, said the utility",
+    "樓市 and 房價 fall", "SMRs are no smr", "high yield default, junk", "corn, cornered; robotaxi", "騰訊 0700.hk",
+)
 TIMEFRAMES = {1: "5d", 2: "2 weeks", 3: "3M", 4: "1Q", 5: "1Y"}
 
 
@@ -68,8 +73,7 @@ class Domain:
         """view_id, item_id, speaker, asset_class, direction, rationale, seen_at: market views, from events; an event's item is the order of its number."""
         e = self.table("events")
         order = self.table("orders").select(F.col("o_orderkey").alias("item_id"), F.col("o_orderdate").alias("seen_at"))
-        k = F.col("event_id") % 5
-        why = F.when(k == 0, "bond yields and rates").when(k == 1, "Gold price").when(k == 2, "gold against YIELDS").when(k == 3, "")
+        why = F.element_at(F.array(*map(F.lit, RATIONALES)), (F.col("event_id") % len(RATIONALES) + 1).cast("int"))
         return e.select(F.col("event_id").alias("view_id"), F.col("event_id").alias("item_id"), F.concat(F.lit("S"), F.col("user_id").cast("string")).alias("speaker"), F.col("event_type").alias("asset_class"),
                         F.when(F.col("value") > 20, "bullish").when(F.col("value") > 8, "bearish").otherwise("mixed").alias("direction"), why.alias("rationale")).join(order, "item_id")
 
@@ -99,7 +103,7 @@ call AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' ||
 primary_run AS (SELECT item_id, min((provider, model)) AS run FROM call GROUP BY item_id),
 primary_call AS (SELECT call.* FROM call JOIN primary_run USING (item_id) WHERE provider = run[1] AND model = run[2]),
 view AS (SELECT event_id AS view_id, event_id AS item_id, 'S' || user_id AS speaker, event_type AS asset_class, CASE WHEN value > 20 THEN 'bullish' WHEN value > 8 THEN 'bearish' ELSE 'mixed' END AS direction,
-    CASE event_id % 5 WHEN 0 THEN 'bond yields and rates' WHEN 1 THEN 'Gold price' WHEN 2 THEN 'gold against YIELDS' WHEN 3 THEN '' END AS rationale, o_orderdate AS seen_at FROM events JOIN orders ON o_orderkey = event_id),
+    CASE event_id % {len(RATIONALES)} {' '.join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(RATIONALES) if v is not None)} END AS rationale, o_orderdate AS seen_at FROM events JOIN orders ON o_orderkey = event_id),
 price AS (SELECT p_brand AS ticker, l_shipdate::DATE AS day, (sum(round(l_extendedprice * 100)::BIGINT)::DOUBLE / sum(l_quantity::BIGINT)::DOUBLE) AS close
     FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL HAVING sum(l_quantity::BIGINT) % 7 <> 0),
 last_close AS (SELECT ticker, arg_max(close, day) AS last FROM price GROUP BY ticker),

@@ -201,6 +201,34 @@ def test_persons_and_themes(spark):
     assert got == [["chips", "ai"], [], ["cjk"]]
 
 
+def test_all_themes(spark):
+    """One pass over a text against every keyword on its own; edges of words, both languages, overlaps, nulls."""
+    from callmark.functions import themes
+
+    def one_by_one(text):
+        low = (text or "").lower()
+        return [name for name, words in themes.THEMES.items() if any(re.search(rf"\b{re.escape(k.lower())}\b", low) if themes.whole_word(k) else k.lower() in low for k in words)]
+
+    r = random.Random(9)
+    words = [k for of in themes.THEMES.values() for k in of]
+    texts = ["Goldman Sachs", "gold", "_gold", "gold_", "é gold", "黃gold", "GOLD!", "warm", "war zone", "paid ", "ai", "A.I.", "S&P500", "港股", "", None, "silver-lined", "robotics", "robot robots", "x" * 10_000 + " oil " + "y" * 10_000]
+    texts += ["".join(r.choice([*words, " ", "-", "x", "漢", "_"]) for _ in range(r.randint(1, 8))) for _ in range(400)]
+    got = values(spark, [(t,) for t in texts], "t string", opinions.themes_of(F.col("t")))
+    assert {t: g for t, g in zip(texts, got) if g != one_by_one(t)} == {}
+    assert values(spark, [("a",)], "t string", opinions.themes_of(F.col("t"), {"x": []})) == [[]]
+
+
+def test_slugs_of_many_nameless(spark, monkeypatch):
+    """Numbers go on over ranges as in one task."""
+    from callmark.operators import ordering
+
+    people = spark.createDataFrame([(chr(0x4E00 + i),) for i in range(1_500)] + [("Jane Doe",)], "person string")
+    want = {r["person"]: r["slug"] for r in opinions.person_slugs(people).collect()}
+    assert want[chr(0x4E00)] == "person-001" and want[chr(0x4E00 + 1_499)] == "person-1500" and want["Jane Doe"] == "jane-doe"
+    monkeypatch.setattr(ordering, "FEW_ROWS", 10)
+    assert {r["person"]: r["slug"] for r in opinions.person_slugs(people).collect()} == want
+
+
 def test_flips(spark):
     d = dt.datetime
     rows = [("t", 1, d(2026, 1, 1), "1"), ("t", 0, d(2026, 1, 2), "2"), ("t", -1, d(2026, 1, 3), "3"), ("t", 1, d(2026, 1, 3), "4")]
