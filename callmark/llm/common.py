@@ -5,16 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from callmark.operators.ordering import few, running
 from callmark.session import kept, materialise, remove, scratch, ship, work_dir
 
 __all__ = ["SLICE_ROWS", "few", "kept", "materialise", "name", "record", "remove", "running", "scratch", "slices", "spread_join", "table", "whole", "work_dir"]
 #: Rows that a Python task turns into Python objects at one time.
 SLICE_ROWS = 128
-#: Rows of narrow tables (sources, say) that one task orders.
-FEW_ROWS = 100_000
 #: A key of more rows than this meets its one row of the other side by broadcast, if there are at most so many such keys.
 HOT_ROWS, MOST_HOT = 1_000, 1_000_000
 
@@ -38,11 +37,6 @@ def record(df: DataFrame, **more: Column) -> DataFrame:
     return df.select(F.struct(*(F.col(name(c)) for c in df.columns)).alias("record"), *(c.alias(n) for n, c in more.items()))
 
 
-def few(df: DataFrame, most: int) -> bool:
-    """Has df at most so many rows? Reads no more of it than that."""
-    return df.limit(most + 1).count() <= most
-
-
 def spread_join(big: DataFrame, small: DataFrame, key: str, size: str) -> DataFrame:
     """big joined with small, which has a row for each key and says in column size how many rows of big have it.
 
@@ -56,29 +50,6 @@ def spread_join(big: DataFrame, small: DataFrame, key: str, size: str) -> DataFr
     return big.join(hot, key).unionByName(big.join(hot.select(key), key, "left_anti").join(small.filter(F.col(size) <= HOT_ROWS), key))
 
 
-def running(df: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
-    """df with its rows' places in that order, from 0, as ``place``, and for each of sums its total over the rows before, by name.
-
-    Up to FEW_ROWS rows are one window. More are dealt by ranges of the order into a working table that remembers its ranges; their
-    sums, a row for each, are added up on the driver, and what is left is a window within each range. Order must tell all rows apart.
-    """
-    above = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    if few(df, FEW_ROWS):
-        return df.withColumns({"place": F.count(F.lit(1)).over(above), **{n: F.coalesce(F.sum(c).over(above), F.lit(0)) for n, c in sums.items()}})
-    dealt = materialise(df.repartitionByRange(*order).withColumn("part_", F.spark_partition_id()))
-    totals = dealt.groupBy("part_").agg(F.count(F.lit(1)).alias("place"), *(F.sum(c).alias(n) for n, c in sums.items())).orderBy("part_").collect()
-    ahead, rows = dict.fromkeys(("place", *sums), 0), []
-    for r in totals:  # as many as shuffle partitions
-        rows.append((r["part_"], *ahead.values()))
-        ahead = {n: a + (r[n] or 0) for n, a in ahead.items()}
-    names = [f"{n}_" for n in ahead]
-    types = ["long", *(dealt.select(c.alias("x")).agg(F.sum("x")).schema[0].dataType.simpleString() for c in sums.values())]
-    before = df.sparkSession.createDataFrame(rows, "part_ int, " + ", ".join(f"{n} {t}" for n, t in zip(names, types, strict=True)))
-    within = Window.partitionBy("part_").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    own = dealt.withColumns({"place": F.count(F.lit(1)).over(within), **{n: F.coalesce(F.sum(c).over(within), F.lit(0)) for n, c in sums.items()}})
-    return own.join(F.broadcast(before), "part_").withColumns({n: F.col(n) + F.col(f"{n}_") for n in ahead}).drop("part_", *names)
-
-
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that few rows are Python objects at a time."""
     for batch in batches:

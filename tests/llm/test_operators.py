@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from callmark.llm import bpe, common, licenses, merkle, mixing, neardup, quality, registry, secrets, sharding, topk, warc
 from callmark.llm.common import work_dir
+from callmark.operators import ordering
 from callmark.operators.shards import deal
 from tests.oracle import differences
 
@@ -334,7 +335,7 @@ def test_mix(spark, odd):
 def test_mix_by_hand(spark, monkeypatch):
     """Targets by repeated sharing, and every source's words, over few and many sources, with ids that repeat."""
     monkeypatch.setattr(mixing, "ROWS_PER_BLOCK", 3)
-    monkeypatch.setattr(common, "FEW_ROWS", 30)
+    monkeypatch.setattr(ordering, "FEW_ROWS", 30)
     rng = random.Random(66)
     for n_sources in (1, 2, 3, 40):
         rows = [(rng.choice([None, 5, i]), "w " * rng.randrange(0, 30), rng.choice([None, *(f"s{k:02}" for k in range(n_sources))])) for i in range(300)] + [(7, "a b c", "s00")] * 20
@@ -365,7 +366,7 @@ def test_mix_by_hand(spark, monkeypatch):
 
 
 def test_running(spark, monkeypatch):
-    monkeypatch.setattr(common, "FEW_ROWS", 100)
+    monkeypatch.setattr(ordering, "FEW_ROWS", 100)
     df = spark.range(500).select((F.col("id") * 7919 % 500).alias("v"))
     found = common.running(df.repartition(5), [F.col("v")], total=F.col("v")).collect()
     assert sorted((r["place"], r["v"], r["total"]) for r in found) == [(v, v, v * (v - 1) // 2) for v in range(500)]
