@@ -7,7 +7,7 @@ is the distance of its farthest member from the pivot p.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -60,8 +60,8 @@ class Shards:
         return row[other], shard[other]
 
 
-def deal(rows: DataFrame, shard_rows: int, most_pivots: int = MOST_PIVOTS) -> tuple[DataFrame, Shards]:
-    """(id, v, shard) and the shards. rows: id (long), v (array<double>), none of them null; read four times, so it should be a table."""
+def deal(rows: DataFrame, shard_rows: int, most_pivots: int = MOST_PIVOTS, carry: Sequence[str] = ()) -> tuple[DataFrame, Shards]:
+    """(id, columns to carry, v, shard) and the shards. rows: id (long), v (array<double>), none of them null; read four times, so it should be a table."""
     size, width = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     wanted = max(1, min(most_pivots, -(-size // shard_rows)))
     sample = rows.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(wanted).collect()
@@ -78,9 +78,10 @@ def deal(rows: DataFrame, shard_rows: int, most_pivots: int = MOST_PIVOTS) -> tu
                 own = matrix(part.column("v"), width)
                 pivot = (lengths - 2 * (own @ pivots.T)).argmin(1)
                 away = np.sqrt(((own - pivots[pivot]) ** 2).sum(1))
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("v"), pa.array(pivot.astype(np.int32)), pa.array(away)], ["id", "v", "pivot", "away"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(pivot.astype(np.int32)), pa.array(away)], [*names, "pivot", "away"])
 
-    placed = rows.select("id", "v").mapInArrow(nearest, "id long, v array<double>, pivot int, away double")
+    names = ["id", *carry, "v"]
+    placed = rows.select(*names).mapInArrow(nearest, rows.select(*names, F.lit(0).alias("pivot"), F.lit(0.0).alias("away")).schema)
     counts, radii = np.zeros(len(pivots), np.int64), np.zeros(len(pivots))
     for r in placed.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.max("away").alias("r")).collect():  # at most MOST_PIVOTS rows
         counts[r["pivot"]], radii[r["pivot"]] = r["n"], r["r"]
@@ -88,4 +89,4 @@ def deal(rows: DataFrame, shard_rows: int, most_pivots: int = MOST_PIVOTS) -> tu
     first = np.concatenate([[0], np.cumsum(parts)])
     at = lambda numbers: F.element_at(F.lit([int(x) for x in numbers]), F.col("pivot") + 1)
     shard = (at(first[:-1]) + F.pmod(F.xxhash64("id"), at(parts))).cast("int")
-    return placed.select("id", "v", shard.alias("shard")), Shards(pivots, radii, first)
+    return placed.select(*names, shard.alias("shard")), Shards(pivots, radii, first)
