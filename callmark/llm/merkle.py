@@ -1,18 +1,15 @@
 """Merkle-tree fingerprints of documents (operator 3).
 
-A text's tree has four levels: leaves are runs of words inside a paragraph, cut where a sentence ends or, in a paragraph
-without sentences, after a word whose checksum says so (a cut depends on the words beside it, so an edit moves no cut
-elsewhere); paragraphs are lines; sections are runs of lines between blank lines or headings; the root stands for the
-text. A node's hash covers its children's hashes and number, a leaf's covers its characters, so two roots are equal
-exactly if the texts are.
+A text's tree has four levels: leaves are sentences; paragraphs are lines; sections are runs of lines between blank lines or
+headings; the root stands for the text. A node's hash covers its children's hashes and number, a leaf's covers its characters,
+a line's end with the last one of the line, so two roots are equal exactly if the texts are.
 
 Two trees are compared from the root down. The children of a node are aligned with the other's by their hashes, in order;
 aligned ones are equal and not entered, and the children of what stands between them, on both sides, are aligned in turn.
 What is left between aligned paragraphs are the edits: places where paragraphs of one text were changed, left out or put in.
-Likeness is the share of characters in leaves that were aligned, so moved text counts as different where it moved.
-
-A text under SHORT_TEXT characters has leaves of one to three words, so that a small edit leaves leaves alone. Two trees
-are compared at the finer of their cuts: beside a short text a longer one is cut as finely, so that leaves can be shared.
+What is left between aligned leaves is compared by words, each told by itself and the one after it; where words are very long, as in
+scripts without spaces, runs of characters, cut by content, are words. Words are made where texts differ only, by the same rule at all lengths.
+Likeness is the share of characters in leaves and words that were aligned, so moved text counts as different where it moved.
 
 Defined results: a null text counts as the empty text, whose root is that of no section; two empty texts have likeness 1;
 a long text's tree is held by the task that reads it, with its neighbour's; documents follow one another by (doc_id, hash of
@@ -29,8 +26,6 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -40,12 +35,9 @@ from pyspark.sql import functions as F
 
 from callmark.llm.common import name, slices, table, whole
 
-SENTENCE = re.compile(r"[^.!?]*[.!?]+[\s\"')\]]*|[^.!?]+")
-#: A run of more than so many words is cut after words whose checksum is divisible by CUT_EVERY, and after MOST_WORDS.
-LONG_RUN, CUT_EVERY, MOST_WORDS = 24, 8, 16
-#: In texts under so many characters a leaf is about two words, so that a small edit leaves leaves alone.
-SHORT_TEXT = 512
-WORD = re.compile(r"\s*\S+\s*")
+SENTENCE = re.compile(r"[^.!?。！？]*[.!?。！？]+[\s\"')\]」』”]*|[^.!?。！？]+")
+#: A word of more characters is cut where two neighbours say so, one place of CHARS_EVERY.
+LONG_WORD, CHARS_EVERY = 16, 4
 HEADING = re.compile(r"#{1,6} |[=-]{3,}$")
 DIGEST = 16
 #: Documents that one task streams through, about; the number of tasks grows with the table.
@@ -60,64 +52,111 @@ def _hash(data: bytes) -> bytes:
 
 @dataclass
 class Tree:
-    """sections: (hash, paragraphs, characters); paragraphs: (hash, leaves, characters and one for the line's end); leaves: (hash, characters)."""
+    """The text ends with its last line's end. Sections and paragraphs: (hash, first child, end); of leaves their hashes, and where they begin in the text."""
 
     text: str
-    fine: bool
     root: bytes
-    sections: list[tuple[bytes, list[tuple[bytes, list[tuple[bytes, int]], int]], int]]
-    leaves: list[tuple[bytes, int]]
+    sections: list[tuple[bytes, int, int]]
+    paragraphs: list[tuple[bytes, int, int]]
+    leaves: list[bytes]
+    starts: list[int]  # one more entry than leaves
+
+    def __post_init__(self) -> None:
+        self._words: dict[tuple[int, int], tuple[list[int], list[int]]] = {}
 
     @property
     def chars(self) -> int:
-        return sum(s[2] for s in self.sections)
-
-    @cached_property
-    def finely(self) -> Tree:
-        return self if self.fine else build(self.text, True)
-
-
-def cut(paragraph: str, fine: bool = False) -> list[str]:
-    """The paragraph's leaves; joined they are the paragraph."""
-    long_run, every, most = (2, 2, 3) if fine else (LONG_RUN, CUT_EVERY, MOST_WORDS)
-    out = []
-    for run in SENTENCE.findall(paragraph):
-        if run.count(" ") <= long_run:
-            out.append(run)
-            continue
-        done = words = 0
-        for m in WORD.finditer(run):
-            words += 1
-            if words == most or crc32(m[0].strip().encode()) % every == 0:
-                out.append(run[done : m.end()])
-                done, words = m.end(), 0
-        if done < len(run):
-            out.append(run[done:])
-    return out
+        return self.starts[-1]
 
+    def size(self, first: int, end: int) -> int:
+        """Characters in leaves from first to end."""
+        return self.starts[end] - self.starts[first]
 
-def build(text: str, fine: bool | None = None) -> Tree:
-    """The text's tree; its leaves are fine if asked for, by default if the text is short."""
-    fine = len(text) < SHORT_TEXT if fine is None else fine
-    sections: list[list[str]] = [[]]
-    for line in text.split("\n") if text else []:
-        if (not line.strip() or HEADING.match(line)) and sections[-1]:
-            sections.append([])
-        sections[-1].append(line)
-    built, leaves = [], []
-    for lines in filter(None, sections):
-        paragraphs = []
-        for line in lines:
-            own = [(_hash(x.encode()), len(x)) for x in cut(line, fine)]
-            leaves += own
-            paragraphs.append((_hash(b"p" + b"".join(h for h, _ in own)), own, 1 + sum(n for _, n in own)))
-        built.append((_hash(b"s" + b"".join(p[0] for p in paragraphs)), paragraphs, sum(p[2] for p in paragraphs)))
-    return Tree(text, fine, _hash(b"r" + b"".join(s[0] for s in built)), built, leaves)
+    def words(self, first: int, end: int) -> tuple[list[int], list[int]]:
+        """Hashes and characters of the words of leaves from first to end."""
+        key = (self.starts[first], self.starts[end])
+        if key not in self._words:
+            if len(self._words) > 8:
+                self._words.clear()
+            self._words[key] = words(self.text[key[0] : key[1]])
+        return self._words[key]
 
 
-def same_cut(a: Tree, b: Tree) -> tuple[Tree, Tree]:
-    """Both trees at the finer of their cuts."""
-    return (a, b) if a.fine == b.fine else (a.finely, b.finely)
+def cut(paragraph: str) -> list[str]:
+    """The paragraph's leaves; joined they are the paragraph."""
+    return SENTENCE.findall(paragraph)
+
+
+_SPACE = np.zeros(0x3002, bool)
+_SPACE[[*range(33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]] = True
+_BASE, _MIX = 0x9E3779B97F4A7C15, np.uint64(0xFF51AFD7ED558CCD)
+_POWERS = {}
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse, modulo 2^64, at least n of each."""
+    if len(_POWERS.get("up", ())) < n:
+        size = max(4_096, 2 * n)
+        for way, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            _POWERS[way] = np.multiply.accumulate(steps)
+    return _POWERS["up"][:n], _POWERS["down"][:n]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * _MIX
+    return x ^ (x >> np.uint64(29))
+
+
+def words(text: str) -> tuple[list[int], list[int]]:
+    """Hashes (64 bits, of a word and the next) and characters of the text's words with the white space after them; all at once, by prefix sums."""
+    code = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    n = len(code)
+    if not n:
+        return [], []
+    space = _SPACE[np.minimum(code, len(_SPACE) - 1)]
+    code = code.astype(np.uint64)
+    begins = np.empty(n, bool)
+    begins[0] = True
+    np.greater(space[:-1], space[1:], out=begins[1:])
+    starts = np.flatnonzero(begins)
+    sizes = np.diff(starts, append=n)
+    if sizes.max() > LONG_WORD:
+        pair = _mixed(code[:-1] * np.uint64(_BASE) + code[1:])
+        begins[1:] |= np.repeat(sizes > LONG_WORD, sizes)[1:] & (pair % np.uint64(CHARS_EVERY) == 0)
+        starts = np.flatnonzero(begins)
+        sizes = np.diff(starts, append=n)
+    up, down = _powers(n)
+    each = np.add.reduceat((code + np.uint64(1)) * up, starts) * down[starts]
+    return (_mixed(_mixed(each) + np.append(each[1:], np.uint64(0)))).tolist(), sizes.tolist()
+
+
+def build(text: str) -> Tree:
+    lines = text.split("\n") if text else []
+    sections: list[tuple[bytes, int, int]] = []
+    paragraphs: list[tuple[bytes, int, int]] = []
+    leaves: list[bytes] = []
+    starts, at, first = [0], 0, 0
+
+    def close(end: int) -> None:
+        if end > first:
+            sections.append((_hash(b"s" + b"".join(p[0] for p in paragraphs[first:end])), first, end))
+
+    for line in lines:
+        if (not line.strip() or HEADING.match(line)) and len(paragraphs) > first:
+            close(len(paragraphs))
+            first = len(paragraphs)
+        own = cut(line) or [""]
+        own[-1] += "\n"
+        begin = len(leaves)
+        for leaf in own:
+            leaves.append(_hash(leaf.encode()))
+            at += len(leaf)
+            starts.append(at)
+        paragraphs.append((_hash(b"p" + b"".join(leaves[begin:])), begin, len(leaves)))
+    close(len(paragraphs))
+    return Tree(text + "\n" if text else "", _hash(b"r" + b"".join(s[0] for s in sections)), sections, paragraphs, leaves, starts)
 
 
 def aligned(a: list, b: list) -> list[tuple[int, int]]:
@@ -155,7 +194,7 @@ def gaps(pairs: list[tuple[int, int]], n: int, m: int) -> Iterator[tuple[int, in
 
 @dataclass
 class Comparison:
-    shared: int  # characters in aligned leaves
+    shared: int  # characters in aligned leaves and words
     edits: list[tuple[int, int, int, int]]  # paragraphs of a, of b (first and end of each)
 
 
@@ -163,24 +202,41 @@ def compare(a: Tree, b: Tree) -> Comparison:
     """From the root down; nodes that are aligned are not entered."""
     if a.root == b.root:
         return Comparison(a.chars, [])
-    a, b = same_cut(a, b)
     out = Comparison(0, [])
-    sections = aligned([h for h, *_ in a.sections], [h for h, *_ in b.sections])
-    out.shared += sum(a.sections[i][2] for i, _ in sections)
-    of_a, of_b = (np.cumsum([0, *(len(s[1]) for s in t.sections)]) for t in (a, b))  # each section's first paragraph
+    first_of = lambda nodes, i, end: nodes[i][1] if i < len(nodes) else end
+    sections = aligned([x[0] for x in a.sections], [x[0] for x in b.sections])
+    for i, _ in sections:
+        _, first, end = a.sections[i]
+        out.shared += a.size(a.paragraphs[first][1], a.paragraphs[end - 1][2])
     for i, x, j, y in gaps(sections, len(a.sections), len(b.sections)):
-        ours, theirs = ([p for s in t.sections[f:e] for p in s[1]] for t, f, e in ((a, i, x), (b, j, y)))
-        lines = aligned([h for h, *_ in ours], [h for h, *_ in theirs])
-        out.shared += sum(ours[p][2] for p, _ in lines)
-        for p, q, r, s in gaps(lines, len(ours), len(theirs)):
-            out.edits.append((int(of_a[i]) + p, int(of_a[i]) + q, int(of_b[j]) + r, int(of_b[j]) + s))
-            one, two = ([x for par in side for x in par[1]] for side in (ours[p:q], theirs[r:s]))
-            out.shared += sum(one[k][1] for k, _ in aligned(one, two))
+        p0, p1 = (first_of(a.sections, k, len(a.paragraphs)) for k in (i, x))
+        q0, q1 = (first_of(b.sections, k, len(b.paragraphs)) for k in (j, y))
+        lines = aligned([p[0] for p in a.paragraphs[p0:p1]], [p[0] for p in b.paragraphs[q0:q1]])
+        out.shared += sum(a.size(*a.paragraphs[p0 + k][1:]) for k, _ in lines)
+        for p, q, r, s in gaps(lines, p1 - p0, q1 - q0):
+            out.edits.append((p0 + p, p0 + q, q0 + r, q0 + s))
+            l0, l1 = (first_of(a.paragraphs, k, len(a.leaves)) for k in (p0 + p, p0 + q))
+            m0, m1 = (first_of(b.paragraphs, k, len(b.leaves)) for k in (q0 + r, q0 + s))
+            leaves = aligned(a.leaves[l0:l1], b.leaves[m0:m1])
+            out.shared += sum(a.size(l0 + k, l0 + k + 1) for k, _ in leaves)
+            for t, u, v, w in gaps(leaves, l1 - l0, m1 - m0):
+                if t < u and v < w:
+                    out.shared += shared_words(a.words(l0 + t, l0 + u), b.words(m0 + v, m0 + w))
     return out
 
 
+def shared_words(a: tuple[list[int], list[int]], b: tuple[list[int], list[int]]) -> int:
+    """Characters of aligned words; those that the other side lacks are left out first."""
+    both = set(a[0]).intersection(b[0])
+    if not both:
+        return 0
+    ours = [i for i, h in enumerate(a[0]) if h in both]
+    found = aligned([a[0][i] for i in ours], [h for h in b[0] if h in both])
+    return sum(a[1][ours[i]] for i, _ in found)
+
+
 def likeness(a: Tree, b: Tree, shared: int | None = None) -> float:
-    """Characters in aligned leaves over all characters, of both texts; a line's end counts with its line."""
+    """Characters in aligned leaves and words over all characters, of both texts; a line's end counts with its line."""
     if a.root == b.root:
         return 1.0
     return 2 * (compare(a, b).shared if shared is None else shared) / (a.chars + b.chars)
@@ -253,10 +309,9 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         new = edited(text, following)
         new_tree = build(new)
         found = compare(tree, new_tree)
-        one, two = same_cut(tree, new_tree)
         places = ",".join(f"{a}-{b}:{c}-{d}" for a, b, c, d in found.edits)
-        return (doc_id, len(text), hashlib.sha256(new.encode()).hexdigest(), tree.root.hex(), new_tree.root.hex(), likeness(one, two, found.shared), likeness(tree, next_tree),
-                len(tree.sections), sum(len(s[1]) for s in tree.sections), len(tree.leaves), len(found.edits), places, new)
+        return (doc_id, len(text), hashlib.sha256(new.encode()).hexdigest(), tree.root.hex(), new_tree.root.hex(), likeness(tree, new_tree, found.shared), likeness(tree, next_tree),
+                len(tree.sections), len(tree.paragraphs), len(tree.leaves), len(found.edits), places, new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = part = None

@@ -31,7 +31,7 @@ from callmark.llm.common import few, materialise, name, record, table, whole, wo
 
 N_SHARDS = 16
 BUCKET_BYTES = 32 << 20
-#: Tasks of the second pass; with more buckets each takes several, one at a time.
+#: Tasks of the second pass; with more buckets each takes several neighbouring ones, one at a time.
 MOST_TASKS = 50_000
 #: Buckets whose sizes are added up together; their sums reach the driver, a row for so many buckets.
 BUCKETS_PER_SUM = 4_096
@@ -77,10 +77,10 @@ def shuffle(df: DataFrame, size: Column, key: list[str] | None = None, n_shards:
     within = F.sum("n").over(Window.partitionBy("sum").orderBy("bucket")) - F.col("n")
     starts = counts.select(F.lit(None).cast(rows.schema["record"].dataType).alias("record"), F.lit(None).cast("long").alias("hash"), "bucket", (before + within).cast("long").alias("start"))
 
-    n_tasks = min(n_buckets, MOST_TASKS)
+    per_task = -(-n_buckets // MOST_TASKS)  # neighbours, so that a task's rows, and its file, follow one another
     both = rows.withColumn("start", F.lit(None).cast("long")).unionByName(starts)
     ordered = ["record"] if key is None else [f"record.{name(c)}" for c in key]
-    dealt = both.repartitionById(n_tasks, F.pmod("bucket", F.lit(n_tasks)).cast("int")).sortWithinPartitions("bucket", F.col("start").asc_nulls_last(), "hash", *ordered)
+    dealt = both.repartitionById(-(-n_buckets // per_task), F.floor(F.col("bucket") / per_task).cast("int")).sortWithinPartitions("bucket", F.col("start").asc_nulls_last(), "hash", *ordered)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []

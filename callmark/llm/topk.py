@@ -10,11 +10,12 @@ visited: pairs of a query and a shard are formed only where the bound allows.
 What this saves depends on the data: of vectors in clusters most shards and nodes are passed over, while random directions
 of one length (as in the synthetic tables) leave every bound over every score, and all is compared.
 
-The query set is stated by the caller; a shard answers with at most k rows for a query.
+The query set is stated by the caller; a shard answers with at most k rows for a query. Queries are dealt into blocks, and a task
+answers one block's at one shard.
 
 Defined results: vectors that are null, or hold null or non-finite components, take no part, nor do rows without an id;
-rows that repeat an id count once, the least vector by array order standing for them; ties go to the smaller id; of
-vectors of different lengths the shorter counts as padded with zeros; scores beyond 64 bits are put at the nearest that fits;
+rows that repeat an id are candidates each for itself, and each a query if the id is one (a row is no candidate of its own, but
+the others of its id are); ties go to the smaller id; of vectors of different lengths the shorter counts as padded with zeros; scores beyond 64 bits are put at the nearest that fits;
 an empty table gives no rows; other columns, whatever their names, are ignored.
 """
 
@@ -33,19 +34,22 @@ from callmark.operators.shards import Shards, deal, matrix
 
 SHARD_ROWS = 8_192
 LEAF = 256
+#: Queries of a block; more than so many ask each shard in several tasks.
+QUERY_BLOCK = 65_536
 #: Pivots whose shards a query visits, by bound, before all others.
 SECOND_WAVE = 4
 EXACT = 2.0**53
 
 
 class BallTree:
-    """nodes: (centre, radius, first, last, left, right); left < 0 marks a leaf. Rows are kept in leaf order."""
+    """nodes: (centre, radius, first, last, left, right); left < 0 marks a leaf. Rows are kept in leaf order; they are told apart by
+    number and ordered by id."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
+    def __init__(self, numbers: np.ndarray, ids: np.ndarray, vectors: np.ndarray):
         order = np.arange(len(ids))
         self.nodes: list[tuple[np.ndarray, float, int, int, int, int]] = []
         self._split(vectors, order, 0, len(order))
-        self.ids, self.vectors = ids[order], vectors[order]
+        self.numbers, self.ids, self.vectors = numbers[order], ids[order], vectors[order]
         self.centres = np.stack([n[0] for n in self.nodes])
         self.radii = np.array([n[1] for n in self.nodes])
         self.largest = float(np.abs(vectors).max(initial=0))
@@ -73,8 +77,8 @@ class BallTree:
         top = queries @ self.centres.T + lengths[:, None] * self.radii
         return top + 1e-9 * (np.abs(top) + lengths[:, None] * (np.sqrt((self.centres**2).sum(1)) + self.radii)) + 1e-6
 
-    def search(self, query_id: int, query: np.ndarray, bounds: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """ids and scores of the k best members at or over least, but for the query's own id."""
+    def search(self, number: int, query: np.ndarray, bounds: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """ids and scores of the k best members at or over least, but for the query's own row."""
         ids, scores = np.empty(0, np.int64), np.empty(0)
         exact = self.largest * float(np.abs(query).max(initial=0)) * max(1, len(query)) < EXACT
         open_ = [(-bounds[0], 0)]
@@ -88,7 +92,7 @@ class BallTree:
                 continue
             self.compared += last - first
             own = self.vectors[first:last] @ query if exact else _big(self.vectors[first:last], query)
-            good = (own >= least) & (self.ids[first:last] != query_id)
+            good = (own >= least) & (self.numbers[first:last] != number)
             if good.any():
                 ids, scores = np.concatenate([ids, self.ids[first:last][good]]), np.concatenate([scores.astype(own.dtype), own[good]])
                 best = np.lexsort((ids, -scores))[:k]
@@ -105,11 +109,10 @@ def _big(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
 
 
 def quantised(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """id, v (array of whole doubles): a row for each id with a sound vector."""
+    """id (a number for each row), name (its vec_id), v (array of whole doubles) of the rows with a sound vector."""
     sound = F.col("vector").isNotNull() & F.forall("vector", lambda x: F.coalesce((x == x) & (F.abs(x) < float("inf")) & ~F.isnan(x), F.lit(False)))
-    rows = df.select(F.col(name(id_col)).cast("long").alias("id"), F.col(name(vector_col)).cast("array<double>").alias("vector")).filter(F.col("id").isNotNull() & sound)
-    floor = F.transform("vector", lambda x: _floor(x * F.lit(float(scale))))
-    return rows.groupBy("id").agg(F.min("vector").alias("vector")).select("id", floor.alias("v"))
+    rows = df.select(F.col(name(id_col)).cast("long").alias("name"), F.col(name(vector_col)).cast("array<double>").alias("vector")).filter(F.col("name").isNotNull() & sound)
+    return rows.select(F.monotonically_increasing_id().alias("id"), "name", F.transform("vector", lambda x: _floor(x * F.lit(float(scale)))).alias("v"))
 
 
 def _floor(x: Column) -> Column:
@@ -117,87 +120,90 @@ def _floor(x: Column) -> Column:
     return F.when(F.abs(x) < 2.0**52, F.floor(x).cast("double")).otherwise(x)
 
 
-def _search(candidates: DataFrame, queries: DataFrame, k: int, width: int) -> DataFrame:
-    """candidates: shard, id, v; queries: shard, id, v, least. query_id, vec_id, score."""
+def _search(candidates: DataFrame, queries: DataFrame, k: int, width: int, blocks: int) -> DataFrame:
+    """candidates: shard, id, name, v; queries: shard, id, name, v, least. query, query_id, vec_id, score (query: the query's row)."""
     none = F.lit(None).cast("double")
-    rows = candidates.select("shard", F.lit(False).alias("asks"), "id", "v", none.alias("least")).unionByName(queries.select("shard", F.lit(True).alias("asks"), "id", "v", "least"))
-    dealt = rows.repartition("shard").sortWithinPartitions("shard", "asks")
+    own = candidates.select("shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(False).alias("asks"), "id", "name", "v", none.alias("least"))
+    rows = own.unionByName(queries.select("shard", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), F.lit(True).alias("asks"), "id", "name", "v", "least"))
+    dealt = rows.repartition("shard", "block").sortWithinPartitions("shard", "block", "asks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, tree, ids, parts = None, None, [], []
+        at, tree, held = None, None, []
         for batch in slices(batches, 512):
-            numbers, asks = batch.column("shard").to_numpy(), batch.column("asks").to_numpy(zero_copy_only=False)
-            own, vectors = batch.column("id").to_numpy(), matrix(batch.column("v"), width)
+            place, asks = (batch.column("shard").to_numpy().astype(np.int64) << 32) + batch.column("block").to_numpy(), batch.column("asks").to_numpy(zero_copy_only=False)
+            numbers, names, vectors = batch.column("id").to_numpy(), batch.column("name").to_numpy(), matrix(batch.column("v"), width)
             least = np.nan_to_num(batch.column("least").to_numpy(zero_copy_only=False), nan=-np.inf)
-            turns = np.flatnonzero((np.diff(numbers) != 0) | (np.diff(asks.astype(np.int8)) != 0)) + 1
-            for first, last in zip([0, *turns], [*turns, len(numbers)], strict=True):
-                if numbers[first] != shard:
-                    shard, tree, ids, parts = numbers[first], None, [], []
+            turns = np.flatnonzero((np.diff(place) != 0) | (np.diff(asks.astype(np.int8)) != 0)) + 1
+            for first, last in zip([0, *turns], [*turns, len(place)], strict=True):
+                part = slice(first, last)
+                if place[first] != at:
+                    at, tree, held = place[first], None, []
                 if not asks[first]:
-                    ids.append(own[first:last])
-                    parts.append(vectors[first:last])
+                    held.append((numbers[part], names[part], vectors[part]))
                     continue
-                if tree is None and ids:
-                    tree = BallTree(np.concatenate(ids), np.concatenate(parts))
-                    ids, parts = [], []
+                if tree is None and held:
+                    tree = BallTree(*map(np.concatenate, zip(*held, strict=True)))
+                    held = []
                 if tree is not None:
-                    yield _answers(tree, own[first:last], vectors[first:last], least[first:last], k)
+                    yield _answers(tree, numbers[part], names[part], vectors[part], least[part], k)
 
-    return dealt.mapInArrow(run, "query_id long, vec_id long, score long")
+    return dealt.mapInArrow(run, "query long, query_id long, vec_id long, score long")
 
 
-def _answers(tree: BallTree, ids: np.ndarray, queries: np.ndarray, least: np.ndarray, k: int) -> pa.RecordBatch:
+def _answers(tree: BallTree, numbers: np.ndarray, names: np.ndarray, queries: np.ndarray, least: np.ndarray, k: int) -> pa.RecordBatch:
     bounds = tree.bounds(queries)
-    found = [tree.search(i, q, b, k, m) for i, q, b, m in zip(ids, queries, bounds, least, strict=True)]
+    found = [tree.search(i, q, b, k, m) for i, q, b, m in zip(numbers, queries, bounds, least, strict=True)]
+    many = [len(f[0]) for f in found]
     return pa.RecordBatch.from_arrays([
-        pa.array(np.repeat(ids, [len(f[0]) for f in found])),
+        pa.array(np.repeat(numbers, many)), pa.array(np.repeat(names, many)),
         pa.array(np.concatenate([f[0] for f in found])),
         pa.array([int(x) for f in found for x in f[1]], pa.int64()),
-    ], ["query_id", "vec_id", "score"])
+    ], ["query", "query_id", "vec_id", "score"])
 
 
 def _visits(queries: DataFrame, shards: Shards, first: int, last: int | None) -> DataFrame:
-    """shard, id, v, least: queries (home, id, v, least) at the shards of the pivots from first to last in order of their bounds, where these reach least."""
+    """shard, id, name, v, least: queries (home, id, name, v, least) at the shards of the pivots from first to last in order of their bounds, where these reach least."""
     width = shards.pivots.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, 512):
             least = part.column("least")
             row, shard = shards.away(matrix(part.column("v"), width), np.nan_to_num(least.to_numpy(zero_copy_only=False), nan=-np.inf), part.column("home").to_numpy(), first, last)
-            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), *(part.column(c).take(pa.array(row)) for c in ("id", "v", "least"))], ["shard", "id", "v", "least"])
+            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), *(part.column(c).take(pa.array(row)) for c in ("id", "name", "v", "least"))], ["shard", "id", "name", "v", "least"])
 
-    return queries.mapInArrow(run, "shard int, id long, v array<double>, least double")
+    return queries.mapInArrow(run, "shard int, id long, name long, v array<double>, least double")
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: each query's k largest inner products with the other rows. is_query sees id and v (quantised)."""
-    dealt, shards = deal(materialise(quantised(vectors, id_col, vector_col, scale)), shard_rows)
+def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, query_block: int = QUERY_BLOCK) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: each query's k largest inner products with the other rows. is_query sees name (the vec_id) and v (quantised)."""
+    dealt, shards = deal(materialise(quantised(vectors, id_col, vector_col, scale)), shard_rows, carry=("name",))
     dealt = materialise(dealt)
     width = shards.pivots.shape[1]
     queries = dealt.filter(is_query).withColumn("least", F.lit(None).cast("double"))
-    found = _search(dealt, queries, k, width)
+    blocks = max(1, -(-queries.count() // query_block))
+    found = _search(dealt, queries, k, width, blocks)
     waves = [(0, SECOND_WAVE), (SECOND_WAVE, None)] if len(shards.pivots) > 2 * SECOND_WAVE else [(0, None)]
     for first, last in waves if shards.number > 1 else []:
         found = materialise(found)
-        kth = found.groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).select("query_id", F.get("s", F.lit(k - 1)).cast("double").alias("kth"))  # at most k rows a wave and shard
-        asking = queries.withColumnRenamed("shard", "home").join(kth, F.col("id") == F.col("query_id"), "left").select("home", "id", "v", F.col("kth").alias("least"))
-        found = found.unionByName(_search(dealt, _visits(asking, shards, first, last), k, width))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        kth = found.groupBy("query").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).select("query", F.get("s", F.lit(k - 1)).cast("double").alias("kth"))  # at most k rows a wave and shard
+        asking = queries.withColumnRenamed("shard", "home").join(kth, F.col("id") == F.col("query"), "left").select("home", "id", "name", "v", F.col("kth").alias("least"))
+        found = found.unionByName(_search(dealt, _visits(asking, shards, first, last), k, width, blocks))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op2_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("name") % 20 == 0)
 
 
 ORACLE = """
 WITH v AS (
-    SELECT vec_id, list_transform(min(embedding), lambda x: floor(64 * x::DOUBLE)) AS q FROM embeddings
-    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND vec_id IS NOT NULL GROUP BY vec_id
+    SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS q FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND vec_id IS NOT NULL
 ), scored AS (
-    SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score FROM v a, v b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id
+    SELECT a.r, a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score FROM v a, v b WHERE a.vec_id % 20 = 0 AND a.r <> b.r
 ), ranked AS (
-    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored
+    SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """

@@ -66,16 +66,22 @@ def test_secret_ownership(spark, odd):
 
 # 2
 def test_top_k(spark):
+    """Against brute force over rows, among them repeated ids, with the same vector and with others."""
     rng = np.random.default_rng(2)
-    rows = [(i, rng.normal(size=5).tolist() if i % 3 else [0.5] * 5) for i in range(200)] + [(200, None), (201, [float("nan")] * 5), (None, [1.0]), (202, []), (203, [1e30, 1.0, 0.0, 0.0, 0.0]), (7, [9.0] * 5)]
+    rows = [(i, rng.normal(size=5).tolist() if i % 3 else [0.5] * 5) for i in range(200)] + [(200, None), (201, [float("nan")] * 5), (None, [1.0]), (202, []), (203, [1e30, 1.0, 0.0, 0.0, 0.0]), (7, [9.0] * 5), (20, [0.25] * 5), (20, [0.25] * 5), (40, [3.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("clash"))
-    own = {i: [int(np.floor(64 * x)) for x in v] for i, v in sorted(rows[:200] + rows[203:205], key=lambda x: x[0] is None)[:202] if i is not None and v is not None}
-    own[7] = min(own[7], [576] * 5)
+    own = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in rows if i is not None and v is not None and i != 201]
     clamp = lambda x: max(-(2**63), min(2**63 - 1, x))
-    want = {(q, r + 1, v, -s) for q in own if q % 20 == 0 for r, (s, v) in enumerate(sorted((-clamp(sum(a * b for a, b in zip(own[q], own[i]))), i) for i in own if i != q)[:20])}
-    for shard_rows in (10, 50, 1_000):
-        assert {tuple(r) for r in topk.top_k(df, F.col("id") % 20 == 0, shard_rows=shard_rows).collect()} == want
-    assert topk.top_k(df.limit(0), F.col("id") % 20 == 0).count() == 0
+    want = Counter()
+    for n, (q, v) in enumerate(own):
+        if q % 20 == 0:
+            scores = sorted((-clamp(sum(a * b for a, b in zip(v, w))), i) for m, (i, w) in enumerate(own) if m != n)[:20]
+            want.update((q, r, i, -s) for r, (s, i) in enumerate(scores, 1))
+    for shard_rows, block in ((10, 65_536), (50, 3), (1_000, 5)):
+        assert Counter(tuple(r) for r in topk.top_k(df, F.col("name") % 20 == 0, shard_rows=shard_rows, query_block=block).collect()) == want
+    assert topk.top_k(df.limit(0), F.col("name") % 20 == 0).count() == 0
+    few = spark.createDataFrame([(20, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.5, 0.0])], "vec_id long, embedding array<double>")
+    assert [(r["vec_id"], r["score"]) for r in topk.top_k(few, F.col("name") == 20).orderBy("rank").collect()] == [(1, 8_192), (1, 4_096), (2, 2_048)]
 
 
 def test_top_k_of_clusters(spark):
@@ -83,7 +89,7 @@ def test_top_k_of_clusters(spark):
     rng = np.random.default_rng(22)
     centres = rng.normal(size=(40, 8)) * 20
     own = np.floor((centres[rng.integers(0, 40, 4_000)] + rng.normal(size=(4_000, 8)) * 0.3) * 64)
-    tree = topk.BallTree(np.arange(4_000), own)
+    tree = topk.BallTree(np.arange(4_000), np.arange(4_000), own)
     for i in range(0, 4_000, 100):
         ids, scores = tree.search(i, own[i], tree.bounds(own[i : i + 1])[0], 20, -np.inf)
         best = sorted((-s, j) for j, s in enumerate(own @ own[i]) if j != i)[:20]
@@ -95,7 +101,7 @@ def test_top_k_of_clusters(spark):
     least = np.array([np.sort(own @ q)[-21] for q in own[:50]])
     row, _ = shards.away(own[:50], least, np.full(50, -1))
     assert len(row) < 0.5 * 50 * shards.number
-    found = {tuple(r) for r in topk.top_k(df, F.col("id") % 400 == 0, id_col="id", vector_col="v", shard_rows=100).collect()}
+    found = {tuple(r) for r in topk.top_k(df, F.col("name") % 400 == 0, id_col="id", vector_col="v", shard_rows=100).collect()}
     want = {(q, n + 1, j, -s) for q in range(0, 4_000, 400) for n, (s, j) in enumerate(sorted((-int(s), j) for j, s in enumerate(own @ own[q]) if j != q)[:20])}
     assert found == want
 
@@ -108,15 +114,27 @@ def in_order(docs):
 
 
 def most_shared(a, b):
-    """Characters of a longest common subsequence of leaves and line ends, by brute force."""
-    x, y = ([leaf for s in t.sections for p in s[1] for leaf in (*p[1], (b"", 1))] for t in (a, b))
+    """Characters of a longest common subsequence of the words of whole texts, by brute force."""
+    (x, n), (y, _) = (t.words(0, len(t.leaves)) for t in (a, b))
     best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i, (h, n) in enumerate(x):
-        for j, (g, _) in enumerate(y):
-            best[i + 1][j + 1] = best[i][j] + n if h == g else max(best[i][j + 1], best[i + 1][j])
+    for i, h in enumerate(x):
+        for j, g in enumerate(y):
+            best[i + 1][j + 1] = max(best[i][j] + n[i] if h == g else 0, best[i][j + 1], best[i + 1][j])
     return best[-1][-1]
 
 
+def common_characters(a, b):
+    """Length of a longest common subsequence of characters, in bits."""
+    masks, every = {}, (1 << len(a)) - 1
+    for i, c in enumerate(a):
+        masks[c] = masks.get(c, 0) | 1 << i
+    v = every
+    for c in b:
+        u = v & masks.get(c, 0)
+        v = ((v + u) | (v - u)) & every
+    return len(a) - v.bit_count()
+
+
 def test_merkle(spark, odd):
     a, b = merkle.build("One two three. Four five six.\nSecond line"), merkle.build("One two three. Four five six.\nChanged line")
     assert a.root != b.root and merkle.differing(a, b) == [(1, 2, 1, 2)] and 0.5 < merkle.likeness(a, b) < 1
@@ -153,7 +171,7 @@ def test_merkle_edits():
 
 
 def test_merkle_likeness():
-    """Against the longest common subsequence of leaves: never over it, and it where edits move nothing."""
+    """Between the longest common subsequences of the whole texts' words, about, and of their characters."""
     rng = random.Random(33)
     for _ in range(60):
         lines = [" ".join(f"w{rng.randrange(60)}" for _ in range(rng.randrange(0, 9))) + rng.choice([".", "", "!"]) for _ in range(rng.randrange(1, 25))]
@@ -161,10 +179,10 @@ def test_merkle_likeness():
         for _ in range(rng.randrange(0, 4)):
             k = rng.randrange(len(other) + 1)
             other[k : k + rng.randrange(0, 3)] = [" ".join(f"v{rng.randrange(10**6)}" for _ in range(4)) for _ in range(rng.randrange(0, 3))]
-        a, b = merkle.same_cut(merkle.build("\n".join(lines)), merkle.build("\n".join(other)))
-        most = 2 * most_shared(a, b) / max(1, a.chars + b.chars) if a.root != b.root else 1.0
-        got = merkle.likeness(a, b)
-        assert got <= most + 1e-9 and got >= 0.85 * most - 1e-9
+        a, b = merkle.build("\n".join(lines)), merkle.build("\n".join(other))
+        least = 2 * most_shared(a, b) / max(1, a.chars + b.chars) if a.root != b.root else 1.0
+        most = 2 * common_characters(a.text, b.text) / max(1, a.chars + b.chars) if a.root != b.root else 1.0
+        assert least - 0.12 <= merkle.likeness(a, b) <= most + 1e-9
     assert merkle.aligned([*"abcabba"], [*"cbabac"]) and len(merkle.aligned([*"abc"], [*"xabcx"])) == 3 and merkle.aligned([], [1]) == []
 
 
@@ -198,24 +216,46 @@ def test_merkle_hot_ids(spark, monkeypatch):
     assert sorted(r["edited_sha256"] for r in merkle.fingerprint(docs).collect()) == want
 
 
-def test_merkle_across_short_text(spark):
-    """Texts on different sides of SHORT_TEXT are compared at one cut."""
+def test_merkle_words():
+    """Words are the text, and hashes follow a word and the next alone."""
+    rng = random.Random(8)
+    for text in ["", " ", "a", "one  two\nthree " * 30, "漢字かな交じり文" * 40, "x" * 5_000, "a\u3000b\u00a0c d" * 9, "🙂🙂 ok", "  lead"]:
+        hashes, sizes = merkle.words(text)
+        assert sum(sizes) == len(text) and len(hashes) == len(sizes) and all(n > 0 for n in sizes)
+        ends = [0, *np.cumsum(sizes).tolist()]
+        own = [text[a:b] for a, b in zip(ends, ends[1:])]
+        by_text = dict(zip(zip(own, [*own[1:], None]), hashes))
+        assert [by_text[x] for x in zip(own, [*own[1:], None])] == hashes and len(set(by_text.values())) == len(by_text)
+    words = [f"w{rng.randrange(500)}" for _ in range(400)]
+    a, b = (set(merkle.words(" ".join(w))[0]) for w in (words, [*words[:200], "new", *words[201:]]))
+    assert len(a ^ b) <= 4
+
+
+def test_merkle_at_all_lengths(spark):
+    """One rule: no length changes what one edit costs, neither do scripts without spaces."""
     rng = random.Random(3)
+    words = [f"word{rng.randrange(900)}" for _ in range(90)]
+    text = " ".join(words)
+    near = [merkle.likeness(merkle.build(text[:n]), merkle.build(text[: n // 2] + "#" + text[n // 2 + 1 : n])) for n in range(500, 531)]
+    assert min(near) > 0.9 and max(near) - min(near) < 0.05
+    sentence = lambda: "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(rng.randrange(10, 30))) + rng.choice("。！？")
+    chinese = [sentence() for _ in range(60)]
+    changed = "".join([*chinese[:30], chinese[30][:3] + "変更" + chinese[30][5:], *chinese[31:]])
+    assert merkle.likeness(merkle.build("".join(chinese)), merkle.build(changed)) > 0.97
+    flat = "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(3_000))
+    half = flat[:1_500] + "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(1_500))
+    assert 0.45 < merkle.likeness(merkle.build(flat), merkle.build(half)) < 0.55
+    assert merkle.likeness(merkle.build(flat), merkle.build(flat[:1_000] + "変" + flat[1_001:])) > 0.98
     lines = [" ".join(f"word{rng.randrange(900)}" for _ in range(10)) + "." for _ in range(9)]
-    long = "\n".join(lines)
-    short = "\n".join(lines[:-4])
-    near = long.replace(lines[4], "other words here.")
+    long, short = "\n".join(lines), "\n".join(lines[:-4])
     a, b = merkle.build(long), merkle.build(short)
-    assert len(long) >= merkle.SHORT_TEXT > len(short)
-    kept = 2 * len(short) / (len(long) + len(short))
-    assert merkle.likeness(a, b) == merkle.likeness(b, a) and abs(merkle.likeness(a, b) - kept) < 0.05
+    kept = 2 * (len(short) + 1) / (len(long) + len(short) + 2)
+    assert merkle.likeness(a, b) == merkle.likeness(b, a) and abs(merkle.likeness(a, b) - kept) < 0.02
     assert merkle.differing(b, a) == [(5, 5, 5, 9)] and merkle.differing(a, b) == [(5, 9, 5, 5)]
-    base = near[: merkle.SHORT_TEXT - 5]
-    assert merkle.likeness(merkle.build(base), merkle.build(base + " and a little more")) > 0.9
     rows = {r["doc_id"]: r for r in merkle.fingerprint(spark.createDataFrame([(1, long), (2, short), (3, "a b")], "doc_id long, text string")).collect()}
-    edited = merkle.edited(long, short)
-    assert abs(rows[1]["near_next"] - kept) < 0.05 and rows[2]["near_next"] == 0
-    assert rows[1]["near_edited"] == merkle.likeness(a, merkle.build(edited)) > 0.4
+    assert abs(rows[1]["near_next"] - kept) < 0.02 and rows[2]["near_next"] == 0
+    assert rows[1]["near_edited"] == merkle.likeness(a, merkle.build(merkle.edited(long, short))) > 0.4
+
 
 
 # 4
@@ -244,6 +284,22 @@ def test_shuffle_again(spark, monkeypatch):
     assert len({i // 100 for _, _, i in seen[0][:187]}) > 25
 
 
+def test_shuffled_files_in_order(spark, monkeypatch):
+    """With more buckets than tasks a task has neighbouring ones: of each shard the files, by name, hold ranges of slots, in order."""
+    monkeypatch.setattr(sharding, "MOST_TASKS", 3)
+    path = work_dir(spark)
+    sharding.write(sharding.shuffle(spark.range(2_000), F.lit(1_000_000), n_shards=4), path)
+    rows = spark.read.parquet(path).select("shard", "slot", F.col("_metadata.file_name").alias("file")).collect()
+    assert len(rows) == 2_000
+    for shard in range(4):
+        by_file = {}
+        for r in rows:
+            if r["shard"] == shard:
+                by_file.setdefault(r["file"], []).append(r["slot"])
+        ranges = [(min(x), max(x), len(x)) for _, x in sorted(by_file.items())]
+        assert all(last - first + 1 == n for first, last, n in ranges) and ranges == sorted(ranges)
+
+
 def test_shuffle_of_copies(spark, monkeypatch):
     """A record that a third of the rows repeat fills no bucket."""
     monkeypatch.setattr(sharding, "HOT_COPIES", 50)
