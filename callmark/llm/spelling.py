@@ -160,7 +160,8 @@ def roots(forms: DataFrame) -> DataFrame:
 def variants(words: DataFrame, factor: int = 2, long_chars: int = LONG_CHARS) -> DataFrame:
     """word, form, root, n, n_near, form_n of distinct words with their counts (word, n)."""
     with scratch(words.sparkSession):
-        numbered = materialise(running(words.select("word", "n"), [F.desc("n"), F.asc("word")]).select("word", "n", "place"))
+        words = materialise(words.select("word", "n"))  # read more than once below
+        numbered = materialise(running(words, [F.desc("n"), F.asc("word")]).select("word", "n", "place"))
         near = neighbours(rotations(numbered, long_chars))
         other = lambda x: numbered.select(F.col("place").alias(x), F.col("word").alias(f"{x}_word"), F.col("n").alias(f"{x}_n"))
         near = near.join(other("best"), "best")
