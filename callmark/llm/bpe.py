@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -121,21 +121,22 @@ def _encode_column(df: DataFrame, vocabulary: Broadcast, pattern: str, key: str)
     return df.select(*names, "text", "ahead").mapInArrow(run, f"{key}, ids binary")
 
 
-def encode(docs: DataFrame, vocabulary: Broadcast, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS) -> DataFrame:
-    """doc_id, ids (binary: little-endian unsigned 32-bit integers), a row for each row of docs."""
-    docs = docs.select(F.col(name(id_col)).cast("long").alias("doc_id"), whole(name(text_col)).alias("text"))
+def encode(docs: DataFrame, vocabulary: Broadcast, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS, overlap_chars: int = OVERLAP_CHARS, carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, columns to carry along (as long), ids (binary: little-endian unsigned 32-bit integers), a row for each row of docs."""
+    own = ["doc_id", *carry]
+    docs = docs.select(F.col(name(id_col)).cast("long").alias("doc_id"), *(F.col(name(c)).cast("long").alias(c) for c in carry), whole(name(text_col)).alias("text"))
     is_long = F.char_length("text") > chunk_chars
-    short = _encode_column(docs.filter(~is_long).withColumn("ahead", F.lit(0)), vocabulary, pattern, "doc_id long")
+    short = _encode_column(docs.filter(~is_long).withColumn("ahead", F.lit(0)), vocabulary, pattern, ", ".join(f"{c} long" for c in own))
     long = docs.filter(is_long).withColumn("text_key", F.sha2("text", 256))
     by_text = _encode_long(long.select("text_key", "text"), vocabulary, pattern, chunk_chars, overlap_chars)
-    rows = long.select("doc_id", "text_key")
+    rows = long.select(*own, "text_key")
     salts = materialise(rows.groupBy("text_key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_ROWS).select("text_key", F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("salts")))
     if salts.isEmpty() or not few(salts, MOST_HOT):
-        return short.unionByName(rows.join(by_text, "text_key").select("doc_id", "ids"))
+        return short.unionByName(rows.join(by_text, "text_key").select(*own, "ids"))
     salts = F.broadcast(salts)
     salted = rows.join(salts, "text_key", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id"), "salts"), F.lit(0)).cast("int")).drop("salts")
     spread = by_text.join(salts, "text_key", "left").select("text_key", "ids", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
-    return short.unionByName(salted.join(spread, ["text_key", "salt"]).select("doc_id", "ids"))
+    return short.unionByName(salted.join(spread, ["text_key", "salt"]).select(*own, "ids"))
 
 
 def _encode_long(texts: DataFrame, vocabulary: Broadcast, pattern: str, size: int, overlap: int) -> DataFrame:

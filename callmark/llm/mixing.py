@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from callmark.llm.common import few, materialise, name, record, running, table, whole
+from callmark.llm.common import few, materialise, name, record, running, spread_join, table, whole
 
 #: What separates words, and the weights of sources in order, repeating.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -135,7 +135,7 @@ def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """docs' rows, each as often as the mix has copies of it, range-sorted by training position; docs' columns only.
 
     The plan, a few numbers for each document, meets the documents on id, source and size, and the sort moves them once more.
-    Only rows that agree in all three with others are numbered before, in one task for each such three.
+    Only rows that agree in all three with others are numbered before, over ranges of their texts' hashes.
     """
     plan = materialise(mix(docs, id_col, text_col, source_col, **how).filter("copies > 0").select(_key(F.col("doc_id"), F.col("source"), F.col("size")).alias("at"), "n", "c", "positions"))
     rows = record(docs, key=_key(F.col(name(id_col)).cast("long"), F.col(name(source_col)), words(whole(name(text_col)))))
@@ -144,7 +144,10 @@ def training_order(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not several.isEmpty():
         known = several.select(F.col("at").alias("key")).distinct()
         numbered = rows.join(F.broadcast(known) if few(known, BROADCAST_SOURCES) else known, "key", "left_semi")
-        numbered = numbered.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64(f"record.{name(text_col)}"))) - 1)
+        numbered = materialise(numbered.withColumns({"hash": F.xxhash64(f"record.{name(text_col)}"), "row": F.monotonically_increasing_id()}))
+        numbered = running(numbered, [F.col(c) for c in ("key", "hash", "row")])
+        firsts = numbered.groupBy("key").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("rows"))
+        numbered = spread_join(numbered, firsts, "key", "rows").withColumn("nth", F.col("place") - F.col("first"))
         single = single.unionByName(numbered.join(several, (F.col("key") == F.col("at")) & (F.col("nth") == F.col("n"))).select("record", "key", F.col("n").cast("long").alias("n"), "positions"))
     return _sorted(single).select(*(F.col(f"record.{name(c)}").alias(c) for c in docs.columns))
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callmark.llm.common import few, materialise, name, record, slices, table, whole
+from callmark.llm.common import few, materialise, name, record, slices, spread_join, table, whole
 
 # The base kinds, in order, with the least length of what must be long enough.
 ASSIGN = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -82,10 +82,11 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             rows = [[{"kind": k, "start": a, "stop": b, "value_hash": hashlib.sha256(v.encode()).hexdigest(), "random": looks_random(k, v, min_entropy)} for k, a, b, v in find(x.as_py())] for x in part.column("text")]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("owner"), part.column("repo"), pa.array(rows, FINDING_ARROW)], ["doc_id", "owner", "repo", "findings"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "owner", "repo", "text_key")), pa.array(rows, FINDING_ARROW)], ["doc_id", "owner", "repo", "text_key", "findings"])
 
     docs = docs.select(F.col(name(id_col)).cast("long").alias("doc_id"), F.col(name(owner_col)).cast("string").alias("owner"), F.col(name(repo_col or id_col)).cast("string").alias("repo"), whole(name(text_col)).alias("text"))
-    return docs.mapInArrow(run, f"doc_id long, owner string, repo string, findings {FINDING}")
+    docs = docs.withColumn("text_key", F.xxhash64("text"))
+    return docs.mapInArrow(run, f"doc_id long, owner string, repo string, text_key long, findings {FINDING}")
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -99,12 +100,11 @@ def ownership(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("value_hash").agg(F.sum("n").alias("n_repos"), F.count(F.lit(1)).alias("n_owners"))
 
 
-def verdicts(found: DataFrame, min_owners: int = MIN_OWNERS, min_repos: int = MIN_REPOS) -> DataFrame:
-    """doc_id, spans_key, kind, start, stop, value_hash, n_repos, n_owners, verdict: a row for each finding of each different (doc_id, findings).
+def judged(each: DataFrame, found: DataFrame, min_owners: int = MIN_OWNERS, min_repos: int = MIN_REPOS) -> DataFrame:
+    """each (with value_hash, random) with n_repos, n_owners and verdict of the values over all of found.
 
     Values of many repositories, which would gather in one task, are few: they meet their counts by broadcast.
     """
-    each = found.filter(F.size("findings") > 0).select("doc_id", spans_key().alias("spans_key"), "findings").distinct().select("doc_id", "spans_key", F.inline("findings"))
     counts = materialise(ownership(found))
     hot = counts.filter(F.col("n_repos") > HOT_REPOS)
     if few(hot, MOST_HOT):
@@ -112,8 +112,13 @@ def verdicts(found: DataFrame, min_owners: int = MIN_OWNERS, min_repos: int = MI
         joined = each.join(hot, "value_hash").unionByName(each.join(hot.select("value_hash"), "value_hash", "left_anti").join(counts.filter(F.col("n_repos") <= HOT_REPOS), "value_hash"))
     else:
         joined = each.join(counts, "value_hash")
-    verdict = F.when((F.col("n_owners") >= min_owners) | (F.col("n_repos") >= min_repos), "example").when(F.col("random"), "live").otherwise("weak")
-    return joined.select("doc_id", "spans_key", "kind", "start", "stop", "value_hash", "n_repos", "n_owners", verdict.alias("verdict"))
+    return joined.withColumn("verdict", F.when((F.col("n_owners") >= min_owners) | (F.col("n_repos") >= min_repos), "example").when(F.col("random"), "live").otherwise("weak"))
+
+
+def verdicts(found: DataFrame, min_owners: int = MIN_OWNERS, min_repos: int = MIN_REPOS) -> DataFrame:
+    """doc_id, spans_key, kind, start, stop, value_hash, n_repos, n_owners, verdict: a row for each finding of each different (doc_id, findings)."""
+    each = found.filter(F.size("findings") > 0).select("doc_id", spans_key().alias("spans_key"), "findings").distinct().select("doc_id", "spans_key", F.inline("findings"))
+    return judged(each, found, min_owners, min_repos).select("doc_id", "spans_key", "kind", "start", "stop", "value_hash", "n_repos", "n_owners", "verdict")
 
 
 def spans_key():
@@ -145,20 +150,23 @@ def mask_values(text: str, hashes: set[str], mask: str) -> str:
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", min_owners: int = MIN_OWNERS, min_repos: int = MIN_REPOS, mask: str = "[SECRET]") -> DataFrame:
-    """docs with every live-looking secret in text_col replaced by mask; other rows and columns as they were."""
+    """docs with every live-looking secret in text_col replaced by mask; other rows and columns as they were. What is live is told text by
+    text, so rows without an id, or with one id, do not meet; a text that very many rows have meets its findings by broadcast."""
     text = F.col(name(text_col))
     suspect = F.coalesce(text.rlike(SUSPECT), F.lit(False))
     found = materialise(candidates(docs.filter(suspect), id_col, text_col, owner_col))
-    live = verdicts(found, min_owners, min_repos).filter("verdict = 'live'").groupBy("doc_id").agg(F.collect_set("value_hash").alias("live"))
+    texts = materialise(found.groupBy("text_key").agg(F.first("findings").alias("findings"), F.count(F.lit(1)).alias("n")))  # equal texts have equal findings
+    live = judged(texts.select("text_key", F.inline("findings")), found, min_owners, min_repos).filter("verdict = 'live'").groupBy("text_key").agg(F.collect_set("value_hash").alias("live"))  # of one text
+    texts = texts.select("text_key", "n").join(live, "text_key", "left")
 
     @F.pandas_udf("string")
     def masked(texts: pd.Series, hashes: pd.Series) -> pd.Series:
         return pd.Series([t if h is None else mask_values(t, set(h), mask) for t, h in zip(texts, hashes, strict=True)], dtype=object)
 
-    rows = record(docs.filter(suspect), id=F.col(name(id_col)).cast("long"))
-    judged = rows.join(live, F.col("id").eqNullSafe(F.col("doc_id")), "left")
+    rows = record(docs.filter(suspect), text_key=F.xxhash64(whole(name(text_col))))
+    known = spread_join(rows, texts, "text_key", "n")
     columns = [masked(F.col(f"record.{name(c)}"), "live").alias(c) if c == text_col else F.col(f"record.{name(c)}").alias(c) for c in docs.columns]
-    return docs.filter(~suspect).unionByName(judged.select(*columns))
+    return docs.filter(~suspect).unionByName(known.select(*columns))
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -699,6 +699,27 @@ def test_secrets_of_table(spark):
         assert (r["max_owners"], r["max_repos"]) == (max((len(owners[v]) for v in values), default=0), max((len(repos[v]) for v in values), default=0))
 
 
+def test_redact_without_ids(spark, monkeypatch):
+    """Rows without ids, and one text in very many rows: each is masked by its own text's findings, and none gathers the others'."""
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    rows = [(None, f"password = Live{i:04d}56789abcXYZ!", "one") for i in range(40)] + [(5, "token = Hot0123456789abcQQ", "one")] * 30 + [(None, "no secret here", "one"), (None, None, None), (7, "secret: aaaaaaaaaaaaaa", "two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = Counter((r["doc_id"], r["text"]) for r in secrets.redact(docs).collect())
+    assert found == Counter({(None, "[SECRET]!"): 40, (5, "[SECRET]"): 30, (None, "no secret here"): 1, (None, None): 1, (7, "secret: aaaaaaaaaaaaaa"): 1})
+
+
+def test_training_order_of_hot_rows(spark, monkeypatch):
+    """Rows that agree in id, source and size: each gets its own number of the plan, over ranges."""
+    monkeypatch.setattr(ordering, "FEW_ROWS", 20)
+    rows = [(1, f"a b {i % 7}", "s") for i in range(300)] + [(i, "x y z w", "t") for i in range(2, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    copies = {}
+    for r in mixing.mix(docs).collect():
+        copies[(r["doc_id"], r["source"])] = copies.get((r["doc_id"], r["source"]), 0) + r["copies"]
+    found = Counter((r["doc_id"], r["source"]) for r in mixing.training_order(docs).collect())
+    assert sum(found.values()) == sum(copies.values()) and found == Counter({k: v for k, v in copies.items() if v})
+
+
 def test_secret_repositories(spark, monkeypatch):
     """A value in many documents of one owner is an example; hot values meet their counts by broadcast."""
     for hot in (2, 10**6):
@@ -755,3 +776,11 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     ids = lambda text: reference.encode_ordinary(text or "")
     assert Counter((r["doc_id"], bytes(r["ids"])) for r in encoded) == Counter((r["doc_id"], struct.pack(f"<{len(x)}I", *x)) for r in mixed for x in [ids(r["text"])])
     assert all(r["n_tokens"] * 4 == len(r["ids"]) for r in encoded)
+
+    import pyarrow.parquet as pq
+
+    in_order = lambda i: [pq.read_table(f, partitioning=None).column("doc_id").to_pylist() for f in sorted(tmp_path.glob(f"{i}/part-*.parquet"))]
+    trained = [x for part in in_order(3) for x in part]
+    assert sum(map(bool, in_order(3))) > 1 and trained == [x for part in in_order(4) for x in part]
+    planned = [r["doc_id"] for r in mixing.places(spark.read.parquet(f"{tmp_path}/2")).collect()]
+    assert sorted(planned) == sorted(trained) and sum(a == b for a, b in zip(planned, trained)) > 0.98 * len(planned)
