@@ -1,8 +1,9 @@
 """From raw documents to token ids: quality, near duplicates, secrets, mixture, encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next one's
-docs; no row order outlives that, and the table before is then deleted. All but the last return the columns of documents, and
-any others that docs has, whatever their names.
+docs; the table before is then deleted. All but the last return the columns of documents, and any others that docs has, whatever
+their names. The mixture's training order is that of its files and of their rows; encoding takes each row's place from there,
+carries it along and returns its rows in that order.
 
 Defined results, stage by stage. Null columns: rows stay unless the stage's decision is about that column; a null text is scored,
 counted and encoded as the empty text, has no near duplicates and no secrets; a null source is a source of its own; rows
@@ -14,6 +15,7 @@ design. Ties go to the smaller id. An empty table passes every stage as an empty
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,11 +53,24 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.training_order(docs)
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, part and row: the number in the name of the row's file, and its place there. Rows of other origin keep the order they have."""
+    part = F.coalesce(F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).try_cast("long"), F.lit(0))
+    try:
+        return docs.select("doc_id", "text", part.alias("part"), F.col("_metadata.row_index").alias("row"))
+    except AnalysisException:  # not read from files
+        number = F.monotonically_increasing_id()
+        return docs.select("doc_id", "text", F.shiftright(number, 33).alias("part"), number.bitwiseAND(F.lit(2**33 - 1)).alias("row"))
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids (binary) of every row; the ids decode to the bytes of the text."""
+    """doc_id, n_tokens, ids (binary), part and row of every row, in order of part and row; the ids decode to the bytes of the text."""
     ship(spark)
     vocabulary = bpe.load_ranks(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return bpe.encode(docs, vocabulary, public_tokenizers.PATTERN).select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+    rows = bpe.encode(placed(docs), vocabulary, public_tokenizers.PATTERN, carry=("part", "row"))
+    rows = rows.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "part", "row")
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))  # the mixture is dealt into as many
+    return rows.repartitionById(ranges, F.least(F.col("part"), F.lit(ranges - 1)).cast("int")).sortWithinPartitions("part", "row")
 
 
 STAGES = [
