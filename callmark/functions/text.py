@@ -150,17 +150,6 @@ def word_count(text: Column) -> Column:
     return F.when(F.trim(text) == "", 0).otherwise(F.size(F.split(F.trim(text), r"\s+")))
 
 
-def html_markdown(html: Column) -> Column:
-    """Headings, emphasis, links, list items, paragraphs and breaks as Markdown; other tags go."""
-    out = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->", "")
-    for level in range(1, 7):
-        out = F.regexp_replace(out, rf"(?is)<h{level}\b[^>]*>(.*?)</h{level}>", "\n" + "#" * level + " $1\n")
-    for p, r in ((r"(?is)<(?:b|strong)>(.*?)</(?:b|strong)>", "**$1**"), (r"(?is)<(?:i|em)>(.*?)</(?:i|em)>", "*$1*"), (r'(?is)<a\b[^>]*href="([^"]*)"[^>]*>(.*?)</a>', "[$2]($1)"),
-                 (r"(?is)<li\b[^>]*>", "\n* "), (r"(?i)<br\s*/?>", "\n"), (r"(?i)</?p\b[^>]*>", "\n\n"), (r"(?s)<[^>]*>", ""), (r"\n{3,}", "\n\n")):
-        out = F.regexp_replace(out, p, r)
-    return F.regexp_replace(out, r"^\s+|\s+$", "")
-
-
 def capped(paragraph: Column, most: int = PARAGRAPH_CHARS) -> Column:
     """Array of pieces of at most so many characters, each as many whole sentences as fit; a longer sentence stands alone.
 

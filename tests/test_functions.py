@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from callmark.functions import calls
+from callmark.functions import html as ht
 from callmark.functions import text as tx
 from callmark.functions import variants as va
 from callmark.operators import fuzzy, incremental, listing, opinions
@@ -164,7 +165,7 @@ def test_errors_urls_slugs(spark):
 
 def test_html(spark):
     html = '<h2>Title</h2><script>no</script><p>A <b>bold</b> <a href="/x">link</a></p><ul><li>one<li>two</ul>'
-    [out] = values(spark, [(html,)], "t string", tx.html_markdown(F.col("t")))
+    [out] = values(spark, [(html,)], "t string", ht.html_markdown(F.col("t")))
     assert out.startswith("## Title") and "**bold**" in out and "[link](/x)" in out and "* one" in out and "no" not in out
     assert values(spark, [(html,)], "t string", tx.html_text(F.col("t"))) == ["Title A bold link one two"]
 
@@ -329,3 +330,36 @@ def test_packed_pieces():
     assert tx.packed("aa bb\n\ncc", 20) == ["aa bb\n\ncc"]
     assert tx.packed("aaaaaaa bb cc\n\nd", 5) == ["aaaaa", "aa", "bb cc", "d"]
     assert tx.packed("a b\n\nccc\n\n\ndd", 6) == ["a b", "ccc", "dd"] or tx.packed("a b\n\nccc\n\n\ndd", 6) == ["a b", "ccc", "dd"]
+
+
+def test_markdown_of_hostile_pages(spark):
+    cases = {
+        "<ol><li>one<li>two<ul><li>a<ol start=3><li>x</ol></li><li>b</ul></ol>": "1. one\n2. two\n   + a\n     3. x\n   + b",
+        "<table><tr><th>A<th>B|c<tr><td>1<td><b>2</b><br>3</table>": "| A | B\\|c |\n| --- | --- |\n| 1 | **2** 3 |",
+        "<table><tr><td>1</td><td>2<tr><td>3</table>": "|  |  |\n| --- | --- |\n| 1 | 2 |\n| 3 |  |",
+        "<p>x &amp; y &lt;b&gt; a*b_c &nbsp;&#39;": "x & y <b> a\\*b\\_c '",
+        "<pre><code>def f(x):\n  return x_*2 &lt; 3</code></pre>": "```\ndef f(x):\n  return x_*2 < 3\n```",
+        "use <code>a_b</code> and <b></b>": "use `a_b` and",
+        "<blockquote><p>one<p>two</blockquote>after": "> one\n>\n> two\n\nafter",
+        "<img src='a.png' alt='A' title=T><img>": '![A](a.png "T")![]()',
+        "<a href='http://x.y'>http://x.y</a> <a href=/z title='q'> <b>z</b> </a><a>none</a>": '<http://x.y> [**z**](/z "q")none',
+        "<p>unclosed <b>bold <i>both</b> after</i> end</div></p>": "unclosed **bold *both*** after end",
+        "<h2>Ti<br>tle</h2>text<h3></h3><h6>six": "## Ti tle\n\ntext\n\n###### six",
+        "a<br>b<hr>c": "a  \nb\n\n---\n\nc",
+        "<script>if (a<b) '</p>'</script>ok<style>p{": "ok", "<!-- x -->t<!-- never": "t", "2 < 3 and <3 <q x='>'>z</q>": "2 < 3 and <3 z", "<p>a</p>\n\n  <p>b</p>": "a\n\nb", "<ul><li><p>para</p><p>two</p></li></ul>": "* para\n\n  two",
+        "": "", "<": "<", "<p": "<p", None: None, "<div>" * 20_000 + "deep" + "</p>" * 20_000: "deep", "x" * 100_000 + "<b>": "x" * 100_000,
+    }
+    got = values(spark, [(h,) for h in cases], "t string", ht.html_markdown(F.col("t")))
+    assert {h[:60]: g for h, g in zip(cases, got) if h is not None and g != cases[h]} == {} and got[list(cases).index(None)] is None
+
+
+def test_page_authors(spark):
+    long = "n" * 41
+    pages = {
+        '<a href="https://x/author/jane-doe?a=1"><b>Jane Doe</b></a><a href="/author/jane-doe">Again</a><A HREF=\'/author/j%C3%A9+r/\'> </A>': [("jane-doe", "Jane Doe"), ("jé+r", "jé+r")],
+        f'<a href="/author/a">{long}</a><a class=x href="/author/b">A | B</a><a href="/other/c">C</a>': [("a", "a"), ("b", "b")],
+        '<script type="application/json">{"u": "/author/x", "v": "/author/y?z", "w": "/author/x"}</script>': [("x", "x"), ("y", "y")],
+        '<script>"/author/x"</script>': [], "": [],
+    }
+    got = values(spark, [(h,) for h in pages], "t string", ht.page_authors(F.col("t")))
+    assert [[tuple(a) for a in x] for x in got] == list(pages.values())
