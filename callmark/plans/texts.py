@@ -9,6 +9,7 @@ from callmark.functions import html as ht
 from callmark.functions import text as tx
 from callmark.functions import variants as va
 from callmark.plans.registry import query
+from callmark.sources import frontmatter as fm
 from callmark.sources import markdown as md
 from callmark.sources.domain import Domain
 
@@ -198,14 +199,21 @@ def caption_paragraphs(d: Domain) -> DataFrame:
     return vtt.select("conv_id", F.posexplode(tx.caption_paragraphs(F.col("vtt"))).alias("place", "paragraph"))
 
 
-@query("SELECT page_id, url, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title, 'n/a: ' || page_id AS note, length(html) AS n FROM pages", prelude=False)
+@query("""SELECT page_id, url, coalesce(nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), ''), NULL) AS title, 'n/a: ' || page_id || chr(10) || 'url: "no" \\ #x' AS note, sha256(html) AS raw, page_id % 2 = 0 AS even, [url, 'a: b', '- "c"', 'it''s', ''] AS tags,
+page_id * 0.5::DOUBLE AS half, 'yes' AS word, length(html) AS n FROM pages""", prelude=False)
 def front_matter(d: Domain) -> DataFrame:
-    """Pages written as Markdown with front-matter and read again."""
-    title = F.regexp_extract("html", r"<title>([^<]*)</title>", 1)
-    text = md.join_front_matter({"page_id": F.col("page_id"), "url": F.col("url"), "title": title, "nothing": F.lit(None).cast("string"), "note": F.concat(F.lit("'n/a: "), F.col("page_id").cast("string"), F.lit("'"))}, F.col("html"))
-    fields, body = md.split_front_matter(F.col("text"))
-    read = d.table("pages").select(text.alias("text")).select(fields.alias("f"), body.alias("body"))
-    return read.select(F.col("f")["page_id"].cast("long").alias("page_id"), F.col("f")["url"].alias("url"), F.trim(F.col("f")["title"]).alias("title"), F.col("f")["note"].alias("note"), F.char_length("body").cast("long").alias("n"))
+    """Pages written as Markdown with front-matter and read again: texts with line ends, colons, quotes and whole HTML, lists, a second level, numbers, truths."""
+    title = F.nullif(F.regexp_extract("html", r"<title>([^<]*)</title>", 1), F.lit(""))
+    note = F.concat(F.lit("n/a: "), F.col("page_id").cast("string"), F.lit('\nurl: "no" \\ #x'))
+    tags = F.array("url", *map(F.lit, ("a: b", '- "c"', "it's", "")))
+    text = fm.join_front_matter({
+        "page_id": (F.col("page_id"), "bigint"), "url": (F.col("url"), "string"), "title": (title, "string"), "nothing": (F.lit(None), "string"), "note": (note, "string"), "raw": (F.col("html"), "string"),
+        "even": (F.col("page_id") % 2 == 0, "boolean"), "tags": (tags, "array<string>"), "more": (F.struct((F.col("page_id") * 0.5).alias("half"), F.lit("yes").alias("word")), "struct"),
+    }, F.col("html"))
+    read = d.table("pages").select(fm.split_front_matter(text).alias("f")).select("f.front", "f.body")
+    get = lambda path, kind: F.try_variant_get("front", f"$.{path}", kind)
+    return read.select(get("page_id", "bigint").alias("page_id"), get("url", "string").alias("url"), get("title", "string").alias("title"), get("note", "string").alias("note"), F.sha2(get("raw", "string"), 256).alias("raw"), get("even", "boolean").alias("even"),
+                       get("tags", "array<string>").alias("tags"), get("more.half", "double").alias("half"), get("more.word", "string").alias("word"), F.char_length("body").cast("long").alias("n"))
 
 
 @query("WITH p AS (SELECT lang || '/' || source || '/' || doc_id AS path FROM documents) SELECT string_split(path, '/')[1] AS folder, count(*) AS n FROM p GROUP BY ALL UNION ALL SELECT string_split(path, '/')[1] || '/' || string_split(path, '/')[2], count(*) FROM p GROUP BY ALL", prelude=False)

@@ -1,39 +1,16 @@
-"""Markdown files with front-matter: reading, writing, counting, copying a subset."""
+"""Markdown files: reading, counting, what changed; landed prices. Front-matter is in frontmatter.py."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FRONT = r"(?s)\A---\n(.*?)\n---\n(.*)\z"
-
-
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """path, text of every .md below path, but for folders named raw."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).filter(~F.col("path").contains("/raw/"))
 
 
-def split_front_matter(text: Column) -> tuple[Column, Column]:
-    """(map of its 'key: value' lines, body); text without front-matter is all body. Keys indented below another are named outer.inner."""
-    has = text.rlike(FRONT)
-    head = F.regexp_replace(F.regexp_extract(text, FRONT, 1), r"(?m)^([^\s:#][^:\n]*):[ \t]*\n((?:[ \t]+[^\n]*\n?)+)", "\u0001$1\u0002$2\u0001")
-    outer = lambda block: F.substring_index(block, "\u0002", 1)
-    inner = lambda block: F.transform(F.filter(F.split(F.substring_index(block, "\u0002", -1), "\n"), lambda x: x.rlike(r"^\s+[^\s:#][^:]*:")), lambda x: F.concat(F.trim(outer(block)), F.lit("."), F.trim(x)))
-    flat = lambda block: F.filter(F.split(block, "\n"), lambda x: x.rlike(r"^[^\s:#][^:]*:"))
-    lines = F.flatten(F.transform(F.split(head, "\u0001"), lambda b: F.when(F.contains(b, F.lit("\u0002")), inner(b)).otherwise(flat(b))))
-    unquoted = lambda v: F.regexp_replace(F.trim(v), r"""^(["'])(.*)\1$""", "$2")
-    pairs = F.map_from_entries(F.transform(lines, lambda x: F.struct(F.trim(F.substring_index(x, ":", 1)).alias("key"), unquoted(F.substring(x, F.instr(x, ":") + 1, F.char_length(x))).alias("value"))))
-    empty = F.create_map().cast("map<string,string>")
-    return F.when(has, pairs).otherwise(empty), F.when(has, F.regexp_extract(text, FRONT, 2)).otherwise(text)
-
-
-def join_front_matter(fields: dict[str, Column], body: Column) -> Column:
-    """Null fields are left out."""
-    lines = F.array_compact(F.array(*(F.when(v.isNotNull(), F.concat(F.lit(f"{k}: "), v.cast("string"))) for k, v in fields.items())))
-    return F.concat(F.lit("---\n"), F.array_join(lines, "\n"), F.lit("\n---\n"), body)
-
-
 def prefix_counts(paths: DataFrame, path: str = "path") -> DataFrame:
     """folder, n: how many files lie below each folder, at any depth."""
     parts = F.split(path, "/")

@@ -15,6 +15,7 @@ from callmark.functions import variants as va
 from callmark.operators import fuzzy, incremental, listing, opinions
 from callmark.operators.asof import asof_forward
 from callmark.operators.scoring import refresh_scores, score_calls
+from callmark.sources import frontmatter as fm
 from callmark.sources import markdown as md
 from callmark.sources import sinks
 
@@ -172,13 +173,12 @@ def test_html(spark):
 
 def test_markdown_files(spark, tmp_path):
     (tmp_path / "a" / "raw").mkdir(parents=True)
-    (tmp_path / "a" / "x.md").write_text("---\ntitle: 'T: 1'\nextra:\n  views: 3\n  tag: x: y\nn: 2\n---\nbody\n")
+    (tmp_path / "a" / "x.md").write_text("---\ntitle: 'T: 1'\nextra:\n  views: 3\n  tag: x y\nn: 2\n---\nbody\n")
     (tmp_path / "a" / "raw" / "y.md").write_text("no")
     (tmp_path / "z.md").write_text("all body")
-    fields, body = md.split_front_matter(F.col("text"))
-    rows = md.read_markdown(spark, str(tmp_path)).select(fields.alias("f"), body.alias("b")).collect()
-    assert [r["f"] for r in rows if r["f"]] == [{"title": "T: 1", "extra.views": "3", "extra.tag": "x: y", "n": "2"}]
-    assert sorted((r["f"].get("title"), r["b"]) for r in rows if r["f"]) == [("T: 1", "body\n")] and [r["b"] for r in rows if not r["f"]] == ["all body"]
+    read = md.read_markdown(spark, str(tmp_path)).select(fm.split_front_matter(F.col("text")).alias("f"))
+    rows = sorted((r["b"], r["f"]) for r in read.select(F.to_json("f.front").alias("f"), F.col("f.body").alias("b")).collect())
+    assert rows == [("all body", "{}"), ("body\n", '{"extra":{"tag":"x y","views":3},"n":2,"title":"T: 1"}')]
 
 
 def test_merges(spark):
@@ -363,3 +363,57 @@ def test_page_authors(spark):
     }
     got = values(spark, [(h,) for h in pages], "t string", ht.page_authors(F.col("t")))
     assert [[tuple(a) for a in x] for x in got] == list(pages.values())
+
+
+FRONTS = {
+    "title: 'T: 1'\nextra:\n  views: 3\n  deep:\n    z: a\n  tag: a\nn: 2": {"title": "T: 1", "extra": {"views": 3, "deep": {"z": "a"}, "tag": "a"}, "n": 2},
+    "tags:\n- a\n- 'b c'\n- k: 1\n  l: 2\n-\n  - x\nm:\n  - y": {"tags": ["a", "b c", {"k": 1, "l": 2}, ["x"]], "m": ["y"]},
+    "n: ~\nb: Yes\nf: 1.5e3\nd: 2024-01-02\ne:\nx: -7": {"n": None, "b": True, "f": 1500.0, "d": "2024-01-02", "e": None, "x": -7},
+    "t: |\n  one\n   two\n\n  three\nu: >-\n  fold\n  ed\n\n  new\nk: |+\n  a\n\nv: end": {"t": "one\n two\n\nthree\n", "u": "fold ed\nnew", "k": "a\n\n", "v": "end"},
+    "long: this is a long\n  text that goes on\n  and on # note\nq: \"quoted \\\n  more\n  line \\u00e9\"\ns: 'it''s\n  fine'": {"long": "this is a long text that goes on and on", "q": "quoted more line é", "s": "it's fine"},
+    "a: [x, \"y, z\", 3, {k: v, w: [1]}] # c\nb: {}\nc: []\n'quoted key': 1\n\"k2\": http://x.y/z#f": {"a": ["x", "y, z", 3, {"k": "v", "w": [1]}], "b": {}, "c": [], "quoted key": 1, "k2": "http://x.y/z#f"},
+    "# c\na: 1 # no\nb: 'x # y'\nc: a#b": {"a": 1, "b": "x # y", "c": "a#b"}, "": {},
+    "- a\n- b": None, "broken: [a": None, "x\ty": None, "a: 1\n  b: 2": None, "a:\n  b: 1\n c: 2": None, "p: \"a\" b": None, "a:\n\tb: 1": None, "'open: 1": None, "a: " + "[" * 100_000: None,
+}
+
+
+def test_front_matter_read():
+    import json
+
+    got = {t: fm.parsed(t) for t in FRONTS}
+    assert {t: (None if g is None else json.loads(g)) for t, g in got.items()} == FRONTS
+
+
+def test_front_matter_round_trip(spark):
+    """What is written is read back as it was, whatever signs it holds."""
+    import json
+
+    r = random.Random(6)
+    bits = ["a", ": ", "- ", "'", '"', "\n", "é漢", "yes", "12", "1.5", " #c", "[", "]", "{", "}", " ", "\t", "\\", "null", "~", "%", "@", "*", "&", "!", "|", ">", "\n---\n", "\r", "\x85", "\u2028", "\x07", "🙂"]
+    texts = [*bits, "", "no", "on", "Off", "2024-01-02", "plain words", "trailing "] + ["".join(r.choice(bits) for _ in range(r.randint(1, 9))) for _ in range(300)]
+    rows = [(i, t, [t, "x"], {"k": t}) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "i long, t string, l array<string>, m map<string,string>")
+    text = fm.join_front_matter({"i": (F.col("i"), "bigint"), "t": (F.col("t"), "string"), "l": (F.col("l"), "array"), "m": (F.col("m"), "map"), "none": (F.lit(None), "string"), "yes": (F.col("i") > 5, "boolean")}, F.col("t"))
+    got = df.select("i", fm.split_front_matter(text).alias("f")).select("i", F.to_json("f.front").alias("front"), "f.body").collect()
+    for r, (i, t, items, fields) in zip(sorted(got, key=lambda r: r["i"]), rows, strict=True):
+        assert json.loads(r["front"]) == {"i": i, "t": t, "l": items, "m": fields, "yes": i > 5} and r["body"] == t, repr(t)
+
+
+def test_front_matter_of_a_library():
+    """What the usual library writes is read."""
+    import json
+
+    yaml = pytest.importorskip("yaml")
+    r = random.Random(1)
+    words = ["a", "b: c", "- x", "'q'", '"d"', "line\nend", "é漢", "yes", "12", "#c", "[x]", " lead", "trail ", "very long " * 12, "\t", "\\n", "null", "http://x/y?z", "%", "|", "multi\n\nline\n", "x" * 100 + " y", "it's", "x #y", "tail\\"]
+
+    def value(depth=0):
+        k = r.random()
+        if depth < 2 and k < 0.3:
+            return [value(depth + 1) for _ in range(r.randint(0, 3))] if k < 0.15 else {r.choice(["k", "deep key", "z:1", "q'"]) + str(i): value(depth + 1) for i in range(r.randint(0, 3))}
+        return r.choice([*words, *words, None, True, False, 3, -7, 2.5])
+
+    for _ in range(1_500):
+        made = {f"key{k}": value() for k in range(r.randint(1, 5))}
+        text = yaml.safe_dump(made, allow_unicode=True, sort_keys=False, default_flow_style=r.choice([False, False, None])).strip()
+        assert json.loads(fm.parsed(text) or "null") == made, text
