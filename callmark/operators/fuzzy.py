@@ -1,4 +1,4 @@
-"""Fuzzy matching of titles and topics: by equi-joins on pieces of text, with the exact condition checked on what they find."""
+"""Fuzzy matching of titles and topics: by equi-joins on the rarest piece of a text, with the exact condition checked on what they find."""
 
 from __future__ import annotations
 
@@ -7,26 +7,45 @@ from pyspark.sql import functions as F
 
 #: Characters of a slug that tell a title; words that two titles must share otherwise, and letters of a word.
 PREFIX_CHARS, SHARED_WORDS, WORD = 24, 3, "[a-z]{4,}"
-#: Characters by which containment is looked up.
-GRAM = 3
+#: Characters by which containment is looked up, and keys that hold a piece and meet in one task at most.
+GRAM, HOT_KEYS = 3, 20_000
 
 
 def normal(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), "[^a-z0-9]+", "")
 
 
-def grams(text: Column, sizes: tuple[int, ...]) -> Column:
-    """All different pieces of these sizes."""
-    places = lambda n: F.when(F.char_length(text) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(text) - n + 1)), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array())
-    return F.array_distinct(F.concat(*map(places, sizes)))
+def grams(text: Column, size: int) -> Column:
+    """All different pieces of this size."""
+    places = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(text) - size + 1)), lambda i: F.substring(text, i, F.lit(size)))
+    return F.when(F.char_length(text) >= size, F.array_distinct(places)).otherwise(F.array().cast("array<string>"))
 
 
-def within(short: DataFrame, long: DataFrame, a: str, b: str, sizes: tuple[int, ...] = tuple(range(1, GRAM + 1))) -> DataFrame:
-    """a (of short) and b (of long) where short.key, not blank, lies in long.key. Keys meet by the short one's first characters, as many
-    as the largest size, or all of fewer; sizes must hold the lengths of keys that are shorter than that."""
-    heads = short.filter("key <> ''").select(F.col(a), F.col("key").alias("__short"), F.left("key", F.lit(max(sizes))).alias("__gram"))
-    pieces = long.select(F.col(b), F.col("key").alias("__long"), F.explode(grams(F.col("key"), sizes)).alias("__gram"))
-    return heads.join(pieces, "__gram").filter(F.contains("__long", "__short")).select(a, b, (F.col("__long") == F.col("__short")).alias("exact"))
+def candidates(short: DataFrame, long: DataFrame, size: int = GRAM) -> DataFrame:
+    """short, long: different keys (key) of both sides, of so many letters and more, that share the piece of the short key that fewest long keys hold.
+
+    A short key with a piece that no long key holds meets none. A piece that very many long keys hold is dealt to several tasks by the long key.
+    """
+    pieces = long.select("key", F.explode(grams(F.col("key"), size)).alias("gram"))
+    seen = pieces.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    own = short.select("key", F.explode(grams(F.col("key"), size)).alias("gram")).join(seen, "gram", "left")
+    rarest = own.groupBy("key").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).filter("r.n > 0")
+    asked = rarest.select(F.col("key").alias("short"), "r.gram", F.ceil(F.col("r.n") / HOT_KEYS).cast("int").alias("tasks"))
+    dealt = pieces.join(asked.select("gram", "tasks").distinct(), "gram").select("gram", F.col("key").alias("long"), F.pmod(F.xxhash64("key"), F.col("tasks")).cast("int").alias("task"))
+    return asked.select("short", "gram", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task")).join(dealt, ["gram", "task"]).select("short", "long")
+
+
+def within(short: DataFrame, long: DataFrame, a: str, b: str) -> DataFrame:
+    """a (of short) and b (of long), exact: where short.key, not blank, lies in long.key. Different keys are compared, once, and then name their rows."""
+    ours, theirs = short.filter("key <> ''").select(a, "key"), long.filter("key <> ''").select(b, "key")
+    one, two = ours.select("key").distinct(), theirs.select("key").distinct()
+    found = candidates(one.filter(F.char_length("key") >= GRAM), two).filter(F.contains("long", "short"))
+    for size in range(1, GRAM):  # keys too short to have a piece are pieces themselves
+        tiny = one.filter(F.char_length("key") == size)
+        if not tiny.isEmpty():
+            found = found.unionByName(tiny.select(F.col("key").alias("short")).join(two.select(F.col("key").alias("long"), F.explode(grams(F.col("key"), size)).alias("short")), "short").select("short", "long"))
+    named = found.join(ours.withColumnRenamed("key", "short"), "short").join(theirs.withColumnRenamed("key", "long"), "long")
+    return named.select(a, b, (F.col("long") == F.col("short")).alias("exact"))
 
 
 def contained(asked: DataFrame, a: str, topics: DataFrame, b: str) -> DataFrame:
@@ -43,10 +62,8 @@ def same_title(wanted: DataFrame, files: DataFrame, a: str, b: str) -> DataFrame
     Words are put in one order, rarest in files first; a pair that shares SHARED_WORDS shares one that is not among either
     side's SHARED_WORDS - 1 commonest, so common words, which would pair everything, are not joined on.
     """
-    head = F.left("slug", F.lit(PREFIX_CHARS))
-    heads, stems = wanted.select(a, head.alias("key")), files.select(b, F.col("stem").alias("key"))
-    full = F.char_length("key") == PREFIX_CHARS
-    prefix = within(heads.filter(full), stems, a, b, (PREFIX_CHARS,)).unionByName(within(heads.filter(~full), stems, a, b)).select(a, b, F.lit(1).alias("way"))
+    heads, stems = wanted.select(a, F.left("slug", F.lit(PREFIX_CHARS)).alias("key")), files.select(b, F.col("stem").alias("key"))
+    prefix = within(heads, stems, a, b).select(a, b, F.lit(1).alias("way"))
     digits = F.regexp_extract_all("stem", F.lit(r"mv-(\d+)"), F.lit(1))
     starts = F.array_distinct(F.flatten(F.transform(digits, lambda x: F.transform(F.sequence(F.lit(1), F.char_length(x)), lambda n: F.substring(x, F.lit(1), n)))))
     number = wanted.select(a, F.col("number").alias("__n")).join(files.select(b, F.explode(starts).alias("__n")), "__n").select(a, b, F.lit(2).alias("way"))

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from callmark.operators import counters
 from callmark.operators import incremental as op
 from callmark.plans.registry import query
+from callmark.session import work_dir
 from callmark.sources.domain import Domain
+from callmark.sources.store import Store
 
 
 def halves(d: Domain) -> tuple[DataFrame, DataFrame]:
@@ -25,6 +28,59 @@ def merge_latest(d: Domain) -> DataFrame:
     return op.upsert(*halves(d), ["id"], "seen_at")
 
 
+def stored(d: Domain, rows: DataFrame, keys: list[str], n_buckets: int = 16) -> Store:
+    """A new table in the shared folder that holds rows."""
+    store = Store.create(d.spark, work_dir(d.spark), rows.schema, keys, n_buckets)
+    store.replace(rows)
+    return store
+
+
+@query(f"WITH {_OLD}, u AS (SELECT * FROM new UNION ALL SELECT * FROM old WHERE id NOT IN (SELECT id FROM new)) SELECT u.*, (SELECT count(*) FROM old) AS n_before, 1::BIGINT AS states_added FROM u", prelude=False)
+def stored_latest(d: Domain) -> DataFrame:
+    """merge_latest into a table that is kept: only buckets that change are written, the same merge again adds no state, and the state before can still be read."""
+    old, new = halves(d)
+    store = stored(d, old, ["id"])
+    first = store.manifest().number
+    for _ in range(2):
+        store.merge(new, lambda a, b: op.upsert(a, b, ["id"], "seen_at"))
+    return store.read().withColumns({"n_before": F.lit(store.read(first).count()), "states_added": F.lit(store.manifest().number - first).cast("long")})
+
+
+@query(f"WITH {_OLD}, x AS (SELECT coalesce(new.id, old.id) AS id, coalesce(new.status, old.status) AS status, coalesce(old.price, new.price) AS price, coalesce(new.seen_at, old.seen_at) AS seen_at FROM old FULL JOIN new ON old.id = new.id) SELECT * FROM x", prelude=False)
+def stored_filling(d: Domain) -> DataFrame:
+    """merge_filling into a table that is kept, in two parts."""
+    old, new = halves(d)
+    store = stored(d, old, ["id"])
+    for part in (F.col("id") < 3_000, F.col("id") >= 3_000):
+        store.merge(new.filter(part), lambda a, b: op.upsert_filling(a, b, ["id"], untouched=["price"]))
+    return store.read()
+
+
+@query("+ x AS (SELECT ticker, day, close FROM price) SELECT * FROM x")
+def refreshed_prices(d: Domain) -> DataFrame:
+    """A table of closes that is made anew in place of what it had (here every close plus one): readers see the old or the new."""
+    closes = d.price.select("ticker", "day", "close")
+    store = stored(d, closes.withColumn("close", F.col("close") + 1), ["ticker", "day"])
+    store.replace(closes)
+    return store.read()
+
+
+_KINDS = {"n": "count", "total": "sum", "first_at": "min", "last_at": "max", "errors": "count"}
+
+
+@query("SELECT user_id, count(*) AS n, sum(round(value * 100)::BIGINT)::BIGINT AS total, min(ts) AS first_at, max(ts) AS last_at, count(*) FILTER (WHERE event_type = 'error') AS errors, 0::BIGINT AS n_drifted FROM events GROUP BY user_id", prelude=False)
+def kept_counters(d: Domain) -> DataFrame:
+    """Counters of each user kept up with four batches of events, the second of which comes twice; held against a recount, of which none differs."""
+    events = d.table("events")
+    measures = {"n": ("count", F.lit(True)), "total": ("sum", F.round(F.col("value") * 100).cast("long")), "first_at": ("min", F.col("ts")), "last_at": ("max", F.col("ts")), "errors": ("count", F.col("event_type") == "error")}
+    states = lambda rows: counters.states(rows, ["user_id"], measures)
+    store = Store.create(d.spark, work_dir(d.spark), states(events).schema, ["user_id"], 16)
+    for batch in (0, 1, 1, 2, 3):
+        counters.add(store, states(events.filter(F.col("event_id") % 4 == batch)), _KINDS, "events", batch)
+    drifted = counters.reconciled(store, states(events), _KINDS).count()
+    return store.read().withColumn("n_drifted", F.lit(drifted).cast("long"))
+
+
 @query(f"WITH {_OLD} SELECT coalesce(new.id, old.id) AS id, coalesce(new.status, old.status) AS status, coalesce(old.price, new.price) AS price, coalesce(new.seen_at, old.seen_at) AS seen_at, old.id IS NULL AS inserted FROM old FULL JOIN new ON old.id = new.id", prelude=False)
 def merge_filling(d: Domain) -> DataFrame:
     """The price stands for a column that a merge must never touch."""

@@ -9,6 +9,7 @@ from callmark.functions import html as ht
 from callmark.functions import text as tx
 from callmark.functions import variants as va
 from callmark.plans.registry import query
+from callmark.session import work_dir
 from callmark.sources import frontmatter as fm
 from callmark.sources import markdown as md
 from callmark.sources.domain import Domain
@@ -232,3 +233,21 @@ def landed(events: DataFrame) -> DataFrame:
 def landed_prices(d: Domain) -> DataFrame:
     """Wide price rows as they land, with NaN for missing: rows without a close go."""
     return landed(d.table("events"))
+
+
+@query("SELECT 'src' || page_id % 7 || '/' || coalesce(nullif(regexp_extract(url, '^https?://[^/]+/([a-zA-Z]+)', 1), ''), 'none') || '/' || page_id || '.md' AS path, sha256('# ' || page_id || chr(10) || html) AS digest FROM pages", prelude=False)
+def markdown_files(d: Domain) -> DataFrame:
+    """Pages written as Markdown files and read back from their folders; files under raw are left out, and writing them again writes none."""
+    from callmark.sources.sinks import write_pages
+
+    folder = F.coalesce(F.nullif(F.regexp_extract("url", r"^https?://[^/]+/([a-zA-Z]+)", 1), F.lit("")), F.lit("none"))
+    path = F.concat(F.lit("src"), (F.col("page_id") % 7).cast("string"), F.lit("/"), folder, F.lit("/"), F.col("page_id").cast("string"), F.lit(".md"))
+    pages = d.table("pages").select(path.alias("path"), F.concat(F.lit("# "), F.col("page_id").cast("string"), F.lit("\n"), "html").alias("text"))
+    raw = pages.select(F.concat(F.lit("raw/"), "path").alias("path"), "text")
+    root = work_dir(d.spark)
+    write_pages(pages.unionByName(raw), root)
+    if write_pages(pages.unionByName(raw), root)[0]:
+        raise AssertionError("files that were there were written again")
+    read = md.read_markdown(d.spark, root)
+    name = root.split("/")[-1]
+    return read.select(F.substring_index("path", f"{name}/", -1).alias("path"), F.sha2("text", 256).alias("digest"))

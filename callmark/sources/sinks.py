@@ -1,4 +1,4 @@
-"""Sinks: a table refreshed as a whole, Markdown pages that are written only if they changed, a public copy of a subset."""
+"""Sinks: Markdown pages that are written only if they changed, a public copy of a subset. Tables that are kept are in store.py."""
 
 from __future__ import annotations
 
@@ -12,12 +12,6 @@ from callmark.functions import clean
 from callmark.sources.markdown import read_markdown
 
 
-def refresh(df: DataFrame, path: str) -> DataFrame:
-    """The table at path with df's rows in place of all it had; df must not read from path."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _manifest(spark: SparkSession, path: str) -> tuple[int, DataFrame]:
     """(number, path and digest of each page) of the last complete manifest below path."""
     try:

@@ -265,8 +265,6 @@ def test_sinks(spark, tmp_path):
     (tmp_path / "src/fr/2024-01-08-e.md").write_text("no")
     copy = lambda: sinks.copy_subset(spark, f"file://{tmp_path}", f"file://{tmp_path}/public", ["en", "de"], "2024-01-01", "2024-12-31")
     assert (copy(), copy()) == (2, 0) and (tmp_path / "public/src/en/2024-01-05-a.md").exists()
-    table = f"{tmp_path}/board"
-    assert sinks.refresh(spark.range(5), table).count() == 5 and sinks.refresh(spark.range(3), table).count() == 3
 
 
 def test_promotion_and_backfill(spark):
@@ -417,3 +415,27 @@ def test_front_matter_of_a_library():
         made = {f"key{k}": value() for k in range(r.randint(1, 5))}
         text = yaml.safe_dump(made, allow_unicode=True, sort_keys=False, default_flow_style=r.choice([False, False, None])).strip()
         assert json.loads(fm.parsed(text) or "null") == made, text
+
+
+def test_rarest_pieces(spark):
+    """Names and topics that all begin alike: under a hundredth of the pairs is compared; the rows are those of brute force."""
+    r = random.Random(12)
+    names = [f"weekly market outlook {i:04d}" for i in range(3_000)]
+    topics = [f"weekly market outlook {i:04d} with {r.choice(['notes', 'guests'])}" for i in range(1_500, 4_500)]
+    one, two = (spark.createDataFrame([(x, x) for x in side], f"{c} string, key string") for side, c in ((names, "a"), (topics, "b")))
+    assert fuzzy.candidates(one.select("key"), two.select("key")).count() < 90_000
+    found = sorted(map(tuple, fuzzy.within(one, two, "a", "b").select("a", "b").collect()))
+    assert found == sorted((n, t) for t in topics if (n := t[:26]) in set(names))
+
+
+@pytest.mark.parametrize("hot", [20_000, 3])
+def test_pieces_against_brute_force(spark, monkeypatch, hot):
+    """Keys of all lengths, repeated keys, nulls and blanks, pieces that many keys hold."""
+    monkeypatch.setattr(fuzzy, "HOT_KEYS", hot)
+    r = random.Random(hot)
+    word = lambda most: "".join(r.choice("abé") for _ in range(r.randint(0, most)))
+    short, long = [(i, word(5)) for i in range(150)] + [(-1, None)], [(i, word(14)) for i in range(150)] + [(-1, None)]
+    one, two = (spark.createDataFrame(rows, f"{c} long, key string") for rows, c in ((short, "a"), (long, "b")))
+    found = sorted(map(tuple, fuzzy.within(one, two, "a", "b").collect()))
+    assert found == sorted((a, b, x == y) for a, x in short if x for b, y in long if y and x in y)
+    assert fuzzy.within(one.limit(0), two, "a", "b").count() == 0 == fuzzy.within(one, two.limit(0), "a", "b").count()
