@@ -206,6 +206,25 @@ def state_repair(d: Domain) -> DataFrame:
         F.col("o_orderkey").alias("id"), F.when(stuck, "O").otherwise(F.col("o_orderstatus")).alias("status"), F.coalesce(F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderdate")), "first").alias("dated"))
 
 
+_STATUS = {"view": "pending", "click": "audio_downloaded", "purchase": "transcribing", "signup": "done", "error": "error"}
+_NOW = "2024-01-20 00:00:00"
+
+
+@query(f"""WITH e AS (SELECT user_id AS item_id, ts, CASE event_type {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _STATUS.items())} END AS status, CASE WHEN event_type = 'error' THEN 'e' || (event_id % 9) END AS error, CASE WHEN event_id % 3 = 0 THEN 'l' || (event_id % 5) END AS language FROM events),
+s AS (SELECT item_id, max((ts, status)) AS s, (max((ts, error)) FILTER (WHERE error IS NOT NULL))[2] AS error, (max((ts, language)) FILTER (WHERE language IS NOT NULL))[2] AS language, max(ts) FILTER (WHERE status = 'done') AS transcribed_at FROM e GROUP BY item_id),
+g AS (SELECT *, s[2] IN ('audio_downloaded', 'transcribing') AND s[1] + INTERVAL 6 HOUR <= TIMESTAMP '{_NOW}' AS gone FROM s)
+SELECT item_id, CASE WHEN gone THEN 'pending' ELSE s[2] END AS status, CASE WHEN gone THEN s[1] + INTERVAL 6 HOUR ELSE s[1] END AS since, error, language, transcribed_at FROM g""", prelude=False)
+def life_cycles(d: Domain) -> DataFrame:
+    """Where each item stands at a time by the events told of it: what was stuck is put back, errors and languages stay as last told. callmark.streaming keeps the same up with a stream."""
+    from callmark.streaming.lifecycle import settled
+
+    n, kind = F.col("event_id"), F.col("event_type")
+    status = F.coalesce(*(F.when(kind == k, F.lit(v)) for k, v in _STATUS.items()))
+    events = d.table("events").select(F.col("user_id").alias("item_id"), F.col("ts").cast("timestamp").alias("at"), status.alias("status"), F.when(kind == "error", F.concat(F.lit("e"), (n % 9).cast("string"))).alias("error"), F.when(n % 3 == 0, F.concat(F.lit("l"), (n % 5).cast("string"))).alias("language"))
+    found = settled(events, _NOW)
+    return found.select("item_id", "status", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("since", "transcribed_at")), "error", "language")
+
+
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'purchase' THEN 0 WHEN 'click' THEN 1 ELSE 2 END, ts DESC, event_id) AS rn FROM events) SELECT user_id, event_id, event_type FROM r WHERE rn = 1""", prelude=False)
 def best_copy(d: Domain) -> DataFrame:
     """Of each key the best row: by preference, then the newest, then the smallest id."""
