@@ -64,6 +64,29 @@ def item_detail(d: Domain) -> DataFrame:
     return rows.select("item_id", "source", "handle", "published_at", "status", "run", *(F.coalesce(c, F.lit(0)).alias(c) for c in counts), "top_entity")
 
 
+def of_runs(calls: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
+    """Calls of each item's chosen run (item_id, provider, model), where one is chosen, and of its primary run elsewhere. A choice of a run that the item
+    does not have gives none."""
+    first = F.rank().over(Window.partitionBy("item_id").orderBy("provider", "model"))
+    ranked = calls.withColumn("__place", first)
+    if chosen is None:
+        return ranked.filter("__place = 1").drop("__place")
+    asked = chosen.groupBy("item_id").agg(F.min(F.struct("provider", "model")).alias("__run"))
+    mine = ranked.join(asked, "item_id", "left").filter((F.col("__run").isNull() & (F.col("__place") == 1)) | (F.col("__run") == F.struct("provider", "model")))
+    return mine.drop("__place", "__run")
+
+
+@query("""+ pick AS (SELECT item_id, max((provider, model)) AS run FROM call WHERE item_id % 2 = 0 GROUP BY item_id), mine AS (SELECT call.*, coalesce(pick.run, primary_run.run) AS run FROM call JOIN primary_run USING (item_id) LEFT JOIN pick USING (item_id))
+SELECT item_id, 'call' AS what, call_id AS ref, provider || '/' || model AS run, speaker, ticker AS topic, direction, asset_name AS said FROM mine WHERE provider = run[1] AND model = run[2]
+UNION ALL SELECT item_id, 'view', view_id::VARCHAR, NULL, speaker, asset_class, direction, rationale FROM view""")
+def item_records(d: Domain) -> DataFrame:
+    """All that an item's page lists: the calls of the run that the caller chose (here the last one for even items), of its primary run elsewhere, and its market views with what was said."""
+    last = d.call.filter("item_id % 2 = 0").groupBy("item_id").agg(F.max(F.struct("provider", "model")).alias("r")).select("item_id", "r.*")
+    own = of_runs(d.call, last).select("item_id", F.lit("call").alias("what"), F.col("call_id").alias("ref"), F.concat_ws("/", "provider", "model").alias("run"), "speaker", F.col("ticker").alias("topic"), "direction", F.col("asset_name").alias("said"))
+    views = d.view.select("item_id", F.lit("view").alias("what"), F.col("view_id").cast("string").alias("ref"), F.lit(None).cast("string").alias("run"), "speaker", F.col("asset_class").alias("topic"), "direction", F.col("rationale").alias("said"))
+    return own.unionByName(views)
+
+
 _RUNS = "runs AS (SELECT item_id, provider || '/' || model AS run, max(made_at) AS finished_at, provider = 'F' AS done, model = 'R' AS compares FROM call GROUP BY ALL)"
 
 

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from callmark.functions import calls
 from callmark.operators.listing import call_order, filter_items, page, page_with_total, scored_filter
+from callmark.operators.listing_store import Listing, write_listing
 from callmark.plans.leaderboards import scored
 from callmark.plans.registry import query
+from callmark.session import materialise, work_dir
 from callmark.sources.domain import NOW, Domain
 
 
@@ -54,11 +56,22 @@ def items_with_source(d: Domain) -> DataFrame:
 WHERE source IN ('ASIA', 'EUROPE') AND published_at >= TIMESTAMP '1996-01-01' AND published_at < TIMESTAMP '1999-01-01' ORDER BY published_at DESC NULLS LAST, item_id DESC LIMIT 200 OFFSET 10""")
 def list_items(d: Domain) -> DataFrame:
     rows = filter_items(items_with_source(d), d.primary_call, sources=["ASIA", "EUROPE"], first="1996-01-01", last="1998-12-31")
-    top = page(rows.select("item_id", "source", "handle", "published_at", "status"), [F.desc_nulls_last("published_at"), F.desc("item_id")], 1_000, 10)
+    top = materialise(page(rows.select("item_id", "source", "handle", "published_at", "status"), [F.desc_nulls_last("published_at"), F.desc("item_id")], 1_000, 10))  # a page, which is read twice
     has = d.call.join(F.broadcast(top.select("item_id")), "item_id", "left_semi").select("item_id", F.lit(True).alias("has_calls")).distinct()  # an item with any call has a primary one; at most a page's
     return top.join(has, "item_id", "left").withColumn("has_calls", F.coalesce("has_calls", F.lit(False)))
 
 
+@query("""+ found AS (SELECT item_id, source, handle, published_at, status FROM item JOIN source USING (source_id) LEFT JOIN channel USING (channel_id)), n AS (SELECT count(*) AS total FROM found)
+SELECT found.*, total FROM found, n ORDER BY published_at DESC NULLS LAST, item_id DESC LIMIT 50 OFFSET (SELECT total // 2 FROM n)""")
+def deep_page(d: Domain) -> DataFrame:
+    """A page in the middle of all items, out of a listing that is sorted once: one range is read, and the total is a sum of counts."""
+    order = [F.desc_nulls_last("published_at"), F.desc("item_id")]
+    path = work_dir(d.spark)
+    write_listing(items_with_source(d).select("item_id", "source", "handle", "published_at", "status"), order, path, 1_000)
+    listing = Listing(d.spark, path, order)
+    return listing.page(listing.total // 2, 50).withColumn("total", F.lit(listing.total).cast("long"))
+
+
 @query("SELECT count(*) AS total, count(*) FILTER (WHERE status = 'done') AS done FROM item WHERE item_id NOT IN (SELECT item_id FROM primary_call WHERE direction = 'up')")
 def items_without_calls(d: Domain) -> DataFrame:
     """The total beside a page; items that were never extracted count as being without calls."""

@@ -105,3 +105,25 @@ def test_whole_queue(spark, folder):
     found = registry.QUERIES["whole_queue"](spark, where)
     assert differences(found, registry.ORACLES["whole_queue"], where) == []
     assert [r["page_id"] for r in found.collect()] == [i for i in range(1_600) if i % 3]
+
+
+def test_deep_pages(spark, tmp_path):
+    """Every page against a sorted list; an inner page reads one range."""
+    import random
+
+    from callmark.operators.listing_store import Listing, write_listing
+
+    r = random.Random(3)
+    rows = [(i, r.choice([None, *range(9)])) for i in range(1_000)]
+    df, order = spark.createDataFrame(rows, "i long, at long"), [F.desc_nulls_last("at"), F.desc("i")]
+    write_listing(df.repartition(5), order, f"{tmp_path}/l", 90)
+    listing = Listing(spark, f"{tmp_path}/l", order)
+    want = sorted(rows, key=lambda x: (x[1] is None, -(x[1] or 0), -x[0]))
+    assert listing.total == 1_000 and len(listing.parts) > 5
+    for offset, limit in ((0, 50), (37, 1), (450, 50), (480, 300), (990, 50), (1_000, 5), (5_000, 5), (-3, 2), (10, 0), (0, 2_000)):
+        assert [tuple(x) for x in listing.page(offset, limit).collect()] == want[max(0, offset) : max(0, offset) + limit], (offset, limit)
+    inner = int(listing.ends[3]) - 20
+    assert len({f.split("/")[-2] for f in listing.page(inner, 10).inputFiles()}) == 1
+    write_listing(df.limit(0), order, f"{tmp_path}/none", 90)
+    empty = Listing(spark, f"{tmp_path}/none", order)
+    assert empty.total == 0 and empty.parts == []
