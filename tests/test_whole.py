@@ -127,3 +127,29 @@ def test_deep_pages(spark, tmp_path):
     write_listing(df.limit(0), order, f"{tmp_path}/none", 90)
     empty = Listing(spark, f"{tmp_path}/none", order)
     assert empty.total == 0 and empty.parts == []
+
+
+def test_links_of_clusters(spark):
+    """Clustered items: exact links, and few of the shards asked; trained centroids and the bound for unit vectors ask no more than the sample and the plain bound."""
+    from callmark.operators import shards as sh
+
+    rng = np.random.default_rng(5)
+    own = rng.normal(size=(30, 16))[rng.integers(0, 30, 1_500)] * 3 + rng.normal(size=(1_500, 16)) * 0.15
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(own)], "item long, vector array<double>")
+    agree(search.cosine_links(items, shard_rows=50).collect(), nearest(dict(enumerate(own))), 10)
+    unit = own / np.sqrt((own**2).sum(1, keepdims=True))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(unit)], "id long, v array<double>")
+    least = np.sort(unit @ unit.T, axis=1)[:, -11]
+    asked = {}
+    for name, how in {"plain": {}, "unit": {"unit": True}, "trained": {"train": 16, "unit": True}}.items():
+        dealt, shards = sh.deal(rows, 50, **how)
+        home = {r["id"]: r["shard"] for r in dealt.select("id", "shard").collect()}
+        row, shard = shards.away(unit, least - 1e-6, np.array([home[i] for i in range(len(unit))]))
+        asked[name] = len(row) / len(unit) / shards.number
+        holds = {}
+        for i, s in home.items():
+            holds.setdefault(s, []).append(i)
+        reached = {(q, i) for q, s in zip(row.tolist(), shard.tolist()) if q < 40 for i in holds[s]} | {(q, i) for q in range(40) for i in holds[home[q]]}
+        assert all((q, i) in reached for q in range(40) for i in np.flatnonzero(unit @ unit[q] >= least[q]).tolist())
+    assert asked["trained"] <= asked["unit"] <= asked["plain"] and asked["trained"] < 0.25, asked
+    print(asked)
