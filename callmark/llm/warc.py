@@ -3,9 +3,10 @@
 Writing. A page's payload is its text in UTF-8. Among payloads of at least ``REVISIT_BYTES`` bytes that are equal, the page
 of smallest id is stored and the others become revisit records that refer to its record. A response's block is an HTTP
 message in chunked transfer framing; a block over ``segment_bytes`` is cut into a first record and continuation records.
-Each record is a gzip member of its own, and each file begins with a warcinfo record and holds a bounded number of records of
-bounded size, so a file fits a task. Spark's text writer commits the files (hence their names end in .txt): a task that is
-lost leaves none behind.
+Each record is a gzip member of its own, and each file, a .warc.gz, begins with a warcinfo record and holds a bounded number of
+records, so a file fits a task. A task writes its files under hidden names; when all have ended, the files of the attempts that count
+get their own names, and those of attempts that were lost stay hidden, which no reader looks at. A row that repeats very often is
+numbered copy by copy in blocks, in as many tasks as there are blocks.
 
 Reading. Files are parsed member by member, records by Content-Length. Records of a segmented block are grouped by the origin's
 identifier and put in order of segment number; the numbers must be 1 to n, and the last one's total length must be that of
@@ -22,20 +23,26 @@ from __future__ import annotations
 
 import hashlib
 import re
+import sys
+import uuid
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from datetime import UTC, datetime
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.types import StructType
 
 from callmark.llm.common import few, materialise, name, slices, table, whole, work_dir
 
 REVISIT_BYTES = 100
 SEGMENT_BYTES = 65_536
-#: A gzip member ends in its length's highest byte, 0 below this length; that byte is what the text writer puts after each row.
-MOST_RECORD_BYTES = 1 << 24
+#: Copies of a row that one task numbers and writes.
+COPIES_PER_BLOCK = 1_000
 CHUNK_BYTES = 8_192
 RECORDS_PER_FILE = 2_000
 MOST_REPEATED = 1_000_000
@@ -47,14 +54,12 @@ RECORD_DDL = "record_id string, record_type string, page_id long, url string, pa
 
 
 def record(headers: list[tuple[str, object]], block: bytes) -> bytes:
-    """A record, as a gzip member without its last byte. White space and control characters in a header's value are percent-encoded."""
+    """A record, as a gzip member. White space and control characters in a header's value are percent-encoded."""
     value = lambda v: re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", str(v))
     lines = [VERSION, *(f"{k}: {value(v)}".encode() for k, v in headers if v is not None), f"Content-Length: {len(block)}".encode()]
     whole_ = CRLF.join(lines) + CRLF + CRLF + block + CRLF + CRLF
-    if len(whole_) >= MOST_RECORD_BYTES:
-        raise ValueError("a record is too long: lower segment_bytes")
     packer = zlib.compressobj(1, zlib.DEFLATED, 31)
-    return (packer.compress(whole_) + packer.flush())[:-1]
+    return packer.compress(whole_) + packer.flush()
 
 
 def chunked(payload: bytes, size: int = CHUNK_BYTES) -> bytes:
@@ -132,6 +137,67 @@ def _key(copy: Column | int) -> Column:
     return F.concat_ws("|", text("page_id"), text("url"), "digest", F.lit(copy).cast("string") if isinstance(copy, int) else copy.cast("string"))
 
 
+def in_blocks(several: DataFrame) -> DataFrame:
+    """A row for each of the n copies of a row, with its number as copy; dealt by blocks of copies before they are made."""
+    blocks = several.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / COPIES_PER_BLOCK)))).repartition("same", "block")
+    first = F.col("block") * COPIES_PER_BLOCK
+    return blocks.withColumn("copy", F.explode(F.sequence(first, F.least(first + COPIES_PER_BLOCK, F.col("n")) - 1)))
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    names: list[str]
+
+
+class ArchiveWriter(DataSourceArrowWriter):
+    """Rows of column value, one after another, as files of RECORDS_PER_FILE rows."""
+
+    def __init__(self, path: str, per_file: int):
+        self.path, self.per_file = path, per_file
+
+    def store(self):
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(self.path)
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        store, base = self.store()
+        store.create_dir(base, recursive=True)
+        names, out, n = [], None, 0
+        for batch in iterator:
+            for value in batch.column("value"):
+                if n % self.per_file == 0:
+                    if out:
+                        out.close()
+                    names.append(f"{uuid.uuid4().hex}.warc.gz")
+                    out = store.open_output_stream(f"{base}/.{names[-1]}", compression=None)
+                out.write(value.as_buffer())
+                n += 1
+        if out:
+            out.close()
+        return Written(names)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        store, base = self.store()
+        store.create_dir(base, recursive=True)
+        for i, name in enumerate(n for m in messages if m for n in m.names):
+            store.move(f"{base}/.{name}", f"{base}/part-{i:06d}-{name}")
+
+    def abort(self, messages: list[Written | None]) -> None:
+        store, base = self.store()
+        for name in (n for m in messages if m for n in m.names):
+            store.delete_file(f"{base}/.{name}")
+
+
+class Archives(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "callmark_archives"
+
+    def writer(self, schema: StructType, overwrite: bool) -> ArchiveWriter:
+        return ArchiveWriter(self.options["path"], int(self.options["perfile"]))
+
+
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", segment_bytes: int = SEGMENT_BYTES) -> None:
     """Archives below path. Payloads meet their first page by digest; a hot digest's rows are split by the skew join."""
     pages = pages.select(F.col(name(id_col)).cast("long").alias("page_id"), F.col(name(url_col)).cast("string").alias("url"), whole(name(html_col)).alias("html")).withColumn("digest", F.sha2("html", 256)).withColumn("same", F.md5(_key(0)))
@@ -141,7 +207,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     if not repeated.isEmpty():
         repeated = F.broadcast(repeated) if few(repeated, MOST_REPEATED) else repeated
         several = pages.join(repeated, "same", "left_semi").groupBy("same").agg(*(F.first(c).alias(c) for c in ("page_id", "url", "html", "digest")), F.count(F.lit(1)).alias("n"))
-        rows = rows.join(repeated, "same", "left_anti").unionByName(several.select(*pages.columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("copy")))
+        rows = rows.join(repeated, "same", "left_anti").unionByName(in_blocks(several).select(*pages.columns, "copy"))
     large = F.octet_length("html") >= REVISIT_BYTES
     first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url")))
     firsts = pages.filter(large).groupBy("digest").agg(first.alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 AND first IS NOT NULL").select("digest", "first")
@@ -165,9 +231,10 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
                     n += 1
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
-    # the text writer puts bytes out as they are, and after each row the byte that closes its member
-    records = all_pages.mapInArrow(run, "value binary").select(F.col("value").cast("string"))
-    records.write.option("lineSep", "\0").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    spark = pages.sparkSession
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the worker that plans and commits the write has no shipped package
+    spark.dataSource.register(Archives)
+    all_pages.mapInArrow(run, "value binary").write.format("callmark_archives").option("path", path if "://" in path else f"file://{path}").option("perfile", RECORDS_PER_FILE).mode("append").save()
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -195,7 +262,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                     rows = []
             yield pa.RecordBatch.from_pylist(rows, RECORD)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").schema("path string, modificationTime timestamp, length long, content binary").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.warc.gz").schema("path string, modificationTime timestamp, length long, content binary").load(path)
     return files.filter("length > 0").select("content").mapInArrow(run, RECORD_DDL)
 
 
