@@ -1,8 +1,8 @@
 """A stored positional index over titles and bodies: ranked search that reads its words' lists alone, and headlines by minimal covers.
 
 A row of the index is a word in a document: its positions, title first, and how many of them are the title's. Rows are dealt into folders by a
-checksum of the word and, within, by ranges of (word, document), sorted: a query reads the folders of its words, and of their files the row
-groups that hold them; a word that most documents have is spread over many files. Nothing is gathered by word.
+checksum of the word and, within, into files by document, sorted by (word, document): a query reads the folders of its words, and of their files
+the row groups that hold them; a word that most documents have is spread over many files. Nothing is gathered by word.
 
 The rank of one word adds 1/k^2 over its positions, the best weighted one first; of several words it joins, over all pairs of
 positions of different words, the chance that neither is by accident there: near pairs count nearly in full, pairs over NEAR words apart
@@ -56,7 +56,7 @@ def postings(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
                 sizes = listed.value_lengths().to_numpy()
                 code, row = flat.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)
                 place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
-                order = np.lexsort((place, code, row))
+                order = np.argsort(row * (len(flat.dictionary) + 1) + code, kind="stable")  # places stay in order
                 code, row, place = code[order], row[order], place[order].astype(np.int32)
                 starts = np.flatnonzero(np.diff(code, prepend=-1) | np.diff(row, prepend=-1))
                 title = place <= part.column("n_title").to_numpy()[row]
@@ -71,9 +71,14 @@ def postings(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
 
 def write_index(docs: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """Writes the index of documents (doc_id, title, body) to a new folder. A doc_id names one document."""
-    rows = postings(docs, buckets).repartitionByRange("bucket", "term", "doc_id").sortWithinPartitions("bucket", "term", "doc_id")
-    rows.write.partitionBy("bucket").parquet(path)
+    """Writes the index of documents (doc_id, title, body) to a new folder. A doc_id names one document.
+
+    A bucket is dealt to as many tasks as there are shuffle partitions for it, by document, so that a word that most documents have is split.
+    """
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slices = max(1, partitions // buckets)
+    rows = postings(docs, buckets).repartition(max(partitions, min(buckets, 8)), "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(slices)))
+    rows.sortWithinPartitions("bucket", "term", "doc_id").write.partitionBy("bucket").parquet(path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:

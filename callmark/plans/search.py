@@ -45,9 +45,9 @@ _WORDS = """docs AS (SELECT doc_id, source, o_orderdate AS published_at, text, r
 
 def _places(*terms: str) -> str:
     """CTEs w (doc_id, term, p, w: place and weight) and r (doc_id, rank) for two or more words."""
-    return f"""w AS (SELECT doc_id, l[i] AS term, i AS p, CASE WHEN i <= len(t) THEN 1.0::DOUBLE ELSE 0.4::DOUBLE END AS w FROM (SELECT doc_id, t, t || b AS l, unnest(range(1, len(t || b) + 1)) AS i FROM docs) WHERE l[i] IN ({', '.join(f"'{x}'" for x in terms)})),
+    return f"""w AS (SELECT doc_id, term, p, CASE WHEN p <= n THEN 1.0::DOUBLE ELSE 0.4::DOUBLE END AS w FROM (SELECT doc_id, len(t) AS n, unnest(t || b) AS term, unnest(range(1, len(t) + len(b) + 1)) AS p FROM docs) WHERE term IN ({', '.join(f"'{x}'" for x in terms)})),
 hit AS (SELECT doc_id FROM w GROUP BY doc_id HAVING count(DISTINCT term) = {len(terms)}),
-r AS (SELECT doc_id, coalesce(1 - exp(sum(ln(1 - sqrt(x.w * y.w / (1.005 + 0.05 * exp(abs(x.p - y.p) / 1.5::DOUBLE - 2)))))), 0.0) AS rank FROM hit JOIN w x USING (doc_id) LEFT JOIN w y USING (doc_id)
+r AS (SELECT doc_id, coalesce(1 - exp(sum(ln(1 - sqrt(x.w * y.w / (1.005 + 0.05 * exp(abs(x.p - y.p) / 1.5::DOUBLE - 2)))))), 0.0) AS rank FROM hit JOIN (SELECT *, p // {op.NEAR + 1} AS blk FROM w) x USING (doc_id) JOIN (SELECT *, unnest([p // {op.NEAR + 1} - 1, p // {op.NEAR + 1}, p // {op.NEAR + 1} + 1]) AS blk FROM w) y USING (doc_id, blk)
     WHERE x.term < y.term AND abs(x.p - y.p) <= {op.NEAR} GROUP BY doc_id),
 ranks AS (SELECT doc_id, round(coalesce(rank, 0.0), 6) AS rank FROM hit LEFT JOIN r USING (doc_id))"""
 
@@ -68,7 +68,7 @@ def search_page(d: Domain) -> DataFrame:
     return page.crossJoin(F.broadcast(total)).select("doc_id", "source", "published_at", "rank", "total")
 
 
-@query(f"""WITH {_WORDS}, l AS (SELECT doc_id, l[i] AS term, i, len(t) AS n FROM (SELECT doc_id, t, t || b AS l, unnest(range(1, len(t || b) + 1)) AS i FROM docs) WHERE l[i] = 'this'),
+@query(f"""WITH {_WORDS}, l AS (SELECT doc_id, term, i, n FROM (SELECT doc_id, len(t) AS n, unnest(t || b) AS term, unnest(range(1, len(t) + len(b) + 1)) AS i FROM docs) WHERE term = 'this'),
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, CASE WHEN i <= n THEN 1.0::DOUBLE ELSE 0.4::DOUBLE END AS w FROM l)
 SELECT doc_id, round((max(w) + sum(w / (k * k)) - arg_max(w / (k * k), (w, -k))) / (pi() * pi() / 6), 6) AS rank FROM k GROUP BY doc_id""", prelude=False)
 def search_word(d: Domain) -> DataFrame:
