@@ -7,13 +7,14 @@ import uuid
 import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
-#: Folders of the scratch() blocks that are open, innermost last.
-_OPEN: list[str] = []
+#: Folders of the scratch() blocks that are open in this thread or task, innermost last.
+_OPEN: ContextVar[tuple[str, ...]] = ContextVar("callmark_scratch", default=())
 
 
 def session(master: str = "local[*]", shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -54,7 +55,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def work_dir(spark: SparkSession) -> str:
     """A new folder in the shared one, within the innermost open scratch() block."""
-    return f"{_OPEN[-1] if _OPEN else shared_dir(spark)}/{uuid.uuid4().hex}"
+    return f"{_OPEN.get()[-1] if _OPEN.get() else shared_dir(spark)}/{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -74,18 +75,18 @@ def remove(spark: SparkSession, path: str) -> None:
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Working tables that are written in the block are deleted at its end; what outlives it must be written after, by kept()."""
     folder = work_dir(spark)
-    _OPEN.append(folder)
+    before = _OPEN.set((*_OPEN.get(), folder))
     try:
         yield
     finally:
-        _OPEN.pop()
+        _OPEN.reset(before)
         remove(spark, folder)
 
 
 def kept(df: DataFrame) -> DataFrame:
     """materialise() outside the innermost scratch() block: the table outlives it."""
-    inner = _OPEN.pop()
+    inner = _OPEN.set(_OPEN.get()[:-1])
     try:
         return materialise(df)
     finally:
-        _OPEN.append(inner)
+        _OPEN.reset(inner)
