@@ -121,12 +121,12 @@ def nested_records(d: Domain) -> DataFrame:
 _BETWEEN = ("null", '"bare text"', "17.5", '[{"name":"inner"}]', "true", '{"kind":"theme"}')
 
 
-@query("""SELECT event_id, i - 1 AS place, CASE WHEN i = 1 THEN event_type WHEN event_id % 7 = 5 AND i = 2 THEN NULL ELSE user_id::VARCHAR END AS entity FROM events, range(1, 4) r(i) WHERE event_id % 7 <> 6 AND (i < 3 OR event_id % 7 = 5)""", prelude=False)
+@query("""SELECT event_id, CASE WHEN event_id % 7 <> 6 THEN i - 1 END AS place, CASE WHEN event_id % 7 = 6 OR event_id % 7 = 5 AND i = 2 THEN NULL WHEN i = 1 THEN event_type ELSE user_id::VARCHAR END AS entity FROM events, range(1, 4) r(i) WHERE i = 1 OR event_id % 7 = 5 OR i = 2 AND event_id % 7 <> 6""", prelude=False)
 def nested_entities(d: Domain) -> DataFrame:
-    """Records with an element between them that is no record, which is passed over alone; a seventh of the texts is cut off and gives none."""
+    """Records with an element between them that is no record, which is passed over alone; a seventh of the texts is cut off and gives an empty row."""
     between = F.element_at(F.array(*map(F.lit, _BETWEEN), F.lit("")), (F.col("event_id") % 7 + 1).cast("int"))
     raw = F.concat(F.lit('{"entities":[{"name":"'), "event_type", F.lit('"},'), between, F.when(F.col("event_id") % 7 == 6, "").otherwise(F.concat(F.lit(',{"name":'), F.col("user_id").cast("string"), F.lit("}]}"))))
-    rows = d.table("events").select("event_id", F.posexplode(va.records(raw, "$.entities")).alias("place", "e"))
+    rows = d.table("events").select("event_id", F.posexplode_outer(va.records(raw, "$.entities")).alias("place", "e"))
     return rows.select("event_id", F.col("place").cast("long").alias("place"), va.text_of(F.col("e"), "$.name").alias("entity"))
 
 
