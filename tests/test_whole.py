@@ -84,7 +84,7 @@ def test_no_row_goes_for_its_id(spark):
     run = lambda name: registry.QUERIES[name](spark, SMALL)
     entities = run("nested_entities")
     assert entities.select("event_id").distinct().count() == events.count()
-    assert entities.count() == 2 * events.count() - events.filter("event_id % 3 = 1").count()
+    assert entities.count() == 2 * events.count() + events.filter("event_id % 7 = 5").count() - events.filter("event_id % 7 = 6").count()  # three records, and a text that is cut off
     assert run("all_facets").agg(F.sum("n")).first()[0] == events.count()
     by_day = events.groupBy("event_type", F.to_date("ts")).count()
     assert run("all_landed_prices").agg(F.sum("volume")).first()[0] == by_day.filter("count % 7 <> 0").agg(F.sum("count")).first()[0]
