@@ -351,6 +351,11 @@ def test_markdown_of_hostile_pages(spark):
     assert {h[:60]: g for h, g in zip(cases, got) if h is not None and g != cases[h]} == {} and got[list(cases).index(None)] is None
 
 
+def test_markdown_of_references_cut_off(spark):
+    cases = {"<h1>a&amp;&amp;&amp</h1>": "# a&&&amp", "<p>&ampx &am &#65 &#x41; &nosuch; &notit; &lt;": "&ampx &am &#65 A &nosuch; &notit; <", "<a href='/x?a=1&copy=2&amp;b'>y</a>": "[y](/x?a=1&copy=2&b)"}
+    assert values(spark, [(h,) for h in cases], "t string", ht.html_markdown(F.col("t"))) == list(cases.values())
+
+
 def test_page_authors(spark):
     long = "n" * 41
     pages = {
