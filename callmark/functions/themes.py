@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from callmark.functions.batches import each
+
 # The themes and their keywords in both languages, and what counts as talk about rates.
 THEMES: dict[str, list[str]] = {
     "precious-metals": ["gold", "silver", "platinum", "palladium", "precious metal", "GC=F", "SI=F", "PL=F", "PA=F"],
@@ -69,10 +70,4 @@ def themes_of(text: Column, themes: Mapping[str, Sequence[str]] = THEMES) -> Col
     table = tuple((name, tuple(k for k in words if k)) for name, words in themes.items())
     if not any(words for _, words in table):
         return F.array().cast("array<string>")
-
-    @F.pandas_udf("array<string>")
-    def tagged(texts: pd.Series) -> pd.Series:
-        automaton = _automaton(table)
-        return pd.Series([[table[i][0] for i in sorted(found(t or "", automaton))] for t in texts], dtype=object)
-
-    return tagged(text)
+    return each(text, lambda t: [table[i][0] for i in sorted(found(t or "", _automaton(table)))], "array<string>")

@@ -444,3 +444,15 @@ def test_pieces_against_brute_force(spark, monkeypatch, hot):
     found = sorted(map(tuple, fuzzy.within(one, two, "a", "b").collect()))
     assert found == sorted((a, b, x == y) for a, x in short if x for b, y in long if y and x in y)
     assert fuzzy.within(one.limit(0), two, "a", "b").count() == 0 == fuzzy.within(one, two.limit(0), "a", "b").count()
+
+
+def test_python_functions_hold_a_slice_at_a_time(spark):
+    import pyarrow as pa
+
+    from callmark.functions import batches
+
+    long = pa.array(["x" * 1000] * 10_000 + [None, "y"])
+    parts = list(batches.slices(long))
+    assert pa.concat_arrays(parts) == long and max(p.nbytes for p in parts) <= batches.SLICE_BYTES + 1000 * 8 and list(batches.slices(long[:0])) == []
+    held = spark.range(3000, numPartitions=1).select("id", batches.each(F.when(F.col("id") % 7 > 0, F.repeat(F.col("id").cast("string"), F.lit(500))), lambda t: t and t[:4], "string").alias("t"))
+    assert [r["t"] for r in held.orderBy("id").collect()] == [(str(i) * 500)[:4] if i % 7 else None for i in range(3000)]
