@@ -456,3 +456,24 @@ def test_python_functions_hold_a_slice_at_a_time(spark):
     assert pa.concat_arrays(parts) == long and max(p.nbytes for p in parts) <= batches.SLICE_BYTES + 1000 * 8 and list(batches.slices(long[:0])) == []
     held = spark.range(3000, numPartitions=1).select("id", batches.each(F.when(F.col("id") % 7 > 0, F.repeat(F.col("id").cast("string"), F.lit(500))), lambda t: t and t[:4], "string").alias("t"))
     assert [r["t"] for r in held.orderBy("id").collect()] == [(str(i) * 500)[:4] if i % 7 else None for i in range(3000)]
+
+
+def test_names_are_resolved_by_one_pattern(spark):
+    """Plans repeat what they push down: a name's look-up stays as small with twenty aliases as with one, and later rules never hide earlier ones."""
+    names = [("jd",), ("JD",), (" a  b ",), ("Speaker 2",), ("s.3",), ("sx3",), ("",), (None,)]
+    assert values(spark, names, "t string", opinions.resolve_person(F.col("t"), {"jd": "J", "Jd": "K", "s.3": "no"}, generic=("s.3",))) == ["J", "J", "a b", None, None, "sx3", None, None]
+    size = lambda n: spark.range(1).select(F.col("id").cast("string").alias("t")).filter(opinions.resolve_person(F.col("t"), {f"a{i}": "x" for i in range(n)}).isNotNull())._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace")
+    assert size(20) == size(1) <= 2
+
+
+def test_people_are_written_once(spark):
+    """A filter on slugs does not reach the rows that people are counted from: those are read once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(rows):
+        for r in rows:
+            seen.add(1)
+            yield r
+
+    people = spark.createDataFrame(spark.sparkContext.parallelize([("A B",), ("零",), ("一",)], 1).mapPartitions(counted), "person string")
+    assert {r["person"]: r["slug"] for r in opinions.person_slugs(people).collect()} == {"A B": "a-b", "一": "person-001", "零": "person-002"} and seen.value == 3
