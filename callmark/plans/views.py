@@ -10,6 +10,7 @@ from callmark.functions.themes import RATES_CONTEXT, THEMES
 from callmark.operators import opinions as op
 from callmark.plans.opinions import ALIASES, EVENTS, PART_THEMES, events, tagged, theme_sql
 from callmark.plans.registry import query
+from callmark.session import materialise
 from callmark.sources.domain import Domain
 
 #: Who hosts which shows: parts of their names.
@@ -78,7 +79,7 @@ sides AS (SELECT topic, count(*) FILTER (WHERE last = 1) AS up, count(*) FILTER
 SELECT person, topic, n, now, CASE now WHEN 1 THEN down WHEN -1 THEN up ELSE 0 END AS n_opposed, row_number() OVER (PARTITION BY person ORDER BY n DESC, topic)::INTEGER AS place FROM n JOIN sides USING (topic)""")
 def person_topic_pages(d: Domain) -> DataFrame:
     """A person's topics, most events first: how many, where they stand now, and how many others' last event is against that."""
-    mine = op.current_stance(all_events(d).filter("person IS NOT NULL"), ["person", "topic"], n=F.count(F.lit(1)), last=F.max_by("stance", F.struct("seen_at", "ref")))
+    mine = materialise(op.current_stance(all_events(d).filter("person IS NOT NULL"), ["person", "topic"], n=F.count(F.lit(1)), last=F.max_by("stance", F.struct("seen_at", "ref"))))
     sides = mine.groupBy("topic").agg(F.count_if(F.col("last") == 1).alias("up"), F.count_if(F.col("last") == -1).alias("down"))
     place = F.row_number().over(Window.partitionBy("person").orderBy(F.desc("n"), "topic"))
     opposed = F.when(F.col("stance") == 1, F.col("down")).when(F.col("stance") == -1, F.col("up")).otherwise(F.lit(0))
