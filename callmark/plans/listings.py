@@ -67,7 +67,7 @@ def deep_page(d: Domain) -> DataFrame:
     """A page in the middle of all items, out of a listing that is sorted once: one range is read, and the total is a sum of counts."""
     order = [F.desc_nulls_last("published_at"), F.desc("item_id")]
     path = work_dir(d.spark)
-    write_listing(items_with_source(d).select("item_id", "source", "handle", "published_at", "status"), order, path, 1_000)
+    write_listing(items_with_source(d).select("item_id", "source", "handle", "published_at", "status"), order, path)
     listing = Listing(d.spark, path, order)
     return listing.page(listing.total // 2, 50).withColumn("total", F.lit(listing.total).cast("long"))
 

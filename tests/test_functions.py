@@ -477,3 +477,11 @@ def test_people_are_written_once(spark):
 
     people = spark.createDataFrame(spark.sparkContext.parallelize([("A B",), ("零",), ("一",)], 1).mapPartitions(counted), "person string")
     assert {r["person"]: r["slug"] for r in opinions.person_slugs(people).collect()} == {"A B": "a-b", "一": "person-001", "零": "person-002"} and seen.value == 3
+
+
+def test_deep_page_reads_ranges_that_do_not_grow_in_number(spark, tmp_path, monkeypatch):
+    from callmark.plans import listings, registry
+
+    monkeypatch.setattr(listings, "work_dir", lambda s: str(tmp_path / "l"))
+    assert registry.QUERIES["deep_page"](spark, "/root/testdata/sf0.01").count() == 50
+    assert len(list((tmp_path / "l" / "rows").glob("__part=*"))) == 1  # 15,000 items; ranges hold 100,000
