@@ -1,8 +1,9 @@
 """A stored positional index over titles and bodies: ranked search that reads its words' lists alone, and headlines by minimal covers.
 
-A row of the index is a word in a document: its positions, title first, and how many of them are the title's. Rows are dealt into folders by a
-checksum of the word and, within, into files by document, sorted by (word, document): a query reads the folders of its words, and of their files
-the row groups that hold them; a word that most documents have is spread over many files. Nothing is gathered by word.
+A row of the index is a word in a block of documents that were read together: for each document how many positions it has, how many of them are the
+title's, and the positions, title first, one document after the other. Rows are dealt into folders by a checksum of the word and, within, into files by
+block, sorted by (word, block): a query reads the folders of its words, and of their files the row groups that hold them; a word that most documents
+have is spread over many files. Nothing is gathered by word.
 
 The rank of one word adds 1/k^2 over its positions, the best weighted one first; of several words it joins, over all pairs of
 positions of different words, the chance that neither is by accident there: near pairs count nearly in full, pairs over NEAR words apart
@@ -28,7 +29,10 @@ FRAGMENTS, LEAST_WORDS, MOST_WORDS, SHORT_WORD = 2, 8, 30, 2
 MARKS, BETWEEN = ("<b>", "</b>"), " ... "
 WORD = r"[\p{L}\p{N}_]+"
 BUCKETS = 64
-SCHEMA = "bucket int, term string, doc_id long, in_title int, positions array<int>"
+#: About so many bytes of words are a block.
+BLOCK_BYTES = 8 << 20
+ROW = "term string, docs array<long>, in_title array<int>, sizes array<int>, positions array<int>"
+SCHEMA = f"bucket int, {ROW}"
 
 
 def words(text: Column) -> Column:
@@ -49,47 +53,65 @@ def postings(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            rows = max(1, batch.num_rows * BLOCK_BYTES // max(batch.nbytes, 1))
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
                 listed = part.column("words")
                 flat = listed.flatten().dictionary_encode()
-                sizes = listed.value_lengths().to_numpy()
-                code, row = flat.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)
-                place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + 1
-                order = np.argsort(row * (len(flat.dictionary) + 1) + code, kind="stable")  # places stay in order
+                if not len(flat):
+                    continue
+                lengths = listed.value_lengths().to_numpy()
+                code, row = flat.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(lengths)), lengths)
+                place = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + 1
+                order = np.argsort(code * len(lengths) + row, kind="stable")  # places stay in order
                 code, row, place = code[order], row[order], place[order].astype(np.int32)
-                starts = np.flatnonzero(np.diff(code, prepend=-1) | np.diff(row, prepend=-1))
+                starts = np.flatnonzero(np.diff(code, prepend=-1) | np.diff(row, prepend=-1))  # of each document's positions of a word
+                first = np.flatnonzero(np.diff(code[starts], prepend=-1))  # of each word's documents
+                ends, sizes = np.append(first, len(starts)).astype(np.int32), np.diff(np.append(starts, len(place))).astype(np.int32)
                 title = place <= part.column("n_title").to_numpy()[row]
+                of_word = lambda values: pa.ListArray.from_arrays(pa.array(ends), values)  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays([
-                    flat.dictionary.take(pa.array(code[starts])), part.column("doc_id").take(pa.array(row[starts])), pa.array(np.add.reduceat(title, starts, dtype=np.int32) if len(starts) else np.empty(0, np.int32)),
-                    pa.ListArray.from_arrays(pa.array(np.append(starts, len(place)).astype(np.int32)), pa.array(place))], ["term", "doc_id", "in_title", "positions"])
+                    flat.dictionary.take(pa.array(code[starts[first]])), of_word(part.column("doc_id").take(pa.array(row[starts]))), of_word(pa.array(np.add.reduceat(title, starts, dtype=np.int32))), of_word(pa.array(sizes)),
+                    pa.ListArray.from_arrays(pa.array(np.append(starts[first], len(place)).astype(np.int32)), pa.array(place))], ["term", "docs", "in_title", "sizes", "positions"])
 
     title, body = words(F.col("title")), words(F.col("body"))
     listed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(title).alias("n_title"), F.concat(title, body).alias("words"))
-    rows = listed.mapInArrow(run, "term string, doc_id long, in_title int, positions array<int>")
-    return rows.select((F.crc32(F.col("term").cast("binary")) % buckets).cast("int").alias("bucket"), "term", "doc_id", "in_title", "positions")
+    return listed.mapInArrow(run, ROW).select((F.crc32(F.col("term").cast("binary")) % buckets).cast("int").alias("bucket"), "*")
 
 
 def write_index(docs: DataFrame, path: str, buckets: int = BUCKETS) -> None:
     """Writes the index of documents (doc_id, title, body) to a new folder. A doc_id names one document.
 
-    A bucket is dealt to as many tasks as there are shuffle partitions for it, by document, so that a word that most documents have is split.
+    A bucket is dealt to as many tasks as there are shuffle partitions for it, by block, so that a word that most documents have is split.
     """
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     slices = max(1, partitions // buckets)
-    rows = postings(docs, buckets).repartition(max(partitions, min(buckets, 8)), "bucket", F.pmod(F.xxhash64("doc_id"), F.lit(slices)))
-    rows.sortWithinPartitions("bucket", "term", "doc_id").write.partitionBy("bucket").parquet(path)
+    rows = postings(docs, buckets).repartition(max(partitions, min(buckets, 8)), "bucket", F.pmod(F.xxhash64(F.col("docs")[0]), F.lit(slices)))
+    rows.sortWithinPartitions("bucket", "term", F.col("docs")[0]).write.partitionBy("bucket").parquet(path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SCHEMA).parquet(path)
 
 
+def opened(lists: DataFrame) -> DataFrame:
+    """no, doc_id, in_title, positions of rows (no, docs, in_title, sizes, positions)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            no, docs, in_title, sizes, positions = batch.columns
+            offsets = np.append(0, np.cumsum(sizes.flatten().to_numpy())).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(no.to_numpy(), docs.value_lengths().to_numpy())), docs.flatten(), in_title.flatten(), pa.ListArray.from_arrays(pa.array(offsets), positions.flatten())], ["no", "doc_id", "in_title", "positions"])
+
+    return lists.mapInArrow(run, "no int, doc_id long, in_title int, positions array<int>")
+
+
 def matches(index: DataFrame, terms: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
     """doc_id, found: documents with all words; found has (no, in_title, positions) of each word, in the query's order."""
     lists = index.filter(F.col("bucket").isin(sorted({bucket(t, buckets) for t in terms})) & F.col("term").isin(*terms))
     no = F.array_position(F.array(*map(F.lit, terms)), F.col("term")).cast("int")
-    found = lists.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(no.alias("no"), "in_title", "positions"))).alias("found"))  # a row for each word
+    each = opened(lists.select(no.alias("no"), "docs", "in_title", "sizes", "positions"))
+    found = each.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("no", "in_title", "positions"))).alias("found"))  # a row for each word
     return found.filter(F.size("found") == len(terms))
 
 
@@ -126,7 +148,7 @@ def search(index: DataFrame, query: str, buckets: int = BUCKETS) -> DataFrame:
     """doc_id, rank of the documents with all words of the query; a query without words finds nothing (it is for browsing)."""
     terms = query_words(query)
     if not terms:
-        return index.select("doc_id", F.lit(0.0).alias("rank")).limit(0)
+        return index.select(F.explode("docs").alias("doc_id"), F.lit(0.0).alias("rank")).limit(0)
     return ranked(matches(index, terms, buckets))
 
 

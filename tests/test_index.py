@@ -84,3 +84,11 @@ def test_headlines():
     far = ix.headline_of("oil " + "x1x " * 50 + "gas", at([1], [52]), frozenset(["oil", "gas"]))
     assert far.startswith("<b>oil</b> x1x") and len(far.split()) == 30
     assert ix.headline_of("", at([]), frozenset(["oil"])) == ""
+
+
+def test_a_row_is_a_word_of_a_block(spark, tmp_path):
+    """A word that all of 400 documents have is one row for each block that was read, not one for each document."""
+    made = spark.range(400, numPartitions=1).selectExpr("id AS doc_id", "'Common' AS title", "concat('common words w', id) AS body")
+    ix.write_index(made, f"{tmp_path}/i", 8)
+    rows = ix.read_index(spark, f"{tmp_path}/i").filter("term = 'common'").collect()
+    assert len(rows) == 1 and sorted(rows[0]["docs"]) == list(range(400)) and rows[0]["sizes"] == [2] * 400 and rows[0]["in_title"] == [1] * 400 and rows[0]["positions"] == [1, 2] * 400
