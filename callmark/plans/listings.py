@@ -49,7 +49,7 @@ def channel_directory(d: Domain) -> DataFrame:
 
 
 def items_with_source(d: Domain) -> DataFrame:
-    return d.item.join(F.broadcast(d.source), "source_id").join(d.channel.select("channel_id", "handle"), "channel_id", "left")
+    return d.named_item.join(F.broadcast(d.source), "source_id")
 
 
 @query("""SELECT item_id, source, handle, published_at, status, item_id IN (SELECT item_id FROM primary_call) AS has_calls FROM item JOIN source USING (source_id) LEFT JOIN channel USING (channel_id)

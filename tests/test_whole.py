@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from callmark.operators import search
 from callmark.plans import registry
+from callmark.plans.listings import items_with_source
+from callmark.sources import domain
 from tests.oracle import differences
 
 SMALL = "/root/testdata/sf0.001"
@@ -153,3 +155,30 @@ def test_links_of_clusters(spark):
         assert all((q, i) in reached for q in range(40) for i in np.flatnonzero(unit @ unit[q] >= least[q]).tolist())
     assert asked["trained"] <= asked["unit"] <= asked["plain"] and asked["trained"] < 0.25, asked
     print(asked)
+
+
+@pytest.fixture
+def shuffled(spark):
+    """Joins shuffle as those of large tables do, and shuffles keep their partitions."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_items_without_channel_are_spread(spark, shuffled):
+    """They have no key to be joined by, and are not one task's for it."""
+    alone = items_with_source(domain.Domain(spark, SMALL)).filter("channel_id IS NULL").groupBy(F.spark_partition_id()).count().collect()
+    assert len(alone) > 1 and sum(r["count"] for r in alone) == spark.read.parquet(f"{SMALL}/orders.parquet").filter("o_orderkey % 10 = 0").count()
+
+
+@pytest.mark.parametrize("name", ["item_detail", "item_entities"])
+def test_tasks_grow_with_items(spark, shuffled, monkeypatch, name):
+    """What a task holds is some rows, however many there are; the rows are those of its SQL."""
+    monkeypatch.setattr(domain, "ROWS_A_TASK", 500)
+    found = registry.QUERIES[name](spark, SMALL)
+    assert found.rdd.getNumPartitions() == -(-spark.read.parquet(f"{SMALL}/lineitem.parquet").count() // 500) > 4
+    assert differences(found, registry.ORACLES[name], SMALL) == []
