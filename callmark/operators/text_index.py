@@ -19,6 +19,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,9 +28,9 @@ TITLE_WEIGHT, BODY_WEIGHT = 1.0, 0.4
 NEAR = 100
 FRAGMENTS, LEAST_WORDS, MOST_WORDS, SHORT_WORD = 2, 8, 30, 2
 MARKS, BETWEEN = ("<b>", "</b>"), " ... "
-WORD = r"[\p{L}\p{N}_]+"
+WORD, NO_WORD = r"[\p{L}\p{N}_]+", r"[^\p{L}\p{N}_]+"
 BUCKETS = 64
-#: About so many bytes of words are a block.
+#: About so many bytes of text are a block.
 BLOCK_BYTES = 8 << 20
 ROW = "term string, docs array<long>, in_title array<int>, sizes array<int>, positions array<int>"
 SCHEMA = f"bucket int, {ROW}"
@@ -39,6 +40,12 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
+def words_of(texts: pa.Array) -> pa.ListArray:
+    """The same as words() of texts in lower case, a batch at a time; null for a text without words."""
+    spaced = pc.utf8_trim(pc.replace_substring_regex(texts, NO_WORD, " "), " ")
+    return pc.split_pattern(pc.if_else(pc.equal(spaced, ""), pa.scalar(None, spaced.type), spaced), " ")
+
+
 def query_words(query: str) -> list[str]:
     """Different words of a query, in order."""
     return list(dict.fromkeys(re.findall(r"\w+", query.lower())))
@@ -56,11 +63,11 @@ def postings(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
             rows = max(1, batch.num_rows * BLOCK_BYTES // max(batch.nbytes, 1))
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
-                listed = part.column("words")
+                listed = words_of(part.column("text"))
                 flat = listed.flatten().dictionary_encode()
                 if not len(flat):
                     continue
-                lengths = listed.value_lengths().to_numpy()
+                lengths, n_title = (pc.fill_null(x.value_lengths(), 0).to_numpy(zero_copy_only=False) for x in (listed, words_of(part.column("title"))))
                 code, row = flat.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(lengths)), lengths)
                 place = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + 1
                 order = np.argsort(code * len(lengths) + row, kind="stable")  # places stay in order
@@ -68,15 +75,15 @@ def postings(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
                 starts = np.flatnonzero(np.diff(code, prepend=-1) | np.diff(row, prepend=-1))  # of each document's positions of a word
                 first = np.flatnonzero(np.diff(code[starts], prepend=-1))  # of each word's documents
                 ends, sizes = np.append(first, len(starts)).astype(np.int32), np.diff(np.append(starts, len(place))).astype(np.int32)
-                title = place <= part.column("n_title").to_numpy()[row]
+                title = place <= n_title[row]
                 of_word = lambda values: pa.ListArray.from_arrays(pa.array(ends), values)  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays([
                     flat.dictionary.take(pa.array(code[starts[first]])), of_word(part.column("doc_id").take(pa.array(row[starts]))), of_word(pa.array(np.add.reduceat(title, starts, dtype=np.int32))), of_word(pa.array(sizes)),
                     pa.ListArray.from_arrays(pa.array(np.append(starts[first], len(place)).astype(np.int32)), pa.array(place))], ["term", "docs", "in_title", "sizes", "positions"])
 
-    title, body = words(F.col("title")), words(F.col("body"))
-    listed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(title).alias("n_title"), F.concat(title, body).alias("words"))
-    return listed.mapInArrow(run, ROW).select((F.crc32(F.col("term").cast("binary")) % buckets).cast("int").alias("bucket"), "*")
+    title, body = (F.lower(F.coalesce(c, F.lit(""))) for c in ("title", "body"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), title.alias("title"), F.concat_ws(" ", title, body).alias("text"))
+    return texts.mapInArrow(run, ROW).select((F.crc32(F.col("term").cast("binary")) % buckets).cast("int").alias("bucket"), "*")
 
 
 def write_index(docs: DataFrame, path: str, buckets: int = BUCKETS) -> None:

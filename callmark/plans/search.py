@@ -31,7 +31,7 @@ def indexed(d: Domain) -> DataFrame:
 
 def titled(d: Domain) -> DataFrame:
     """doc_id, title, body, source."""
-    return d.table("documents").select("doc_id", F.split("text", "\n")[0].alias("title"), F.col("text").alias("body"), "source")
+    return d.table("documents").select("doc_id", F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("body"), "source")
 
 
 def dated(d: Domain) -> DataFrame:

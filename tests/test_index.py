@@ -92,3 +92,23 @@ def test_a_row_is_a_word_of_a_block(spark, tmp_path):
     ix.write_index(made, f"{tmp_path}/i", 8)
     rows = ix.read_index(spark, f"{tmp_path}/i").filter("term = 'common'").collect()
     assert len(rows) == 1 and sorted(rows[0]["docs"]) == list(range(400)) and rows[0]["sizes"] == [2] * 400 and rows[0]["in_title"] == [1] * 400 and rows[0]["positions"] == [1, 2] * 400
+
+
+def test_words_are_split_where_they_are_indexed(spark, tmp_path):
+    """Texts go to the index as they are, not as lists of words; their words are those of words()."""
+    import pyarrow as pa
+
+    texts = ["", " ,. ", "one", " two\twords ", "a_b-c d1", "l'\u00e9t\u00e9 \u65e5\u672c\u8a9e\u3001\u6771\u4eac", "x" * 5_000, "\u0663\u00b2 \u2167 e\u0301\u00a0y", "\n\nthird line\r\n"]
+    docs = spark.createDataFrame([*((i, t, t) for i, t in enumerate(texts)), (99, None, None)], "doc_id long, title string, body string")
+    want = [r[0] for r in docs.filter("doc_id < 99").orderBy("doc_id").select(ix.words(F.col("body"))).collect()]
+    assert [x or [] for x in ix.words_of(pa.array([t.lower() for t in texts])).to_pylist()] == want
+    assert "regexp" not in ix.postings(docs, 8)._jdf.queryExecution().executedPlan().toString()
+    ix.write_index(docs, f"{tmp_path}/i", 8)
+    found = {}
+    for r in ix.read_index(spark, f"{tmp_path}/i").collect():
+        at = iter(r["positions"])
+        for doc, n, size in zip(r["docs"], r["in_title"], r["sizes"]):
+            mine = [next(at) for _ in range(size)]
+            assert n == sum(p <= len(want[doc]) for p in mine)
+            found.setdefault(doc, []).extend((p, r["term"]) for p in mine)
+    assert {k: [w for _, w in sorted(v)] for k, v in found.items()} == {i: w * 2 for i, w in enumerate(want) if w}
