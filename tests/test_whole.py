@@ -175,7 +175,7 @@ def test_items_without_channel_are_spread(spark, shuffled):
     assert len(alone) > 1 and sum(r["count"] for r in alone) == spark.read.parquet(f"{SMALL}/orders.parquet").filter("o_orderkey % 10 = 0").count()
 
 
-@pytest.mark.parametrize("name", ["item_detail", "item_entities", "analyst_page"])
+@pytest.mark.parametrize("name", ["item_detail", "item_entities", "analyst_page", "study_topics"])
 def test_tasks_grow_with_items(spark, shuffled, monkeypatch, name):
     """What a task holds is some rows, however many there are; the rows are those of its SQL."""
     monkeypatch.setattr(domain, "ROWS_A_TASK", 500)
